@@ -2,6 +2,19 @@
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+OP1 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [md5(array_to_string(w, ' '))] ELSE list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i : i + 4], ' '))) END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * c >= 85 * (p.n + q.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY 1),
+o AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id))
+SELECT *, doc_id = component_id AS kept FROM o
+"""
+
 OP3 = rf"""
 WITH d AS (
   SELECT doc_id, source, {WORDS}::BIGINT AS size,
@@ -43,20 +56,54 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-def crc32_sql(digits: str) -> str:
-    """CRC-32 of the bytes that digits (upper-case hex) spells, folded half a byte at a time: 4 steps never feed back, as the polynomial's low 5 bits are 0."""
-    halves = f"list_transform(range(length({digits})), lambda i: ('0x' || substr({digits}, i + 1 + CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END, 1))::UBIGINT)"
-    polynomial = 0xEDB88320
-    steps = "x >> 4"
+_POLYNOMIAL = 0xEDB88320
+_SEGMENT = 192
+
+
+def _zeros(register: int, octets: int) -> int:
+    """The CRC register after so many zero bytes."""
+    for _ in range(8 * octets):
+        register = register >> 1 ^ _POLYNOMIAL * (register & 1)
+    return register
+
+
+def _prefix() -> str:
+    """Hex of the 4 bytes that take the register from 0 to all ones: run the register backwards over 32 bits."""
+    register = 0xFFFFFFFF
+    for _ in range(32):
+        high = register >> 31
+        register = ((register ^ _POLYNOMIAL * high) << 1 | high) & 0xFFFFFFFF
+    return register.to_bytes(4, "little").hex().upper()
+
+
+def crc32_ctes(source: str, key: str, text: str) -> str:
+    """CTEs that end in crc(key, value): CRC-32 of the text column of source, a relation with unique keys.
+
+    CRC is linear, so segments of _SEGMENT bytes fold side by side from 0 (leading zeros don't count), half a
+    byte a step (the polynomial's low 5 bits are 0, so 4 steps never feed back), and then join by the fixed linear map of _SEGMENT zero bytes."""
+    step = "xor(a, b) >> 4"
     for bit in range(4):
-        steps = f"xor({steps}, ((x >> {bit}) & 1) * {polynomial >> 3 - bit}::UBIGINT)"
-    folded = steps.replace("x >> ", "xor(a, b) >> ").replace("(x ", "(xor(a, b) ")
-    return f"xor(list_reduce({halves}, lambda a, b: {folded}, 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT"
+        step = f"xor({step}, ((xor(a, b) >> {bit}) & 1) * {_POLYNOMIAL >> 3 - bit}::UBIGINT)"
+    join = "b"
+    for bit in range(32):
+        join = f"xor({join}, ((a >> {bit}) & 1) * {_zeros(1 << bit, _SEGMENT)}::UBIGINT)"
+    n = 2 * _SEGMENT
+    return f"""
+crc_hex AS (SELECT {key} AS k, '{_prefix()}' || hex(encode({text})) AS h FROM {source}),
+crc_padded AS (SELECT k, repeat('0', (({n} - length(h) % {n}) % {n})::INT) || h AS h FROM crc_hex),
+crc_cut AS (SELECT k, unnest(range(length(h) // {n})) AS i, h FROM crc_padded),
+crc_digits AS (SELECT k, i, substr(h, i * {n} + 1, {n}) AS h FROM crc_cut),
+crc_part AS (
+  SELECT k, i, list_reduce(list_transform(range({n}), lambda j: ('0x' || substr(h, j + 1 + CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END, 1))::UBIGINT), lambda a, b: {step}, 0::UBIGINT) AS v
+  FROM crc_digits),
+crc_parts AS (SELECT k, list(v ORDER BY i) AS v FROM crc_part GROUP BY k),
+crc AS (SELECT k AS key, xor(list_reduce(v, lambda a, b: {join}, 0::UBIGINT), 4294967295::UBIGINT)::BIGINT AS value FROM crc_parts)"""
 
 
 OP9 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS x, hex(encode(coalesce(text, ''))) AS h FROM documents),
-c AS (SELECT doc_id, (octet_length(encode(x)) + 16)::BIGINT AS size, {crc32_sql("h")} AS text_crc32 FROM d),
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS x FROM documents),
+{crc32_ctes("d", "n", "x")},
+c AS (SELECT doc_id, (octet_length(encode(x)) + 16)::BIGINT AS size, value AS text_crc32 FROM d JOIN crc ON n = key),
 o AS (SELECT *, row_number() OVER w AS nth, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total
       FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)),
 p AS (SELECT *, least(39, ((2 * upto - size) * 40) // (2 * total))::INT AS shard FROM o)
@@ -65,4 +112,4 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (nth - min(nth) OVER (PA
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3, "op4_exact_topk": OP4, "op9_sharding": OP9}
+    return {"op1_minhash_dedup": OP1, "op3_mixing": OP3, "op4_exact_topk": OP4, "op9_sharding": OP9}

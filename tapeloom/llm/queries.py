@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import count_words, stored
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .sharding import OVERHEAD, shard_by_bytes
 from .topk import exact_top_k
@@ -22,6 +23,10 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.when(F.max("quality") == 1, 1.0).otherwise(0.25).alias("weight"))
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
     weighted = docs.join(quality_weights(table(spark, sf_dir, "labels")), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0.5)))
@@ -42,6 +47,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op3_mixing": op3_mixing,
         "op4_exact_topk": op4_exact_topk,
         "op9_sharding": op9_sharding,
