@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -31,12 +33,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the time of a block; double underscores in a name stand for dots."""
+    values = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Writes df; the shuffle files of its plan go as soon as the job has ended, not when the driver next collects garbage."""
+    with settings(df.sparkSession, **{CLEANUP.replace(".", "__"): "true"}):
+        df.write.mode(mode).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_path(df.sparkSession, name)
+    write_parquet(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -53,6 +77,21 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if not text else text.encode("utf-8", "surrogatepass").lower().split()
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, remembered; forget() keeps the memory bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+    def forget(self, most: int = 1_000_000) -> None:
+        if len(self) > most:
+            self.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 

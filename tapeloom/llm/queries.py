@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import count_words, stored
+from .common import count_words, shared_path, stored
+from .decontaminate import benchmark_leaks
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .quality import importance_resample
+from .secrets import scan_secrets, secret_report
 from .sharding import OVERHEAD, shard_by_bytes
+from .tokens import count_tokens
 from .topk import exact_top_k
 
 
@@ -27,6 +31,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-cache"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
     weighted = docs.join(quality_weights(table(spark, sf_dir, "labels")), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0.5)))
@@ -38,6 +48,19 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.select("doc_id", F.lit(True).alias("kept"), "log_ratio", "sample_key")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     slim = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -48,7 +71,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_token_counts": op2_token_counts,
         "op3_mixing": op3_mixing,
         "op4_exact_topk": op4_exact_topk,
+        "op5_decontamination": op5_decontamination,
+        "op7_quality": op7_quality,
+        "op8_secrets": op8_secrets,
         "op9_sharding": op9_sharding,
     }
