@@ -17,7 +17,7 @@ from .mixing import uniform
 BUCKETS = 1 << 16
 MAX_LABELS = 20_000
 MARGIN = 5.0
-PRIOR = 32.0
+PRIOR = 128.0
 # A feature is a run of letters and digits or a run of other marks (other ASCII controls count as marks), A-Z lower-cased.
 PART = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+")
 
