@@ -17,7 +17,7 @@ from .mixing import uniform
 BUCKETS = 1 << 16
 MAX_LABELS = 20_000
 MARGIN = 5.0
-PRIOR = 128.0
+PRIOR = 64.0
 # A feature is a run of letters and digits or a run of other marks (other ASCII controls count as marks), A-Z lower-cased.
 PART = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+")
 
@@ -67,12 +67,12 @@ def target_ids(labels: DataFrame, most: int, id_col: str = "doc_id") -> list[int
 
 def bucket_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
     """log(target / raw) of each bucket. The target's prior is PRIOR times BUCKETS features spread as raw's are, so
-    where few labels are known the models agree; half the relative variance of each count makes up for the bias of a log of a count."""
+    where few labels are known the models agree; half the relative variance of the target's count makes up for the bias of its log."""
     if not good.sum():
         return np.zeros(BUCKETS)
     share = (raw + 1) / (raw.sum() + BUCKETS)
     told = good + PRIOR * BUCKETS * share
-    return np.log(told / told.sum()) - np.log(share) + good / (2 * told**2) - raw / (2 * (raw + 1) ** 2)
+    return np.log(told / told.sum()) - np.log(share) + good / (2 * told**2)
 
 
 def log_ratios(df: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .quality import importance_resample
 from .secrets import scan_secrets, secret_report
 from .sharding import OVERHEAD, shard_by_bytes
+from .substrings import remove_repeats
 from .tokens import count_tokens
 from .topk import exact_top_k
 
@@ -68,6 +69,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -78,4 +85,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_secrets": op8_secrets,
         "op9_sharding": op9_sharding,
+        "op10_repeats": op10_repeats,
     }
