@@ -11,6 +11,7 @@ from .common import count_words, shared_path, stored
 from .decontaminate import benchmark_leaks
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .mixing_lm import score_texts
 from .quality import importance_resample
 from .secrets import scan_secrets, secret_report
 from .sharding import OVERHEAD, shard_by_bytes
@@ -53,6 +54,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return drawn.select("doc_id", F.lit(True).alias("kept"), "log_ratio", "sample_key")
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_exact_topk": op4_exact_topk,
         "op5_decontamination": op5_decontamination,
+        "op6_mixing_lm": op6_mixing_lm,
         "op7_quality": op7_quality,
         "op8_secrets": op8_secrets,
         "op9_sharding": op9_sharding,
