@@ -20,6 +20,7 @@ from .sharding import shard_by_bytes
 
 K = 32
 PIECE = 1 << 18
+CROWD = 1000
 POS_BITS = np.uint64(24)
 _rng = np.random.default_rng(77)
 TABLES = _rng.integers(0, 2**63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,7 +95,7 @@ class Piece:
         owner = np.searchsorted(self.bounds, at, "right") - 1
         return np.asarray(self.docs)[owner], at - self.bounds[owner] + self.base
 
-    def contexts(self, at: np.ndarray, first: int, last: int) -> np.ndarray:
+    def contexts(self, at: np.ndarray) -> np.ndarray:
         """Hashes of all bytes that a string with its anchor there can hold, cut at the document's edges."""
         owner = np.searchsorted(self.bounds, at, "right") - 1
         a, b = np.maximum(self.bounds[owner], at - (self.length - K)), np.minimum(self.bounds[owner + 1], at + self.length)
@@ -140,26 +141,93 @@ def _grams(length: int, full: bool):
                     continue
                 if full:
                     row, pos = piece.place(at)
-                    columns += [piece.contexts(at, 0, 0).view(np.int64), ids[row], pos]
+                    columns += [piece.contexts(at).view(np.int64), ids[row], pos]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "context", "rid", "pos"][: len(columns)])
 
     return run
 
 
-def _windows(length: int):
+OPEN_SCHEMA = "gram long, rid long, pos long, string long, bytes binary, left int, right int"
+
+
+def _open(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(gram, string, rid, start) for each string of `length` bytes whose anchor is among the row's places."""
+        """For each of the row's places the bytes around the anchor there; for each string anchored at one of its crowded places the string's hash."""
         for batch in _batches(batches):
             ids, texts = batch.column("rid").to_numpy(), _bytes(batch.column("text"))
-            marks = [np.asarray(x, np.int64) for x in batch.column("places").to_pylist()]
+            places, crowded = ([np.asarray(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("places", "crowded"))
             for piece in pieces(texts, length):
+                at = np.unique(piece.anchor)
+                if not len(at):
+                    continue
+                row, pos = piece.place(at)
+                mine = _marked(row, pos, places, texts)
+                if mine.any():
+                    at, row, pos = at[mine], row[mine], pos[mine]
+                    around = [(max(0, int(p) - (length - K)), min(len(texts[r]), int(p) + length)) for r, p in zip(row, pos, strict=True)]
+                    values = [piece.gram[at].view(np.int64), ids[row], pos, pa.nulls(len(at), pa.int64()), [texts[r][a:b] for r, (a, b) in zip(row, around, strict=True)], [int(p) - a for p, (a, _) in zip(pos, around, strict=True)], [b - int(p) - K for p, (_, b) in zip(pos, around, strict=True)]]
+                    yield _open_batch(values)
                 row, pos = piece.place(piece.anchor)
-                mine = _marked(row, pos, marks, texts)
+                mine = _marked(row, pos, crowded, texts)
                 if mine.any():
-                    start, anchor = piece.starts[mine], piece.anchor[mine]
-                    _, begin = piece.place(start)
+                    start = piece.starts[mine]
                     string = Rolling(piece.data, 1).of(start, start + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (piece.gram[anchor].view(np.int64), string.view(np.int64), ids[row[mine]], begin)], ["gram", "string", "rid", "start"])
+                    nothing = pa.nulls(len(start), pa.int32())
+                    yield _open_batch([piece.gram[piece.anchor[mine]].view(np.int64), ids[row[mine]], piece.place(start)[1], string.view(np.int64), pa.nulls(len(start), pa.binary()), nothing, nothing])
+
+    return run
+
+
+def _open_batch(values: list) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["gram", "rid", "pos", "string", "bytes", "left", "right"])
+
+
+def _repeated(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, end): runs of string beginnings in rows sorted by gram, rid and pos that an earlier row of the same gram has as well.
+
+    For each offset of the anchor in a string the hashes of all rows' strings are compared at once; the first of equal ones is the original."""
+    side, n = length - K, batch.num_rows
+    left, right = batch.column("left").to_numpy(), batch.column("right").to_numpy()
+    data = np.zeros((n, length + side), np.uint8)
+    for r, (a, b) in enumerate(zip(left, batch.column("bytes").to_pylist(), strict=True)):
+        data[r, side - a : side - a + len(b)] = np.frombuffer(b, np.uint8)
+    up, down = _powers(BASES[1], length + side + 1), _powers(pow(BASES[1], -1, 1 << 64), length + side + 1)
+    gram = mix64(batch.column("gram").to_numpy().view(np.uint64))
+    again = np.zeros((n, side + 3), bool)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros((n, 1), np.uint64), np.cumsum(TABLES[1][data] * up[:-1], axis=1)), axis=1)
+        for offset in range(side + 1):
+            there = np.flatnonzero((left >= offset) & (right >= side - offset))
+            lo = side - offset
+            key = mix64((sums[there, lo + length] - sums[there, lo]) * down[lo]) ^ gram[there]
+            first = np.unique(key, return_index=True)[1]
+            again[there, side - offset + 1] = True
+            again[there[first], side - offset + 1] = False
+    row, edge = np.nonzero(np.diff(again.view(np.int8), axis=1))
+    pos = batch.column("pos").to_numpy()[row[::2]] - side
+    return row[::2], pos + edge[::2], pos + edge[1::2]
+
+
+def _resolve(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by gram; the last gram of a batch, which may go on in the next, waits for it."""
+        held: list[pa.RecordBatch] = []
+
+        def out(part: pa.RecordBatch) -> pa.RecordBatch:
+            row, lo, hi = _repeated(part, length)
+            return pa.RecordBatch.from_arrays([pa.array(part.column("rid").to_numpy()[row]), pa.array(lo), pa.array(hi)], ["rid", "lo", "hi"])
+
+        for whole in batches:
+            for batch in _batches([whole], 4096):
+                grams = batch.column("gram").to_numpy()
+                cut = int(np.searchsorted(grams, grams[-1], "left"))
+                if cut or (held and held[-1].column("gram")[-1].as_py() != grams[0]):
+                    yield out(pa.concat_batches([*held, batch.slice(0, cut)]))
+                    held = []
+                held.append(batch.slice(cut))
+        if held:
+            yield out(pa.concat_batches(held))
 
     return run
 
@@ -177,10 +245,11 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
             texts = _bytes(batch.column("text"))
-            anchors, starts = ([np.asarray(x if x is not None else [], np.int64) for x in batch.column(c).to_pylist()] for c in ("anchors", "starts"))
+            anchors = [np.asarray(x if x is not None else [], np.int64) for x in batch.column("anchors").to_pylist()]
             hit = [np.zeros(len(t) + 1, np.int32) for t in texts]
-            for r, s in enumerate(starts):
-                hit[r][s] = 1
+            for h, runs in zip(hit, batch.column("runs").to_pylist(), strict=True):
+                for run_ in runs or []:
+                    h[run_["lo"] : run_["hi"]] = 1
             if any(map(len, anchors)):
                 busy = [t if len(a) else b"" for t, a in zip(texts, anchors, strict=True)]
                 for piece in pieces(busy, length):
@@ -216,8 +285,9 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     1. Anchor hashes are counted; those that occur once (most) are done with. 2. The others' tuples are joined to them. The earliest
        tuple of equal hash and equal context is the original: all strings anchored in its copies are repeats. 3. Originals
-       whose hash also has another context give the hashes of the strings anchored there, and all but the earliest of equal strings
-       are repeats. 4. Each document gets its anchors and strings, and its bytes are cut.
+       whose hash also has other contexts are sorted by hash with the bytes around them, and each learns which of its strings an
+       earlier one has too. Where a hash has more than CROWD contexts, the strings' own hashes are grouped instead, so that no
+       hash fills a task. 4. Each document gets its anchors and strings, and its bytes are cut.
     Every grouping is summed before its exchange, and joins back are ones whose large side Spark may split, so no text, however
     often it occurs, meets in one task. Each step is stored and its shuffle files go before the next.
     """
@@ -235,11 +305,14 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     originals = stored(tuples.groupBy("gram", "context").agg(F.min(F.struct("rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "repeats-originals")
     copies = tuples.join(originals.filter("n > 1").select("gram", "context", "first"), ["gram", "context"]).filter(F.struct("rid", "pos") != F.col("first")).select("rid", "pos")
     copies = stored(copies.groupBy("rid").agg(F.collect_set("pos").alias("anchors")), "repeats-copies")
-    several = originals.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1").select("gram")
-    open_ = originals.join(several, "gram", "left_semi").groupBy(F.col("first.rid").alias("rid")).agg(F.collect_set("first.pos").alias("places"))
-    strings = stored(slim.join(open_, "rid").mapInArrow(_windows(length), "gram long, string long, rid long, start long"), "repeats-strings")
-    firsts = strings.groupBy("gram", "string").agg(F.min(F.struct("rid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = strings.join(firsts, ["gram", "string"]).filter(F.struct("rid", "start") != F.col("first"))
-    again = stored(again.groupBy("rid").agg(F.collect_set("start").alias("starts")), "repeats-starts")
-    told = docs.join(copies.join(again, "rid", "full"), "rid", "left").select("id", "text", "anchors", "starts")
+    several = originals.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
+    crowd = F.col("contexts") > CROWD
+    open_ = originals.join(several, "gram").groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.when(~crowd, F.col("first.pos"))).alias("places"), F.collect_list(F.when(crowd, F.col("first.pos"))).alias("crowded"))
+    open_ = stored(slim.join(open_, "rid").mapInArrow(_open(length), OPEN_SCHEMA), "repeats-open")
+    near = open_.filter("string IS NULL").repartition("gram").sortWithinPartitions("gram", "rid", "pos").mapInArrow(_resolve(length), "rid long, lo long, hi long")
+    strings = open_.filter("string IS NOT NULL").select("gram", "string", "rid", "pos")
+    firsts = strings.groupBy("gram", "string").agg(F.min(F.struct("rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    far = strings.join(firsts, ["gram", "string"]).filter(F.struct("rid", "pos") != F.col("first")).select("rid", F.col("pos").alias("lo"), (F.col("pos") + 1).alias("hi"))
+    again = stored(near.unionByName(far).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeats-runs")
+    told = docs.join(copies.join(again, "rid", "full"), "rid", "left").select("id", "text", "anchors", "runs")
     return told.mapInArrow(_cut(length), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
