@@ -152,8 +152,11 @@ OPEN_SCHEMA = "gram long, rid long, pos long, string long, bytes binary, left in
 
 def _open(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each of the row's places the bytes around the anchor there; for each string anchored at one of its crowded places the string's hash."""
+        """For each of the row's places the bytes around the anchor there; for each string anchored at one of its crowded places the string's hash.
+
+        Of equal crowded strings in a batch only the earliest is told; the rest are repeats for certain, and leave as runs (no gram; from pos, left long)."""
         for batch in _batches(batches):
+            strings: list[list[np.ndarray]] = []
             ids, texts = batch.column("rid").to_numpy(), _bytes(batch.column("text"))
             places, crowded = ([np.asarray(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("places", "crowded"))
             for piece in pieces(texts, length):
@@ -172,8 +175,22 @@ def _open(length: int):
                 if mine.any():
                     start = piece.starts[mine]
                     string = Rolling(piece.data, 1).of(start, start + length)
-                    nothing = pa.nulls(len(start), pa.int32())
-                    yield _open_batch([piece.gram[piece.anchor[mine]].view(np.int64), ids[row[mine]], piece.place(start)[1], string.view(np.int64), pa.nulls(len(start), pa.binary()), nothing, nothing])
+                    strings.append([piece.gram[piece.anchor[mine]].view(np.int64), ids[row[mine]], piece.place(start)[1], string.view(np.int64)])
+            if strings:
+                gram, rid, pos, string = (np.concatenate(c) for c in zip(*strings, strict=True))
+                order = np.lexsort((pos, rid, string, gram))
+                gram, rid, pos, string = gram[order], rid[order], pos[order], string[order]
+                first = np.concatenate(([True], (gram[1:] != gram[:-1]) | (string[1:] != string[:-1])))
+                none = pa.nulls(int(first.sum()), pa.int32())
+                yield _open_batch([gram[first], rid[first], pos[first], string[first], pa.nulls(len(none), pa.binary()), none, none])
+                rid, pos = rid[~first], pos[~first]
+                if len(rid):
+                    order = np.lexsort((pos, rid))
+                    rid, pos = rid[order], pos[order]
+                    begin = np.flatnonzero(np.concatenate(([True], (rid[1:] != rid[:-1]) | (pos[1:] > pos[:-1] + 1))))
+                    last = np.concatenate((begin[1:], [len(rid)])) - 1
+                    empty = pa.nulls(len(begin), pa.int64())
+                    yield _open_batch([empty, rid[begin], pos[begin], empty, pa.nulls(len(begin), pa.binary()), (pos[last] + 1 - pos[begin]).astype(np.int32), pa.nulls(len(begin), pa.int32())])
 
     return run
 
@@ -309,10 +326,11 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     crowd = F.col("contexts") > CROWD
     open_ = originals.join(several, "gram").groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.when(~crowd, F.col("first.pos"))).alias("places"), F.collect_list(F.when(crowd, F.col("first.pos"))).alias("crowded"))
     open_ = stored(slim.join(open_, "rid").mapInArrow(_open(length), OPEN_SCHEMA), "repeats-open")
-    near = open_.filter("string IS NULL").repartition("gram").sortWithinPartitions("gram", "rid", "pos").mapInArrow(_resolve(length), "rid long, lo long, hi long")
+    near = open_.filter("bytes IS NOT NULL").repartition("gram").sortWithinPartitions("gram", "rid", "pos").mapInArrow(_resolve(length), "rid long, lo long, hi long")
     strings = open_.filter("string IS NOT NULL").select("gram", "string", "rid", "pos")
     firsts = strings.groupBy("gram", "string").agg(F.min(F.struct("rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     far = strings.join(firsts, ["gram", "string"]).filter(F.struct("rid", "pos") != F.col("first")).select("rid", F.col("pos").alias("lo"), (F.col("pos") + 1).alias("hi"))
-    again = stored(near.unionByName(far).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeats-runs")
+    known = open_.filter("gram IS NULL").select("rid", F.col("pos").alias("lo"), (F.col("pos") + F.col("left")).alias("hi"))
+    again = stored(near.unionByName(far).unionByName(known).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeats-runs")
     told = docs.join(copies.join(again, "rid", "full"), "rid", "left").select("id", "text", "anchors", "runs")
     return told.mapInArrow(_cut(length), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
