@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, words_of
+from .common import discard, mix64, stored, words_of
 
 CODE_BITS = 12
 ENDING = 4
@@ -27,8 +27,10 @@ SPELL_BITS = 18
 CONTEXTS = 3  # hashed ones: the last word, the last short word, the last two short words
 SPELL_ORDERS = (2, 3)
 CHUNK = 1 << 14
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 ROUND = 32
+TASKS_AT_ONCE = 512  # tables of so many tasks are added up in one group
+KINDS = {4: np.int32, 8: np.int64}  # a task's counts are 32 bits wide, sums 64
 DOCS_AT_ONCE = 256
 RATE = 0.02
 FIRST_WEIGHTS = (0.3, 0.1, 0.4, 0.3)
@@ -155,8 +157,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.flatnonzero(~np.repeat(block.held, block.sizes))
             bits = block.bits.copy()
             bits[block.counts <= 1, 0] = 0
-            for lo in range(0, len(own), 1 << 15):
-                place = own[lo : lo + (1 << 15)]
+            for lo in range(0, len(own), 1 << 17):
+                place = own[lo : lo + (1 << 17)]
                 told = bits[block.tokens[place]].astype(np.int64).ravel()
                 for table, slot in zip(tables, block.slots(place), strict=False):
                     table += np.bincount(slot.ravel() * 2 + told, minlength=len(table))
@@ -171,11 +173,12 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, lo in enumerate(range(0, len(table), 2 * CHUNK)):
             piece = table[lo : lo + 2 * CHUNK]
             if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([chunk]), pa.array([part % 64]), pa.array([piece.tobytes()], pa.binary())], ["kind", "chunk", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([chunk]), pa.array([part // TASKS_AT_ONCE]), pa.array([piece.astype(np.int32).tobytes()], pa.binary())], ["kind", "chunk", "part", "counts"])
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
+    n = min(2 * CHUNK, SIZES[table.column("kind")[0].as_py()])
+    total = sum(np.frombuffer(x.as_buffer(), KINDS[x.as_buffer().size // n]).astype(np.int64) for x in table.column("counts"))
     return pa.table({"kind": table.column("kind")[:1], "chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -278,8 +281,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     trained, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     asked = blocks.select("block", "words").mapInArrow(_asked_words, "block long, at int, word binary")
     answered = asked.join(counts, "word", "left").groupBy("block").agg(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0).cast("long")).alias("n"))).alias("all"))
-    answered = answered.select("block", F.col("all.at").alias("at"), F.col("all.n").alias("n"))
+    answered = stored(answered.select("block", F.col("all.at").alias("at"), F.col("all.n").alias("n")), "lm-answered")
+    discard(counts)
     ready = stored(blocks.drop("trained").join(answered, "block"), "lm-ready")
+    discard(blocks)
+    discard(answered)
     chunks = ready.mapInArrow(_train, "kind long, chunk long, part long, counts binary")
     added = "kind long, chunk long, part long, counts binary"
     chunks = chunks.groupBy("kind", "chunk", "part").applyInArrow(_add, added).groupBy("kind", "chunk").applyInArrow(_add, added)
