@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,20 @@ END = b" "  # no word holds a space
 ODD = np.uint64(0x9E3779B97F4A7C15)
 SIZES = [2 << CODE_BITS, *[2 << SLOT_BITS] * CONTEXTS, *[2 << SPELL_BITS] * len(SPELL_ORDERS)]
 
-BLOCK_SCHEMA = "block long, ids array<long>, held array<boolean>, sizes binary, tokens binary, words array<binary>, trained binary"
+# Sizes, tokens, words (one a line: none holds a line feed) and counts are packed, as blocks are stored twice and exchanged once.
+BLOCK_SCHEMA = "block long, ids array<long>, held array<boolean>, sizes binary, tokens binary, words binary, trained binary"
+
+
+def pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpack(data: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data.as_buffer())
+
+
+def block_words(data: pa.Scalar) -> list[bytes]:
+    return unpack(data).split(b"\n")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,8 +62,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, held, sizes, tokens, vocabulary, trained, nbytes = [], [], [], [], {}, [], 0
 
     def flush() -> pa.RecordBatch:
-        values = [[(part << 32) + number], [ids], [held], [np.array(sizes, np.int32).tobytes()], [np.array(tokens, np.int32).tobytes()], [list(vocabulary)], [np.bincount(np.array(trained, np.int64), minlength=len(vocabulary)).astype(np.int64).tobytes()]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+        values = [[(part << 32) + number], [ids], [held], *([pack(x)] for x in (np.array(sizes, np.int32).tobytes(), np.array(tokens, np.int32).tobytes(), b"\n".join(vocabulary), np.bincount(np.array(trained, np.int64), minlength=len(vocabulary)).astype(np.int64).tobytes()))]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "ids", "held", "sizes", "tokens", "words", "trained"])
 
     for batch in batches:
@@ -71,15 +85,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _trained_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for words, trained in zip(batch.column("words"), batch.column("trained"), strict=True):
-            n = np.frombuffer(trained.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([words.values, pa.array(n)], ["word", "n"]).filter(pa.array(n > 0))
+            n = np.frombuffer(unpack(trained), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(block_words(words), pa.binary()), pa.array(n)], ["word", "n"]).filter(pa.array(n > 0))
 
 
 def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, words in zip(batch.column("block"), batch.column("words"), strict=True):
-            n = len(words.values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), words.values], ["block", "at", "word"])
+            found = block_words(words)
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(found, pa.binary())], ["block", "at", "word"])
 
 
 class Block:
@@ -88,8 +103,8 @@ class Block:
     def __init__(self, batch: pa.RecordBatch, i: int) -> None:
         get = lambda name: batch.column(name)[i]
         self.ids, self.held = get("ids").as_py(), np.array(get("held").as_py(), bool)
-        self.sizes, self.tokens = (np.frombuffer(get(n).as_buffer(), np.int32).astype(np.int64) for n in ("sizes", "tokens"))
-        self.words = get("words").as_py()
+        self.sizes, self.tokens = (np.frombuffer(unpack(get(n)), np.int32).astype(np.int64) for n in ("sizes", "tokens"))
+        self.words = block_words(get("words"))
         self.counts = np.zeros(len(self.words), np.int64)
         at = get("at").values.to_numpy()
         self.counts[at] = get("n").values.to_numpy()
