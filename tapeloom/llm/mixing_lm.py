@@ -33,6 +33,7 @@ ROUND = 32
 TASKS_AT_ONCE = 512  # tables of so many tasks are added up in one group
 KINDS = {4: np.int32, 8: np.int64}  # a task's counts are 32 bits wide, sums 64
 DOCS_AT_ONCE = 256
+TOKENS_AT_ONCE = 1 << 13
 RATE = 0.02
 FIRST_WEIGHTS = (0.3, 0.1, 0.4, 0.3)
 SPELL_WEIGHTS = (0.35, 0.7)
@@ -116,7 +117,9 @@ class Block:
         self.nodes = np.concatenate((np.zeros((n, 1), np.int64), (1 << depth) | (self.code[:, None] >> (CODE_BITS - depth))), axis=1)
         self.bits = np.concatenate((self.counts[:, None] > 0, (self.code[:, None] >> (CODE_BITS - 1 - depth)) & 1), axis=1).astype(np.int8)
         short = np.fromiter((len(w) <= SHORT for w in self.words), bool, n)
-        self.context = self._contexts(hashes, short)
+        with np.errstate(over="ignore"):  # (context + node) * ODD, as two products that decisions only add
+            self.spread = self.nodes.astype(np.uint64) * ODD
+            self.context = [c * ODD for c in self._contexts(hashes, short)]
 
     def _contexts(self, hashes: np.ndarray, short: np.ndarray) -> list[np.ndarray]:
         """For each token the hashes of its contexts; none reaches beyond its own text."""
@@ -132,13 +135,12 @@ class Block:
             return [mix64(last + np.uint64(1)), mix64(of(one) + np.uint64(2)), mix64(of(one) * np.uint64(31) + of(two) + np.uint64(3))]
 
     def slots(self, place: np.ndarray) -> Iterator[np.ndarray]:
-        """For each table the slots (predictor and decision) of the tokens' decisions."""
-        nodes = self.nodes[self.tokens[place]]
-        yield nodes
-        wide = nodes.astype(np.uint64)
-        with np.errstate(over="ignore"):
-            for context in self.context:
-                yield (((context[place].reshape(*place.shape, 1) + wide) * ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        """For each hashed context the slots (predictor and decision) of the tokens' decisions."""
+        wide = self.spread[self.tokens[place]]
+        for context in self.context:
+            slot = context[place][..., None] + wide
+            slot >>= np.uint64(64 - SLOT_BITS)
+            yield slot.view(np.int64)
 
 
 def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -165,30 +167,34 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decision counts of the training texts in each table's slots, in chunks, once for each task.
 
     Words that training has only once teach the first decision as unknown ones, and how such words are spelt."""
-    tables = [np.zeros(n, np.int64) for n in SIZES]
+    tables = [np.zeros(n, np.int32) for n in SIZES]
     for batch in batches:
         for i in range(batch.num_rows):
             block = Block(batch, i)
             own = np.flatnonzero(~np.repeat(block.held, block.sizes))
             bits = block.bits.copy()
             bits[block.counts <= 1, 0] = 0
-            for lo in range(0, len(own), 1 << 17):
-                place = own[lo : lo + (1 << 17)]
-                told = bits[block.tokens[place]].astype(np.int64).ravel()
-                for table, slot in zip(tables, block.slots(place), strict=False):
-                    table += np.bincount(slot.ravel() * 2 + told, minlength=len(table))
+            often = np.bincount(block.tokens[own], minlength=len(block.words))  # without a context a word's decisions are the same everywhere
+            tables[0] += np.bincount((block.nodes * 2 + bits).ravel(), np.repeat(often, CODE_BITS + 1), len(tables[0])).astype(np.int32)
+            for lo in range(0, len(own), TOKENS_AT_ONCE):
+                place = own[lo : lo + TOKENS_AT_ONCE]
+                told = bits[block.tokens[place]]
+                for table, slot in zip(tables[1 : 1 + CONTEXTS], block.slots(place), strict=True):
+                    slot <<= 1
+                    slot += told
+                    np.add.at(table, slot.ravel(), np.int32(1))
             once = np.unique(block.tokens[own])
             once = [block.words[w] for w in once[block.counts[once] == 1]]
             if once:
                 slots, told, _ = spelling(once)
                 for table, slot in zip(tables[1 + CONTEXTS :], slots, strict=True):
-                    table += np.bincount((slot * 2 + told).ravel(), minlength=len(table))
+                    table += np.bincount((slot * 2 + told).ravel(), minlength=len(table)).astype(np.int32)
     part = TaskContext.get().partitionId()
     for k, table in enumerate(tables):
         for chunk, lo in enumerate(range(0, len(table), 2 * CHUNK)):
             piece = table[lo : lo + 2 * CHUNK]
             if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([chunk]), pa.array([part // TASKS_AT_ONCE]), pa.array([piece.astype(np.int32).tobytes()], pa.binary())], ["kind", "chunk", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([chunk]), pa.array([part // TASKS_AT_ONCE]), pa.array([piece.tobytes()], pa.binary())], ["kind", "chunk", "part", "counts"])
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -226,12 +232,15 @@ class Model:
         begin = np.cumsum(block.sizes) - block.sizes
         out = np.add.reduceat(rest[block.tokens], begin)
         order = np.argsort(-block.sizes, kind="stable")
+        weigh = np.ones(block.bits.shape, np.float32)
+        weigh[~known, 1:] = 0
+        per_word = self.odds[0][block.nodes], block.bits.astype(np.float32) * 2 - 1, weigh
         for lo in range(0, len(order), DOCS_AT_ONCE):
             docs = order[lo : lo + DOCS_AT_ONCE]
-            out[docs] += self._read(block, known, begin[docs], block.sizes[docs])
+            out[docs] += self._read(block, per_word, begin[docs], block.sizes[docs])
         return out
 
-    def _read(self, block: Block, known: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def _read(self, block: Block, per_word: tuple[np.ndarray, np.ndarray, np.ndarray], begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """ln of the decisions' probability of texts (longest first), read side by side ROUND tokens at a time; after each round a text's weights move down its own gradient."""
         weights = np.empty((len(FIRST_WEIGHTS), len(sizes), 1, CODE_BITS + 1), np.float32)
         weights[:] = np.array(FIRST_WEIGHTS, np.float32)[:, None, None, None]
@@ -242,16 +251,21 @@ class Model:
             step = np.arange(at, at + width)
             place = begin[:n, None] + np.minimum(step, sizes[:n, None] - 1)
             words = block.tokens[place]
-            weigh = np.broadcast_to((step < sizes[:n, None])[:, :, None], (n, width, CODE_BITS + 1)).copy()
-            weigh[:, :, 1:] &= known[words][:, :, None]
-            inputs = [odds[s] for odds, s in zip(self.odds, block.slots(place), strict=False)]
+            alone, sign, weigh = (table[words] for table in per_word)
+            weigh[step >= sizes[:n, None]] = 0
+            inputs = [alone, *(odds[s] for odds, s in zip(self.odds[1 : 1 + CONTEXTS], block.slots(place), strict=True))]
             x = sum(w[:n] * v for w, v in zip(weights, inputs, strict=True))
-            sign = block.bits[words].astype(np.float32) * 2 - 1
-            wrong = 1 / (1 + np.exp(np.clip(sign * x, -30, 30)))  # what was left for the other outcome
+            x *= sign
+            np.clip(x, -30, 30, out=x)
+            np.exp(x, out=x)
+            x += 1
+            wrong = np.reciprocal(x, out=x)  # what was left for the other outcome
             total[:n] += (np.log1p(-np.minimum(wrong, np.float32(0.9999999))) * weigh).sum(axis=(1, 2), dtype=np.float64)
-            error = sign * wrong * weigh
+            error = sign
+            error *= wrong
+            error *= weigh
             for w, v in zip(weights, inputs, strict=True):
-                w[:n] += RATE * np.clip((error * v).sum(axis=1, keepdims=True), -4, 4)
+                w[:n, 0] += RATE * np.clip(np.einsum("ijk,ijk->ik", error, v), -4, 4)
         return total
 
 
