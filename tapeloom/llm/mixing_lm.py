@@ -57,10 +57,18 @@ def block_words(data: pa.Scalar) -> list[bytes]:
     return unpack(data).split(b"\n")
 
 
+class Vocabulary(dict):
+    """Words' places, in order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of about BLOCK_BYTES of text: the documents' tokens as places in the block's own vocabulary, and how often training texts use each word."""
     part, number = TaskContext.get().partitionId(), 0
-    ids, held, sizes, tokens, vocabulary, trained, nbytes = [], [], [], [], {}, [], 0
+    ids, held, sizes, tokens, vocabulary, trained, nbytes = [], [], [], [], Vocabulary(), [], 0
 
     def flush() -> pa.RecordBatch:
         values = [[(part << 32) + number], [ids], [held], *([pack(x)] for x in (np.array(sizes, np.int32).tobytes(), np.array(tokens, np.int32).tobytes(), b"\n".join(vocabulary), np.bincount(np.array(trained, np.int64), minlength=len(vocabulary)).astype(np.int64).tobytes()))]
@@ -71,14 +79,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("text"), strict=True):
             words = words_of(text.as_py())
             words.append(END)
-            found = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
+            found = list(map(vocabulary.__getitem__, words))
             ids.append(doc), held.append(out), sizes.append(len(found))
             tokens += found
             trained += [] if out else found
             nbytes += len(text.as_py() or "") + 16
             if nbytes >= BLOCK_BYTES:
                 yield flush()
-                ids, held, sizes, tokens, vocabulary, trained, nbytes, number = [], [], [], [], {}, [], 0, number + 1
+                ids, held, sizes, tokens, vocabulary, trained, nbytes, number = [], [], [], [], Vocabulary(), [], 0, number + 1
     if ids:
         yield flush()
 
@@ -111,12 +119,12 @@ class Block:
         self.counts[at] = get("n").values.to_numpy()
         n = len(self.words)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, n)
-        code = np.fromiter((xxhash.xxh3_64_intdigest(w[-ENDING:]) for w in self.words), np.uint64, n) & np.uint64((1 << CODE_BITS) - 1)
+        code = np.fromiter(map(xxhash.xxh3_64_intdigest, [w[-ENDING:] for w in self.words]), np.uint64, n) & np.uint64((1 << CODE_BITS) - 1)
         self.code = code.astype(np.int64)
         depth = np.arange(CODE_BITS)
         self.nodes = np.concatenate((np.zeros((n, 1), np.int64), (1 << depth) | (self.code[:, None] >> (CODE_BITS - depth))), axis=1)
         self.bits = np.concatenate((self.counts[:, None] > 0, (self.code[:, None] >> (CODE_BITS - 1 - depth)) & 1), axis=1).astype(np.int8)
-        short = np.fromiter((len(w) <= SHORT for w in self.words), bool, n)
+        short = np.fromiter(map(len, self.words), np.int64, n) <= SHORT
         with np.errstate(over="ignore"):  # (context + node) * ODD, as two products that decisions only add
             self.spread = self.nodes.astype(np.uint64) * ODD
             self.context = [c * ODD for c in self._contexts(hashes, short)]
@@ -136,9 +144,9 @@ class Block:
 
     def slots(self, place: np.ndarray) -> Iterator[np.ndarray]:
         """For each hashed context the slots (predictor and decision) of the tokens' decisions."""
-        wide = self.spread[self.tokens[place]]
+        wide = self.spread.take(self.tokens[place], axis=0)
         for context in self.context:
-            slot = context[place][..., None] + wide
+            slot = context.take(place)[..., None] + wide
             slot >>= np.uint64(64 - SLOT_BITS)
             yield slot.view(np.int64)
 
@@ -178,7 +186,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables[0] += np.bincount((block.nodes * 2 + bits).ravel(), np.repeat(often, CODE_BITS + 1), len(tables[0])).astype(np.int32)
             for lo in range(0, len(own), TOKENS_AT_ONCE):
                 place = own[lo : lo + TOKENS_AT_ONCE]
-                told = bits[block.tokens[place]]
+                told = bits.take(block.tokens[place], axis=0)
                 for table, slot in zip(tables[1 : 1 + CONTEXTS], block.slots(place), strict=True):
                     slot <<= 1
                     slot += told
@@ -251,10 +259,12 @@ class Model:
             step = np.arange(at, at + width)
             place = begin[:n, None] + np.minimum(step, sizes[:n, None] - 1)
             words = block.tokens[place]
-            alone, sign, weigh = (table[words] for table in per_word)
+            alone, sign, weigh = (table.take(words, axis=0) for table in per_word)
             weigh[step >= sizes[:n, None]] = 0
-            inputs = [alone, *(odds[s] for odds, s in zip(self.odds[1 : 1 + CONTEXTS], block.slots(place), strict=True))]
-            x = sum(w[:n] * v for w, v in zip(weights, inputs, strict=True))
+            inputs = [alone, *(odds.take(s) for odds, s in zip(self.odds[1 : 1 + CONTEXTS], block.slots(place), strict=True))]
+            x = weights[0, :n] * inputs[0]
+            for w, v in zip(weights[1:], inputs[1:], strict=True):
+                x += w[:n] * v
             x *= sign
             np.clip(x, -30, 30, out=x)
             np.exp(x, out=x)
