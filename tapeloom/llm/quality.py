@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,46 @@ BUCKETS = 1 << 16
 MAX_LABELS = 20_000
 MARGIN = 5.0
 PRIOR = 64.0
+FALSE_MARKS = 0.5  # features expected to pass as marks of toxic texts by chance
+TOXIC_ODDS = 5.0
+FILTER_BITS = 20
 # A feature is a run of letters and digits or a run of other marks (other ASCII controls count as marks), A-Z lower-cased.
 PART = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+")
 
 
-def features(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Buckets of the text's unigrams and bigrams."""
+def hashed(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """64-bit hashes of the text's unigrams and bigrams."""
     parts = hashes.of(PART.findall(text.encode("utf-8", "surrogatepass").lower())) if text else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         pairs = mix64(parts[:-1] * np.uint64(0x9E3779B97F4A7C15) + parts[1:])
-    return (np.concatenate((parts, pairs)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return np.concatenate((parts, pairs))
+
+
+def bucketed(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def features(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """Buckets of the text's unigrams and bigrams."""
+    return bucketed(hashed(text, hashes))
+
+
+@dataclass
+class Marks:
+    """Features that mark toxic texts (sorted hashes) with their log odds."""
+
+    hashes: np.ndarray
+    odds: np.ndarray
+
+    def filter(self) -> np.ndarray:
+        table = np.zeros(1 << FILTER_BITS, bool)
+        table[self.hashes & np.uint64((1 << FILTER_BITS) - 1)] = True
+        return table
+
+    def of(self, found: np.ndarray, table: np.ndarray) -> float:
+        """The summed log odds of the marks among a text's features, each once."""
+        maybe = np.unique(found[table[found & np.uint64((1 << FILTER_BITS) - 1)]])
+        return float(self.odds[np.isin(self.hashes, maybe, assume_unique=True)].sum()) if len(maybe) else 0.0
 
 
 def _counts(told, id_col: str, text_col: str):
@@ -48,11 +79,38 @@ def _counts(told, id_col: str, text_col: str):
     return run
 
 
+def _mark_counts(told, id_col: str, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many labelled toxic and clean rows have each feature; a null feature counts the rows themselves."""
+        toxic, clean = told.value
+        hashes = WordHashes()
+        for batch in batches:
+            held, rows = ([], []), [0, 0]
+            for at, doc in enumerate(batch.column(id_col).to_pylist()):
+                if doc in toxic or doc in clean:
+                    side = int(doc in clean)
+                    held[side].append(np.unique(hashed(batch.column(text_col)[at].as_py(), hashes)))
+                    rows[side] += 1
+            hashes.forget()
+            if not sum(rows):
+                continue
+            known, place = np.unique(np.concatenate([*held[0], *held[1]]), return_inverse=True)
+            first = sum(map(len, held[0]))
+            counts = [np.append(np.bincount(x, minlength=len(known)), n).astype(np.int64) for x, n in zip((place[:first], place[first:]), rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([*known.view(np.int64).tolist(), None], pa.int64()), *map(pa.array, counts)], ["feature", "toxic", "clean"])
+
+    return run
+
+
 def _scores(told, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, hashes = told.value, WordHashes()
+        (ratio, marks), hashes = told.value, WordHashes()
+        table = marks.filter()
         for batch in batches:
-            found = [round(float(ratio[features(t.as_py(), hashes)].sum()), 6) for t in batch.column(text_col)]
+            found = []
+            for text in batch.column(text_col):
+                of = hashed(text.as_py(), hashes)
+                found.append(-np.inf if marks.of(of, table) >= TOXIC_ODDS else round(float(ratio[bucketed(of)].sum()), 6))
             hashes.forget()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "log_ratio"])
 
@@ -60,9 +118,49 @@ def _scores(told, text_col: str):
 
 
 def target_ids(labels: DataFrame, most: int, id_col: str = "doc_id") -> list[int]:
-    """Ids that a label calls good, at most `most` of them (the smallest hashes, so any input gives an even sample)."""
-    good = labels.filter((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    """Ids that a label calls good and none calls toxic, at most `most` of them (the smallest hashes, so any input gives an even sample)."""
+    return _labelled(_by_id(labels, id_col).filter((F.col("good") == 1) & ~F.col("toxic")), most)
+
+
+def _by_id(labels: DataFrame, id_col: str) -> DataFrame:
+    """For each id: does a label call it good, does one call it toxic, is either said of toxicity."""
+    toxic = F.col("toxic") if "toxic" in (c.lower() for c in labels.columns) else F.lit(None).cast("int")
+    told = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), "quality", toxic.alias("toxic"))
+    good = F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")
+    return told.groupBy("doc_id").agg(good, F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"), (F.count("toxic") > 0).alias("said"))
+
+
+def _labelled(ids: DataFrame, most: int) -> list[int]:
+    return [r[0] for r in ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+
+
+def toxic_marks(slim: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id") -> Marks:
+    """Features that labelled toxic rows of slim (doc_id, text) have more often than clean ones, beyond chance.
+
+    Rows are counted, not uses, and hashes are whole, as a few rare words make a text toxic. A feature is a mark if the Chernoff bound
+    of its count's chance, were both kinds alike, times the number of features in two toxic rows or more is at most FALSE_MARKS. At most `most` ids of
+    each kind are read. Without toxic or without clean labels there are no marks."""
+    told = _by_id(labels, id_col).filter("said")
+    ids = tuple(frozenset(_labelled(told.filter(F.col("toxic") == kind), most)) for kind in (True, False))
+    none = Marks(np.zeros(0, np.uint64), np.zeros(0))
+    if not all(ids):
+        return none
+    counts = slim.mapInArrow(_mark_counts(slim.sparkSession.sparkContext.broadcast(ids), "doc_id", "text"), "feature long, toxic long, clean long")
+    counts = stored(counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic > 1 OR feature IS NULL"), "quality-marks")
+    rows = counts.filter("feature IS NULL").first()
+    tested = counts.filter("feature IS NOT NULL")
+    if rows is None or not rows["toxic"] or not rows["clean"]:
+        return none
+    alike = rows["toxic"] / (rows["toxic"] + rows["clean"])
+    n, share = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    other = F.when(F.col("clean") > 0, (1 - share) * F.log((1 - share) / (1 - alike))).otherwise(0.0)
+    sure = (share > alike) & (n * (share * F.log(share / alike) + other) >= float(np.log(max(tested.count(), 1) / FALSE_MARKS)))
+    found = tested.filter(sure).collect()  # from at most `most` rows of each kind
+    hashes = np.array([r["feature"] for r in found], np.int64).view(np.uint64)
+    toxic, clean = (np.array([r[c] for r in found], np.float64) for c in ("toxic", "clean"))
+    odds = np.log((toxic + 0.5) / (rows["toxic"] + 1)) - np.log((clean + 0.5) / (rows["clean"] + 1))
+    order = np.argsort(hashes)
+    return Marks(hashes[order], odds[order])
 
 
 def bucket_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -79,8 +177,8 @@ def log_ratios(df: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, i
     """df with log_ratio: log of the target model's over the raw model's probability of the row's features.
 
     Both are bags of unigrams and bigrams in BUCKETS buckets (see bucket_ratios): raw over all rows of df, target over
-    those of at most max_labels ids that labels call good. Texts without features: 0. Without any good label the models
-    are equal: all 0."""
+    those of at most max_labels ids that labels call good and not toxic. Texts without features: 0. Without any good label the models
+    are equal: all 0. Toxic texts, told by toxic_marks whose odds reach TOXIC_ODDS, have a probability of 0: -infinity."""
     spark = df.sparkSession
     df = without(df, "log_ratio")
     ids = frozenset(target_ids(labels, max_labels))
@@ -91,7 +189,8 @@ def log_ratios(df: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, i
     for r in rows:
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
     ratio = bucket_ratios(raw, good)
-    return df.mapInArrow(_scores(spark.sparkContext.broadcast(ratio), text_col), T.StructType([*df.schema.fields, T.StructField("log_ratio", T.DoubleType())]))
+    marks = toxic_marks(slim, labels, max_labels)
+    return df.mapInArrow(_scores(spark.sparkContext.broadcast((ratio, marks)), text_col), T.StructType([*df.schema.fields, T.StructField("log_ratio", T.DoubleType())]))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
@@ -126,17 +225,18 @@ def importance_resample(df: DataFrame, labels: DataFrame, size: int | None = Non
     Each row's key is its log importance weight (see log_ratios) plus Gumbel noise that depends on seed and id only; the rows
     with the `size` largest keys are drawn, which is sampling without replacement by weight. size None: as many as there are rows
     whose log_ratio is at least -margin, so that what the target could well have written stays and the rest is
-    rejected. Rows that tie at the last key are all drawn. A null id has noise of its own; size above the number of
-    rows draws all; empty df: no rows. Columns named log_ratio or sample_key are replaced.
+    rejected. Toxic texts are never drawn. Rows that tie at the last key are all drawn. A null id has noise of its own; size above the
+    number of rows draws all others; empty df: no rows. Columns named log_ratio or sample_key are replaced.
 
     The threshold comes from histograms over a stored table of keys; the rows are then filtered as they are read, without a shuffle.
     """
     scored = log_ratios(without(df, "sample_key"), labels, max_labels, id_col, text_col)
     scored = scored.withColumn("sample_key", gumbel_key(F.col("log_ratio"), F.col(f"`{id_col}`"), seed))
-    keys = stored(scored.select("log_ratio", "sample_key"), "quality-keys")
+    possible = F.col("log_ratio") > float("-inf")
+    keys = stored(scored.select("log_ratio", "sample_key").filter(possible), "quality-keys")
     if size is None:
         size = keys.filter(F.col("log_ratio") >= -margin).count()
     last = kth_largest(keys, "sample_key", size)
     if last is None:
-        return scored if size > 0 else scored.filter(F.lit(False))
-    return scored.filter(F.col("sample_key") >= F.lit(last))
+        return scored.filter(possible if size > 0 else F.lit(False))
+    return scored.filter(possible & (F.col("sample_key") >= F.lit(last)))
