@@ -19,8 +19,8 @@ BUCKETS = 1 << 16
 MAX_LABELS = 20_000
 MARGIN = 5.0
 PRIOR = 64.0
-FALSE_MARKS = 0.5  # features expected to pass as marks of toxic texts by chance
-TOXIC_ODDS = 5.0
+FALSE_MARKS = 0.5  # features expected to pass as marks by chance
+TOXIC_ODDS, BAD_ODDS = 5.0, 3.0
 FILTER_BITS = 20
 # A feature is a run of letters and digits or a run of other marks (other ASCII controls count as marks), A-Z lower-cased.
 PART = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+")
@@ -43,9 +43,16 @@ def features(text: str | None, hashes: WordHashes) -> np.ndarray:
     return bucketed(hashed(text, hashes))
 
 
+def shaped(found: np.ndarray) -> np.ndarray:
+    """The features with 1, 2 and 3 added where at least 1/8, 1/4 and 1/2 of the text's parts repeat the part before."""
+    parts = found[: (len(found) + 1) // 2]
+    again = 8 * np.count_nonzero(parts[1:] == parts[:-1])
+    return np.concatenate((found, np.arange(1, 1 + sum(again >= k * len(parts) > 0 for k in (1, 2, 4)), dtype=np.uint64)))
+
+
 @dataclass
 class Marks:
-    """Features that mark toxic texts (sorted hashes) with their log odds."""
+    """Features that mark one kind of text (sorted hashes) with their log odds."""
 
     hashes: np.ndarray
     odds: np.ndarray
@@ -81,15 +88,15 @@ def _counts(told, id_col: str, text_col: str):
 
 def _mark_counts(told, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many labelled toxic and clean rows have each feature; a null feature counts the rows themselves."""
-        toxic, clean = told.value
+        """How many rows of either kind have each feature; a null feature counts the rows themselves."""
+        one, other = told.value
         hashes = WordHashes()
         for batch in batches:
             held, rows = ([], []), [0, 0]
             for at, doc in enumerate(batch.column(id_col).to_pylist()):
-                if doc in toxic or doc in clean:
-                    side = int(doc in clean)
-                    held[side].append(np.unique(hashed(batch.column(text_col)[at].as_py(), hashes)))
+                if doc in one or doc in other:
+                    side = int(doc in other)
+                    held[side].append(np.unique(shaped(hashed(batch.column(text_col)[at].as_py(), hashes))))
                     rows[side] += 1
             hashes.forget()
             if not sum(rows):
@@ -97,20 +104,21 @@ def _mark_counts(told, id_col: str, text_col: str):
             known, place = np.unique(np.concatenate([*held[0], *held[1]]), return_inverse=True)
             first = sum(map(len, held[0]))
             counts = [np.append(np.bincount(x, minlength=len(known)), n).astype(np.int64) for x, n in zip((place[:first], place[first:]), rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([*known.view(np.int64).tolist(), None], pa.int64()), *map(pa.array, counts)], ["feature", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array([*known.view(np.int64).tolist(), None], pa.int64()), *map(pa.array, counts)], ["feature", "one", "other"])
 
     return run
 
 
 def _scores(told, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ratio, marks), hashes = told.value, WordHashes()
-        table = marks.filter()
+        (ratio, *marks), hashes = told.value, WordHashes()
+        marks = [(m, m.filter(), least) for m, least in zip(marks, (TOXIC_ODDS, BAD_ODDS), strict=True)]
         for batch in batches:
             found = []
             for text in batch.column(text_col):
                 of = hashed(text.as_py(), hashes)
-                found.append(-np.inf if marks.of(of, table) >= TOXIC_ODDS else round(float(ratio[bucketed(of)].sum()), 6))
+                shape = shaped(of)
+                found.append(-np.inf if any(m.of(shape, table) >= least for m, table, least in marks) else round(float(ratio[bucketed(of)].sum()), 6))
             hashes.forget()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "log_ratio"])
 
@@ -123,42 +131,41 @@ def target_ids(labels: DataFrame, most: int, id_col: str = "doc_id") -> list[int
 
 
 def _by_id(labels: DataFrame, id_col: str) -> DataFrame:
-    """For each id: does a label call it good, does one call it toxic, is either said of toxicity."""
+    """For each id: does a label call it good, does one call it bad, does one call it toxic, is either said of toxicity."""
     toxic = F.col("toxic") if "toxic" in (c.lower() for c in labels.columns) else F.lit(None).cast("int")
     told = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), "quality", toxic.alias("toxic"))
     good = F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")
-    return told.groupBy("doc_id").agg(good, F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"), (F.count("toxic") > 0).alias("said"))
+    return told.groupBy("doc_id").agg(good, F.coalesce(F.max(F.col("quality") == 0), F.lit(False)).alias("bad"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"), (F.count("toxic") > 0).alias("said"))
 
 
 def _labelled(ids: DataFrame, most: int) -> list[int]:
     return [r[0] for r in ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
-def toxic_marks(slim: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id") -> Marks:
-    """Features that labelled toxic rows of slim (doc_id, text) have more often than clean ones, beyond chance.
+def marks_of(slim: DataFrame, one: DataFrame, other: DataFrame, most: int) -> Marks:
+    """Features that rows of slim (doc_id, text) with ids of `one` have more often than those of `other`, beyond chance.
 
     Rows are counted, not uses, and hashes are whole, as a few rare words make a text toxic. A feature is a mark if the Chernoff bound
-    of its count's chance, were both kinds alike, times the number of features in two toxic rows or more is at most FALSE_MARKS. At most `most` ids of
-    each kind are read. Without toxic or without clean labels there are no marks."""
-    told = _by_id(labels, id_col).filter("said")
-    ids = tuple(frozenset(_labelled(told.filter(F.col("toxic") == kind), most)) for kind in (True, False))
+    of its count's chance, were both kinds alike, times the number of features in two rows of `one` or more is at most FALSE_MARKS: what
+    marks must show is the same for any number of labels. At most `most` ids of each kind are read. Where a kind is empty there are no marks."""
+    ids = tuple(frozenset(_labelled(kind, most)) for kind in (one, other))
     none = Marks(np.zeros(0, np.uint64), np.zeros(0))
     if not all(ids):
         return none
-    counts = slim.mapInArrow(_mark_counts(slim.sparkSession.sparkContext.broadcast(ids), "doc_id", "text"), "feature long, toxic long, clean long")
-    counts = stored(counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic > 1 OR feature IS NULL"), "quality-marks")
+    counts = slim.mapInArrow(_mark_counts(slim.sparkSession.sparkContext.broadcast(ids), "doc_id", "text"), "feature long, one long, other long")
+    counts = stored(counts.groupBy("feature").agg(F.sum("one").alias("one"), F.sum("other").alias("other")).filter("one > 1 OR feature IS NULL"), "quality-marks")
     rows = counts.filter("feature IS NULL").first()
     tested = counts.filter("feature IS NOT NULL")
-    if rows is None or not rows["toxic"] or not rows["clean"]:
+    if rows is None or not rows["one"] or not rows["other"]:
         return none
-    alike = rows["toxic"] / (rows["toxic"] + rows["clean"])
-    n, share = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    other = F.when(F.col("clean") > 0, (1 - share) * F.log((1 - share) / (1 - alike))).otherwise(0.0)
-    sure = (share > alike) & (n * (share * F.log(share / alike) + other) >= float(np.log(max(tested.count(), 1) / FALSE_MARKS)))
+    alike = rows["one"] / (rows["one"] + rows["other"])
+    n, share = F.col("one") + F.col("other"), F.col("one") / (F.col("one") + F.col("other"))
+    rest = F.when(F.col("other") > 0, (1 - share) * F.log((1 - share) / (1 - alike))).otherwise(0.0)
+    sure = (share > alike) & (n * (share * F.log(share / alike) + rest) >= float(np.log(max(tested.count(), 1) / FALSE_MARKS)))
     found = tested.filter(sure).collect()  # from at most `most` rows of each kind
     hashes = np.array([r["feature"] for r in found], np.int64).view(np.uint64)
-    toxic, clean = (np.array([r[c] for r in found], np.float64) for c in ("toxic", "clean"))
-    odds = np.log((toxic + 0.5) / (rows["toxic"] + 1)) - np.log((clean + 0.5) / (rows["clean"] + 1))
+    one, other = (np.array([r[c] for r in found], np.float64) for c in ("one", "other"))
+    odds = np.log((one + 0.5) / (rows["one"] + 1)) - np.log((other + 0.5) / (rows["other"] + 1))
     order = np.argsort(hashes)
     return Marks(hashes[order], odds[order])
 
@@ -178,7 +185,8 @@ def log_ratios(df: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, i
 
     Both are bags of unigrams and bigrams in BUCKETS buckets (see bucket_ratios): raw over all rows of df, target over
     those of at most max_labels ids that labels call good and not toxic. Texts without features: 0. Without any good label the models
-    are equal: all 0. Toxic texts, told by toxic_marks whose odds reach TOXIC_ODDS, have a probability of 0: -infinity."""
+    are equal: all 0. Texts that the labels' own models call toxic or bad (the odds of
+    marks_of toxic against clean, or of bad against good, reach TOXIC_ODDS or BAD_ODDS) have a probability of 0: -infinity."""
     spark = df.sparkSession
     df = without(df, "log_ratio")
     ids = frozenset(target_ids(labels, max_labels))
@@ -189,8 +197,10 @@ def log_ratios(df: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, i
     for r in rows:
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
     ratio = bucket_ratios(raw, good)
-    marks = toxic_marks(slim, labels, max_labels)
-    return df.mapInArrow(_scores(spark.sparkContext.broadcast((ratio, marks)), text_col), T.StructType([*df.schema.fields, T.StructField("log_ratio", T.DoubleType())]))
+    told = _by_id(labels, "doc_id")
+    toxic = marks_of(slim, told.filter("said AND toxic"), told.filter("said AND NOT toxic"), max_labels)
+    bad = marks_of(slim, told.filter("bad AND good = 0"), told.filter("good = 1"), max_labels)
+    return df.mapInArrow(_scores(spark.sparkContext.broadcast((ratio, toxic, bad)), text_col), T.StructType([*df.schema.fields, T.StructField("log_ratio", T.DoubleType())]))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
@@ -225,7 +235,7 @@ def importance_resample(df: DataFrame, labels: DataFrame, size: int | None = Non
     Each row's key is its log importance weight (see log_ratios) plus Gumbel noise that depends on seed and id only; the rows
     with the `size` largest keys are drawn, which is sampling without replacement by weight. size None: as many as there are rows
     whose log_ratio is at least -margin, so that what the target could well have written stays and the rest is
-    rejected. Toxic texts are never drawn. Rows that tie at the last key are all drawn. A null id has noise of its own; size above the
+    rejected. Texts that log_ratios calls toxic or bad are never drawn. Rows that tie at the last key are all drawn. A null id has noise of its own; size above the
     number of rows draws all others; empty df: no rows. Columns named log_ratio or sample_key are replaced.
 
     The threshold comes from histograms over a stored table of keys; the rows are then filtered as they are read, without a shuffle.

@@ -12,3 +12,13 @@ def test_toxic_texts_are_not_drawn(spark):
         drawn = {r.doc_id for r in importance_resample(docs, labels, size=size).collect()}
         assert drawn == {i for i, _ in rows if i % 4} | {900, 901}
     assert importance_resample(docs, labels.withColumn("toxic", labels.toxic * 0)).count() == 202
+
+
+def test_few_labels_reject_short_junk(spark):
+    """Short junk goes with few labels as it does with many: table rows, and one word over and over."""
+    junk = [f"cell{i} | cell{i + 1} | row{i}" if i % 2 else f"word{i} " * 4 for i in range(100)]
+    rows = [(i, PLAIN.format(f"door{i % 7}", f"tree{i % 5}")) for i in range(100)] + [(100 + i, t) for i, t in enumerate(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (30, 100):
+        labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows if i % 100 < n], "doc_id long, quality int")
+        assert {r.doc_id for r in importance_resample(docs, labels).collect()} == set(range(100))
