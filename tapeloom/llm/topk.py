@@ -12,136 +12,168 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
 ROW_BLOCK = 4096
+BLOCK_VALUES = 1 << 21  # a block of rows has at most so many components
+QUERIES_AT_ONCE = 512
 BIN_BITS = 8
-
-
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat values and offsets of a list<long> column."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.asarray(column.offsets) - column.offsets[0].as_py()
-
-
-def _scores(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block pair and common length: query positions, query ids, row ids and the score matrix (exact below 2**53)."""
-    for i in range(batch.num_rows):
-        pick = lambda name: batch.column(name)[i].values
-        q_ids, r_ids = (np.asarray(pick(n)) for n in ("q_ids", "r_ids"))
-        (q, q_at), (r, r_at) = _matrix(pick("q_vecs")), _matrix(pick("r_vecs"))
-        q_len, r_len = np.diff(q_at), np.diff(r_at)
-        for n in np.intersect1d(q_len, r_len):
-            qi, ri = np.flatnonzero(q_len == n), np.flatnonzero(r_len == n)
-            a = q[q_at[qi][:, None] + np.arange(n)]
-            b = r[r_at[ri][:, None] + np.arange(n)]
-            found = np.rint(a @ b.T).astype(np.int64) if n else np.zeros((len(qi), len(ri)), np.int64)
-            yield qi, q_ids[qi], r_ids[ri], found
+LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
+DOUBLE_MAX = 1.7976931348623157e308
+
+
+def wrapped(v: np.ndarray) -> np.ndarray:
+    """Whole doubles modulo 2**64 as signed longs."""
+    small = np.abs(v) < 2.0**63
+    out = np.where(small, v, 0).astype(np.int64)
+    for i in np.argwhere(~small):
+        out[tuple(i)] = np.array(int(v[tuple(i)]) & ((1 << 64) - 1), np.uint64).view(np.int64)
+    return out
+
+
+def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of a and b (whole numbers as doubles) as longs; what a long can't hold is its nearest end.
+
+    Doubles are exact while the sum of magnitudes is below 2**53. Beyond, the double product says, within its error, whether the
+    true value fits a long; if so, products that wrap at 2**64 give it exactly. What lies too near an end to tell is summed in Python."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        about = a @ b.T
+        bound = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :] * (1 + 1e-9)
+        exact = bound < 2.0**52
+        if exact.all():
+            return np.rint(about).astype(np.int64)
+        out = np.where(exact, np.rint(about), 0).astype(np.int64)
+        rows, columns = np.flatnonzero(~exact.all(axis=1)), np.flatnonzero(~exact.all(axis=0))
+        where = np.ix_(rows, columns)
+        about, bound = about[where], bound[where]
+        part = np.where(exact[where], out[where], wrapped(a[rows]) @ wrapped(b[columns]).T)
+        error = bound * ((a.shape[1] + 4) * 2.0**-51)
+        high, low = about - error >= 2.0**63, about + error < -(2.0**63)
+        part[high], part[low] = LONG_MAX, LONG_MIN
+        sure = high | low | (np.abs(about) + error < 2.0**63)
+    for i, j in np.argwhere(~sure):
+        true = sum(int(x) * int(y) for x, y in zip(a[rows[i]], b[columns[j]], strict=True))
+        part[i, j] = min(max(true, LONG_MIN), LONG_MAX)
+    out[where] = part
+    return out
+
+
+def _vectors(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: ids, floors and the vectors as a matrix, in order of id."""
+    column = table.column("v").combine_chunks()
+    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets) - column.offsets[0].as_py()
+    ids, floors = (table.column(n).to_numpy() for n in ("vec_id", "floor"))
+    sizes = np.diff(at)
+    out = {}
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        own = own[np.argsort(ids[own], kind="stable")]
+        out[int(n)] = ids[own], floors[own], flat[at[own][:, None] + np.arange(n)]
+    return out
+
+
+def _scores(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each query of a pair of blocks: its id, its floor, the ids of the rows (rising) and their scores."""
+    asked = np.asarray(table.column("asked").combine_chunks())
+    queries, rows = (_vectors(table.filter(pa.array(asked == side))) for side in (True, False))
+    for n in queries.keys() & rows.keys():
+        (q_ids, floors, a), (r_ids, _, b) = queries[n], rows[n]
+        for lo in range(0, len(q_ids), QUERIES_AT_ONCE):
+            for q, floor, found in zip(q_ids[lo:], floors[lo:], exact_scores(a[lo : lo + QUERIES_AT_ONCE], b), strict=False):
+                own = (r_ids != q) & (found >= floor)
+                yield int(q), int(floor), r_ids[own], found[own]
 
 
 def _histogram(shift: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         """Counts of score bins (score >> shift) for each query, from the best bin down until k scores are counted.
 
         The k-th score of all rows is at least the k-th of any block, so no bin below that is needed."""
-        for batch in batches:
-            floors = {i: batch.column("q_floor")[i].values.to_numpy(zero_copy_only=False) for i in range(batch.num_rows)}
-            for i in range(batch.num_rows):
-                ids, bins, counts = [], [], []
-                for at, q_ids, r_ids, found in _scores(batch.slice(i, 1)):
-                    floor = floors[i][at]
-                    for row in range(len(q_ids)):
-                        own = found[row][(r_ids != q_ids[row]) & (found[row] >= floor[row])]
-                        if len(own) > k:
-                            own = own[own >= np.partition(own, len(own) - k)[len(own) - k] >> shift << shift]
-                        b, c = np.unique(own >> shift, return_counts=True)
-                        ids.append(np.full(len(b), q_ids[row])), bins.append(b), counts.append(c)
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, bins, counts)], ["query_id", "bin", "n"])
+        ids, bins, counts = [], [], []
+        for q, _, _, own in _scores(table):
+            if len(own) > k:
+                own = own[own >= np.partition(own, len(own) - k)[len(own) - k] >> shift << shift]
+            b, c = np.unique(own >> shift, return_counts=True)
+            ids.append(np.full(len(b), q)), bins.append(b), counts.append(c)
+        return pa.table({n: np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for n, x in (("query_id", ids), ("bin", bins), ("n", counts))})
 
     return run
 
 
-def _above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a query whose score reaches its k-th score."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            floor = batch.column("q_floor")[i].values.to_numpy(zero_copy_only=False)
-            for at, q_ids, r_ids, found in _scores(batch.slice(i, 1)):
-                a, b = np.nonzero((found >= floor[at][:, None]) & (q_ids[:, None] != r_ids[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (q_ids[a], r_ids[b], found[a, b])], ["query_id", "vec_id", "score"])
+def _above(k: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each query the rows above its k-th score, and of those at it the k least ids: no more can be wanted of this block."""
+        out = []
+        for q, floor, ids, found in _scores(table):
+            at = np.concatenate((np.flatnonzero(found > floor), np.flatnonzero(found == floor)[:k]))
+            out.append((np.full(len(at), q), ids[at], found[at]))
+        return pa.table({n: np.concatenate([*(x[i] for x in out), np.zeros(0, np.int64)]).astype(np.int64) for i, n in enumerate(("query_id", "vec_id", "score"))})
+
+    return run
 
 
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id and the components as floor(scale * x), x as double; rows with a null id, a null vector or a null or non-finite component go."""
-    v = F.col(vector_col)
+    """id and the components as floor(scale * x), x as double, which stay whole doubles of any size; rows with a null id, a null vector or a null or non-finite component go."""
+    v = F.col(f"`{vector_col}`")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    return df.filter(F.col(id_col).isNotNull() & v.isNotNull() & ~bad).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v")
-    )
 
+    def whole(x):
+        y = F.greatest(F.lit(-DOUBLE_MAX), F.least(F.lit(DOUBLE_MAX), F.lit(float(scale)) * x.cast("double")))
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
 
-def _blocks(df: DataFrame, size: int, ids: str, vecs: str, key: str, rows: int) -> DataFrame:
-    """Rows gathered to blocks of about size rows, by hash of the id."""
-    n = max(1, -(-rows // size))
-    return df.groupBy(F.pmod(F.xxhash64("vec_id", "__salt"), F.lit(n)).alias(key)).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("__all")).select(
-        key, F.col("__all.vec_id").alias(ids), F.col("__all.v").alias(vecs)
-    )
+    return df.filter(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & ~bad).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(v, whole).alias("v"))
 
 
 def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """The k best inner products of each query (rows whose id is divisible by every) over all rows but those with its own id.
 
-    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Every query row block meets
-    every row block once a round and all pairs are scored. Round by round a global histogram of each query's scores
-    is refined (bins of 2**s scores, s falling by BIN_BITS) until the k-th score is known exactly; then
-    only rows that reach it are kept, and ties are broken in order. Only vectors of equal length are compared; a
-    query with fewer than k partners keeps them all. Repeated rows: each is a candidate; a query id that occurs
-    more than once is asked with its smallest vector. Unusable vectors (usable_vectors) take no part; empty: no rows.
+    Returns query_id, rank (from 1), vec_id, score. Every block of queries meets every block of rows once a round and all
+    pairs are scored. Round by round a global histogram of each query's scores is refined (bins of 2**s scores, s falling by
+    BIN_BITS) until the k-th score is known exactly; then only rows that reach it are kept, and ties are broken in order: the
+    smaller vec_id first.
+
+    Scores are exact whole numbers (see exact_scores). A score that a long can't hold counts as the nearest long, and ties
+    with others there. Only vectors of equal length are compared; a query with fewer than k partners keeps them all. Repeated rows: each
+    is a candidate; a query id that occurs more than once is asked with its smallest vector. Unusable vectors (usable_vectors) take
+    no part; empty: no rows. Other columns of df are not read.
 
-    A stage holds one pair of blocks at a time (ROW_BLOCK x QUERY_BLOCK scores, 32 MB). Thresholds stay in
-    a table (a row for each query) and travel with the query blocks; nothing passes through the driver but one
-    bound of the scores.
+    A task holds one pair of blocks (at most ROW_BLOCK rows and QUERY_BLOCK queries) and QUERIES_AT_ONCE rows of scores. However
+    many rows tie at a query's k-th score, a pair of blocks gives k of them at most. Thresholds stay in a table (a row for each
+    query) and travel with the queries; nothing passes through the driver but counts and one bound of the scores.
     """
     spark = df.sparkSession
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    rows = stored(usable_vectors(df, id_col, vector_col, scale).withColumn("__salt", F.lit(0)), "topk-rows")
-    n_rows, most = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
-    schema = "query_id long, rank int, vec_id long, score long"
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    rows = stored(usable_vectors(df, id_col, vector_col, scale), "topk-rows")
+    n_rows, most, width = rows.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("v"))).first()
     if not n_rows:
-        return spark.createDataFrame([], schema)
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("__salt", F.lit(0))
-    queries = stored(queries, "topk-queries")
-    n_queries = queries.count()
-    salted = rows.withColumn("__salt", F.monotonically_increasing_id())  # one id may hold many rows
-    row_blocks = stored(_blocks(salted, ROW_BLOCK, "r_ids", "r_vecs", "r_block", n_rows), "topk-blocks")
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    bits = max(1, int(most).bit_length() + 1)  # |score| <= the largest squared norm
-    lowest = -(1 << bits)
-    floors = queries.select("vec_id", F.lit(lowest).cast("long").alias("floor"))
-
-    def paired(floors: DataFrame) -> DataFrame:
-        """Each row block with each query block and its floors: an equality join on the query block's number."""
-        asked = queries.join(floors, "vec_id").groupBy(F.pmod(F.xxhash64("vec_id", "__salt"), F.lit(query_blocks)).alias("q_block"))
-        asked = asked.agg(F.sort_array(F.collect_list(F.struct("vec_id", "v", "floor"))).alias("__all")).select("q_block", F.col("__all.vec_id").alias("q_ids"), F.col("__all.v").alias("q_vecs"), F.col("__all.floor").alias("q_floor"))
-        told = row_blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-        return told.join(asked, "q_block").drop("q_block", "r_block").repartition(F.xxhash64("r_ids"))
-
-    one_by_one = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
-    before = {key: spark.conf.get(key) for key in one_by_one}
-    for key, value in one_by_one.items():
-        spark.conf.set(key, value)
-    try:
-        shift = bits
-        while shift > 0:
-            shift = max(0, shift - BIN_BITS)
-            found = paired(floors).mapInArrow(_histogram(shift, k), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-            down = W.partitionBy("query_id").orderBy(F.desc("bin"))
-            counted = found.withColumn("above", F.sum("n").over(down.rowsBetween(W.unboundedPreceding, 0)))
-            # The bin that holds the k-th score; with fewer than k scores the lowest bin, which keeps them all.
-            reached = counted.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("above") >= k, F.col("bin"))), F.min("bin")).alias("bin"))
-            floors = stored(reached.select(F.col("query_id").alias("vec_id"), (F.col("bin") * (1 << shift)).alias("floor")), "topk-floors")
-        kept = stored(paired(floors).mapInArrow(_above, "query_id long, vec_id long, score long"), "topk-kept")
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    queries = stored(rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
+    fit = max(1, BLOCK_VALUES // max(1, width))
+    row_blocks, query_blocks = (max(1, -(-n // min(size, fit))) for n, size in ((n_rows, ROW_BLOCK), (queries.count(), QUERY_BLOCK)))
+    bits = min(63, int(min(most, 2.0**64)).bit_length() + 1)  # |score| <= the largest squared norm
+    floors = queries.select("vec_id", F.lit(-(1 << bits)).cast("long").alias("floor"))
+
+    def all_blocks(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    # One id may hold many rows, so its rows are dealt by their number, which is stored with them.
+    dealt = stored(rows.withColumn("r_block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(row_blocks))), "topk-blocks")
+
+    def scored(floors: DataFrame, work, schema: str) -> DataFrame:
+        """work on each pair of blocks: rows and queries are copied once for each block of the other kind, and meet by both numbers."""
+        asked = queries.join(floors, "vec_id").select(F.lit(True).alias("asked"), "vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("q_block"), all_blocks(row_blocks).alias("r_block"))
+        told = dealt.select(F.lit(False).alias("asked"), "vec_id", "v", F.lit(0).cast("long").alias("floor"), all_blocks(query_blocks).alias("q_block"), "r_block")
+        return asked.unionByName(told).groupBy("q_block", "r_block").applyInArrow(work, schema)
+
+    shift = bits + 1
+    while shift > 0:
+        shift = max(0, shift - BIN_BITS)
+        found = scored(floors, _histogram(shift, k), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        down = W.partitionBy("query_id").orderBy(F.desc("bin"))
+        counted = found.withColumn("above", F.sum("n").over(down.rowsBetween(W.unboundedPreceding, 0)))
+        # The bin that holds the k-th score; with fewer than k scores the lowest bin, which keeps them all.
+        reached = counted.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("above") >= k, F.col("bin"))), F.min("bin")).alias("bin"))
+        floors = stored(reached.select(F.col("query_id").alias("vec_id"), (F.col("bin") * (1 << shift)).alias("floor")), "topk-floors")
+    kept = stored(scored(floors, _above(k), "query_id long, vec_id long, score long"), "topk-kept")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
