@@ -1,9 +1,9 @@
 """Language-model scoring by online logistic mixing of hashed-context bit predictors.
 
-A text is its tokens: words between ASCII white space, A-Z lower-cased, then one end. A token is a sequence of binary decisions: is it a
-word of the training texts; the CODE_BITS bits of a code of its ending; then its share of the training tokens with that code.
-A word that training lacks is spelt instead, byte by byte. Every decision is predicted in several hashed contexts, whose
-log odds a gated set of weights combines; the weights start equal for all and are refined as a text is read.
+A text is its tokens: words between ASCII white space, A-Z lower-cased, then one end. A token is told by up to LEVELS bits: was it
+seen in training after the last two words; after the last word; earlier in this text; in training at all. Each bit is
+predicted by several hashed contexts, whose log odds are combined by weights that a gate picks. The first bit that is 1
+names the distribution the word comes from: its count there over all counts there. A word that no level has is spelt, bit by bit.
 """
 
 from __future__ import annotations
@@ -20,41 +20,54 @@ from pyspark.sql import functions as F
 
 from .common import discard, mix64, stored, words_of
 
-CODE_BITS = 12
-ENDING = 4
-SHORT = 3
-SLOT_BITS = 20
+LEVELS = 4
+INPUTS = 5  # log odds by counts, by the last word, by the last three levels, by this text so far; a constant
+SPARE_BITS = 5  # keys are as many bits longer than log2 of the corpus' bytes, so few unseen pairs look seen
+RANGE_BYTES = 1 << 24  # of text, for one range of keys
+BUCKETS = 16
+GATES = 8  # for each level, and as many bits of a spelt byte
+HISTORY = (LEVELS + 1) ** 3
 SPELL_BITS = 18
-CONTEXTS = 3  # hashed ones: the last word, the last short word, the last two short words
-SPELL_ORDERS = (2, 3)
+SPELL_ORDERS = (2, 3, 4)
 CHUNK = 1 << 14
-BLOCK_BYTES = 2_000_000
-ROUND = 32
-TASKS_AT_ONCE = 512  # tables of so many tasks are added up in one group
-KINDS = {4: np.int32, 8: np.int64}  # a task's counts are 32 bits wide, sums 64
-DOCS_AT_ONCE = 256
-TOKENS_AT_ONCE = 1 << 13
+BLOCK_BYTES = 3_000_000
+ROUND = 16
 RATE = 0.02
-FIRST_WEIGHTS = (0.3, 0.1, 0.4, 0.3)
-SPELL_WEIGHTS = (0.35, 0.7)
+DOCS_AT_ONCE = 512
+SPELT_AT_ONCE = 20_000
+TASKS_AT_ONCE = 512  # tables of so many tasks are added up in one group
+PRIOR = 0.4  # of each outcome, in every table
+RIDGE = 1.0
+FIRST_WEIGHTS = np.array([0.4, 0.2, 0.2, 0.2, 0.0])  # what a gate without decisions keeps
 END = b" "  # no word holds a space
-ODD = np.uint64(0x9E3779B97F4A7C15)
-SIZES = [2 << CODE_BITS, *[2 << SLOT_BITS] * CONTEXTS, *[2 << SPELL_BITS] * len(SPELL_ORDERS)]
+START = np.uint64(0x9E3779B97F4A7C15)
+FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+# Sizes, tokens, words (one a line: none holds a line feed) and counts are packed.
+BLOCK_SCHEMA = "block long, ids array<long>, held array<boolean>, sizes binary, nbytes binary, tokens binary, words binary"
+ASK_SCHEMA = "range long, block long, word_keys binary, word_counts binary, pair_keys binary, pair_counts binary"
+ANSWER_SCHEMA = "block long, range long, word_counts binary, pair_counts binary, trained long, distinct long"
+READY_SCHEMA = BLOCK_SCHEMA + ", known binary, after binary, earlier binary"
+TABLE_SCHEMA = "kind long, chunk long, part long, counts binary"
 
-# Sizes, tokens, words (one a line: none holds a line feed) and counts are packed, as blocks are stored twice and exchanged once.
-BLOCK_SCHEMA = "block long, ids array<long>, held array<boolean>, sizes binary, tokens binary, words binary, trained binary"
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers as planes of equal bytes, zstd-packed: high planes are mostly zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes())
 
-def pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
 
+def unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(size, -1).T).reshape(-1).view(kind)
 
-def unpack(data: pa.Scalar) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data.as_buffer())
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
-def block_words(data: pa.Scalar) -> list[bytes]:
-    return unpack(data).split(b"\n")
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
 class Vocabulary(dict):
@@ -66,100 +79,218 @@ class Vocabulary(dict):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of about BLOCK_BYTES of text: the documents' tokens as places in the block's own vocabulary, and how often training texts use each word."""
+    """Rows of about BLOCK_BYTES of text: the documents' tokens as places in the block's own vocabulary."""
     part, number = TaskContext.get().partitionId(), 0
-    ids, held, sizes, tokens, vocabulary, trained, nbytes = [], [], [], [], Vocabulary(), [], 0
+    ids, held, sizes, nbytes, tokens, vocabulary = [], [], [], [], [], Vocabulary()
 
     def flush() -> pa.RecordBatch:
-        values = [[(part << 32) + number], [ids], [held], *([pack(x)] for x in (np.array(sizes, np.int32).tobytes(), np.array(tokens, np.int32).tobytes(), b"\n".join(vocabulary), np.bincount(np.array(trained, np.int64), minlength=len(vocabulary)).astype(np.int64).tobytes()))]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "ids", "held", "sizes", "tokens", "words", "trained"])
+        packed = [pack(np.array(x, np.int32)) for x in (sizes, nbytes, tokens)] + [zstandard.ZstdCompressor(level=1).compress(b"\n".join(vocabulary))]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([(part << 32) + number, ids, held, *packed], kinds, strict=True)], [c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
     for batch in batches:
         for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("text"), strict=True):
-            words = words_of(text.as_py())
+            text = text.as_py() or ""
+            words = words_of(text)
             words.append(END)
-            found = list(map(vocabulary.__getitem__, words))
-            ids.append(doc), held.append(out), sizes.append(len(found))
-            tokens += found
-            trained += [] if out else found
-            nbytes += len(text.as_py() or "") + 16
-            if nbytes >= BLOCK_BYTES:
+            tokens += map(vocabulary.__getitem__, words)
+            ids.append(doc), held.append(out), sizes.append(len(words)), nbytes.append(len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")))
+            if sum(nbytes[-1:]) and (len(tokens) * 6 >= BLOCK_BYTES or sum(nbytes) >= BLOCK_BYTES) or len(ids) >= 50_000:
                 yield flush()
-                ids, held, sizes, tokens, vocabulary, trained, nbytes, number = [], [], [], [], Vocabulary(), [], 0, number + 1
+                ids, held, sizes, nbytes, tokens, vocabulary, number = [], [], [], [], [], Vocabulary(), number + 1
     if ids:
         yield flush()
 
 
-def _trained_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One block at a time."""
     for batch in batches:
-        for words, trained in zip(batch.column("words"), batch.column("trained"), strict=True):
-            n = np.frombuffer(unpack(trained), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(block_words(words), pa.binary()), pa.array(n)], ["word", "n"]).filter(pa.array(n > 0))
+        for i in range(batch.num_rows):
+            yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+
+
+class Texts:
+    """A block of texts: tokens as places in its words, with each token's document and place."""
+
+    def __init__(self, row: dict) -> None:
+        self.ids, self.held = row["ids"], np.array(row["held"], bool)
+        self.sizes, self.nbytes, self.tokens = (unpack(row[n], np.int32).astype(np.int64) for n in ("sizes", "nbytes", "tokens"))
+        self.words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.tokens)) - self.begin[self.owner]
+        self.first = self.place == 0
+        self.learns = ~self.held[self.owner]
+
+    def before(self, x: np.ndarray, start) -> np.ndarray:
+        """x of the token before, or start at a text's begin."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = start
+        return out
 
+    def earlier(self) -> np.ndarray:
+        """How often a token's word came before in its text."""
+        group = self.owner * max(1, len(self.words)) + self.tokens
+        order = np.argsort(group, kind="stable")
+        new = np.concatenate(([True], group[order][1:] != group[order][:-1]))[: len(order)]
+        out = np.empty(len(order), np.int32)
+        out[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        return out
 
-def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, words in zip(batch.column("block"), batch.column("words"), strict=True):
-            found = block_words(words)
-            n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(found, pa.binary())], ["block", "at", "word"])
-
-
-class Block:
-    """A block ready for prediction: each token's word, decisions and contexts."""
-
-    def __init__(self, batch: pa.RecordBatch, i: int) -> None:
-        get = lambda name: batch.column(name)[i]
-        self.ids, self.held = get("ids").as_py(), np.array(get("held").as_py(), bool)
-        self.sizes, self.tokens = (np.frombuffer(unpack(get(n)), np.int32).astype(np.int64) for n in ("sizes", "tokens"))
-        self.words = block_words(get("words"))
-        self.counts = np.zeros(len(self.words), np.int64)
-        at = get("at").values.to_numpy()
-        self.counts[at] = get("n").values.to_numpy()
-        n = len(self.words)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, n)
-        code = np.fromiter(map(xxhash.xxh3_64_intdigest, [w[-ENDING:] for w in self.words]), np.uint64, n) & np.uint64((1 << CODE_BITS) - 1)
-        self.code = code.astype(np.int64)
-        depth = np.arange(CODE_BITS)
-        self.nodes = np.concatenate((np.zeros((n, 1), np.int64), (1 << depth) | (self.code[:, None] >> (CODE_BITS - depth))), axis=1)
-        self.bits = np.concatenate((self.counts[:, None] > 0, (self.code[:, None] >> (CODE_BITS - 1 - depth)) & 1), axis=1).astype(np.int8)
-        short = np.fromiter(map(len, self.words), np.int64, n) <= SHORT
-        with np.errstate(over="ignore"):  # (context + node) * ODD, as two products that decisions only add
-            self.spread = self.nodes.astype(np.uint64) * ODD
-            self.context = [c * ODD for c in self._contexts(hashes, short)]
-
-    def _contexts(self, hashes: np.ndarray, short: np.ndarray) -> list[np.ndarray]:
-        """For each token the hashes of its contexts; none reaches beyond its own text."""
-        t, n = self.tokens, len(self.tokens)
-        begin = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        place = np.arange(n)
-        last = np.where(place > begin, np.concatenate(([0], hashes[t[:-1]])), np.uint64(0)).astype(np.uint64)
-        latest = np.maximum.accumulate(np.where(short[t], place, -1))  # the last short word up to here
-        one = np.concatenate(([-1], latest[:-1]))
-        two = np.where(one > 0, np.concatenate(([-1], latest))[one], -1)
-        of = lambda at: np.where(at >= begin, hashes[t[np.maximum(at, 0)]], np.uint64(7))
+    def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, each in `bits` high bits, and the places of each token's two among them: the word after the last two words, and after
+        the last word. Nothing reaches beyond its text."""
+        word = self.hashes[self.tokens]
+        last = self.before(word, START)
         with np.errstate(over="ignore"):
-            return [mix64(last + np.uint64(1)), mix64(of(one) + np.uint64(2)), mix64(of(one) * np.uint64(31) + of(two) + np.uint64(3))]
+            two = mix64(self.before(last, START) * FACTORS[0] + last)
+            flat = np.concatenate([mix64(c * FACTORS[1] + word * FACTORS[2] + np.uint64(n)) for n, c in enumerate((two, last))])
+        return np.unique(flat >> np.uint64(64 - bits) << np.uint64(64 - bits), return_inverse=True)
+
+
+def _ask(bits: int, range_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each range of keys the block's distinct keys, with how often its training texts have each."""
+        for row in _rows(batches):
+            texts = Texts(row)
+            columns = []
+            used, order = np.bincount(texts.tokens[texts.learns], minlength=len(texts.words)), np.argsort(texts.hashes)
+            columns.append((texts.hashes[order], used[order]))
+            known, place = texts.keys(bits)
+            columns.append((known, np.bincount(place[np.tile(texts.learns, 2)], minlength=len(known))))
+            edges = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits)
+            cuts = [np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)])) for keys, _ in columns]
+            for r in range(1 << range_bits):
+                (wk, wn), (pk, pn) = ((k[c[r] : c[r + 1]], n[c[r] : c[r + 1]]) for (k, n), c in zip(columns, cuts, strict=True))
+                if len(wk) or len(pk):
+                    values = [pack_sorted(wk), pack(wn), pack_sorted(pk), pack(pn)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([row["block"]]), *(pa.array([v], pa.binary()) for v in values)], [c.split()[0] for c in ASK_SCHEMA.split(", ")])
+
+    return run
+
+
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each list's counts replaced by their keys' sums over all lists; the sums of the distinct keys."""
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")  # merges the sorted lists
+    ranked = flat[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(flat) else np.zeros(0, bool)
+    sums = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(new)) if len(flat) else np.zeros(0, np.int64)
+    out = np.empty(len(flat), np.int64)
+    out[order] = sums[np.cumsum(new) - 1]
+    return np.split(out, np.cumsum([len(k) for k in keys])[:-1]), sums
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """All blocks' counts of one range of keys, summed and sent back to each; and how many training tokens and distinct words there are."""
+    blocks, ranges = table.column("block").to_pylist(), table.column("range").to_pylist()
+    get = lambda name, f: [f(x.as_py()) for x in table.column(name)]
+    words, sums = _totals(get("word_keys", unpack_sorted), get("word_counts", unpack))
+    pairs, _ = _totals(get("pair_keys", unpack_sorted), get("pair_counts", unpack))
+    n = len(blocks)
+    columns = [pa.array([*blocks, -1]), pa.array([*ranges, ranges[0]]), *(pa.array([*map(pack, x), None], pa.binary()) for x in (words, pairs)), pa.array([0] * n + [int(sums.sum())]), pa.array([0] * n + [int((sums > 0).sum())])]
+    return pa.table(columns, names=[c.split()[0] for c in ANSWER_SCHEMA.split(", ")])
+
+
+def _ready(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks with what training knows of their words, and of each token after its contexts."""
+        for row in _rows(batches):
+            texts = Texts(row)
+            words, pairs = (np.concatenate([unpack(a[n]) for a in row["answers"]]) for n in ("word_counts", "pair_counts"))
+            _, place = texts.keys(bits)
+            known = np.empty(len(words), np.int64)
+            known[np.argsort(texts.hashes)] = words
+            values = [row[c.split()[0]] for c in BLOCK_SCHEMA.split(", ")] + [pack(known), pack(pairs[place].astype(np.int32)), pack(texts.earlier())]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in READY_SCHEMA.split(", ")])
+
+    return run
+
 
-    def slots(self, place: np.ndarray) -> Iterator[np.ndarray]:
-        """For each hashed context the slots (predictor and decision) of the tokens' decisions."""
-        wide = self.spread.take(self.tokens[place], axis=0)
-        for context in self.context:
-            slot = context.take(place)[..., None] + wide
-            slot >>= np.uint64(64 - SLOT_BITS)
-            yield slot.view(np.int64)
+class Decisions:
+    """A block's tokens as bits. Of each level and token: the count there (n), all counts there (total), whether the bit is told, its value, and its contexts.
+
+    own: each training token's own count is taken out of all that training knows, so that a text is seen as if it were new."""
+
+    def __init__(self, row: dict, trained: int, slot_bits: int, own: bool) -> None:
+        self.texts = texts = Texts(row)
+        self.known = unpack(row["known"])
+        two, one = unpack(row["after"], np.int32).astype(np.int64).reshape(2, -1)
+        less = texts.learns.astype(np.int64) if own else 0
+        begun = self.known[texts.words.index(END)]  # each training text has one end
+        word = self.known[texts.tokens]
+        self.n = np.stack((two - less, one - less, unpack(row["earlier"], np.int32), word - less))
+        self.total = np.stack((texts.before(one, begun) - less, texts.before(word, begun) - less, texts.place, np.full(len(word), trained) - less))
+        np.maximum(self.n, 0, out=self.n)
+        self.open = self.total > 0
+        seen = (self.n > 0) & self.open
+        self.bit, self.told = np.empty_like(seen), np.empty_like(seen)
+        level, left = np.full(len(word), LEVELS, np.int8), np.ones(len(word), bool)
+        for j in range(LEVELS):
+            self.told[j], self.bit[j] = left & self.open[j], left & seen[j]
+            level[self.bit[j]] = j
+            left &= ~seen[j]
+        # log2 of total + 1, rounded down: a double's exponent
+        size = np.minimum(((self.total + 1).astype(np.float64).view(np.int64) >> 52) - 1023, BUCKETS - 1)
+        np.maximum(size, 0, out=size)
+        past = np.zeros(len(word), np.int64)
+        for _ in range(3):
+            level = texts.before(level, LEVELS)
+            past = past * (LEVELS + 1) + level
+        slot = (mix64(texts.before(texts.hashes[texts.tokens], START)) >> np.uint64(64 - slot_bits)).astype(np.int64)
+        levels = np.arange(LEVELS)[:, None]
+        self.slots = [(levels * BUCKETS + size) * BUCKETS + np.concatenate((size[1:], np.zeros_like(size[:1]))), (levels << slot_bits) + slot, levels * HISTORY + past]
+        self.gate = (levels * GATES + np.minimum(size // 2, GATES - 1)).astype(np.int8)
+
+    def so_far(self) -> np.ndarray:
+        """Log odds of each level's bits in the text before a token."""
+        out = []
+        for value in (self.bit & self.told, ~self.bit & self.told):
+            before = np.cumsum(value, axis=1, dtype=np.int32) - value
+            out.append(log_counts(before - np.repeat(before[:, self.texts.begin], self.texts.sizes, axis=1)))
+        return out[0] - out[1]
+
+    def inputs(self, tables: list[np.ndarray], own: bool) -> np.ndarray:
+        """Log odds (input, level, token). own: each bit's own count is taken out of the tables."""
+        out = np.empty((INPUTS, *self.bit.shape), np.float32)
+        for k, (table, slot) in enumerate(zip(tables, self.slots, strict=True)):
+            out[k] = log_odds(table, slot, self.bit, own)
+        out[3], out[4] = self.so_far(), 1
+        return np.clip(out, -9, 9, out=out)
+
+
+LOGS = np.log(np.arange(1 << 12) + PRIOR).astype(np.float32)
+
+
+def log_counts(n: np.ndarray) -> np.ndarray:
+    """log(n + PRIOR); most counts are small, and looked up."""
+    out = LOGS[np.minimum(n, len(LOGS) - 1)]
+    big = n >= len(LOGS)
+    out[big] = np.log(n[big] + PRIOR)
+    return out
+
+
+def log_odds(table: np.ndarray, slot: np.ndarray, bit: np.ndarray, own: bool) -> np.ndarray:
+    """Log odds of 1 in a table's slots (outcomes 0 and 1 apart). own: without the bit itself."""
+    one, zero = table[1][slot], table[0][slot]
+    if own:
+        one, zero = np.maximum(one - bit, 0), np.maximum(zero - (1 - bit.astype(one.dtype)), 0)
+    return log_counts(one) - log_counts(zero)
 
 
 def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(slots for each order, bits, word of each byte) of the words' bytes and a closing space, 8 decisions a byte."""
-    data = np.frombuffer(b"".join(b"  " + b" " + w + b" " for w in words), np.uint8).astype(np.int64)
-    size = np.fromiter((len(w) + 4 for w in words), np.int64, len(words))
+    pad = max(SPELL_ORDERS)
+    data = np.frombuffer(b"".join(b" " * pad + w + b" " for w in words), np.uint8).astype(np.int64)
+    size = np.fromiter((len(w) + pad + 1 for w in words), np.int64, len(words))
     owner = np.repeat(np.arange(len(words)), size)
-    inside = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size) >= 3
+    inside = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size) >= pad
     at = np.flatnonzero(inside)
     depth = np.arange(8)
-    nodes = (1 << depth) | (data[at][:, None] >> (8 - depth))
+    nodes = ((1 << depth) | (data[at][:, None] >> (8 - depth))).astype(np.uint64)
     bits = (data[at][:, None] >> (7 - depth)) & 1
     out = []
     for order in SPELL_ORDERS:
@@ -167,171 +298,237 @@ def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
         for back in range(1, order + 1):
             context = (context << np.uint64(8)) | data[at - back].astype(np.uint64)
         with np.errstate(over="ignore"):
-            out.append(((mix64(context + np.uint64(order))[:, None] + nodes.astype(np.uint64)) * ODD >> np.uint64(64 - SPELL_BITS)).astype(np.int64))
+            out.append(((mix64(context + np.uint64(order << 40))[:, None] + nodes) * FACTORS[0] >> np.uint64(64 - SPELL_BITS)).astype(np.int64))
     return out, bits, owner[at]
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Decision counts of the training texts in each table's slots, in chunks, once for each task.
+def spelling_inputs(slots: list[np.ndarray], bits: np.ndarray, tables: list[np.ndarray], own: bool) -> np.ndarray:
+    """Log odds (input, byte, bit); what the levels' bits have more inputs is 0."""
+    out = np.zeros((INPUTS, *bits.shape), np.float32)
+    for k, (table, slot) in enumerate(zip(tables, slots, strict=True)):
+        out[k] = log_odds(table, slot, bits, own)
+    out[INPUTS - 1] = 1
+    return out
 
-    Words that training has only once teach the first decision as unknown ones, and how such words are spelt."""
-    tables = [np.zeros(n, np.int32) for n in SIZES]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            block = Block(batch, i)
-            own = np.flatnonzero(~np.repeat(block.held, block.sizes))
-            bits = block.bits.copy()
-            bits[block.counts <= 1, 0] = 0
-            often = np.bincount(block.tokens[own], minlength=len(block.words))  # without a context a word's decisions are the same everywhere
-            tables[0] += np.bincount((block.nodes * 2 + bits).ravel(), np.repeat(often, CODE_BITS + 1), len(tables[0])).astype(np.int32)
-            for lo in range(0, len(own), TOKENS_AT_ONCE):
-                place = own[lo : lo + TOKENS_AT_ONCE]
-                told = bits.take(block.tokens[place], axis=0)
-                for table, slot in zip(tables[1 : 1 + CONTEXTS], block.slots(place), strict=True):
-                    slot <<= 1
-                    slot += told
-                    np.add.at(table, slot.ravel(), np.int32(1))
-            once = np.unique(block.tokens[own])
-            once = [block.words[w] for w in once[block.counts[once] == 1]]
-            if once:
-                slots, told, _ = spelling(once)
-                for table, slot in zip(tables[1 + CONTEXTS :], slots, strict=True):
-                    table += np.bincount((slot * 2 + told).ravel(), minlength=len(table)).astype(np.int32)
-    part = TaskContext.get().partitionId()
-    for k, table in enumerate(tables):
-        for chunk, lo in enumerate(range(0, len(table), 2 * CHUNK)):
-            piece = table[lo : lo + 2 * CHUNK]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([chunk]), pa.array([part // TASKS_AT_ONCE]), pa.array([piece.tobytes()], pa.binary())], ["kind", "chunk", "part", "counts"])
+
+def _in_parts(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Lists of words that aren't long in all."""
+    held, size = [], 0
+    for word in words:
+        held.append(word)
+        size += len(word) + 8
+        if size >= 10 * SPELT_AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def table_sizes(slot_bits: int) -> list[int]:
+    return [LEVELS * BUCKETS * BUCKETS, LEVELS << slot_bits, LEVELS * HISTORY, *[1 << SPELL_BITS] * len(SPELL_ORDERS)]
+
+
+def once_words(d: Decisions) -> list[bytes]:
+    """Words that training has only once, here: they stand for those it lacks."""
+    used = np.zeros(len(d.known), bool)
+    used[d.texts.tokens[d.texts.learns]] = True
+    return [d.texts.words[w] for w in np.flatnonzero(used & (d.known == 1))]
+
+
+def _train(trained: int, slot_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the training texts' bits in each table's slots, in chunks, once for each task."""
+        tables = [np.zeros(2 * n, np.int64) for n in table_sizes(slot_bits)]
+        for row in _rows(batches):
+            d = Decisions(row, trained, slot_bits, True)
+            use = d.told & d.texts.learns
+            for table, slot in zip(tables, d.slots, strict=False):
+                table += np.bincount(slot[use] * 2 + d.bit[use], minlength=len(table))
+            for words in _in_parts(once_words(d)):
+                slots, bits, _ = spelling(words)
+                for table, slot in zip(tables[3:], slots, strict=True):
+                    table += np.bincount((slot * 2 + bits).ravel(), minlength=len(table))
+        part = TaskContext.get().partitionId()
+        for k, table in enumerate(tables):
+            for chunk, lo in enumerate(range(0, len(table), 2 * CHUNK)):
+                piece = table[lo : lo + 2 * CHUNK]
+                if piece.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([chunk]), pa.array([part // TASKS_AT_ONCE]), pa.array([pack(piece)], pa.binary())], ["kind", "chunk", "part", "counts"])
+
+    return run
 
 
 def _add(table: pa.Table) -> pa.Table:
-    n = min(2 * CHUNK, SIZES[table.column("kind")[0].as_py()])
-    total = sum(np.frombuffer(x.as_buffer(), KINDS[x.as_buffer().size // n]).astype(np.int64) for x in table.column("counts"))
-    return pa.table({"kind": table.column("kind")[:1], "chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    total = sum(unpack(x.as_py()) for x in table.column("counts"))
+    return pa.table({"kind": table.column("kind")[:1], "chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "counts": pa.array([pack(total)], pa.binary())})
 
 
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    zero, one = counts[0::2].astype(np.float64), counts[1::2].astype(np.float64)
-    return (np.log(one + 0.3) - np.log(zero + 0.3)).astype(np.float32)
+def newton(x: np.ndarray, bit: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """The curvature, and that times the weights, of the logistic regression of bit on x."""
+    weights = FIRST_WEIGHTS.copy()
+    bit = bit.astype(np.float32)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(weights.astype(np.float32) @ x, -30, 30)))
+        curve = ((x * (p * (1 - p))) @ x.T).astype(np.float64)
+        step = np.linalg.solve(curve + RIDGE * np.eye(INPUTS), (x @ (bit - p)).astype(np.float64) - RIDGE * (weights - FIRST_WEIGHTS))
+        weights = weights + step * min(1.0, 1.0 / max(1e-12, float(np.abs(step).max())))
+    return np.concatenate((curve.ravel(), curve @ weights))
+
+
+def _learn(told, trained: int, slot_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's best weights for its training texts, with their curvature, added up for each gate and task."""
+        tables = told.value
+        sums = np.zeros((LEVELS * GATES + GATES, INPUTS * INPUTS + INPUTS))
+        for row in _rows(batches):
+            d = Decisions(row, trained, slot_bits, True)
+            x = d.inputs(tables[:3], True)
+            for gate in range(LEVELS * GATES):
+                j = gate // GATES
+                own = np.flatnonzero((d.gate[j] == gate) & d.told[j] & d.texts.learns)
+                if len(own):
+                    sums[gate] += newton(x[:, j, own], d.bit[j, own])
+            for words in _in_parts(once_words(d)):
+                slots, bits, _ = spelling(words)
+                x = spelling_inputs(slots, bits, tables[3:], True)
+                for depth in range(8):
+                    sums[LEVELS * GATES + depth] += newton(np.ascontiguousarray(x[:, :, depth]), bits[:, depth])
+        at = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(list(sums[at]), pa.list_(pa.float64()))], ["gate", "sums"])
+
+    return run
 
 
 class Model:
-    """Log odds of each table's slots and, for each code, how many training tokens have it."""
+    """The tables of counts (outcomes 0 and 1 apart) and the weights of each gate."""
 
-    def __init__(self, tables: list[np.ndarray]) -> None:
-        self.odds = [log_odds(t) for t in tables]
-        self.per_code = tables[0][2 << (CODE_BITS - 1) :].copy()  # the leaves: node and last bit in a row
+    def __init__(self, tables: list[np.ndarray], weights: np.ndarray) -> None:
+        self.tables, self.weights = tables, weights.astype(np.float32)
 
     def spelt(self, words: list[bytes]) -> np.ndarray:
         """ln of the probability of each spelling."""
-        if not words:
-            return np.zeros(0)
-        slots, bits, owner = spelling(words)
-        x = sum(w * odds[s] for w, odds, s in zip(SPELL_WEIGHTS, self.odds[1 + CONTEXTS :], slots, strict=True))
-        return np.bincount(owner, -np.logaddexp(0, np.where(bits == 1, -x, x)).sum(axis=1), len(words))
-
-    def texts(self, block: Block) -> np.ndarray:
-        """ln of the probability of each text of the block."""
-        known = block.counts > 0
-        rest = np.zeros(len(block.words))
-        rest[known] = np.log(block.counts[known] / self.per_code[block.code[known]])
-        rest[~known] = self.spelt([block.words[w] for w in np.flatnonzero(~known)])
-        begin = np.cumsum(block.sizes) - block.sizes
-        out = np.add.reduceat(rest[block.tokens], begin)
-        order = np.argsort(-block.sizes, kind="stable")
-        weigh = np.ones(block.bits.shape, np.float32)
-        weigh[~known, 1:] = 0
-        per_word = self.odds[0][block.nodes], block.bits.astype(np.float32) * 2 - 1, weigh
+        out = [np.zeros(0)]
+        for part in _in_parts(words):
+            slots, bits, owner = spelling(part)
+            x = np.einsum("kbd,dk->bd", spelling_inputs(slots, bits, self.tables[3:], False), self.weights[LEVELS * GATES :])
+            out.append(np.bincount(owner, -np.logaddexp(0, np.where(bits == 1, -x, x)).sum(axis=1), len(part)))
+        return np.concatenate(out)
+
+    def bits(self, d: Decisions) -> np.ndarray:
+        """The probability that each bit is 1 (0 where it isn't told). Texts are read side by side, ROUND tokens at a time; after each
+        round a text's own weights, which are added to the learnt ones, move down its gradient."""
+        x = d.inputs(self.tables[:3], False)
+        base = (x * self.weights.T[:, d.gate]).sum(axis=0)
+        flat, told = x.reshape(INPUTS * LEVELS, -1), d.told
+        out = np.empty(base.shape, np.float32)
+        sizes, order = d.texts.sizes, np.argsort(-d.texts.sizes, kind="stable")
         for lo in range(0, len(order), DOCS_AT_ONCE):
             docs = order[lo : lo + DOCS_AT_ONCE]
-            out[docs] += self._read(block, per_word, begin[docs], block.sizes[docs])
+            size, begin = sizes[docs], d.texts.begin[docs]
+            more = np.zeros((INPUTS, LEVELS, len(docs), 1), np.float32)
+            for at in range(0, int(size[0]), ROUND):
+                n = int(np.searchsorted(-size, -at, "left"))  # texts longer than at
+                place = begin[:n, None] + np.arange(at, min(at + ROUND, int(size[0])))
+                inside = place < (begin + size)[:n, None]
+                np.minimum(place, (begin + size)[:n, None] - 1, out=place)
+                own = flat[:, place].reshape(INPUTS, LEVELS, *place.shape)
+                p = 1 / (1 + np.exp(-np.clip(base[:, place] + (own * more[:, :, :n]).sum(axis=0), -12, 12)))
+                error = (d.bit[:, place] - p) * (told[:, place] & inside)
+                more[:, :, :n] += RATE * np.einsum("jnr,kjnr->kjn", error, own)[..., None]
+                out[:, place[inside]] = p[:, inside]
+        out[~d.open] = 0
         return out
 
-    def _read(self, block: Block, per_word: tuple[np.ndarray, np.ndarray, np.ndarray], begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """ln of the decisions' probability of texts (longest first), read side by side ROUND tokens at a time; after each round a text's weights move down its own gradient."""
-        weights = np.empty((len(FIRST_WEIGHTS), len(sizes), 1, CODE_BITS + 1), np.float32)
-        weights[:] = np.array(FIRST_WEIGHTS, np.float32)[:, None, None, None]
-        total = np.zeros(len(sizes))
-        for at in range(0, int(sizes[0]), ROUND):
-            n = int(np.searchsorted(-sizes, -at, "left"))  # texts longer than at
-            width = min(ROUND, int(sizes[0]) - at)
-            step = np.arange(at, at + width)
-            place = begin[:n, None] + np.minimum(step, sizes[:n, None] - 1)
-            words = block.tokens[place]
-            alone, sign, weigh = (table.take(words, axis=0) for table in per_word)
-            weigh[step >= sizes[:n, None]] = 0
-            inputs = [alone, *(odds.take(s) for odds, s in zip(self.odds[1 : 1 + CONTEXTS], block.slots(place), strict=True))]
-            x = weights[0, :n] * inputs[0]
-            for w, v in zip(weights[1:], inputs[1:], strict=True):
-                x += w[:n] * v
-            x *= sign
-            np.clip(x, -30, 30, out=x)
-            np.exp(x, out=x)
-            x += 1
-            wrong = np.reciprocal(x, out=x)  # what was left for the other outcome
-            total[:n] += (np.log1p(-np.minimum(wrong, np.float32(0.9999999))) * weigh).sum(axis=(1, 2), dtype=np.float64)
-            error = sign
-            error *= wrong
-            error *= weigh
-            for w, v in zip(weights, inputs, strict=True):
-                w[:n, 0] += RATE * np.clip(np.einsum("ijk,ijk->ik", error, v), -4, 4)
-        return total
-
-
-def _score(told):
+    def tokens(self, d: Decisions) -> np.ndarray:
+        """ln of each token's probability: the sum over all levels that have its word, as a word may be told at any of them."""
+        reach, ways = np.ones(d.n.shape[1]), np.zeros(d.n.shape[1])
+        for p, n, total in zip(self.bits(d).astype(np.float64), d.n, d.total, strict=True):
+            ways += reach * p * (n / np.maximum(total, 1))
+            reach *= 1 - p
+        with np.errstate(divide="ignore"):
+            out = np.log(ways)
+        unknown = np.flatnonzero(d.known == 0)
+        spelt = np.zeros(len(d.known))
+        spelt[unknown] = self.spelt([d.texts.words[w] for w in unknown])
+        lacks = d.known[d.texts.tokens] == 0
+        out[lacks] = np.logaddexp(out[lacks], np.log(reach[lacks]) + spelt[d.texts.tokens[lacks]])
+        return out
+
+
+def _score(told, trained: int, distinct: int, slot_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, trained, distinct = told.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block = Block(batch, i)
-                begin = np.cumsum(block.sizes) - block.sizes
-                base = np.log10((block.counts + 0.1) / (trained + 0.1 * (distinct + 1)))
-                values = [
-                    pa.array(block.ids, pa.int64()),
-                    pa.array(block.held),
-                    pa.array(block.sizes),
-                    pa.array(np.add.reduceat((block.counts > 0).astype(np.int64)[block.tokens], begin)),
-                    pa.array(np.full(len(block.ids), trained, np.int64)),
-                    pa.array(np.add.reduceat(base[block.tokens], begin)),
-                    pa.array(model.texts(block) / np.log(10)),
-                ]
-                yield pa.RecordBatch.from_arrays(values, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        model = told.value
+        for row in _rows(batches):
+            d = Decisions(row, trained, slot_bits, False)
+            texts = d.texts
+            base = np.log10((d.known + 0.1) / (trained + 0.1 * (distinct + 1)))
+            score = np.add.reduceat(model.tokens(d), texts.begin) / np.log(10)
+            with np.errstate(divide="ignore"):
+                bits = np.where(texts.nbytes > 0, -score / np.log10(2) / np.maximum(texts.nbytes, 1), np.nan)
+            values = [
+                pa.array(texts.ids, pa.int64()),
+                pa.array(texts.held),
+                pa.array(texts.sizes),
+                pa.array(np.add.reduceat((d.known > 0).astype(np.int64)[texts.tokens], texts.begin)),
+                pa.array(np.full(len(texts.ids), trained, np.int64)),
+                pa.array(np.add.reduceat(base[texts.tokens], texts.begin)),
+                pa.array(score),
+                pa.array(bits, from_pandas=True),
+            ]
+            yield pa.RecordBatch.from_arrays(values, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     return run
 
 
+def learnt_weights(rows: list) -> np.ndarray:
+    """The gates' weights: the blocks' own, each weighing as much as its curvature."""
+    weights = np.tile(FIRST_WEIGHTS, (LEVELS * GATES + GATES, 1))
+    for row in rows:
+        sums = np.array(row["sums"])
+        curve, pull = sums[: INPUTS * INPUTS].reshape(INPUTS, INPUTS), sums[INPUTS * INPUTS :]
+        weights[row["gate"]] = np.linalg.solve(curve + RIDGE * np.eye(INPUTS), pull + RIDGE * FIRST_WEIGHTS)
+    return weights
+
+
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability) for each row of df.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability) and bits_per_byte for each row of df.
 
     The model learns from the rows whose crc32(id as text) mod 10 isn't 0 (a null id counts as training) and scores all.
-    base_score is the add-0.1 unigram score of the same tokens. A null or empty text is its end alone. Repeated rows each count.
-    Empty df: no rows.
-
-    1. Texts become blocks of tokens, once. 2. Word counts are summed over all blocks and joined back to each block's own vocabulary (a
-       row for each word and block). 3. Each task counts decisions in its tables, whose size is fixed (SLOT_BITS); the tables are
-       added up by chunk, in two steps. 4. Blocks are scored with the whole model, a few MB, told to every executor.
+    base_score is the add-0.1 unigram score of the same tokens. A null or empty text is its end alone (bits_per_byte null). Repeated rows each count.
+    Empty df: no rows. Other columns of df are not read.
+
+    1. Texts become blocks of tokens, once. 2. Each block asks, for its distinct words, and pairs of context and word, how often training has
+       them, and says how often its own training texts do: sorted keys, packed, a row for each block and range of keys. Each range is
+       summed and answered in one group. Keys of words are 64-bit hashes; those of pairs grow with the corpus (SPARE_BITS), as do the ranges, so
+       what is known of contexts has no fixed size, and a frequent word is one key a block. 3. The bits of the training texts
+       are counted in small tables of contexts. 4. Each gate's weights are the best ones for the training texts (logistic regression by
+       block, averaged by curvature); in 3. and 4. a token's own counts are left out. 5. All texts are scored;
+       adaptive counts and weights go on from the learnt ones within each text.
     """
     spark = df.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
+    nbytes = int(docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0)
+    bits = min(60, max(24, nbytes.bit_length() + SPARE_BITS))
+    range_bits = max(1, (nbytes // RANGE_BYTES).bit_length())
     blocks = stored(docs.mapInArrow(_blocks, BLOCK_SCHEMA), "lm-blocks")
-    counts = stored(blocks.select("words", "trained").mapInArrow(_trained_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
-    trained, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    asked = blocks.select("block", "words").mapInArrow(_asked_words, "block long, at int, word binary")
-    answered = asked.join(counts, "word", "left").groupBy("block").agg(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0).cast("long")).alias("n"))).alias("all"))
-    answered = stored(answered.select("block", F.col("all.at").alias("at"), F.col("all.n").alias("n")), "lm-answered")
-    discard(counts)
-    ready = stored(blocks.drop("trained").join(answered, "block"), "lm-ready")
+    answers = stored(blocks.mapInArrow(_ask(bits, range_bits), ASK_SCHEMA).groupBy("range").applyInArrow(_answer, ANSWER_SCHEMA), "lm-answers")
+    trained, distinct = (int(x) for x in answers.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
+    by_block = answers.filter("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "word_counts", "pair_counts"))).alias("answers"))
+    ready = stored(blocks.join(by_block, "block").mapInArrow(_ready(bits), READY_SCHEMA), "lm-ready")
     discard(blocks)
-    discard(answered)
-    chunks = ready.mapInArrow(_train, "kind long, chunk long, part long, counts binary")
-    added = "kind long, chunk long, part long, counts binary"
-    chunks = chunks.groupBy("kind", "chunk", "part").applyInArrow(_add, added).groupBy("kind", "chunk").applyInArrow(_add, added)
-    tables = [np.zeros(n, np.int64) for n in SIZES]
-    for row in stored(chunks, "lm-tables").select("kind", "chunk", "counts").toLocalIterator():  # the tables' fixed size
-        piece = np.frombuffer(row["counts"], np.int64)
+    discard(answers)
+    slot_bits = min(18, max(8, distinct.bit_length()))
+    chunks = ready.mapInArrow(_train(trained, slot_bits), TABLE_SCHEMA)
+    chunks = chunks.groupBy("kind", "chunk", "part").applyInArrow(_add, TABLE_SCHEMA).groupBy("kind", "chunk").applyInArrow(_add, TABLE_SCHEMA)
+    tables = [np.zeros(2 * n, np.int64) for n in table_sizes(slot_bits)]
+    for row in stored(chunks, "lm-tables").select("kind", "chunk", "counts").toLocalIterator():  # at most 5 * 2**18 slots and the spelling's
+        piece = unpack(row["counts"])
         tables[row["kind"]][row["chunk"] * 2 * CHUNK :][: len(piece)] = piece
-    told = spark.sparkContext.broadcast((Model(tables), int(trained), int(distinct)))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return ready.mapInArrow(_score(told), schema)
+    tables = [np.minimum(t.reshape(-1, 2).T, np.iinfo(np.int32).max).astype(np.int32) for t in tables]
+    sums = ready.mapInArrow(_learn(spark.sparkContext.broadcast(tables), trained, slot_bits), "gate long, sums array<double>")
+    added = sums.select("gate", F.posexplode("sums").alias("at", "value")).groupBy("gate", "at").agg(F.sum("value").alias("value"))
+    gates = added.groupBy("gate").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("all")).select("gate", F.col("all.value").alias("sums")).collect()  # a row a gate
+    model = Model(tables, learnt_weights(gates))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return ready.mapInArrow(_score(spark.sparkContext.broadcast(model), trained, distinct, slot_bits), schema)
