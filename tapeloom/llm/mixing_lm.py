@@ -267,15 +267,16 @@ LOGS = np.log(np.arange(1 << 12) + PRIOR).astype(np.float32)
 
 def log_counts(n: np.ndarray) -> np.ndarray:
     """log(n + PRIOR); most counts are small, and looked up."""
-    out = LOGS[np.minimum(n, len(LOGS) - 1)]
+    out = LOGS.take(n, mode="clip")
     big = n >= len(LOGS)
-    out[big] = np.log(n[big] + PRIOR)
+    if big.any():
+        out[big] = np.log(n[big] + PRIOR)
     return out
 
 
 def log_odds(table: np.ndarray, slot: np.ndarray, bit: np.ndarray, own: bool) -> np.ndarray:
     """Log odds of 1 in a table's slots (outcomes 0 and 1 apart). own: without the bit itself."""
-    one, zero = table[1][slot], table[0][slot]
+    one, zero = table[1].take(slot), table[0].take(slot)
     if own:
         one, zero = np.maximum(one - bit, 0), np.maximum(zero - (1 - bit.astype(one.dtype)), 0)
     return log_counts(one) - log_counts(zero)
@@ -363,7 +364,7 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"kind": table.column("kind")[:1], "chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "counts": pa.array([pack(total)], pa.binary())})
 
 
-def newton(x: np.ndarray, bit: np.ndarray, rounds: int = 4) -> np.ndarray:
+def newton(x: np.ndarray, bit: np.ndarray, rounds: int = 3) -> np.ndarray:
     """The curvature, and that times the weights, of the logistic regression of bit on x."""
     weights = FIRST_WEIGHTS.copy()
     bit = bit.astype(np.float32)
@@ -418,7 +419,7 @@ class Model:
         """The probability that each bit is 1 (0 where it isn't told). Texts are read side by side, ROUND tokens at a time; after each
         round a text's own weights, which are added to the learnt ones, move down its gradient."""
         x = d.inputs(self.tables[:3], False)
-        base = (x * self.weights.T[:, d.gate]).sum(axis=0)
+        base = sum(v * w.take(d.gate) for v, w in zip(x, np.ascontiguousarray(self.weights.T), strict=True))
         flat, told = x.reshape(INPUTS * LEVELS, -1), d.told
         out = np.empty(base.shape, np.float32)
         sizes, order = d.texts.sizes, np.argsort(-d.texts.sizes, kind="stable")
@@ -431,10 +432,15 @@ class Model:
                 place = begin[:n, None] + np.arange(at, min(at + ROUND, int(size[0])))
                 inside = place < (begin + size)[:n, None]
                 np.minimum(place, (begin + size)[:n, None] - 1, out=place)
-                own = flat[:, place].reshape(INPUTS, LEVELS, *place.shape)
-                p = 1 / (1 + np.exp(-np.clip(base[:, place] + (own * more[:, :, :n]).sum(axis=0), -12, 12)))
-                error = (d.bit[:, place] - p) * (told[:, place] & inside)
-                more[:, :, :n] += RATE * np.einsum("jnr,kjnr->kjn", error, own)[..., None]
+                own = flat.take(place, axis=1).reshape(INPUTS, LEVELS, *place.shape)
+                p = base.take(place, axis=1)
+                for x, w in zip(own, more, strict=True):
+                    p += x * w[:, :n]
+                p = 1 / (1 + np.exp(-np.clip(p, -12, 12, out=p)))
+                error = (d.bit.take(place, axis=1) - p) * (told.take(place, axis=1) & inside)
+                error *= RATE
+                for x, w in zip(own, more, strict=True):
+                    w[:, :n] += (x * error).sum(axis=2, keepdims=True)
                 out[:, place[inside]] = p[:, inside]
         out[~d.open] = 0
         return out
