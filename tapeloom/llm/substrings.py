@@ -1,9 +1,10 @@
-"""Exact repeated-substring removal over sampled suffixes, sorted externally and induced to all others.
+"""Repeated-substring removal: suffixes at content-defined anchors are sorted with their common prefixes, and induced leftwards.
 
-Suffixes at content-defined anchors stand for all: in any `length` bytes the least K-byte hash is at the same offset wherever these
-bytes occur, as the substrings that suffix sorting by induction samples are. Only the sampled suffix tuples (hash, context, document,
-place) are exchanged and sorted, by Spark's disk-backed sorters; the common context on both sides of an anchor
-then decides for every suffix that begins near it whether an earlier one shares `length` bytes.
+This isn't a suffix array of the corpus: that would move some 13 bytes for each text byte. In any `length` bytes the least K-byte hash is at the
+same offset wherever these bytes occur; its place, the anchor, stands for all strings of `length` bytes that hold it. Anchors that occur once are
+done with. Of the others, those whose whole surroundings are copies are settled by 128 bits of two hashes. The suffixes at
+what is left are sorted by Spark's disk-backed sorter; their common prefixes are carried as the suffixes that begin a byte earlier are
+induced from them, byte by byte, up to `length` bytes, so bytes are compared there, not hashes, and no recursion is needed.
 """
 
 from __future__ import annotations
@@ -147,14 +148,15 @@ def _grams(length: int, full: bool):
     return run
 
 
-OPEN_SCHEMA = "gram long, rid long, pos long, string long, bytes binary, left int, right int"
+OPEN_SCHEMA = "gram long, rid long, pos long, string long, suffix binary, before binary, run int"
 
 
 def _open(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each of the row's places the bytes around the anchor there; for each string anchored at one of its crowded places the string's hash.
+        """For each of the row's places the suffix tuple there: `length` bytes from the anchor on, and those before it, backwards; for each string
+        anchored at one of its crowded places the string's hash.
 
-        Of equal crowded strings in a batch only the earliest is told; the rest are repeats for certain, and leave as runs (no gram; from pos, left long)."""
+        Of equal crowded strings in a batch only the earliest is told; the rest are repeats for certain, and leave as runs (no gram; from pos, run long)."""
         for batch in _batches(batches):
             strings: list[list[np.ndarray]] = []
             ids, texts = batch.column("rid").to_numpy(), _bytes(batch.column("text"))
@@ -167,8 +169,9 @@ def _open(length: int):
                 mine = _marked(row, pos, places, texts)
                 if mine.any():
                     at, row, pos = at[mine], row[mine], pos[mine]
-                    around = [(max(0, int(p) - (length - K)), min(len(texts[r]), int(p) + length)) for r, p in zip(row, pos, strict=True)]
-                    values = [piece.gram[at].view(np.int64), ids[row], pos, pa.nulls(len(at), pa.int64()), [texts[r][a:b] for r, (a, b) in zip(row, around, strict=True)], [int(p) - a for p, (a, _) in zip(pos, around, strict=True)], [b - int(p) - K for p, (_, b) in zip(pos, around, strict=True)]]
+                    side = length - K
+                    suffix, before = zip(*((texts[r][p : p + length], texts[r][max(0, p - side) : p][::-1]) for r, p in zip(row.tolist(), pos.tolist(), strict=True)), strict=True)
+                    values = [piece.gram[at].view(np.int64), ids[row], pos, pa.nulls(len(at), pa.int64()), list(suffix), list(before), pa.nulls(len(at), pa.int32())]
                     yield _open_batch(values)
                 row, pos = piece.place(piece.anchor)
                 mine = _marked(row, pos, crowded, texts)
@@ -181,8 +184,8 @@ def _open(length: int):
                 order = np.lexsort((pos, rid, string, gram))
                 gram, rid, pos, string = gram[order], rid[order], pos[order], string[order]
                 first = np.concatenate(([True], (gram[1:] != gram[:-1]) | (string[1:] != string[:-1])))
-                none = pa.nulls(int(first.sum()), pa.int32())
-                yield _open_batch([gram[first], rid[first], pos[first], string[first], pa.nulls(len(none), pa.binary()), none, none])
+                none = pa.nulls(int(first.sum()), pa.binary())
+                yield _open_batch([gram[first], rid[first], pos[first], string[first], none, none, pa.nulls(len(none), pa.int32())])
                 rid, pos = rid[~first], pos[~first]
                 if len(rid):
                     order = np.lexsort((pos, rid))
@@ -190,40 +193,68 @@ def _open(length: int):
                     begin = np.flatnonzero(np.concatenate(([True], (rid[1:] != rid[:-1]) | (pos[1:] > pos[:-1] + 1))))
                     last = np.concatenate((begin[1:], [len(rid)])) - 1
                     empty = pa.nulls(len(begin), pa.int64())
-                    yield _open_batch([empty, rid[begin], pos[begin], empty, pa.nulls(len(begin), pa.binary()), (pos[last] + 1 - pos[begin]).astype(np.int32), pa.nulls(len(begin), pa.int32())])
+                    nothing = pa.nulls(len(begin), pa.binary())
+                    yield _open_batch([empty, rid[begin], pos[begin], empty, nothing, nothing, (pos[last] + 1 - pos[begin]).astype(np.int32)])
 
     return run
 
 
 def _open_batch(values: list) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["gram", "rid", "pos", "string", "bytes", "left", "right"])
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.binary(), pa.int32()]
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["gram", "rid", "pos", "string", "suffix", "before", "run"])
+
+
+def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as rows of a matrix, and their lengths."""
+    texts = column.to_pylist()
+    return np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def common_prefixes(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many bytes each row shares with the row before it; 0 for the first."""
+    differ = rows[1:] != rows[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return np.concatenate(([0], np.minimum(shared, np.minimum(sizes[1:], sizes[:-1]))))
+
+
+def induced(order: np.ndarray, common: np.ndarray, letter: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order and common prefixes of the suffixes that begin a byte (letter) earlier, from those of the suffixes after it.
+
+    Equal letters keep the order of what follows them, so sorting by the letter alone, stably, sorts the longer suffixes; two of the same letter
+    share one byte more than the least that the suffixes from one to the other share. Suffixes without a byte before them end here."""
+    left = np.flatnonzero(has[order])
+    place = left[np.argsort(letter[order[left]], kind="stable")]
+    moved = order[place]
+    out = np.zeros(len(place), np.int64)
+    same = np.flatnonzero(letter[moved[1:]] == letter[moved[:-1]]) + 1
+    if len(same):
+        spans = np.stack((place[same - 1] + 1, place[same] + 1), axis=1).ravel()
+        out[same] = 1 + np.minimum.reduceat(np.append(common, 0), spans)[::2]
+    return moved, out
 
 
 def _repeated(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, end): runs of string beginnings in rows sorted by gram, rid and pos that an earlier row of the same gram has as well.
+    """(row, first, end): runs of string beginnings in rows, sorted by suffix, that an earlier row has as well.
 
-    For each offset of the anchor in a string the hashes of all rows' strings are compared at once; the first of equal ones is the original."""
+    For each offset of the anchor in a string the suffixes that begin there stand in order; those that share `length` bytes are neighbours, and
+    the one of the least document and place is the original."""
     side, n = length - K, batch.num_rows
-    left, right = batch.column("left").to_numpy(), batch.column("right").to_numpy()
-    data = np.zeros((n, length + side), np.uint8)
-    for r, (a, b) in enumerate(zip(left, batch.column("bytes").to_pylist(), strict=True)):
-        data[r, side - a : side - a + len(b)] = np.frombuffer(b, np.uint8)
-    up, down = _powers(BASES[1], length + side + 1), _powers(pow(BASES[1], -1, 1 << 64), length + side + 1)
-    gram = mix64(batch.column("gram").to_numpy().view(np.uint64))
+    (suffix, size), (before, held) = _padded(batch.column("suffix"), length), _padded(batch.column("before"), side)
+    pos = batch.column("pos").to_numpy()
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((pos, batch.column("rid").to_numpy()))] = np.arange(n)
     again = np.zeros((n, side + 3), bool)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros((n, 1), np.uint64), np.cumsum(TABLES[1][data] * up[:-1], axis=1)), axis=1)
-        for offset in range(side + 1):
-            there = np.flatnonzero((left >= offset) & (right >= side - offset))
-            lo = side - offset
-            key = mix64((sums[there, lo + length] - sums[there, lo]) * down[lo]) ^ gram[there]
-            first = np.unique(key, return_index=True)[1]
-            again[there, side - offset + 1] = True
-            again[there[first], side - offset + 1] = False
+    order, common = np.arange(n), common_prefixes(suffix, size)
+    for offset in range(side + 1):
+        new = common < length
+        if len(order):
+            first = np.minimum.reduceat(rank[order], np.flatnonzero(new))
+            again[order, side - offset + 1] = rank[order] != first[np.cumsum(new) - 1]
+        if offset < side:
+            order, common = induced(order, common, before[:, offset], held > offset)
     row, edge = np.nonzero(np.diff(again.view(np.int8), axis=1))
-    pos = batch.column("pos").to_numpy()[row[::2]] - side
-    return row[::2], pos + edge[::2], pos + edge[1::2]
+    place = pos[row[::2]] - side
+    return row[::2], place + edge[::2], place + edge[1::2]
 
 
 def _resolve(length: int):
@@ -302,9 +333,9 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     1. Anchor hashes are counted; those that occur once (most) are done with. 2. The others' tuples are joined to them. The earliest
        tuple of equal hash and equal context is the original: all strings anchored in its copies are repeats. 3. Originals
-       whose hash also has other contexts are sorted by hash with the bytes around them, and each learns which of its strings an
-       earlier one has too. Where a hash has more than CROWD contexts, the strings' own hashes are grouped instead, so that no
-       hash fills a task. 4. Each document gets its anchors and strings, and its bytes are cut.
+       whose hash also has other contexts are sorted by hash and suffix, and common prefixes tell which of the strings around each an
+       earlier one has too (_repeated). Where a hash has more than CROWD contexts, the strings' own hashes are grouped instead (64 bits beside
+       the anchor's 64), so that no hash fills a task. 4. Each document gets its anchors and strings, and its bytes are cut.
     Every grouping is summed before its exchange, and joins back are ones whose large side Spark may split, so no text, however
     often it occurs, meets in one task. Each step is stored and its shuffle files go before the next.
     """
@@ -326,11 +357,11 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     crowd = F.col("contexts") > CROWD
     open_ = originals.join(several, "gram").groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.when(~crowd, F.col("first.pos"))).alias("places"), F.collect_list(F.when(crowd, F.col("first.pos"))).alias("crowded"))
     open_ = stored(slim.join(open_, "rid").mapInArrow(_open(length), OPEN_SCHEMA), "repeats-open")
-    near = open_.filter("bytes IS NOT NULL").repartition("gram").sortWithinPartitions("gram", "rid", "pos").mapInArrow(_resolve(length), "rid long, lo long, hi long")
+    near = open_.filter("suffix IS NOT NULL").repartition("gram").sortWithinPartitions("gram", "suffix", "rid", "pos").mapInArrow(_resolve(length), "rid long, lo long, hi long")
     strings = open_.filter("string IS NOT NULL").select("gram", "string", "rid", "pos")
     firsts = strings.groupBy("gram", "string").agg(F.min(F.struct("rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     far = strings.join(firsts, ["gram", "string"]).filter(F.struct("rid", "pos") != F.col("first")).select("rid", F.col("pos").alias("lo"), (F.col("pos") + 1).alias("hi"))
-    known = open_.filter("gram IS NULL").select("rid", F.col("pos").alias("lo"), (F.col("pos") + F.col("left")).alias("hi"))
+    known = open_.filter("gram IS NULL").select("rid", F.col("pos").alias("lo"), (F.col("pos") + F.col("run")).alias("hi"))
     again = stored(near.unionByName(far).unionByName(known).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeats-runs")
     told = docs.join(copies.join(again, "rid", "full"), "rid", "left").select("id", "text", "anchors", "runs")
     return told.mapInArrow(_cut(length), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
