@@ -6,19 +6,15 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.functions.signal import quantise
+
 BLOCK = 4096
 WAV_LIMIT = 2**32 - 1 - 36
 
 
-def to_int16(samples: np.ndarray) -> np.ndarray:
-    """Non-finite 0, clamped, half away from zero."""
-    x = np.nan_to_num(np.asarray(samples, np.float64), nan=0.0, posinf=0.0, neginf=0.0).clip(-1, 1) * 32767
-    return (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype(np.int16)
-
-
 def wav_header(data_bytes: int, rate: int = 16_000) -> bytes:
     """44 bytes of a mono 16-bit RIFF file."""
     if data_bytes > WAV_LIMIT:
@@ -26,11 +22,6 @@ def wav_header(data_bytes: int, rate: int = 16_000) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + data_bytes, b"WAVE", b"fmt ", 16, 1, 1, rate, rate * 2, 2, 16, b"data", data_bytes)
 
 
-def encode_wav_bytes(samples: np.ndarray, rate: int = 16_000) -> bytes:
-    pcm = to_int16(samples).astype("<i2").tobytes()
-    return wav_header(len(pcm), rate) + pcm
-
-
 def parse_wav_bytes(data: bytes) -> tuple[int, np.ndarray]:
     """(rate, samples in -1..1, channels averaged) of a 16-bit PCM file; other chunks are passed over."""
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
@@ -77,10 +68,11 @@ def crc8(data: bytes) -> int:
     return value
 
 
-def crc16(data: bytes) -> int:
-    value = 0
-    for byte in data:
-        value = (value << 8 & 0xFFFF) ^ CRC16[value >> 8 ^ byte]
+def crc16(data: np.ndarray) -> np.ndarray:
+    """CRC-16 of each row of a byte matrix, all rows a byte at a time."""
+    table, value = np.array(CRC16, np.uint16), np.zeros(len(data), np.uint16)
+    for column in np.ascontiguousarray(data.T):
+        value = (value << np.uint16(8)) ^ table[(value >> np.uint16(8)) ^ column]
     return value
 
 
@@ -98,24 +90,27 @@ def utf8_uint(value: int) -> bytes:
     return bytes([lead | value, *tail])
 
 
-def flac_frame(first: int, pcm: np.ndarray) -> bytes:
-    """A verbatim mono frame that begins at the absolute sample `first`; at most BLOCK samples."""
-    short = b"" if len(pcm) == BLOCK else struct.pack(">H", len(pcm) - 1)
-    head = b"\xff\xf9" + (b"\x70" if short else b"\xc0") + b"\x08" + utf8_uint(first) + short
-    body = head + bytes([crc8(head), 0x02]) + pcm.astype(">i2").tobytes()
-    return body + struct.pack(">H", crc16(body))
-
-
-def encode_flac_bytes(samples: np.ndarray, rate: int = 16_000) -> bytes:
-    """A whole FLAC stream of verbatim frames; no samples is an error."""
-    pcm = to_int16(samples)
-    if not len(pcm):
+def flac_frames(first: list[int], pcm: list[np.ndarray]) -> list[bytes]:
+    """Verbatim mono frames that begin at the absolute samples `first`, of at most BLOCK samples each; frames of one size are checked together."""
+    bodies = []
+    for at, samples in zip(first, pcm, strict=True):
+        short = b"" if len(samples) == BLOCK else struct.pack(">H", len(samples) - 1)
+        head = b"\xff\xf9" + (b"\x70" if short else b"\xc0") + b"\x08" + utf8_uint(at) + short
+        bodies.append(head + bytes([crc8(head), 0x02]) + np.asarray(samples).astype(">i2").tobytes())
+    sums = [0] * len(bodies)
+    for size in set(map(len, bodies)):
+        own = [i for i, b in enumerate(bodies) if len(b) == size]
+        for i, value in zip(own, crc16(np.frombuffer(b"".join(bodies[i] for i in own), np.uint8).reshape(len(own), size)), strict=True):
+            sums[i] = int(value)
+    return [b + struct.pack(">H", s) for b, s in zip(bodies, sums, strict=True)]
+
+
+def flac_header(samples: int, least: int, shortest: int, longest: int, rate: int = 16_000) -> bytes:
+    """The stream's marker and STREAMINFO. least: samples of the smallest frame; shortest, longest: frames' bytes."""
+    if not samples:
         raise ValueError("a FLAC stream needs a sample")
-    frames = [flac_frame(at, pcm[at : at + BLOCK]) for at in range(0, len(pcm), BLOCK)]
-    sizes = [len(f) for f in frames]
-    least = len(pcm) % BLOCK or BLOCK
-    info = struct.pack(">HH", least, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + (rate << 44 | 15 << 36 | len(pcm)).to_bytes(8, "big") + bytes(16)
-    return b"fLaC" + b"\x80" + (34).to_bytes(3, "big") + info + b"".join(frames)
+    info = struct.pack(">HH", least, BLOCK) + shortest.to_bytes(3, "big") + longest.to_bytes(3, "big") + (rate << 44 | 15 << 36 | samples).to_bytes(8, "big") + bytes(16)
+    return b"fLaC" + b"\x80" + (34).to_bytes(3, "big") + info
 
 
 def decode_flac_bytes(data: bytes) -> tuple[int, np.ndarray]:
@@ -133,7 +128,7 @@ def decode_flac_bytes(data: bytes) -> tuple[int, np.ndarray]:
         if crc8(data[at:end]) != data[end]:
             raise ValueError("a frame's header is damaged")
         stop = end + 2 + 2 * count
-        if crc16(data[at:stop]) != int.from_bytes(data[stop : stop + 2], "big"):
+        if int(crc16(np.frombuffer(data[at:stop], np.uint8)[None])[0]) != int.from_bytes(data[stop : stop + 2], "big"):
             raise ValueError("a frame is damaged")
         out.append(np.frombuffer(data[end + 2 : stop], ">i2"))
         at = stop + 2
@@ -149,8 +144,41 @@ def decode_f32(data: Column) -> Column:
     return F.pandas_udf(lambda x: _each(lambda b: np.frombuffer(b, "<f4", len(b) // 4), x), "array<float>", 200)(data)
 
 
-def encode_wav(samples: Column) -> Column:
-    return F.pandas_udf(lambda x: _each(encode_wav_bytes, x), "binary", 200)(samples)
+def pcm_blocks(df: DataFrame, key: str, samples: str, order: str | None = None) -> DataFrame:
+    """(key, first, pcm): the 16-bit samples of each stream in blocks of BLOCK, with the absolute place of the first.
+
+    A stream is one row, or the rows of a key in order; a short last block stays."""
+    from tapeloom.operators.sequence import sample_parts
+
+    rows = df.withColumn("__order", F.lit(0) if order is None else F.col(order))
+    cut = sample_parts(rows, key, ["__order"], samples, BLOCK)
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "samples"))), lambda x: x["samples"]))
+    return cut.groupBy(key, "part").agg(whole.alias("samples")).select(key, (F.col("part") * BLOCK).alias("first"), F.transform("samples", quantise).alias("pcm"))
+
+
+def wav_rows(blocks: DataFrame, key: str, rate: int = 16_000) -> DataFrame:
+    """(key, n, bytes): each stream's WAV file in rows, its header (n = -1) and blocks in order; written one after the other they are the file.
+
+    The header is an aggregate of the blocks there, so a checkpoint is a rewrite of one row."""
+    data = F.pandas_udf(lambda x: x.map(lambda a: np.asarray(a).astype("<i2").tobytes()), "binary", 200)(F.col("pcm"))
+    head = F.pandas_udf(lambda x: x.map(lambda n: wav_header(2 * int(n), rate)), "binary", 200)
+    sizes = blocks.groupBy(key).agg(F.sum(F.size("pcm")).alias("n"))
+    return blocks.select(key, F.col("first").alias("n"), data.alias("bytes")).unionByName(sizes.select(key, F.lit(-1).cast("long").alias("n"), head("n").alias("bytes")))
+
+
+def flac_rows(blocks: DataFrame, key: str, rate: int = 16_000) -> DataFrame:
+    """(key, n, bytes): each stream's FLAC file in rows, a frame a block, as wav_rows."""
+    frame = F.pandas_udf(lambda first, pcm: pd.Series(flac_frames(list(map(int, first)), list(pcm))), "binary", 200)
+    head = F.pandas_udf(lambda n, least, shortest, longest: pd.Series([flac_header(*map(int, x), rate) for x in zip(n, least, shortest, longest, strict=True)]), "binary", 200)
+    frames = blocks.select(key, F.col("first").alias("n"), F.size("pcm").alias("__size"), frame("first", "pcm").alias("bytes"))
+    sizes = frames.groupBy(key).agg(F.sum("__size").alias("n"), F.min("__size").alias("least"), F.min(F.octet_length("bytes")).alias("shortest"), F.max(F.octet_length("bytes")).alias("longest"))
+    return frames.drop("__size").unionByName(sizes.select(key, F.lit(-1).cast("long").alias("n"), head("n", "least", "shortest", "longest").alias("bytes")))
+
+
+def whole_files(rows: DataFrame, key: str) -> DataFrame:
+    """(key, content): files short enough to be one value."""
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("n", "bytes"))), F.lit(b""), lambda a, x: F.concat(a, x["bytes"]))
+    return rows.groupBy(key).agg(joined.alias("content"))
 
 
 def read_wav(content: Column) -> Column:
@@ -165,7 +193,3 @@ def read_wav(content: Column) -> Column:
 
 def repair_wav(content: Column) -> Column:
     return F.pandas_udf(lambda x: _each(lambda b: repair_wav_bytes(bytes(b)), x), "binary", 200)(content)
-
-
-def encode_flac(samples: Column) -> Column:
-    return F.pandas_udf(lambda x: _each(encode_flac_bytes, x), "binary", 200)(samples)

@@ -36,10 +36,16 @@ def whisper_language(language: Column) -> Column:
 
 
 def completions_url(endpoint: Column) -> Column:
-    """The chat completions address of an HTTP endpoint: no query or fragment, the suffix once; null where it isn't one."""
-    plain = F.regexp_extract(trim(endpoint), r"^((?i:https?)://[^/?#\s]+)([^?#\s]*)", 0)
-    base = F.regexp_replace(plain, "/+$", "")
-    return F.when(plain == "", F.lit(None).cast("string")).when(F.endswith(base, F.lit("/chat/completions")), base).otherwise(F.concat(base, F.lit("/chat/completions")))
+    """The chat completions address of an HTTP endpoint: scheme and host in lower case, no default port, query or fragment, the suffix once;
+    null where it isn't one."""
+    plain = trim(endpoint)
+    pattern = r"^((?i:https?))://((?:[^/?#\s@]*@)?)([^/?#\s@:]+|\[[^/?#\s@]+\])(?::(\d*))?(/[^?#\s]*)?(?:[?#].*)?$"
+    part = lambda n: F.regexp_extract(plain, pattern, n)
+    scheme, port = F.lower(part(1)), F.regexp_replace(part(4), "^0+(?=.)", "")
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    base = F.regexp_replace(part(5), "/+$", "")
+    path = F.when(F.endswith(base, F.lit("/chat/completions")), base).otherwise(F.concat(base, F.lit("/chat/completions")))
+    return F.when(part(3) != "", F.concat(scheme, F.lit("://"), part(2), F.lower(part(3)), F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), path))
 
 
 def completion_text(body: Column) -> Column:

@@ -36,3 +36,9 @@ def with_translations(transcripts: DataFrame, translations: DataFrame) -> DataFr
 
 def without_ids(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def as_ordered_lists(segments: DataFrame, session: str = "session", id_col: str = "id") -> DataFrame:
+    """(session, segments): each session's merged segments as one list by id, as a document stores them."""
+    rest = [c for c in segments.columns if c not in (session, id_col)]
+    return segments.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(id_col, *rest))).alias("segments"))

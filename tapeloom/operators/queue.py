@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.text import trim
 
 MAX_ATTEMPTS = 3
+ERROR_CHARACTERS = 500
 
 
 def is_retryable(status: Column, attempts: Column) -> Column:
@@ -54,7 +58,7 @@ def resolve(items: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame]) -> D
                 done = work(batch)
                 batch = batch.assign(text=done["text"].to_numpy(), error=done["error"].to_numpy())
             except Exception as fault:
-                batch = batch.assign(text=None, error=str(fault)[:500])
+                batch = batch.assign(text=None, error=str(fault)[:ERROR_CHARACTERS])
             batch["status"] = batch["error"].isna().map({True: "complete", False: "failed"})
             batch["text"] = batch["text"].where(batch["error"].isna(), "")
             yield batch[schema.names]
@@ -63,16 +67,94 @@ def resolve(items: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame]) -> D
 
 
 def step(segments: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """All segments after one pass: in each session the first retryable one is claimed and resolved, the rest stays."""
-    done = resolve(claim(next_items(segments)), work)
-    return segments.join(done.select("session", "id"), ["session", "id"], "left_anti").unionByName(done.select(*segments.columns))
+    """All segments after one pass: in each session the first retryable one is claimed and resolved, the rest stays.
+
+    The rest is told from the items' keys, not from their outcome, so the work runs once an item."""
+    items = next_items(segments)
+    rest = segments.join(items.select("session", "id"), ["session", "id"], "left_anti")
+    return rest.unionByName(resolve(claim(items), work).select(*segments.columns))
+
+
+def run_queue(segments: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], store: Callable[[DataFrame, int], DataFrame], passes: int | None = None) -> DataFrame:
+    """Passes of step until nothing can be retried, or so many.
+
+    store keeps each pass's result and returns it as read again, so that work done isn't done anew; only a count visits the driver.
+    Each pass raises the attempts of one segment a session, so there are at most MAX_ATTEMPTS times a session's segments."""
+    done = 0
+    while (passes is None or done < passes) and segments.agg(queue_depth().alias("n")).first()["n"]:
+        segments = store(step(segments, work), done)
+        done += 1
+    return segments
+
+
+class ModelCache:
+    """One loaded model in a Python worker: kept while its key is asked for, dropped for another or after it has idled."""
+
+    def __init__(self, load: Callable[..., Any], idle_seconds: float = 600, clock: Callable[[], float] = time.monotonic) -> None:
+        self.load, self.idle, self.clock = load, idle_seconds, clock
+        self.key, self.model, self.used = None, None, 0.0
+
+    def get(self, *key: Any) -> Any:
+        if self.key != key or self.clock() - self.used >= self.idle:
+            self.key = self.model = None
+            self.model = self.load(*key)
+            self.key = key
+        self.used = self.clock()
+        return self.model
+
+
+def transcriber(load: Callable[[str, int, str | None], Callable[[Any], str]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Work for resolve: load(model, threads, language) gives a recogniser of a clip, loaded once for a run of rows of the same three.
+
+    The items have modelId, threads, language and clip; a clip that fails fails alone."""
+    cache = ModelCache(load)
+
+    def one(row: dict) -> tuple[str | None, str | None]:
+        try:
+            return cache.get(row["modelId"], row["threads"], row["language"])(row["clip"]), None
+        except Exception as fault:
+            return None, str(fault)[:ERROR_CHARACTERS]
+
+    return lambda batch: pd.DataFrame(list(map(one, batch.to_dict("records"))), columns=["text", "error"])
+
+
+def chat_request(model: str, target_language: str, source_text: str) -> str:
+    """The JSON body that asks for a translation."""
+    order = f"Translate the user's text into {target_language}. Preserve meaning, names, numbers, and formatting. Return only the translation."
+    return json.dumps({"model": model, "temperature": 0, "messages": [{"role": "system", "content": order}, {"role": "user", "content": source_text}]}, ensure_ascii=False)
+
+
+def translator(send: Callable[[str, str], tuple[int, str]], url: str, model: str, target_language: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Work for resolve: send(url, body) gives (HTTP status, response text) for each item's sourceText.
+
+    A status that isn't 2xx fails with the status and the response's first ERROR_CHARACTERS; so does an answer without text."""
+
+    def one(source_text: str) -> tuple[str | None, str | None]:
+        try:
+            status, text = send(url, chat_request(model, target_language, source_text))
+            if not 200 <= status < 300:
+                return None, f"HTTP {status}: {text[:ERROR_CHARACTERS]}"
+            answer = json.loads(text)["choices"][0]["message"]["content"].strip()
+            return (answer, None) if answer else (None, "the answer is empty")
+        except Exception as fault:
+            return None, str(fault)[:ERROR_CHARACTERS]
+
+    return lambda batch: pd.DataFrame([one(t) for t in batch["sourceText"]], columns=["text", "error"])
+
+
+def chain_translations(before: DataFrame, after: DataFrame, translations: DataFrame, enabled: bool = True) -> DataFrame:
+    """The translation queue once a pass of the transcript queue has completed more segments (session, id, status, text): those enter it."""
+    done = lambda x: x.filter("status = 'complete'").select("session", "id", "text")
+    return enqueue_translations(translations, done(after).join(done(before).select("session", "id"), ["session", "id"], "left_anti"), enabled)
 
 
 def next_ids(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """New rows with ids that go on from each session's largest (from 1), in order."""
+    """New rows with ids that go on from each session's largest (from 1), in order, ties by the other columns; past the largest long: an error."""
     top = existing.groupBy("session").agg(F.max("id").alias("__top"))
-    n = F.row_number().over(W.partitionBy("session").orderBy(order))
-    return new.join(top, "session", "left").withColumn("id", F.coalesce("__top", F.lit(0)) + n).drop("__top")
+    ties = [c for c in new.columns if c not in ("session", order)]
+    n = F.row_number().over(W.partitionBy("session").orderBy(order, *ties))
+    numbered = new.join(top, "session", "left").withColumn("id", F.try_add(F.coalesce("__top", F.lit(0)).cast("long"), n.cast("long")))
+    return numbered.withColumn("id", F.coalesce("id", F.raise_error("no id is left").cast("long"))).drop("__top")
 
 
 def enqueue_clips(existing: DataFrame, clips: DataFrame) -> DataFrame:

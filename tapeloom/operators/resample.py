@@ -24,6 +24,16 @@ class Resampler:
         self.reach = math.ceil(HALF / self.scale)
         self.held, self.first, self.read, self.made = np.zeros(self.reach), -self.reach, 0, 0
 
+    def state(self) -> tuple[bytes, int, int, int]:
+        """What goes on to a later batch: the samples still needed, where they begin, how many were read and made."""
+        return self.held.tobytes(), self.first, self.read, self.made
+
+    @classmethod
+    def resume(cls, rate_in: int, state: tuple[bytes, int, int, int], rate_out: int = TARGET_RATE) -> Resampler:
+        out = cls(rate_in, rate_out)
+        out.held, (out.first, out.read, out.made) = np.frombuffer(state[0], np.float64), state[1:]
+        return out
+
     def _until(self, end: int) -> np.ndarray:
         """Output samples from made to end; all inputs that they need are held."""
         at = np.arange(self.made, end) * self.rate_in / self.rate_out

@@ -6,31 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.functions.signal import TARGET_RATE, clamp, sanitize_gain, sanitize_sample
+from tapeloom.functions.signal import LONG_MAX, TARGET_RATE, apply_gain, mix_mono, sanitize_sample, samples_to_ms
 
 CHUNK = 1600
 FRAME = 512
 
 
-def check_sequence(events: DataFrame, key: str = "source", sequence: str = "sequence", rate: str = "sample_rate") -> DataFrame:
-    """events with fault: null, or what is wrong. Each source's numbers run from 0 without a gap, at its first rate."""
-    by = W.partitionBy(key).orderBy(sequence)
-    expected = F.coalesce(F.lag(sequence).over(by) + 1, F.lit(0))
-    first = F.first(rate).over(by.rowsBetween(W.unboundedPreceding, 0))
-    return events.withColumn("fault", F.when(F.col(sequence) != expected, "sequence gap").when(F.col(rate) != first, "sample rate changed"))
+def check_sequence(events: DataFrame, key: tuple[str, ...] = ("session", "source"), sequence: str = "sequence", rate: str = "sample_rate") -> DataFrame:
+    """events with fault: null, or what is wrong. Each source's numbers run from 0 without a gap or a repeat, at its first rate.
 
+    A number is in order if it is 0 or the one before is there, so rows meet by key and number, and no source fills a task, however long."""
+    keys = list(key)
+    first = events.groupBy(*keys).agg(F.min_by(rate, sequence).alias("__first"))
+    before = events.select(*keys, (F.col(sequence) + 1).alias(sequence)).distinct().withColumn("__follows", F.lit(True))
+    again = F.row_number().over(W.partitionBy(*keys, sequence).orderBy(rate)) > 1
+    joined = events.withColumn("__again", again).join(before, [*keys, sequence], "left").join(first, keys)
+    gap = F.col("__again") | ((F.col(sequence) != 0) & F.col("__follows").isNull())
+    fault = F.when(gap, "sequence gap").when(F.col(rate) != F.col("__first"), "sample rate changed")
+    return joined.withColumn("fault", fault).select(*events.columns, "fault")
 
-def require_sequence(events: DataFrame, **columns: str) -> DataFrame:
+
+def require_sequence(events: DataFrame, **columns) -> DataFrame:
     """The events, or an error at the first fault."""
     found = check_sequence(events, **columns)
     return found.filter(F.when(F.col("fault").isNull(), True).otherwise(F.raise_error("fault").cast("boolean"))).drop("fault")
 
 
-def running_offsets(blocks: DataFrame, key: str, order: list[str], samples: str) -> DataFrame:
-    """blocks with first_sample (of all samples before, in order) and offset_ms (its whole milliseconds)."""
-    before = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    first = F.coalesce(F.sum(samples).over(before), F.lit(0)).cast("long")
-    return blocks.withColumn("first_sample", first).withColumn("offset_ms", F.expr(f"first_sample * 1000 div {TARGET_RATE}"))
+def running_offsets(blocks: DataFrame, key: str | list[str], order: list[str], samples: str) -> DataFrame:
+    """blocks with first_sample (of all samples before, in order, at most the largest long) and offset_ms (its whole milliseconds, saturating)."""
+    before = W.partitionBy(*_names(key)).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    whole = F.coalesce(F.sum(F.col(samples).cast("decimal(38,0)")).over(before), F.lit(0))
+    first = F.least(whole, F.lit(LONG_MAX).cast("decimal(38,0)")).cast("long")
+    return blocks.withColumn("first_sample", first).withColumn("offset_ms", samples_to_ms(F.col("first_sample")))
+
+
+def _names(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
 def split_fixed(blocks: DataFrame, key: str, order: list[str], samples: str, limit: int) -> DataFrame:
@@ -43,14 +54,14 @@ def split_fixed(blocks: DataFrame, key: str, order: list[str], samples: str, lim
     return parts.groupBy(key, "part").agg(F.sum(inside).cast("long").alias("sample_count"))
 
 
-def sample_parts(blocks: DataFrame, key: str, order: list[str], samples: str, limit: int) -> DataFrame:
+def sample_parts(blocks: DataFrame, key: str | list[str], order: list[str], samples: str, limit: int) -> DataFrame:
     """(key, part, at, samples): the slices of each block that fall in each part, at their place in the part."""
     placed = running_offsets(blocks.withColumn("__n", F.size(samples).cast("long")), key, order, "__n").filter("__n > 0")
     parts = placed.withColumn("part", F.explode(F.sequence(F.expr(f"first_sample div {limit}"), F.expr(f"(first_sample + __n - 1) div {limit}"))))
     begin = F.greatest(F.col("first_sample"), F.col("part") * limit)
     end = F.least(F.col("first_sample") + F.col("__n"), (F.col("part") + 1) * limit)
     cut = F.slice(samples, (begin - F.col("first_sample") + 1).cast("int"), (end - begin).cast("int"))
-    return parts.select(key, "part", (begin - F.col("part") * limit).alias("at"), cut.alias("samples"))
+    return parts.select(*_names(key), "part", (begin - F.col("part") * limit).alias("at"), cut.alias("samples"))
 
 
 def chunked(samples: Column, size: int = CHUNK) -> Column:
@@ -66,25 +77,33 @@ def framed(samples: Column, size: int = FRAME) -> Column:
     return F.transform(chunked(F.transform(samples, sanitize_sample), size), lambda f: F.struct(pad(f).alias("frame"), F.size(f).alias("valid")))
 
 
-def align_mix(samples: DataFrame, gains: dict[str, float], mode: str = "mixed", ended: bool = True) -> DataFrame:
-    """(session, pos, value) of two sources' samples (session, source, pos, value), by position.
+def align_mix(blocks: DataFrame, gains: dict[str, float], mode: str = "mixed", ended: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """(session, pos, samples) of two sources' blocks (session, source, block, samples; block gives their order), by position, chunk samples a row.
 
     mixed: while running, up to the shorter source; at the end, to the longer, what is missing being 0; a session of which
-    one source never came gives nothing. One source alone: its own samples, of the other nothing. One aggregate by
-    position, so neither side is shuffled twice."""
+    one source never came gives nothing. One source alone: its own samples times its gain, of the other nothing. Blocks are cut at the same
+    places in both sources and meet by session and chunk, so a row is a chunk, not a sample."""
     names = ("microphone", "system")
-    gained = lambda n: clamp(F.max(F.when(F.col("source") == n, sanitize_sample(F.col("value")))) * sanitize_gain(F.lit(gains.get(n, 1.0))), -1.0, 1.0)
+    gain = lambda n: F.lit(float(gains.get(n, 1.0)))
+    cut = sample_parts(blocks.select("session", "source", "block", "samples").filter(F.col("source").isin(*names)), ["session", "source"], ["block"], "samples", chunk)
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "samples"))), lambda x: x["samples"]))
+    chunks = cut.groupBy("session", "source", "part").agg(whole.alias("samples"))
+    place = (F.col("part") * chunk).alias("pos")
     if mode != "mixed":
-        return samples.filter(F.col("source") == mode).groupBy("session", "pos").agg(gained(mode).alias("value"))
-    there = samples.groupBy("session").agg(*[F.count_if(F.col("source") == n).alias(n) for n in names]).filter(" AND ".join(f"{n} > 0" for n in names)).select("session")
-    scaled = lambda n: F.coalesce(F.max(F.when(F.col("source") == n, sanitize_sample(F.col("value")))), F.lit(0.0)) * sanitize_gain(F.lit(gains.get(n, 1.0)))
-    mixed = samples.join(there, "session", "left_semi").groupBy("session", "pos").agg(clamp(scaled(names[0]) + scaled(names[1]), -1.0, 1.0).alias("value"), F.count_distinct("source").alias("__n"))
-    return (mixed if ended else mixed.filter("__n = 2")).drop("__n")
-
-
-def check_pending(samples: DataFrame, limit: int = 10 * TARGET_RATE) -> DataFrame:
-    """Per session and source the samples that wait for the other source; more than the limit is an error."""
-    n = samples.groupBy("session", "source").agg(F.count(F.lit(1)).alias("n"))
+        return chunks.filter(F.col("source") == mode).select("session", place, apply_gain(F.col("samples"), gain(mode)).alias("samples"))
+    there = blocks.groupBy("session").agg(*[F.count_if(F.col("source") == n).alias(n) for n in names]).filter(" AND ".join(f"{n} > 0" for n in names)).select("session")
+    both = chunks.groupBy("session", "part").agg(*[F.first(F.when(F.col("source") == n, F.col("samples")), ignorenulls=True).alias(n) for n in names]).join(there, "session", "left_semi")
+    empty = F.expr("CAST(array() AS array<double>)")
+    sides = [F.coalesce(F.col(n).cast("array<double>"), empty) for n in names]
+    mixed = mix_mono(*sides, *map(gain, names))
+    if not ended:
+        mixed = F.slice(mixed, 1, F.least(*map(F.size, sides)))
+    return both.select("session", place, mixed.alias("samples")).filter(F.size("samples") > 0)
+
+
+def check_pending(blocks: DataFrame, limit: int = 10 * TARGET_RATE) -> DataFrame:
+    """(session, source, pending): the samples of each source's blocks that wait for the other source; more than the limit is an error."""
+    n = blocks.groupBy("session", "source").agg(F.sum(F.size("samples")).alias("n"))
     pending = n.withColumn("pending", F.col("n") - F.min("n").over(W.partitionBy("session")))
     return pending.filter(F.when(F.col("pending") <= limit, True).otherwise(F.raise_error("too much audio is pending").cast("boolean"))).drop("n")
 

@@ -6,34 +6,15 @@ their audio segments, conversations for transcript segments, events for a change
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions import signal, text
 from tapeloom.operators import history, merge, queue, sequence
+from tapeloom.plans.registry import query, table
 from tapeloom.sources import documents
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("long"))
@@ -105,6 +86,7 @@ SELECT a.vec_id AS vec_id, round(list_sum(list_transform(range(1, greatest(len(a
 FROM embeddings a JOIN (SELECT vec_id, embedding[1:48] AS embedding FROM embeddings) b ON b.vec_id = a.vec_id + 1
 """)
 def mix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second of a pair is cut to 48 samples, so that the lengths differ."""
     e = table(spark, sf_dir, "embeddings")
     other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.slice("embedding", 1, 48).alias("b"))
     mixed = signal.mix_mono(F.col("embedding"), F.col("b"), F.lit(1.5), F.lit(9.0))
@@ -120,13 +102,6 @@ def quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("vec_id", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_min("q").alias("lowest"), F.array_max("q").alias("highest"), (44 + 2 * F.size("q")).cast("long").alias("wav_bytes"))
 
 
-@query()
-def wav_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tapeloom.functions.codecs import encode_flac, encode_wav
-
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.sha2(encode_wav("embedding"), 256).alias("wav_sha256"), F.sha2(encode_flac("embedding"), 256).alias("flac_sha256"))
-
-
 # A turn's state, made from its keys so that all states and attempts occur.
 STATE = "CASE (conv_id * 7 + turn * 3) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' WHEN 2 THEN 'processing' ELSE 'complete' END"
 ATTEMPTS = "((conv_id + turn) % 5)"
@@ -226,16 +201,17 @@ def recovered_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT event_id, event_type AS source, (row_number() OVER w - 1 + sum(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) OVER w)::BIGINT AS sequence, CASE WHEN event_id % 101 = 0 THEN 44100 ELSE 48000 END AS sample_rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
-f AS (SELECT source, sequence <> coalesce(lag(sequence) OVER w + 1, 0) AS gap, sample_rate <> first_value(sample_rate) OVER w AS rate FROM n WINDOW w AS (PARTITION BY source ORDER BY sequence ROWS UNBOUNDED PRECEDING))
-SELECT source, count(*) FILTER (WHERE gap) AS gaps, count(*) FILTER (WHERE rate AND NOT gap) AS rates FROM f GROUP BY 1
+WITH n AS (SELECT user_id AS session, event_type AS source, (row_number() OVER w - 1 + sum(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) OVER w)::BIGINT AS sequence, CASE WHEN event_id % 5 = 0 THEN 44100 ELSE 48000 END AS sample_rate FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT session, source, sequence <> coalesce(lag(sequence) OVER w + 1, 0) AS gap, sample_rate <> first_value(sample_rate) OVER w AS rate FROM n WINDOW w AS (PARTITION BY session, source ORDER BY sequence ROWS UNBOUNDED PRECEDING))
+SELECT session, source, count(*) FILTER (WHERE gap) AS gaps, count(*) FILTER (WHERE rate AND NOT gap) AS rates FROM f GROUP BY 1, 2
 """)
 def sequence_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = W.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    number = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id")) - 1 + F.sum(F.expr("CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END")).over(by)
-    rate = F.expr("CASE WHEN event_id % 101 = 0 THEN 44100 ELSE 48000 END").alias("sample_rate")
-    checked = sequence.check_sequence(table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), number.cast("long").alias("sequence"), rate))
-    return checked.groupBy("source").agg(F.count_if(F.col("fault") == "sequence gap").alias("gaps"), F.count_if(F.col("fault") == "sample rate changed").alias("rates"))
+    """Each user's events of a type stand for one source's blocks; numbers jump and rates change here and there."""
+    by = W.partitionBy("user_id", "event_type").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
+    number = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("event_id")) - 1 + F.sum(F.expr("CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END")).over(by)
+    rate = F.expr("CASE WHEN event_id % 5 = 0 THEN 44100 ELSE 48000 END").alias("sample_rate")
+    checked = sequence.check_sequence(table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("source"), number.cast("long").alias("sequence"), rate))
+    return checked.groupBy("session", "source").agg(F.count_if(F.col("fault") == "sequence gap").alias("gaps"), F.count_if(F.col("fault") == "sample rate changed").alias("rates"))
 
 
 BLOCKS = "b AS (SELECT o_custkey AS session, o_orderkey AS block, o_orderkey % 4001 + 100 AS samples FROM orders)"
@@ -269,10 +245,15 @@ WITH {TRACKS}, k AS (SELECT session FROM s GROUP BY 1 HAVING count(DISTINCT sour
 SELECT session, pos, round(least(1, greatest(-1, sum(greatest(-1, least(1, value)) * CASE source WHEN 'microphone' THEN 1.0 ELSE 2.0 END))), 9) AS value FROM s WHERE session IN (SELECT session FROM k) GROUP BY 1, 2
 """)
 def aligned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = sequence.align_mix(tracks(spark, sf_dir), {"microphone": 1.0, "system": 2.0}, chunk=10)
+    return mixed.select("session", "pos", F.posexplode("samples").alias("at", "value")).select("session", (F.col("pos") + F.col("at")).alias("pos"), F.round("value", 9).alias("value"))
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks (session, source, block, samples): a user's click and view values stand for the microphone's samples, the others for the system's; blocks of different sizes."""
     t = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.when(F.col("event_type").isin("click", "view"), "microphone").otherwise("system").alias("source"), "event_id", (F.col("value") / 1000).alias("value"))
-    by = W.partitionBy("session", "source").orderBy("event_id")
-    numbered = t.withColumn("pos", (F.row_number().over(by) - 1).cast("long"))
-    return sequence.align_mix(numbered, {"microphone": 1.0, "system": 2.0}).withColumn("value", F.round("value", 9))
+    block = F.expr("event_id div 97").alias("block")
+    return t.groupBy("session", "source", block).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("samples"))
 
 
 @query("""
@@ -289,12 +270,17 @@ def loud_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.drain_segments(found, F.lit(1 << 40))
 
 
+LANGUAGES = ["zh", " zh-CN ", "Chinese", "en", "en-US", "English", "yue", "Cantonese", "ja", "Japanese", "ko", "Korean", "auto", "", " ", "fr"]
+
+
 @query("""
-SELECT doc_id, CASE lang WHEN 'zh' THEN 'Chinese' WHEN 'en' THEN 'English' WHEN 'ja' THEN 'Japanese' WHEN 'ko' THEN 'Korean' ELSE lang END AS full_name,
-  CASE lang WHEN 'en' THEN 'en' ELSE lang END AS whisper_code, CASE lang WHEN 'en' THEN '英文' ELSE lang END AS funasr_code FROM documents
+WITH d AS (SELECT doc_id, CASE doc_id % 16 WHEN 0 THEN 'Chinese' WHEN 1 THEN 'Chinese' WHEN 2 THEN 'Chinese' WHEN 3 THEN 'English' WHEN 4 THEN 'English' WHEN 5 THEN 'English' WHEN 6 THEN 'Cantonese' WHEN 7 THEN 'Cantonese'
+  WHEN 8 THEN 'Japanese' WHEN 9 THEN 'Japanese' WHEN 10 THEN 'Korean' WHEN 11 THEN 'Korean' WHEN 15 THEN 'fr' END AS n FROM documents)
+SELECT doc_id, n AS full_name, CASE n WHEN 'Chinese' THEN 'zh' WHEN 'English' THEN 'en' WHEN 'Japanese' THEN 'ja' WHEN 'Cantonese' THEN 'yue' WHEN 'Korean' THEN 'ko' ELSE n END AS whisper_code,
+  CASE n WHEN 'Chinese' THEN '中文' WHEN 'English' THEN '英文' WHEN 'Japanese' THEN '日文' WHEN 'Cantonese' THEN '粤语' ELSE n END AS funasr_code FROM d
 """)
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = text.recognition_language(F.col("lang"))
+    name = text.recognition_language(F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("doc_id") % 16 + 1).cast("int")))
     return table(spark, sf_dir, "documents").select("doc_id", name.alias("full_name"), text.whisper_language(name).alias("whisper_code"), text.funasr_language(name).alias("funasr_code"))
 
 
@@ -309,12 +295,18 @@ def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT page_id, 'http://h' || page_id || ':80/v1' || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/chat/completions/?k=1' ELSE '#x' END AS u FROM pages)
-SELECT page_id, 'http://h' || page_id || ':80/v1/chat/completions' AS endpoint, html <> '' AS named, sha256(html) AS digest FROM u JOIN pages USING (page_id)
+WITH u AS (SELECT page_id, page_id % 10 AS k, html FROM pages)
+SELECT page_id, CASE k
+  WHEN 0 THEN 'http://h' || page_id || '/v1/chat/completions' WHEN 1 THEN 'https://h' || page_id || ':8443/v1/chat/completions' WHEN 2 THEN 'http://h' || page_id || '/v1/chat/completions'
+  WHEN 3 THEN 'https://h' || page_id || '/chat/completions' WHEN 4 THEN 'http://h' || page_id || ':443/v1/chat/completions' WHEN 5 THEN 'http://u:p@h' || page_id || '/a/b/chat/completions'
+  WHEN 6 THEN 'http://[::1]:8000/v1/chat/completions' END AS endpoint, sha256(html) AS digest FROM u
 """)
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit(" http://h"), F.col("page_id"), F.lit(":80/v1"), F.expr("CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/chat/completions/?k=1' ELSE '#x' END"))
-    return table(spark, sf_dir, "pages").select("page_id", text.completions_url(raw).alias("endpoint"), (F.col("html") != "").alias("named"), F.sha2("html", 256).alias("digest"))
+    """Addresses as people type them; those of the last kinds are no HTTP endpoints."""
+    host = F.concat(F.lit("H"), F.col("page_id"))
+    kinds = [(" http://", ":80/v1"), ("HTTPS://", ":8443/v1/?k=1#x"), ("http://", ":/v1//"), ("https://", ":443"), ("http://", ":443/v1/chat/completions/"), ("http://u:p@", "/a/b?x"), ("http://[::1]:8000/v1", None), ("ftp://", "/v1"), ("", "/v1"), ("http:///", None)]
+    raw = F.coalesce(*[F.when(F.col("page_id") % 10 == n, F.lit(a) if b is None else F.concat(F.lit(a), host, F.lit(b))) for n, (a, b) in enumerate(kinds)])
+    return table(spark, sf_dir, "pages").select("page_id", text.completions_url(raw).alias("endpoint"), F.sha2("html", 256).alias("digest"))
 
 
 @query("""

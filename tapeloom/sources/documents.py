@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,27 +22,47 @@ SCHEMAS = {
 REQUIRED = {"session": ("sessionId", "startedAt", "status", "segments"), "transcript": ("sessionId", "status", "segments"), "translation": ("sessionId", "status", "segments")}
 
 
-def scan_documents(spark: SparkSession, root: str, kind: str, strict: bool = False, depth: int = MAX_DEPTH) -> DataFrame:
-    """All documents of a kind under a root: the parsed columns, directory, and (tolerant) corrupt.
+def parse_documents(files: DataFrame, kind: str, strict: bool = False) -> DataFrame:
+    """The documents in files (directory, content) of a kind: the parsed columns, directory, and (tolerant) corrupt.
 
     strict: any unreadable document fails the query. Tolerant: such a row stays with corrupt = true, so a caller can drop
-    what belongs to it and still count it; a document without a required field is unreadable too. Files
-    more than depth folders down are passed over. Spark's lister follows links; give it a root without any.
-    """
-    reader = spark.read.schema(f"{SCHEMAS[kind]}, _corrupt STRING" if not strict else SCHEMAS[kind]).option("multiLine", True)
-    reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", NAMES[kind]).option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    found = (reader if strict else reader.option("columnNameOfCorruptRecord", "_corrupt")).json(root)
-    found = found.withColumn("directory", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
-    below = F.regexp_replace(F.col("directory"), r"^\w+:/*", "/")
-    base = "/" + root.split(":", 1)[-1].strip("/") if ":" in root else root.rstrip("/")
-    found = found.filter(F.size(F.split(F.substring(below, len(base) + 1, 1 << 20), "/")) - 1 <= depth)
-    lacks = None
+    what belongs to it and still count it. A document without a required field is unreadable too; unknown fields are ignored."""
+    read = F.from_json("content", f"{SCHEMAS[kind]}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "multiLine": "true"})
+    found = files.select("directory", read.alias("d"))
+    lacks = F.col("d").isNull() | F.col("d._corrupt").isNotNull()
     for name in REQUIRED[kind]:
-        lacks = F.col(name).isNull() if lacks is None else lacks | F.col(name).isNull()
+        lacks = lacks | F.col(f"d.{name}").isNull()
     if strict:
-        checked = F.when(lacks, F.raise_error(F.concat(F.lit("a required field is missing in "), "directory")).cast("string")).otherwise(F.col("sessionId"))
-        return found.withColumn("sessionId", checked)
-    return found.withColumn("corrupt", F.col("_corrupt").isNotNull() | lacks).drop("_corrupt")
+        return found.select("directory", lacks.alias("__lacks"), "d.*").withColumn("sessionId", F.when(F.col("__lacks"), F.raise_error(F.concat(F.lit("unreadable document in "), "directory")).cast("string")).otherwise(F.col("sessionId"))).drop("_corrupt", "__lacks")
+    return found.select("directory", lacks.alias("corrupt"), "d.*").drop("_corrupt")
+
+
+def plain_files(root: str, name: str, depth: int = MAX_DEPTH) -> list[str]:
+    """Paths of the files of a name at most depth folders below a local root; links, to files or folders, are passed over."""
+    found, base = [], root.removeprefix("file://").rstrip("/") or "/"
+    for folder, folders, files in os.walk(base, followlinks=False):
+        below = 0 if folder == base else folder[len(base) :].strip("/").count("/") + 1
+        if below >= depth:
+            folders.clear()
+        if name in files and not os.path.islink(f"{folder}/{name}"):
+            found.append(f"file://{folder}/{name}")
+    return sorted(found)
+
+
+def scan_documents(spark: SparkSession, root: str, kind: str, strict: bool = False, depth: int = MAX_DEPTH) -> DataFrame:
+    """All documents of a kind at most depth folders under a root, as parse_documents gives them.
+
+    A local root is listed without following links. Other file systems, which have none, are listed by Spark."""
+    if root.startswith(("/", "file:")):
+        paths = plain_files(root, NAMES[kind], depth)
+        if not paths:
+            return parse_documents(spark.createDataFrame([], "directory string, content string"), kind, strict)
+        read = spark.read.text(paths, wholetext=True)
+    else:
+        read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", NAMES[kind]).text(root, wholetext=True)
+        below = F.substring(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""), len(root.rstrip("/")) + 1, 1 << 20)
+        read = read.filter(F.size(F.split(below, "/")) - 1 <= depth)
+    return parse_documents(read.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("directory"), F.col("value").alias("content")), kind, strict)
 
 
 def load_document(spark: SparkSession, directory: str, kind: str) -> DataFrame | None:
@@ -56,13 +78,16 @@ def session_date(directory: str = "directory"):
     return F.try_to_date(F.regexp_extract(F.col(directory), r"/(\d{4}/\d{2}/\d{2})/[^/]+$", 1), "yyyy/MM/dd")
 
 
-def save_documents(documents: DataFrame, path: str) -> None:
-    """Documents as Parquet by day, so that later reads prune; Spark's committer makes the write all or nothing."""
+def save_documents(documents: DataFrame, path: str, by: tuple[str, ...] = ("year", "month", "day")) -> None:
+    """Documents as Parquet by day (or by the first of these parts), so that later reads prune; Spark's committer makes the write all or nothing.
+
+    A folder's rows meet before the write, so that it holds few files, not one for each task; Spark splits a heavy one."""
     day = F.to_date("startedAt") if "startedAt" in documents.columns else F.to_date("updatedAt")
-    documents.withColumns({"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)}).write.partitionBy("year", "month", "day").mode("overwrite").parquet(path)
+    dated = documents.withColumns({"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)})
+    dated.hint("rebalance", *by).write.partitionBy(*by).mode("overwrite").parquet(path)
 
 
-def delete_session(manifests: DataFrame, session_id: str, root: str) -> DataFrame:
+def without_session(manifests: DataFrame, session_id: str, root: str) -> DataFrame:
     """The manifests that stay. Deleting a session that still records, or one outside the root, is refused."""
     mine = manifests.filter(F.col("sessionId") == session_id)
     outside = ~F.startswith(F.concat("directory", F.lit("/")), F.lit(root.rstrip("/") + "/"))
@@ -72,6 +97,18 @@ def delete_session(manifests: DataFrame, session_id: str, root: str) -> DataFram
     return manifests.filter(F.col("sessionId") != session_id)
 
 
+def delete_session(manifests: DataFrame, session_id: str, root: str) -> DataFrame:
+    """Deletes the folder of a session (as without_session allows) and returns the manifests that stay; an unknown session is an error."""
+    rest = without_session(manifests, session_id, root)
+    folders = [r[0] for r in manifests.filter(F.col("sessionId") == session_id).select("directory").distinct().limit(2).collect()]
+    if len(folders) != 1 or ".." in folders[0].split("/"):
+        raise ValueError("no such session")
+    spark = manifests.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folders[0])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return rest
+
+
 #: Fixed values: (model, artifact kind, bytes).
 VOICE_DETECTOR_BYTES = 643_854
 MODEL_BYTES = {"qwen3-asr-0.6b-int8": 879_346_277, "qwen3-asr-1.7b-int8": 2_404_866_275, "funasr-nano-int8": 842_374_465, "whisper-large-v3-int8": 1_069_126_342}

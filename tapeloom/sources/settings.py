@@ -7,10 +7,17 @@ import math
 import re
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tapeloom.functions.text import completions_url
+
+# Fixed values.
 DEFAULTS: dict[str, dict[str, Any]] = {
-    "audio": {"format": "flac", "segmentMinutes": 60, "microphoneGain": 1.0, "systemGain": 1.0},
-    "transcription": {"modelId": "qwen3-asr-0.6b-int8", "threads": 2, "unloadAfterIdleMinutes": 10, "vad": {"activationThreshold": 0.5, "minSpeechMs": 250, "minSilenceMs": 500, "maxSegmentMs": 30_000}},
-    "translation": {"enabled": False, "endpoint": "http://localhost:8080/v1", "model": "default", "targetLanguage": "English"},
+    "audio": {"format": "flac", "microphoneGain": 1.0, "outputDirectory": None, "segmentMinutes": 60, "source": "mixed", "systemGain": 1.0},
+    "desktop": {"hideWindowOnClose": True, "language": "system", "launchAtLogin": False, "startRecordingOnLaunch": False, "theme": "system"},
+    "transcription": {"language": "auto", "modelId": "qwen3-asr-0.6b-int8", "threads": 2, "unloadAfterIdleMinutes": 10, "vad": {"activationThreshold": 0.5, "minSpeechMs": 250, "minSilenceMs": 500, "maxSegmentMs": 30_000}},
+    "translation": {"enabled": True, "endpoint": "http://127.0.0.1:8000/v1", "model": "Hy-MT2-1.8B", "targetLanguage": "Chinese"},
 }
 
 
@@ -50,3 +57,23 @@ def validate_settings(settings: dict[str, Any], models: tuple[str, ...]) -> None
             raise ValueError(message)
     vad = asr["vad"]
     check_segmentation(vad["activationThreshold"], vad["minSpeechMs"], vad["minSilenceMs"], vad["maxSegmentMs"])
+
+
+def settings_fault(row: dict[str, Column]) -> Column:
+    """The first rule that a row of settings breaks, or null: the rules of validate_settings as one expression.
+
+    row: columns named as the fields of DEFAULTS' audio, transcription (vad's too) and translation sections."""
+    finite = lambda x: ~(F.isnan(x) | (F.abs(x) == float("inf")))
+    blank = lambda x: F.regexp_replace(x, r"\p{IsWhite_Space}+", "") == ""
+    rules = [
+        (row["segmentMinutes"].between(1, 1440), "segmentMinutes must be 1 to 1440"),
+        *((finite(row[k]) & row[k].between(0, 4), f"{k} must be 0 to 4") for k in ("microphoneGain", "systemGain")),
+        (row["threads"].between(1, 16), "threads must be 1 to 16"),
+        (completions_url(row["endpoint"]).isNotNull(), "the endpoint must be an http or https address"),
+        (~blank(row["model"]), "the translation model can't be blank"),
+        (~blank(row["targetLanguage"]), "targetLanguage can't be blank"),
+        (finite(row["activationThreshold"]) & row["activationThreshold"].between(0, 1), "the threshold must lie between 0 and 1"),
+        ((row["minSpeechMs"] > 0) & (row["minSilenceMs"] > 0), "shortest speech and silence must be positive"),
+        (row["maxSegmentMs"] >= row["minSpeechMs"], "the longest segment can't be shorter than the shortest"),
+    ]
+    return F.coalesce(*[F.when(~F.coalesce(holds, F.lit(False)), message) for holds, message in rules])

@@ -1,8 +1,7 @@
-"""The capture pipeline as a stateful stream: order and rate checks, levels, and positional mixing of two sources."""
+"""The capture pipeline as a stateful stream: order and rate checks, levels, resampling, and positional mixing of two sources."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,103 +11,149 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tapeloom.functions.signal import TARGET_RATE
+from tapeloom.functions.signal import FLOOR_DB, TARGET_RATE
 from tapeloom.operators.resample import Resampler
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EVENT_SCHEMA = "session string, kind string, source string, sequence long, channels int, sample_rate int, samples array<float>, message string"
-MIXED_SCHEMA = "session string, position long, samples array<float>, level_db double, pending long"
+EVENT_SCHEMA = "session string, arrival long, kind string, source string, sequence long, channels int, sample_rate int, samples array<float>, message string"
+MIXED_SCHEMA = "session string, kind string, source string, position long, samples array<float>, level_db double, waveform array<float>, pending long"
 LIMIT = 10 * TARGET_RATE
+BINS = 48
 
 
 def capture_events(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Events of JSON files as they come; a schema is never inferred."""
+    """Events of JSON files as they come; a schema is never inferred. arrival numbers a session's events in the order in which they came."""
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def _mono(samples: np.ndarray, channels: int) -> np.ndarray:
+def to_mono_block(samples: np.ndarray, channels: int) -> np.ndarray:
     if channels <= 0 or len(samples) % channels:
         raise ValueError("a block must hold whole frames")
     clean = np.where(np.isfinite(samples), np.clip(samples, -1, 1), 0)
     return clean.reshape(-1, channels).mean(axis=1)
 
 
+def level_db(samples: np.ndarray) -> float:
+    level = float(np.sqrt(np.mean(samples**2))) if len(samples) else 0.0
+    return max(FLOOR_DB, 20 * float(np.log10(level))) if level > 0 else FLOOR_DB
+
+
+def peaks(samples: np.ndarray, bins: int = BINS) -> np.ndarray:
+    n = len(samples)
+    if not n:
+        return np.zeros(bins)
+    start = np.minimum(np.arange(bins) * n // bins, n - 1)
+    end = np.maximum((np.arange(bins) + 1) * n // bins, start + 1)
+    return np.array([np.abs(samples[a:b]).max() for a, b in zip(start, end, strict=True)])
+
+
+class Source:
+    """One source of a session: its next number, its rate, its resampler and the samples that wait."""
+
+    def __init__(self, rate: int) -> None:
+        self.next, self.rate, self.resampler, self.waiting = 0, rate, Resampler(rate), np.zeros(0)
+
+    def push(self, event: Any) -> np.ndarray:
+        """Takes a block and returns it as one channel."""
+        if event.sample_rate != self.rate:
+            raise RuntimeError(f"sample rate of {event.source} changed")
+        if event.sequence != self.next:
+            raise RuntimeError(f"sequence gap in {event.source}: {event.sequence} instead of {self.next}")
+        self.next += 1
+        mono = to_mono_block(np.asarray(event.samples, np.float64), int(event.channels))
+        self.waiting = np.concatenate((self.waiting, self.resampler.push(mono)))
+        if len(self.waiting) > LIMIT:
+            raise RuntimeError("too much audio is pending")
+        return mono
+
+    def take(self, n: int) -> np.ndarray:
+        out, self.waiting = self.waiting[:n], self.waiting[n:]
+        return out
+
+
 class Mixer(StatefulProcessor):
-    """One session: each source's number, rate and waiting samples; mixes what both sources have.
+    """One session: checks and mixes its sources; rows of kind level (of each block, at its source), and mixed (the output).
 
-    A gap, a changed rate, an error event or more than LIMIT waiting samples ends the query. A control event (kind 'mode',
-    message = microphone, system or mixed) drops what waits and switches; a source that the mode leaves out is discarded; kind
-    'end' flushes: in mixed mode to the longer source, if both ever came."""
+    Events count in order of arrival. A gap, a changed rate, an error event or more than LIMIT waiting samples ends the query. A control event
+    (kind mode; message: microphone, system or mixed) that changes the mode drops what waits and makes the session's source mixed. A
+    source that the mode leaves out is discarded; mixed mode gives what both sources have. Kind end flushes the resamplers and, in mixed mode, gives
+    the longer source's rest, if both ever came. The rest of a block waits as one binary value in a list; the filter's state goes on."""
 
     def __init__(self, mode: str = "mixed", gains: dict[str, float] | None = None) -> None:
-        self.mode, self.gains = mode, gains or {}
+        gain = lambda g: min(4.0, max(0.0, g)) if np.isfinite(g) else 0.0
+        self.mode, self.gains = mode, {k: gain(v) for k, v in (gains or {}).items()}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "state string")
+        self.session = handle.getValueState("session", "mode string, position long, source string")
+        self.known = handle.getMapState("sources", "name string", "next long, rate int, held binary, first long, read long, made long")
+        self.waiting = handle.getListState("waiting", "name string, samples binary")
+
+    def _load(self) -> tuple[str, int, str, dict[str, Source]]:
+        mode, position, label = self.session.get() if self.session.exists() else (self.mode, 0, self.mode)
+        sources: dict[str, Source] = {}
+        if self.known.exists():
+            for (name,), (number, rate, *state) in self.known.iterator():
+                sources[name] = Source(rate)
+                sources[name].next, sources[name].resampler = number, Resampler.resume(rate, tuple(state))
+        if self.waiting.exists():
+            for name, samples in self.waiting.get():
+                sources[name].waiting = np.concatenate((sources[name].waiting, np.frombuffer(samples, np.float64)))
+        return mode, position, label, sources
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        held = json.loads(self.state.get()[0]) if self.state.exists() else {"mode": self.mode, "position": 0, "sources": {}}
-        events = pd.concat(list(rows))
-        events["late"] = events["kind"] == "end"
-        out = []
-        for event in events.sort_values(["late", "sequence"], kind="stable").itertuples():
+        mode, position, label, sources = self._load()
+        out: list[tuple] = []
+        for event in pd.concat(list(rows)).sort_values("arrival", kind="stable").itertuples():
             if event.kind == "error":
-                raise RuntimeError(f"capture failed: {event.message}")
-            if event.kind == "mode":
-                held["mode"] = event.message
-                for s in held["sources"].values():
-                    s["waiting"] = []
+                raise RuntimeError(f"capture of {event.source} failed: {event.message}")
+            if event.kind == "mode" and event.message != mode:
+                mode, label = event.message, "mixed"
+                for s in sources.values():
+                    s.waiting = np.zeros(0)
             elif event.kind == "audio":
-                self._take(held, event)
-                out += self._drain(held, key[0], False)
+                source = sources.setdefault(event.source, Source(int(event.sample_rate)))
+                mono = source.push(event)
+                out.append((key[0], "level", event.source, event.sequence, None, level_db(mono), peaks(mono), len(source.waiting)))
             elif event.kind == "end":
-                out += self._drain(held, key[0], True)
-        self.state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["session", "position", "samples", "level_db", "pending"])
-
-    def _take(self, held: dict, event: Any) -> None:
-        s = held["sources"].setdefault(event.source, {"next": 0, "rate": int(event.sample_rate), "waiting": []})
-        if event.sequence != s["next"]:
-            raise RuntimeError(f"sequence gap in {event.source}: {event.sequence} instead of {s['next']}")
-        if event.sample_rate != s["rate"]:
-            raise RuntimeError(f"sample rate of {event.source} changed")
-        s["next"] += 1
-        if held["mode"] in ("mixed", event.source):
-            mono = _mono(np.asarray(event.samples, np.float64), int(event.channels))
-            if s["rate"] != TARGET_RATE:
-                one = Resampler(s["rate"])
-                mono = np.concatenate((one.push(mono), one.finish()))
-            s["waiting"] += mono.tolist()
-        if len(s["waiting"]) > LIMIT:
-            raise RuntimeError("too much audio is pending")
-
-    def _drain(self, held: dict, session: str, ended: bool) -> list[tuple]:
-        names = ["microphone", "system"] if held["mode"] == "mixed" else [held["mode"]]
-        parts = [held["sources"].get(n) for n in names]
-        if any(p is None for p in parts):
-            return []
-        sizes = [len(p["waiting"]) for p in parts]
-        n = max(sizes) if ended else min(sizes)
-        if not n:
-            return []
+                for s in sources.values():
+                    s.waiting = np.concatenate((s.waiting, s.resampler.finish()))
+            if event.kind in ("audio", "end"):
+                mixed = self._drain(mode, sources, event.kind == "end")
+                if len(mixed):
+                    out.append((key[0], "mixed", label, position, mixed, level_db(mixed), None, max((len(s.waiting) for s in sources.values()), default=0)))
+                    position += len(mixed)
+        self.session.update((mode, position, label))
+        for name, s in sources.items():
+            self.known.updateValue((name,), (s.next, s.rate, *s.resampler.state()))
+        rest = [(name, s.waiting.tobytes()) for name, s in sources.items() if len(s.waiting)]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(out, columns=["session", "kind", "source", "position", "samples", "level_db", "waveform", "pending"])
+
+    def _drain(self, mode: str, sources: dict[str, Source], ended: bool) -> np.ndarray:
+        if mode != "mixed":
+            for name, s in sources.items():
+                if name != mode:
+                    s.waiting = np.zeros(0)
+            return (sources[mode].take(len(sources[mode].waiting)) * self.gains.get(mode, 1.0)).clip(-1, 1) if mode in sources else np.zeros(0)
+        parts = [(n, sources[n]) for n in ("microphone", "system") if n in sources]
+        if len(parts) < 2:
+            return np.zeros(0)
+        n = (max if ended else min)(len(s.waiting) for _, s in parts)
         total = np.zeros(n)
-        for name, part in zip(names, parts, strict=True):
-            piece = np.asarray(part["waiting"][:n])
+        for name, s in parts:
+            piece = s.take(n)
             total[: len(piece)] += piece * self.gains.get(name, 1.0)
-            part["waiting"] = part["waiting"][n:]
-        total = total.clip(-1, 1)
-        level = float(np.sqrt(np.mean(total**2)))
-        row = (session, held["position"], total.astype(np.float32), max(-80.0, 20 * np.log10(level)) if level > 0 else -80.0, max(len(p["waiting"]) for p in parts))
-        held["position"] += n
-        return [row]
+        return total.clip(-1, 1)
 
     def close(self) -> None:
         pass
 
 
 def mixed_stream(events: DataFrame, mode: str = "mixed", gains: dict[str, float] | None = None) -> DataFrame:
-    """Mixed audio of each session as it comes. A source whose rate isn't the target's is resampled block by block, each to its exact
-    length; the batch operator resample_sources carries the filter on across blocks."""
+    """Levels and mixed audio of each session as they come (see Mixer). The events of one session and trigger are put in order in memory."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return events.groupBy("session").transformWithStateInPandas(Mixer(mode, gains), MIXED_SCHEMA, "Append", "None")
 
@@ -141,11 +186,28 @@ def latest_stream(changes: DataFrame) -> DataFrame:
     return changes.groupBy("session", "id").transformWithStateInPandas(LatestSegment(), "session string, id long, status string, attempts long, text string, arrival long", "Update", "None")
 
 
-def status_stream(mixed: DataFrame, path: str, checkpoint: str, every: str = "100 milliseconds"):
-    """Writes each batch's last level and position of a session as it is known: the live status."""
+CHANNELS = ("recording-status", "model-download-status", "transcription-status", "transcript-segment", "translation-segment")  # fixed values
+
+
+def channel_events(rows: DataFrame, channel: str, key: str) -> DataFrame:
+    """(channel, key, payload): rows as the JSON objects that listeners of a channel get."""
+    if channel not in CHANNELS:
+        raise ValueError(f"no channel {channel}")
+    return rows.select(F.lit(channel).alias("channel"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("payload"))
+
+
+def recording_status(mixed: DataFrame) -> DataFrame:
+    """The last output row of each session in a batch of mixed_stream: how far it is, its level and what waits."""
+    last = mixed.filter("kind = 'mixed'").groupBy("session").agg(F.max_by(F.struct("position", "level_db", "pending"), "position").alias("s"))
+    return last.select("session", "s.*")
+
+
+def publish_stream(rows: DataFrame, channel: str, key: str, path: str, checkpoint: str, shape=lambda batch: batch, every: str = "100 milliseconds", **trigger: bool):
+    """Writes a stream's rows, shaped batch by batch, to a channel's folder.
+
+    A batch has a folder of its own that a repeat overwrites, so a retry tells nothing twice."""
 
-    def publish(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("session").agg(F.max_by(F.struct("position", "level_db", "pending"), "position").alias("s"))
-        last.select("session", "s.*").write.mode("append").parquet(path)
+    def publish(batch: DataFrame, number: int) -> None:
+        channel_events(shape(batch), channel, key).write.mode("overwrite").parquet(f"{path}/{channel}/batch={number}")
 
-    return mixed.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return rows.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": every})).start()

@@ -36,7 +36,7 @@ def test_partial_frame_is_an_error(spark):
 def test_text(spark):
     segments = lambda s: F.array(F.struct(F.lit("complete").alias("status"), F.lit(s).alias("text")), F.struct(F.lit("failed").alias("status"), F.lit("no").alias("text")))
     r = one(
-        spark, exact=text.preview(segments("　" + "é" * 160 + "\t")), more=text.preview(segments("x" * 161)), url=text.completions_url(F.lit("http://a/v1")), again=text.completions_url(F.lit("http://a/v1/chat/completions/?q=1")), bad=text.completions_url(F.lit("ftp://a")),
+        spark, exact=text.preview(segments("　" + "é" * 160 + "\t")), more=text.preview(segments("x" * 161)), url=text.completions_url(F.lit("http://A:80/v1")), again=text.completions_url(F.lit("http://a/v1/chat/completions/?q=1")), bad=text.completions_url(F.lit("ftp://a")),
         answer=text.completion_text(F.lit('{"choices":[{"message":{"content":"  Hello world.  "}}]}')), blank=text.completion_text(F.lit('{"choices":[{"message":{"content":" "}}]}')), auto=text.recognition_language(F.lit("auto")), zh=text.recognition_language(F.lit(" zh-CN ")), other=text.recognition_language(F.lit("xx")),
         long=text.format_duration(F.lit(360_000_999)), size=text.format_bytes(F.lit(1536 * 1024)), dots=text.safe_file_name(F.lit("..")), name=text.safe_file_name(F.lit("a.wav")),
     )
@@ -46,17 +46,22 @@ def test_text(spark):
     assert (r.long, r.size, r.dots, r.name) == ("100:00:00", "1.5 MB", False, True)
 
 
-def test_codecs():
-    wav = codecs.encode_wav_bytes(np.full(16000, 0.25))
-    assert len(wav) == 44 + 32000 and codecs.parse_wav_bytes(wav)[0] == 16000
-    assert codecs.repair_wav_bytes(codecs.wav_header(0) + bytes(320))[40:44] == (320).to_bytes(4, "little")
+def test_codecs(spark):
     pcm = np.random.default_rng(1).integers(-32767, 32768, 9001)
-    rate, back = codecs.decode_flac_bytes(codecs.encode_flac_bytes(pcm / 32767))
-    assert rate == 16000 and (back == pcm).all()
+    rows = [("a", 0, (pcm[:5000] / 32767).tolist()), ("a", 1, (pcm[5000:] / 32767).tolist()), ("b", 0, [0.25] * 16000), ("n", 0, [float("nan"), float("inf"), 2.0, -2.0, 0.5 / 32767])]
+    blocks = codecs.pcm_blocks(spark.createDataFrame(rows, "k string, n int, x array<double>"), "k", "x", "n")
+    flac = {r.k: bytes(r.content) for r in codecs.whole_files(codecs.flac_rows(blocks, "k"), "k").collect()}
+    wav = {r.k: bytes(r.content) for r in codecs.whole_files(codecs.wav_rows(blocks, "k"), "k").collect()}
+    rate, back = codecs.decode_flac_bytes(flac["a"])
+    assert rate == 16000 and (back == pcm).all() and codecs.decode_flac_bytes(flac["n"])[1].tolist() == [0, 0, 32767, -32767, 1]
+    assert len(wav["b"]) == 44 + 32000 and codecs.parse_wav_bytes(wav["b"])[0] == 16000
+    assert codecs.repair_wav_bytes(codecs.wav_header(0) + bytes(320))[40:44] == (320).to_bytes(4, "little")
     assert [codecs.utf8_uint(v) for v in (0x7F, 0x80, 0x800, 0x10000, 0x200000, 0x4000000)] == [chr(0x7F).encode(), chr(0x80).encode(), chr(0x800).encode(), chr(0x10000).encode(), b"\xf8\x88\x80\x80\x80", b"\xfc\x84\x80\x80\x80\x80"]
-    assert codecs.crc8(b"123456789") == 0xF4 and codecs.crc16(b"123456789") == 0xFEE8
+    assert codecs.crc8(b"123456789") == 0xF4 and codecs.crc16(np.frombuffer(b"123456789", np.uint8)[None])[0] == 0xFEE8
+    with pytest.raises(ValueError):
+        codecs.flac_header(0, 0, 0, 0)
     with pytest.raises(ValueError):
-        codecs.encode_flac_bytes(np.zeros(0))
+        codecs.wav_header(2**32)
 
 
 def test_resampler():
@@ -66,9 +71,20 @@ def test_resampler():
     assert Resampler(16000).push(np.array([0.1, -0.2])).tolist() == [0.1, -0.2]
 
 
+def test_resampler_goes_on_from_its_state():
+    x = np.random.default_rng(4).uniform(-1, 1, 9000)
+    whole = Resampler(44100)
+    want, one, got = np.concatenate((whole.push(x), whole.finish())), Resampler(44100), []
+    for i in range(0, 9000, 700):
+        got.append(one.push(x[i : i + 700]))
+        one = Resampler.resume(44100, one.state())
+    assert np.allclose(np.concatenate([*got, one.finish()]), want)
+
+
 def test_settings():
+    assert load_settings(None)["translation"] == {"enabled": True, "endpoint": "http://127.0.0.1:8000/v1", "model": "Hy-MT2-1.8B", "targetLanguage": "Chinese"}
     validate_settings(load_settings(None), ("qwen3-asr-0.6b-int8",))
     assert load_settings('{"audio": {"segmentMinutes": 5}}')["audio"]["microphoneGain"] == DEFAULTS["audio"]["microphoneGain"]
-    for bad in ('{"audio": {"microphoneGain": NaN}}', '{"transcription": {"threads": 0}}'):
+    for bad in ('{"audio": {"microphoneGain": NaN}}', '{"transcription": {"threads": 0}}', '{"transcription": {"vad": {"maxSegmentMs": 1}}}', '{"translation": {"endpoint": "ftp://x"}}'):
         with pytest.raises(ValueError):
             validate_settings(load_settings(bad), ("qwen3-asr-0.6b-int8",))
