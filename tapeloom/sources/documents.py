@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,8 @@ def save_documents(documents: DataFrame, path: str, by: tuple[str, ...] = ("year
 def without_session(manifests: DataFrame, session_id: str, root: str) -> DataFrame:
     """The manifests that stay. Deleting a session that still records, or one outside the root, is refused."""
     mine = manifests.filter(F.col("sessionId") == session_id)
-    outside = ~F.startswith(F.concat("directory", F.lit("/")), F.lit(root.rstrip("/") + "/"))
+    inside = re.sub(r"^file:/+", "/", root.rstrip("/")) + "/"
+    outside = ~F.startswith(F.concat(F.regexp_replace("directory", "^file:/+", "/"), F.lit("/")), F.lit(inside)) | F.contains("directory", F.lit("/../"))
     bad = mine.filter((F.col("status") == "recording") | outside).limit(1).count()
     if bad:
         raise ValueError("an active session, or one outside the root, can't be deleted")
