@@ -99,16 +99,15 @@ def without_session(manifests: DataFrame, session_id: str, root: str) -> DataFra
     return manifests.filter(F.col("sessionId") != session_id)
 
 
-def delete_session(manifests: DataFrame, session_id: str, root: str) -> DataFrame:
-    """Deletes the folder of a session (as without_session allows) and returns the manifests that stay; an unknown session is an error."""
-    rest = without_session(manifests, session_id, root)
+def delete_session(manifests: DataFrame, session_id: str, root: str) -> None:
+    """Deletes the folder of a session, as without_session allows; an unknown session is an error. What stays shows in a new scan."""
+    without_session(manifests, session_id, root)
     folders = [r[0] for r in manifests.filter(F.col("sessionId") == session_id).select("directory").distinct().limit(2).collect()]
     if len(folders) != 1 or ".." in folders[0].split("/"):
         raise ValueError("no such session")
     spark = manifests.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folders[0])
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return rest
 
 
 #: Fixed values: (model, artifact kind, bytes).
