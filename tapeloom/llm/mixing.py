@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, without
 
-BUCKETS = 16384
+FINER = 4096
+MOST_SORTED = 10_000
 BROADCAST_ROWS = 10_000
 
 
@@ -43,7 +44,7 @@ def source_targets(totals: DataFrame, source_col: str, weights: tuple[float, ...
 
 
 def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 11,
-                id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weight_col: str | None = None) -> DataFrame:
+                id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weight_col: str | None = None, most_sorted: int = MOST_SORTED) -> DataFrame:
     """Adds source_size, target and taken (long: size units of the row that the mix takes, repeats counted).
 
     A source's target is met by floor(target / source_size) complete epochs of all its rows; the rest comes
@@ -51,36 +52,53 @@ def mix_sources(df: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), sha
     first), by prefix sum; the row at which the budget ends is taken in part. So sum(taken) is the target, rounded
     half up, and no row exceeds ceil(max_epochs) times its size. u depends on seed and id only, so reruns agree.
 
-    Null sizes count 0; a null or non-positive weight sorts last; a null source is a source of its own.
+    Null sizes count 0; rows of null or non-positive weight come last, in order of -ln(u); a null source is a source of its own.
     Rows that tie in key, id and size are interchangeable. Empty df: no rows. Columns named source_size,
     target or taken are replaced.
 
-    A source is never sorted whole: a histogram of key buckets (BUCKETS of equal expected size; partial sums
-    before the exchange) finds the one bucket in which the budget ends, and only that bucket is sorted.
+    A source is never sorted whole: a histogram of its keys (partial sums before the exchange) finds the bin in which the budget
+    ends, and bins of that bin follow until it holds at most most_sorted rows or a single key; only those rows are sorted.
     """
     df = without(df, "source_size", "target", "taken")
     weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
-    key = F.when(weight > 0, -F.log(uniform(F.col(id_col), seed)) / weight).otherwise(F.lit(float("inf")))
-    keyed = df.withColumns({"__size": F.coalesce(F.col(size_col), F.lit(0)).cast("long"), "__key": key})
-    keyed = keyed.withColumn("__bucket", F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS).cast("int"))
-    histogram = stored(keyed.groupBy(F.col(source_col).alias("__source"), "__bucket").agg(F.sum("__size").alias("__in")), "mix-histogram")
+    draw = -F.log(uniform(F.col(f"`{id_col}`"), seed))
+    has = F.coalesce(weight > 0, F.lit(False))
+    keyed = df.withColumns({"__size": F.coalesce(F.col(size_col), F.lit(0)).cast("long"), "__class": F.when(has, 0).otherwise(1), "__key": F.when(has, draw / weight).otherwise(draw)})
+    slim = keyed.select(F.col(f"`{source_col}`").alias("__source"), "__size", "__class", "__key")
+    # Bins of 1/64 of an octave: keys of any weight spread over hundreds of them.
+    bins = slim.withColumn("__bin", F.floor(F.log2("__key") * 64).cast("long"))
+    told = [F.sum("__size").alias("__in"), F.count(F.lit(1)).alias("__rows"), F.min("__key").alias("__lo"), F.max("__key").alias("__hi")]
+    histogram = stored(bins.groupBy("__source", "__class", "__bin").agg(*told), "mix-histogram")
     totals = histogram.groupBy("__source").agg(F.sum("__in").alias("source_size"))
     targets = source_targets(totals, "__source", weights, share, max_epochs)
     targets = targets.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("__rest", F.greatest(F.lit(0), F.floor(F.col("target") + 0.5).cast("long") - F.col("__epochs") * F.col("source_size")))
-    running = W.partitionBy("__source").orderBy("__bucket")
-    edges = histogram.withColumn("__before", F.sum("__in").over(running.rowsBetween(W.unboundedPreceding, 0)) - F.col("__in"))
-    edge = edges.alias("e").join(targets.select(F.col("__source").alias("__of"), "__rest"), F.col("__source").eqNullSafe(F.col("__of")))
-    edge = edge.filter((F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__in"))).select("__of", "__bucket", "__before")
-    plan = stored(targets.join(edge.select("__of", F.col("__bucket").alias("__edge"), "__before"), F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of"), "mix-plan")
-    if plan.count() <= BROADCAST_ROWS:  # checked: a row for each source; else Spark joins by shuffle
-        plan = F.broadcast(plan)
-    planned = keyed.join(plan, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
-    inside = F.coalesce(F.col("__bucket") == F.col("__edge"), F.lit(False))
-    extra = F.when(F.col("__edge").isNull() & (F.col("__rest") > 0), F.col("__size")).when(F.col("__bucket") < F.col("__edge"), F.col("__size")).otherwise(0)
-    rest = planned.filter(~inside).withColumn("__extra", extra)
+    targets = stored(targets, "mix-targets")
+    few = targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # a row for each source
+    small = F.broadcast if few else lambda x: x
+    same = lambda other: F.col("__source").eqNullSafe(F.col(other))
+
+    def edges(counts: DataFrame, before: Column) -> DataFrame:
+        """The bin of each source in which its budget ends, with what comes before it."""
+        running = W.partitionBy("__source").orderBy("__class", "__bin").rowsBetween(W.unboundedPreceding, 0)
+        ends = counts.withColumn("__before", before + F.sum("__in").over(running) - F.col("__in"))
+        ends = ends.filter((F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__in")))
+        return ends.select(F.col("__source").alias("__of"), F.col("__class").alias("__edge"), "__lo", "__hi", "__rows", "__before", F.col("__rest").alias("__budget"))
+
+    edge = stored(edges(histogram.join(targets.select(F.col("__source").alias("__s"), "__rest"), same("__s")), F.lit(0)), "mix-edge")
+    while edge.filter((F.col("__rows") > most_sorted) & (F.col("__lo") < F.col("__hi"))).limit(1).count():
+        inside = slim.join(small(edge.withColumnRenamed("__before", "__base").withColumnRenamed("__budget", "__rest").drop("__rows")), same("__of") & (F.col("__class") == F.col("__edge")) & F.col("__key").between(F.col("__lo"), F.col("__hi")))
+        place = F.when(F.col("__lo") < F.col("__hi"), F.least(F.lit(FINER - 1), F.floor((F.col("__key") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * FINER))).otherwise(0).cast("long")
+        finer = inside.withColumn("__bin", place).groupBy("__source", "__class", "__bin", "__rest", "__base").agg(*told)
+        edge = stored(edges(finer, F.col("__base")), "mix-edge")
+    plan = targets.join(edge.drop("__rows", "__budget"), same("__of"), "left").drop("__of")
+    planned = keyed.join(small(plan), F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
+    own = F.coalesce(F.col("__class") == F.col("__edge"), F.lit(False))
+    inside = own & F.col("__key").between(F.col("__lo"), F.col("__hi"))
+    first = F.col("__edge").isNull() & (F.col("__rest") > 0) | (F.col("__class") < F.col("__edge")) | own & (F.col("__key") < F.col("__lo"))
+    rest = planned.filter(~F.coalesce(inside, F.lit(False))).withColumn("__extra", F.when(F.coalesce(first, F.lit(False)), F.col("__size")).otherwise(0))
     in_order = W.partitionBy("__source").orderBy("__key", F.col(f"`{id_col}`").asc_nulls_last(), "__size").rowsBetween(W.unboundedPreceding, 0)
     left = F.col("__rest") - F.col("__before") - (F.sum("__size").over(in_order) - F.col("__size"))
-    at_edge = planned.filter(inside).withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), left)))
+    at_edge = planned.filter(F.coalesce(inside, F.lit(False))).withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), left)))
     both = rest.unionByName(at_edge).withColumn("taken", (F.col("__epochs") * F.col("__size") + F.col("__extra")).cast("long"))
     return both.select(*df.columns, F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "taken")
