@@ -228,6 +228,26 @@ def gumbel_key(log_ratio, id_col, seed: int):
     return log_ratio - F.log(-F.log(uniform(id_col, seed)))
 
 
+def _drawn(scored: DataFrame, size: int | None, margin: float, seed: int, id_col: str, name: str) -> DataFrame:
+    """The rows of scored whose key is among the `size` largest. Scores are stored once; the threshold and the rows both come from there."""
+    keyed = stored(scored.withColumn("sample_key", gumbel_key(F.col("log_ratio"), F.col(f"`{id_col}`"), seed)), name)
+    possible = F.col("log_ratio") > float("-inf")
+    keys = keyed.select("log_ratio", "sample_key").filter(possible)
+    if size is None:
+        size = keys.filter(F.col("log_ratio") >= -margin).count()
+    last = kth_largest(keys, "sample_key", size)
+    if last is None:
+        return keyed.filter(possible if size > 0 else F.lit(False))
+    return keyed.filter(possible & (F.col("sample_key") >= F.lit(last)))
+
+
+def drawn_keys(df: DataFrame, labels: DataFrame, size: int | None = None, margin: float = MARGIN, seed: int = 7, max_labels: int = MAX_LABELS,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, log_ratio and sample_key of the rows that importance_resample draws, without their texts."""
+    slim = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return _drawn(log_ratios(slim, labels, max_labels).drop("text"), size, margin, seed, "doc_id", "quality-keys")
+
+
 def importance_resample(df: DataFrame, labels: DataFrame, size: int | None = None, margin: float = MARGIN, seed: int = 7, max_labels: int = MAX_LABELS,
                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that importance resampling draws, with log_ratio and sample_key added.
@@ -235,18 +255,10 @@ def importance_resample(df: DataFrame, labels: DataFrame, size: int | None = Non
     Each row's key is its log importance weight (see log_ratios) plus Gumbel noise that depends on seed and id only; the rows
     with the `size` largest keys are drawn, which is sampling without replacement by weight. size None: as many as there are rows
     whose log_ratio is at least -margin, so that what the target could well have written stays and the rest is
-    rejected. Texts that log_ratios calls toxic or bad are never drawn. Rows that tie at the last key are all drawn. A null id has noise of its own; size above the
+    rejected. Texts that log_ratios calls toxic or bad are never drawn. Rows that tie at the last key are all drawn, and so are repeated rows; a null id
+    has noise of its own, which all null ids share; null and empty texts have log_ratio 0, very long ones are read whole; size above the
     number of rows draws all others; empty df: no rows. Columns named log_ratio or sample_key are replaced.
 
-    The threshold comes from histograms over a stored table of keys; the rows are then filtered as they are read, without a shuffle.
+    Rows are stored with their scores, so no text is scored twice; the threshold comes from histograms over the keys there, without a shuffle.
     """
-    scored = log_ratios(without(df, "sample_key"), labels, max_labels, id_col, text_col)
-    scored = scored.withColumn("sample_key", gumbel_key(F.col("log_ratio"), F.col(f"`{id_col}`"), seed))
-    possible = F.col("log_ratio") > float("-inf")
-    keys = stored(scored.select("log_ratio", "sample_key").filter(possible), "quality-keys")
-    if size is None:
-        size = keys.filter(F.col("log_ratio") >= -margin).count()
-    last = kth_largest(keys, "sample_key", size)
-    if last is None:
-        return scored.filter(possible if size > 0 else F.lit(False))
-    return scored.filter(possible & (F.col("sample_key") >= F.lit(last)))
+    return _drawn(log_ratios(without(df, "sample_key"), labels, max_labels, id_col, text_col), size, margin, seed, id_col, "quality-scored")

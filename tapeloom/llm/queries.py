@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import count_words, shared_path, stored
+from .common import count_words, shared_dir, stored
 from .decontaminate import benchmark_leaks
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .mixing_lm import score_texts
-from .quality import importance_resample
+from .quality import drawn_keys
 from .secrets import scan_secrets, secret_report
 from .sharding import OVERHEAD, shard_by_bytes
 from .substrings import remove_repeats
@@ -34,9 +34,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache outlives the session where spark.checkpoint.dir does: a later run encodes only texts that no run before it had."""
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-cache"))
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), f"{shared_dir(spark)}/token-cache")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op6_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    drawn = drawn_keys(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return drawn.select("doc_id", F.lit(True).alias("kept"), "log_ratio", "sample_key")
 
 
