@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import broadcast_if_few, stored
 
 MOST_STRINGS = 64
 SMALL_CLASS = 4
@@ -41,6 +41,7 @@ MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("url_password", r"://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/@:]+@"),
+    Rule("bearer", r"Bearer\x20+[A-Za-z0-9._~+/-]{16,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -175,7 +176,8 @@ def scan_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
 
     Ids may be null or repeat; a null text counts as empty and has no secrets; equal texts have equal results; empty df: no rows.
 
-    Texts meet the candidates once (Spark broadcasts these where they are few); everything else that travels is digests and spans.
+    Texts meet the candidates once: where these are few (broadcast_if_few) without being exchanged, else by digest and id. Everything
+    else that travels is digests and spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content"))
@@ -188,12 +190,12 @@ def scan_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     index = stored(build_index(docs, sorted({t for q in queries.values() for a in q for t in a})), "secret-postings")
     wanted = stored(candidates(index, queries), "secret-candidates")
     # One copy of each candidate text, chosen on digests alone and joined by digest and id, so that copies of a text spread.
-    chosen = docs.groupBy("content").agg(F.min("doc_id").alias("chosen")).join(wanted, "content").withColumnRenamed("content", "wanted")
-    texts = docs.join(chosen, (F.col("content") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("chosen"))).select("content", "kinds", "text")
+    chosen = stored(docs.groupBy("content").agg(F.min("doc_id").alias("chosen")).join(wanted, "content").withColumnRenamed("content", "wanted"), "secret-chosen")
+    texts = docs.join(broadcast_if_few(chosen), (F.col("content") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("chosen"))).select("content", "kinds", "text")
     spans = [F.when(F.array_contains("kinds", r.kind), _found(F.col("text"), r)).otherwise(nothing) for r in indexed]
     verified = texts.select("content", F.concat(nothing, *spans).alias("more")).filter(F.size("more") > 0)
     verified = stored(verified.dropDuplicates(["content"]), "secret-verified")
-    return scanned.join(verified, "content", "left").select("doc_id", F.concat("found", F.coalesce("more", nothing)).alias("found"))
+    return scanned.join(broadcast_if_few(verified), "content", "left").select("doc_id", F.concat("found", F.coalesce("more", nothing)).alias("found"))
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
