@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_hashes, stored, word_hashes, words_of
+from .common import broadcast_if_few, mix64, shingle_hashes, stored, word_hashes, words_of
 from .components import components
 
 PERMUTATIONS = 64
@@ -188,7 +188,8 @@ def near_duplicates(df: DataFrame, num: int = 85, den: int = 100, words: int = 5
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).distinct()
     # The whole text of one document of each node wanted; a repeated id may bring other texts, which the node's key sorts out.
     chosen = wanted.join(nodes, "node").select("node", F.col("least").alias("doc_id"))
-    texts = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    chosen = stored(chosen.select("doc_id").distinct(), "minhash-chosen")
+    texts = docs.join(broadcast_if_few(chosen, 500_000), "doc_id", "left_semi").select("text")
     sets = stored(texts.mapInArrow(_sets(words), "node binary, shingles binary").dropDuplicates(["node"]), "minhash-sets")
     x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     links = stored(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_confirm(num, den), "u binary, v binary"), "minhash-links")
@@ -212,7 +213,13 @@ def near_duplicates(df: DataFrame, num: int = 85, den: int = 100, words: int = 5
 
 
 def drop_near_duplicates(df: DataFrame, num: int = 80, den: int = 100, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows whose id isn't the least of their near-duplicate group; rows that repeat that id, or have none, stay."""
-    groups = near_duplicates(df, num, den, words, id_col, text_col)
-    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    return df.join(gone, df[id_col] == gone["doc_id"], "left_anti")
+    """df without all but one row, that of the least id, of each near-duplicate group.
+
+    Rows are told apart by a number of their own, so of rows that repeat an id each is judged by its own text; a null id comes
+    after all others, and may be linked and dropped. Of equal rows one stays. Texts without words are in no group: all stay."""
+    numbered = stored(df.withColumn("__row", F.monotonically_increasing_id()), "minhash-rows")
+    groups = near_duplicates(numbered, num, den, words, "__row", text_col)
+    by_id = groups.withColumnRenamed("doc_id", "__row").join(numbered.select("__row", F.col(f"`{id_col}`").alias("__id")), "__row")
+    first = by_id.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row").alias("row"))).alias("first"))
+    gone = by_id.filter("n_shingles > 0").join(first.select("component_id", F.col("first.row").alias("stays")), "component_id").filter("__row != stays").select("__row")
+    return numbered.join(gone, "__row", "left_anti").select(*df.columns)
