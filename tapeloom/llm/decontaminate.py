@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds of test items find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -13,12 +13,19 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, shingle_hashes, stored
 
-SEED_WORDS = 4
-RARE = 10
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6
-BLOCK_BYTES = 1_000_000
-FILTER_BITS = 20
+BLOCK_BYTES = 4_000_000
+MEMO = 5_000
+
+
+def seed_words(m: int) -> int:
+    """How many words a seed of an item of m words has.
+
+    Each word replaced costs 3 of an item's 2m points, so at MIN_SCORE at most 0.267 m are; of the others at least so many stand in a row."""
+    return 3 if m > 10 else min(2, m)
+
+
 # A-Z become a-z; other ASCII but letters and digits separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -44,68 +51,97 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class Items:
-    """A block of test items ready for search; seeds: hash -> (item's place, offset)."""
+    """A block of test items ready for search; seeds: for each seed length, hash -> (item's place, offset)."""
 
     ids: list[int]
     words: list[np.ndarray]
-    seeds: dict[int, list[tuple[int, int]]]
+    seeds: dict[int, dict[int, list[tuple[int, int]]]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str, list[int]]]) -> Items:
+    def of(cls, rows: list[tuple[int, str]]) -> Items:
         hashes = WordHashes()
-        out = cls([], [], defaultdict(list))
-        for item, text, rare in rows:
+        out = cls([], [], {})
+        for item, text in rows:
             words = hashes.of(passage_words(text))
-            found = shingle_hashes(words, SEED_WORDS)
-            for offset in np.flatnonzero(np.isin(found.view(np.int64), np.array(rare, np.int64))):
-                out.seeds[int(found[offset])].append((len(out.ids), int(offset)))
-            out.ids.append(item)
-            out.words.append(words)
+            if len(words):
+                n = seed_words(len(words))
+                seeds = out.seeds.setdefault(n, defaultdict(list))
+                for offset, seed in enumerate(shingle_hashes(words, n).tolist()):
+                    seeds[seed].append((len(out.ids), offset))
+                out.ids.append(item)
+                out.words.append(words)
         return out
 
-    def filter(self) -> np.ndarray:
-        table = np.zeros(1 << FILTER_BITS, bool)
-        table[np.fromiter(self.seeds, np.uint64, len(self.seeds)) & np.uint64((1 << FILTER_BITS) - 1)] = True
-        return table
-
-
-def find_leaks(items: Items, table: np.ndarray, words: np.ndarray, min_score: float, memo: dict) -> list[tuple[int, float, int, int]]:
-    """(item id, score, first word, end) of the best passage of each item whose alignment reaches min_score of the item's own."""
-    grams = shingle_hashes(words, SEED_WORDS)
-    regions: dict[int, list[list[int]]] = defaultdict(list)
-    for at in np.flatnonzero(table[grams & np.uint64((1 << FILTER_BITS) - 1)]):
-        for item, offset in items.seeds.get(int(grams[at]), ()):
-            m = len(items.words[item])
-            lo, hi = max(0, int(at) - offset - m // 2), min(len(words), int(at) - offset + m + m // 2)
-            if regions[item] and lo <= regions[item][-1][1]:
-                regions[item][-1][1] = max(hi, regions[item][-1][1])
+    def filters(self) -> dict[int, np.ndarray]:
+        """For each seed length a table of hash ends, 16 to 32 places a seed; few words of a text pass it by chance."""
+        out = {}
+        for n, seeds in self.seeds.items():
+            out[n] = np.zeros(1 << (16 * len(seeds)).bit_length(), bool)
+            out[n][np.fromiter(seeds, np.uint64, len(seeds)) & np.uint64(len(out[n]) - 1)] = True
+        return out
+
+
+def find_regions(items: Items, filters: dict[int, np.ndarray], words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """For each item with a seed in the text, where its passages may lie: around each seed as much as gaps may add; overlapping ones are one."""
+    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for n, table in filters.items():
+        if len(words) < n:
+            continue
+        grams = shingle_hashes(words, n)
+        for at in np.flatnonzero(table[grams & np.uint64(len(table) - 1)]).tolist():
+            for item, offset in items.seeds[n].get(int(grams[at]), ()):
+                m = len(items.words[item])
+                more = int((1 - MIN_SCORE) * MATCH * m) + 1
+                found[item].append((max(0, at - offset - more), min(len(words), at - offset + m + more)))
+    out = {}
+    for item, spans in found.items():
+        merged: list[tuple[int, int]] = []
+        for lo, hi in sorted(spans):
+            if merged and lo <= merged[-1][1]:
+                merged[-1] = merged[-1][0], max(hi, merged[-1][1])
             else:
-                regions[item].append([lo, hi])
+                merged.append((lo, hi))
+        out[item] = merged
+    return out
+
+
+def find_leaks(items: Items, filters: dict[int, np.ndarray], words: np.ndarray, min_score: float, memo: dict) -> list[tuple[int, float, int, int]]:
+    """(item id, score, first word, end) of the best passage of each item whose alignment reaches min_score of the item's own; of equal ones the first.
+
+    A region with fewer of the item's words than the score needs matches isn't aligned."""
     out = []
-    for item, spans in regions.items():
-        best = (0.0, 0, 0)
+    for item, spans in find_regions(items, filters, words).items():
+        own, best = items.words[item], (0.0, 0, 0)
+        known = np.unique(own)
         for lo, hi in spans:
-            key = (item, words[lo:hi].tobytes())
+            region = words[lo:hi]
+            place = np.minimum(np.searchsorted(known, region), len(known) - 1)
+            if np.count_nonzero(known[place] == region) < min_score * len(own):
+                continue
+            key = (item, region.tobytes())
             if key not in memo:
-                if len(memo) > 20_000:
+                if len(memo) >= MEMO:
                     memo.clear()
-                memo[key] = smith_waterman(items.words[item], words[lo:hi])
-            score, end = memo[key]
-            best = max(best, (score / (MATCH * len(items.words[item])), -lo, lo + end))
+                score, end = smith_waterman(own, region)
+                # The same alignment read backwards ends where this one begins.
+                back = smith_waterman(own[::-1], region[:end][::-1])[1] if score >= min_score * MATCH * len(own) else 0
+                memo[key] = score, end - back, end
+            score, first, end = memo[key]
+            best = max(best, (score / (MATCH * len(own)), -(lo + first), lo + end))
         if best[0] >= min_score:
-            out.append((items.ids[item], best[0], max(-best[1], best[2] - 2 * len(items.words[item])), best[2]))
+            out.append((items.ids[item], best[0], -best[1], best[2]))
     return out
 
 
-def _leaks(told, min_score: float, id_col: str, text_col: str):
+def _leaks(told, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, hashes, memo = told.value, WordHashes(), {}
-        table = items.filter()
+        filters = items.filters()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(id_col), batch.column(text_col), strict=True):
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = hashes.of(passage_words(text.as_py()))
-                rows += [(doc.as_py(), *x) for x in find_leaks(items, table, words, min_score, memo)] if len(words) else []
+                rows += [(doc.as_py(), *x) for x in find_leaks(items, filters, words, min_score, memo)]
             hashes.forget()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])
@@ -116,64 +152,63 @@ def _leaks(told, min_score: float, id_col: str, text_col: str):
 def _clean(told, min_score: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, hashes, memo = told.value, WordHashes(), {}
-        table = items.filter()
+        filters = items.filters()
         for batch in batches:
-            keep = []
-            for text in batch.column(text_col):
-                words = hashes.of(passage_words(text.as_py()))
-                keep.append(not len(words) or not find_leaks(items, table, words, min_score, memo))
+            keep = [not find_leaks(items, filters, hashes.of(passage_words(text.as_py())), min_score, memo) for text in batch.column(text_col)]
             hashes.forget()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = WordHashes()
-        found = [np.unique(shingle_hashes(hashes.of(passage_words(t.as_py())), SEED_WORDS)).view(np.int64) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array(found, pa.list_(pa.int64()))], ["item_id", "text", "grams"])
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[Items]]:
+    """How many blocks of about block_bytes of text the items make, and the blocks, each read when it is asked for.
 
+    Items with equal text are one (the least id). A block's size is bounded, so one at a time may visit the driver and be broadcast;
+    all seeds of an item are looked up, however many items share one."""
+    items = benchmark.filter(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(F.col(item_col).cast("long")).alias("item_id"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // block_bytes)
+    dealt = stored(items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(max(1, n)))), "benchmark-items")
+    return n, (Items.of([(r["item_id"], r["text"]) for r in dealt.filter(F.col("block") == b).sort("item_id", "text").collect()]) for b in range(n))
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", rare: int = RARE) -> list[Items]:
-    """The benchmark's items with their rare seeds, in blocks of at most about BLOCK_BYTES of text.
 
-    A seed is rare if at most `rare` items have it; an item without a rare seed uses its least frequent ones, so no
-    item goes unsearched. Items with equal text are one (the least id). Each block is small by construction, so
-    one at a time may visit the driver; a benchmark of any size is a number of passes over the corpus."""
-    items = benchmark.filter(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(F.col(item_col).cast("long")).alias("item_id"))
-    grams = stored(items.select("item_id", "text").mapInArrow(_grams, "item_id long, text string, grams array<long>"), "benchmark-grams")
-    frequency = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    counted = grams.select("item_id", "text", F.explode("grams").alias("gram")).join(frequency, "gram")
-    seeds = counted.groupBy("item_id", "text").agg(F.collect_list(F.struct("n", "gram")).alias("all"))
-    limit = F.greatest(F.lit(rare), F.array_min(F.transform("all", lambda x: x["n"])))
-    size = grams.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    kept = seeds.select("item_id", "text", F.transform(F.filter("all", lambda x: x["n"] <= limit), lambda x: x["gram"]).alias("rare"), F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"))
-    kept = stored(kept, "benchmark-seeds")
-    return [Items.of([(r["item_id"], r["text"], r["rare"]) for r in kept.filter(F.col("block") == b).sort("item_id", "text").collect()]) for b in range(blocks)]
-
-
-def benchmark_leaks(df: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+LEAK_SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word long"
+
+
+def benchmark_leaks(df: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word for each document and test item that it holds, whole, edited or paraphrased.
 
-    Rare SEED_WORDS-word sequences of the items are looked up in every document; around each hit the item is aligned with the
-    document's words by Smith-Waterman, and the score is a share of the item's score against itself. Words are
+    The items' seeds (seed_words in a row) are looked up in every document; around the hits the item is aligned with the
+    document's words by Smith-Waterman, and the score is a share of the item's score against itself. With words only replaced, none that
+    reaches MIN_SCORE is missed; with words added between others, one is if no seed stays in a row. Words are
     split at everything but letters and digits, A-Z lower-cased. Null and empty texts give no rows, nor do items without words;
-    an item of fewer words is one seed; repeated rows of df each give their rows; of items with equal text the least id is named.
-    One pass over df for each block of items (see item_blocks), without a shuffle of documents.
+    repeated rows of df each give their rows, and a null id is told as null; of items with equal text the least id is named; of equally good
+    passages of an item the first. An empty benchmark gives no rows.
+
+    One pass over df for each block of items (see item_blocks), without a shuffle of documents; with several blocks each pass's
+    rows are stored before the next block is read.
     """
-    spark, docs = df.sparkSession, df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, score double, start_word long, end_word long"
-    parts = [docs.mapInArrow(_leaks(spark.sparkContext.broadcast(b), min_score, "doc_id", "text"), schema) for b in item_blocks(benchmark)]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+    spark, docs = df.sparkSession, df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    n, blocks = item_blocks(benchmark, block_bytes=block_bytes)
+    out = spark.createDataFrame([], LEAK_SCHEMA)
+    for block in blocks:
+        told = spark.sparkContext.broadcast(block)
+        found = docs.mapInArrow(_leaks(told, min_score), LEAK_SCHEMA)
+        if n == 1:
+            return found
+        out = out.unionByName(stored(found, "leaks"))
+        told.unpersist()
     return out
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df without the rows that hold a test item (see benchmark_leaks); the rest, null texts included, stays as it is."""
-    for block in item_blocks(benchmark):
-        df = df.mapInArrow(_clean(df.sparkSession.sparkContext.broadcast(block), min_score, text_col), df.schema)
-    return df
+    n, blocks = item_blocks(benchmark, block_bytes=block_bytes)
+    if n == 1:
+        return df.mapInArrow(_clean(df.sparkSession.sparkContext.broadcast(next(blocks)), min_score, text_col), df.schema)
+    if not n:
+        return df
+    numbered = stored(df.withColumn("__row", F.monotonically_increasing_id()), "clean-rows")
+    found = benchmark_leaks(numbered, benchmark, min_score, "__row", text_col, block_bytes).select(F.col("doc_id").alias("__row")).distinct()
+    return numbered.join(found, "__row", "left_anti").select(*df.columns)
