@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import count_words, stored
+from tapeloom.llm.common import broadcast_if_few, count_words, stored
 from tapeloom.llm.decontaminate import drop_contaminated
 from tapeloom.llm.minhash import drop_near_duplicates
 from tapeloom.llm.mixing import mix_sources
@@ -13,42 +13,52 @@ from tapeloom.llm.quality import importance_resample
 from tapeloom.llm.queries import quality_weights, table
 from tapeloom.llm.sharding import OVERHEAD, shard_by_bytes
 
-#: SQL has neither the resampling model nor the alignment of these stages; tests/llm compares each with a brute-force version.
+#: SQL has neither the resampling model nor the alignment of these stages; tests/llm/test_pipeline.py compares each with a plain version.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that importance resampling towards labelled good ones draws."""
+    """The documents that importance resampling towards labelled good ones draws; toxic and bad ones go.
+
+    Null and empty texts have equal odds under both models and stay. Repeated rows and ids, and null ids, are each judged by their text (a
+    key's noise depends on the id). An empty table gives no rows. Added columns don't show; other columns stay as they are."""
     return importance_resample(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each group linked at a similarity of 0.8 of five-word shingles."""
+    """One document, that of the least id, of each group linked at a similarity of 0.8 of five-word shingles.
+
+    Null texts and texts without words are in no group and stay. Of repeated rows one stays; ids that repeat with other texts are
+    judged apart; a null id comes after all others. An empty table gives no rows; other columns stay as they are."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item. Null and empty texts stay, repeated rows share their fate, ids don't matter."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: a row for each whole or part epoch, none where nothing is taken; empty texts stay."""
-    sized = docs.withColumn("__words", count_words(F.col("text")))
-    slim = sized.select("doc_id", "source", "__words").join(quality_weights(table(spark, sf_dir, "labels")), "doc_id", "left")
-    slim = stored(slim.withColumn("weight", F.coalesce("weight", F.lit(0.5))), "pipeline-sizes")
-    mixed = mix_sources(slim, size_col="__words", weight_col="weight")
-    # Rows that agree in id, source and size are interchangeable to the mix, so their copies are dealt evenly among them.
-    same = ["doc_id", "source", "__words"]
+    """Each document as often as the mix takes it: a row for each whole or part epoch, none where nothing is taken.
+
+    Null and empty texts, which have no words to take, stay. A null source is a source of its own. Repeated rows each count; those that tie in
+    id and size are interchangeable. An empty table gives no rows; other columns stay as they are.
+
+    Documents are stored once with their sizes and weights; the mix reads only these columns but for the last pass, so no text is exchanged."""
+    weights = broadcast_if_few(stored(quality_weights(table(spark, sf_dir, "labels")), "pipeline-weights"))
+    sized = docs.withColumn("__words", count_words(F.col("text"))).join(weights.select(F.col("doc_id").alias("__doc"), F.col("weight").alias("__weight")), F.col("doc_id") == F.col("__doc"), "left")
+    sized = stored(sized.withColumn("__weight", F.coalesce("__weight", F.lit(0.5))).drop("__doc"), "pipeline-sizes")
+    mixed = mix_sources(sized, size_col="__words", weight_col="__weight")
     copies = F.when(F.col("__words") > 0, F.ceil(F.col("taken") / F.col("__words"))).otherwise(1).cast("long")
-    shares = mixed.withColumn("__copies", copies).groupBy(*same).agg(F.max("__copies").alias("__copies"))
-    keys = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in same]
-    told = sized.alias("d").join(shares.alias("s"), keys[0] & keys[1] & keys[2]).select("d.*", "s.__copies").filter("__copies > 0")
-    return told.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    told = mixed.withColumn("__copies", copies).filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return told.select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the shard (of 40, contiguous and of near-equal bytes) and the slot that each goes to."""
+    """The documents with the shard (of 40, contiguous and of near-equal bytes) and the slot that each goes to.
+
+    A null text has no bytes but its overhead; a null id comes first; ties in id are in order of text hash and size, equal rows in any. An empty table gives no
+    rows; columns named shard or slot are replaced."""
     text = F.coalesce("text", F.lit(""))
     sized = docs.withColumns({"__bytes": (F.octet_length(text) + OVERHEAD).cast("long"), "__crc": F.crc32(text.cast("binary"))})
     return shard_by_bytes(sized, size_col="__bytes", tie_cols=("__crc", "__bytes")).drop("__bytes", "__crc")

@@ -222,4 +222,4 @@ def drop_near_duplicates(df: DataFrame, num: int = 80, den: int = 100, words: in
     by_id = groups.withColumnRenamed("doc_id", "__row").join(numbered.select("__row", F.col(f"`{id_col}`").alias("__id")), "__row")
     first = by_id.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row").alias("row"))).alias("first"))
     gone = by_id.filter("n_shingles > 0").join(first.select("component_id", F.col("first.row").alias("stays")), "component_id").filter("__row != stays").select("__row")
-    return numbered.join(gone, "__row", "left_anti").select(*df.columns)
+    return numbered.join(broadcast_if_few(stored(gone, "minhash-gone"), 500_000), "__row", "left_anti").select(*df.columns)
