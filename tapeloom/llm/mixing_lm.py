@@ -30,7 +30,7 @@ HISTORY = (LEVELS + 1) ** 3
 SPELL_BITS = 18
 SPELL_ORDERS = (2, 3, 4)
 CHUNK = 1 << 14
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 2_000_000
 ROUND = 16
 RATE = 0.02
 DOCS_AT_ONCE = 512
@@ -38,7 +38,7 @@ SPELT_AT_ONCE = 20_000
 TASKS_AT_ONCE = 512  # tables of so many tasks are added up in one group
 PRIOR = 0.4  # of each outcome, in every table
 RIDGE = 1.0
-FIRST_WEIGHTS = np.array([0.4, 0.2, 0.2, 0.2, 0.0])  # what a gate without decisions keeps
+FIRST_WEIGHTS = np.array([0.3, 0.5, 0.3, 0.3, 0.0])  # what a gate without decisions keeps
 END = b" "  # no word holds a space
 START = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -233,15 +233,14 @@ class Decisions:
             self.told[j], self.bit[j] = left & self.open[j], left & seen[j]
             level[self.bit[j]] = j
             left &= ~seen[j]
-        # log2 of total + 1, rounded down: a double's exponent
-        size = np.minimum(((self.total + 1).astype(np.float64).view(np.int64) >> 52) - 1023, BUCKETS - 1)
-        np.maximum(size, 0, out=size)
-        past = np.zeros(len(word), np.int64)
+        # log2 of total + 1, rounded down: a float's exponent
+        size = np.clip(((self.total + 1).astype(np.float32).view(np.int32) >> 23) - 127, 0, BUCKETS - 1)
+        past = np.zeros(len(word), np.int32)
         for _ in range(3):
             level = texts.before(level, LEVELS)
             past = past * (LEVELS + 1) + level
-        slot = (mix64(texts.before(texts.hashes[texts.tokens], START)) >> np.uint64(64 - slot_bits)).astype(np.int64)
-        levels = np.arange(LEVELS)[:, None]
+        slot = (mix64(texts.before(texts.hashes[texts.tokens], START)) >> np.uint64(64 - slot_bits)).astype(np.int32)
+        levels = np.arange(LEVELS, dtype=np.int32)[:, None]
         self.slots = [(levels * BUCKETS + size) * BUCKETS + np.concatenate((size[1:], np.zeros_like(size[:1]))), (levels << slot_bits) + slot, levels * HISTORY + past]
         self.gate = (levels * GATES + np.minimum(size // 2, GATES - 1)).astype(np.int8)
 
@@ -253,16 +252,17 @@ class Decisions:
             out.append(log_counts(before - np.repeat(before[:, self.texts.begin], self.texts.sizes, axis=1)))
         return out[0] - out[1]
 
-    def inputs(self, tables: list[np.ndarray], own: bool) -> np.ndarray:
+    def inputs(self, tables: list[Odds], own: bool) -> np.ndarray:
         """Log odds (input, level, token). own: each bit's own count is taken out of the tables."""
         out = np.empty((INPUTS, *self.bit.shape), np.float32)
         for k, (table, slot) in enumerate(zip(tables, self.slots, strict=True)):
-            out[k] = log_odds(table, slot, self.bit, own)
+            out[k] = table.of(slot, self.bit, own)
         out[3], out[4] = self.so_far(), 1
         return np.clip(out, -9, 9, out=out)
 
 
-LOGS = np.log(np.arange(1 << 12) + PRIOR).astype(np.float32)
+OWN_MATTERS = 1 << 12
+LOGS = np.log(np.arange(1 << 14) + PRIOR).astype(np.float32)
 
 
 def log_counts(n: np.ndarray) -> np.ndarray:
@@ -274,12 +274,22 @@ def log_counts(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_odds(table: np.ndarray, slot: np.ndarray, bit: np.ndarray, own: bool) -> np.ndarray:
-    """Log odds of 1 in a table's slots (outcomes 0 and 1 apart). own: without the bit itself."""
-    one, zero = table[1].take(slot), table[0].take(slot)
-    if own:
-        one, zero = np.maximum(one - bit, 0), np.maximum(zero - (1 - bit.astype(one.dtype)), 0)
-    return log_counts(one) - log_counts(zero)
+class Odds:
+    """A table's log odds by slot, and the counts behind them."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.zero, self.one = counts
+        self.odds = log_counts(self.one) - log_counts(self.zero)
+        self.few = self.zero + self.one < OWN_MATTERS
+
+    def of(self, slot: np.ndarray, bit: np.ndarray, own: bool) -> np.ndarray:
+        """Log odds of 1 in the slots. own: without the bit itself, where a slot has so few counts that one matters."""
+        out = self.odds.take(slot)
+        if own:
+            flat, place = out.reshape(-1), np.flatnonzero(self.few.take(slot))
+            at, value = slot.reshape(-1).take(place), bit.reshape(-1).take(place).astype(np.int32)
+            flat[place] = log_counts(np.maximum(self.one.take(at) - value, 0)) - log_counts(np.maximum(self.zero.take(at) - 1 + value, 0))
+        return out
 
 
 def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -303,11 +313,11 @@ def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     return out, bits, owner[at]
 
 
-def spelling_inputs(slots: list[np.ndarray], bits: np.ndarray, tables: list[np.ndarray], own: bool) -> np.ndarray:
+def spelling_inputs(slots: list[np.ndarray], bits: np.ndarray, tables: list[Odds], own: bool) -> np.ndarray:
     """Log odds (input, byte, bit); what the levels' bits have more inputs is 0."""
     out = np.zeros((INPUTS, *bits.shape), np.float32)
     for k, (table, slot) in enumerate(zip(tables, slots, strict=True)):
-        out[k] = log_odds(table, slot, bits, own)
+        out[k] = table.of(slot, bits, own)
     out[INPUTS - 1] = 1
     return out
 
@@ -364,7 +374,7 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"kind": table.column("kind")[:1], "chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "counts": pa.array([pack(total)], pa.binary())})
 
 
-def newton(x: np.ndarray, bit: np.ndarray, rounds: int = 3) -> np.ndarray:
+def newton(x: np.ndarray, bit: np.ndarray, rounds: int = 2) -> np.ndarray:
     """The curvature, and that times the weights, of the logistic regression of bit on x."""
     weights = FIRST_WEIGHTS.copy()
     bit = bit.astype(np.float32)
@@ -379,7 +389,7 @@ def newton(x: np.ndarray, bit: np.ndarray, rounds: int = 3) -> np.ndarray:
 def _learn(told, trained: int, slot_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block's best weights for its training texts, with their curvature, added up for each gate and task."""
-        tables = told.value
+        tables = list(map(Odds, told.value))
         sums = np.zeros((LEVELS * GATES + GATES, INPUTS * INPUTS + INPUTS))
         for row in _rows(batches):
             d = Decisions(row, trained, slot_bits, True)
@@ -404,7 +414,7 @@ class Model:
     """The tables of counts (outcomes 0 and 1 apart) and the weights of each gate."""
 
     def __init__(self, tables: list[np.ndarray], weights: np.ndarray) -> None:
-        self.tables, self.weights = tables, weights.astype(np.float32)
+        self.tables, self.weights = list(map(Odds, tables)), weights.astype(np.float32)
 
     def spelt(self, words: list[bytes]) -> np.ndarray:
         """ln of the probability of each spelling."""
@@ -420,7 +430,7 @@ class Model:
         round a text's own weights, which are added to the learnt ones, move down its gradient."""
         x = d.inputs(self.tables[:3], False)
         base = sum(v * w.take(d.gate) for v, w in zip(x, np.ascontiguousarray(self.weights.T), strict=True))
-        flat, told = x.reshape(INPUTS * LEVELS, -1), d.told
+        flat, told = x[:-1].reshape((INPUTS - 1) * LEVELS, -1), d.told  # the constant is known
         out = np.empty(base.shape, np.float32)
         sizes, order = d.texts.sizes, np.argsort(-d.texts.sizes, kind="stable")
         for lo in range(0, len(order), DOCS_AT_ONCE):
@@ -432,14 +442,16 @@ class Model:
                 place = begin[:n, None] + np.arange(at, min(at + ROUND, int(size[0])))
                 inside = place < (begin + size)[:n, None]
                 np.minimum(place, (begin + size)[:n, None] - 1, out=place)
-                own = flat.take(place, axis=1).reshape(INPUTS, LEVELS, *place.shape)
+                own = flat.take(place, axis=1).reshape(INPUTS - 1, LEVELS, *place.shape)
                 p = base.take(place, axis=1)
-                for x, w in zip(own, more, strict=True):
+                p += more[-1, :, :n]
+                for x, w in zip(own, more[:-1], strict=True):
                     p += x * w[:, :n]
                 p = 1 / (1 + np.exp(-np.clip(p, -12, 12, out=p)))
                 error = (d.bit.take(place, axis=1) - p) * (told.take(place, axis=1) & inside)
                 error *= RATE
-                for x, w in zip(own, more, strict=True):
+                more[-1, :, :n] += error.sum(axis=2, keepdims=True)
+                for x, w in zip(own, more[:-1], strict=True):
                     w[:, :n] += (x * error).sum(axis=2, keepdims=True)
                 out[:, place[inside]] = p[:, inside]
         out[~d.open] = 0
@@ -463,7 +475,7 @@ class Model:
 
 def _score(told, trained: int, distinct: int, slot_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = told.value
+        model = Model(*told.value)
         for row in _rows(batches):
             d = Decisions(row, trained, slot_bits, False)
             texts = d.texts
@@ -535,6 +547,5 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sums = ready.mapInArrow(_learn(spark.sparkContext.broadcast(tables), trained, slot_bits), "gate long, sums array<double>")
     added = sums.select("gate", F.posexplode("sums").alias("at", "value")).groupBy("gate", "at").agg(F.sum("value").alias("value"))
     gates = added.groupBy("gate").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("all")).select("gate", F.col("all.value").alias("sums")).collect()  # a row a gate
-    model = Model(tables, learnt_weights(gates))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return ready.mapInArrow(_score(spark.sparkContext.broadcast(model), trained, distinct, slot_bits), schema)
+    return ready.mapInArrow(_score(spark.sparkContext.broadcast((tables, learnt_weights(gates))), trained, distinct, slot_bits), schema)

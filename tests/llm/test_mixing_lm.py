@@ -113,7 +113,7 @@ class Plain:
     def fit(rows):
         x, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
         w = FIRST_WEIGHTS.copy()
-        for _ in range(3):
+        for _ in range(2):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             curve = x.T @ np.diag(p * (1 - p)) @ x
             step = np.linalg.solve(curve + RIDGE * np.eye(5), x.T @ (y - p) - RIDGE * (w - FIRST_WEIGHTS))
