@@ -21,6 +21,7 @@ MARGIN = 5.0
 PRIOR = 64.0
 FALSE_MARKS = 0.5  # features expected to pass as marks by chance
 TOXIC_ODDS, BAD_ODDS = 5.0, 3.0
+SPARED = 0.002  # the share of labelled clean rows that may be told toxic, or good ones bad
 FILTER_BITS = 20
 # A feature is a run of letters and digits or a run of other marks (other ASCII controls count as marks), A-Z lower-cased.
 PART = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+")
@@ -86,33 +87,52 @@ def _counts(told, id_col: str, text_col: str):
     return run
 
 
-def _mark_counts(told, id_col: str, text_col: str):
+def copies_key(found: np.ndarray) -> int:
+    """The least hash of a text's bigrams (of its parts, if it has one): near copies mostly share it, other texts seldom do."""
+    parts = (len(found) + 1) // 2
+    return int(found[parts:].min() if len(found) > 1 else found[0] if len(found) else 0) - (1 << 63)
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        keys = [copies_key(hashed(t.as_py(), hashes)) for t in batch.column("text")]
+        hashes.forget()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "copies"])
+
+
+def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of either kind have each feature; a null feature counts the rows themselves."""
+    hashes = WordHashes()
+    for batch in batches:
+        held, rows = ([], []), [0, 0]
+        for text, side in zip(batch.column("text"), batch.column("other").to_pylist(), strict=True):
+            held[side].append(np.unique(shaped(hashed(text.as_py(), hashes))))
+            rows[side] += 1
+        hashes.forget()
+        if not sum(rows):
+            continue
+        known, place = np.unique(np.concatenate([*held[0], *held[1]]), return_inverse=True)
+        first = sum(map(len, held[0]))
+        counts = [np.append(np.bincount(x, minlength=len(known)), n).astype(np.int64) for x, n in zip((place[:first], place[first:]), rows, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([*known.view(np.int64).tolist(), None], pa.int64()), *map(pa.array, counts)], ["feature", "one", "other"])
+
+
+def _mark_scores(told):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many rows of either kind have each feature; a null feature counts the rows themselves."""
-        one, other = told.value
-        hashes = WordHashes()
+        hashes, marks = WordHashes(), [(m, m.filter()) for m in told.value]
         for batch in batches:
-            held, rows = ([], []), [0, 0]
-            for at, doc in enumerate(batch.column(id_col).to_pylist()):
-                if doc in one or doc in other:
-                    side = int(doc in other)
-                    held[side].append(np.unique(shaped(hashed(batch.column(text_col)[at].as_py(), hashes))))
-                    rows[side] += 1
+            shapes = [shaped(hashed(t.as_py(), hashes)) for t in batch.column("text")]
             hashes.forget()
-            if not sum(rows):
-                continue
-            known, place = np.unique(np.concatenate([*held[0], *held[1]]), return_inverse=True)
-            first = sum(map(len, held[0]))
-            counts = [np.append(np.bincount(x, minlength=len(known)), n).astype(np.int64) for x, n in zip((place[:first], place[first:]), rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([*known.view(np.int64).tolist(), None], pa.int64()), *map(pa.array, counts)], ["feature", "one", "other"])
+            yield pa.RecordBatch.from_arrays([batch.column("kinds"), *(pa.array([m.of(x, table) for x in shapes], pa.float64()) for m, table in marks)], ["kinds", "toxic", "bad"])
 
     return run
 
 
 def _scores(told, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ratio, *marks), hashes = told.value, WordHashes()
-        marks = [(m, m.filter(), least) for m, least in zip(marks, (TOXIC_ODDS, BAD_ODDS), strict=True)]
+        (ratio, marks, least), hashes = told.value, WordHashes()
+        marks = [(m, m.filter(), n) for m, n in zip(marks, least, strict=True)]
         for batch in batches:
             found = []
             for text in batch.column(text_col):
@@ -142,34 +162,53 @@ def _labelled(ids: DataFrame, most: int) -> list[int]:
     return [r[0] for r in ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
-def marks_of(slim: DataFrame, one: DataFrame, other: DataFrame, most: int) -> Marks:
-    """Features that rows of slim (doc_id, text) with ids of `one` have more often than those of `other`, beyond chance.
+def labelled_rows(slim: DataFrame, told: DataFrame, most: int) -> DataFrame:
+    """doc_id, text, kinds (of toxic, clean, bad and good) and copies of the labelled rows: those of at most `most` ids of each kind (the smallest hashes)."""
+    kinds = {"toxic": "said AND toxic", "clean": "said AND NOT toxic", "bad": "bad AND good = 0", "good": "good = 1"}
+    picked = None
+    for name, rule in kinds.items():
+        ids = told.filter(rule).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.lit(name).alias("kind"))
+        picked = ids if picked is None else picked.unionByName(ids)
+    picked = stored(picked.groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds")), "quality-picked")
+    rows = slim.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "kinds")  # at most 4 * most ids
+    return stored(rows.mapInArrow(_copies, "doc_id long, text string, kinds array<string>, copies long"), "quality-labelled")
 
-    Rows are counted, not uses, and hashes are whole, as a few rare words make a text toxic. A feature is a mark if the Chernoff bound
-    of its count's chance, were both kinds alike, times the number of features in two rows of `one` or more is at most FALSE_MARKS: what
-    marks must show is the same for any number of labels. At most `most` ids of each kind are read. Where a kind is empty there are no marks."""
-    ids = tuple(frozenset(_labelled(kind, most)) for kind in (one, other))
+
+def marks_of(rows: DataFrame, one: str, other: str) -> Marks:
+    """Features that labelled rows of kind `one` have more often than those of kind `other`, beyond chance.
+
+    One row of each group of copies counts, as copies are no evidence of their own. Rows are counted, not uses, and hashes are whole, as a few rare words
+    make a text toxic. A feature is a mark if the Chernoff bound of its count's chance, were both kinds alike, times the number of features
+    in two rows of `one` or more is at most FALSE_MARKS: what marks must show is the same for any number of labels. Where a kind is empty there are no marks."""
+    apart = lambda kind: rows.filter(F.array_contains("kinds", kind)).groupBy("copies").agg(F.min("text").alias("text"))
+    both = apart(one).select("text", F.lit(False).alias("other")).unionByName(apart(other).select("text", F.lit(True).alias("other")))
     none = Marks(np.zeros(0, np.uint64), np.zeros(0))
-    if not all(ids):
-        return none
-    counts = slim.mapInArrow(_mark_counts(slim.sparkSession.sparkContext.broadcast(ids), "doc_id", "text"), "feature long, one long, other long")
+    counts = both.mapInArrow(_mark_counts, "feature long, one long, other long")
     counts = stored(counts.groupBy("feature").agg(F.sum("one").alias("one"), F.sum("other").alias("other")).filter("one > 1 OR feature IS NULL"), "quality-marks")
-    rows = counts.filter("feature IS NULL").first()
+    total = counts.filter("feature IS NULL").first()
     tested = counts.filter("feature IS NOT NULL")
-    if rows is None or not rows["one"] or not rows["other"]:
+    if total is None or not total["one"] or not total["other"]:
         return none
-    alike = rows["one"] / (rows["one"] + rows["other"])
+    alike = total["one"] / (total["one"] + total["other"])
     n, share = F.col("one") + F.col("other"), F.col("one") / (F.col("one") + F.col("other"))
     rest = F.when(F.col("other") > 0, (1 - share) * F.log((1 - share) / (1 - alike))).otherwise(0.0)
     sure = (share > alike) & (n * (share * F.log(share / alike) + rest) >= float(np.log(max(tested.count(), 1) / FALSE_MARKS)))
-    found = tested.filter(sure).collect()  # from at most `most` rows of each kind
+    found = tested.filter(sure).collect()  # from at most MAX_LABELS ids of each kind
     hashes = np.array([r["feature"] for r in found], np.int64).view(np.uint64)
-    one, other = (np.array([r[c] for r in found], np.float64) for c in ("one", "other"))
-    odds = np.log((one + 0.5) / (rows["one"] + 1)) - np.log((other + 0.5) / (rows["other"] + 1))
+    has, lacks = (np.array([r[c] for r in found], np.float64) for c in ("one", "other"))
+    odds = np.log((has + 0.5) / (total["one"] + 1)) - np.log((lacks + 0.5) / (total["other"] + 1))
     order = np.argsort(hashes)
     return Marks(hashes[order], odds[order])
 
 
+def least_odds(rows: DataFrame, marks: tuple[Marks, Marks]) -> tuple[float, float]:
+    """What the marks' odds must reach: TOXIC_ODDS and BAD_ODDS, or more where over SPARED of the labelled clean (or good) rows would reach that."""
+    scores = rows.mapInArrow(_mark_scores(rows.sparkSession.sparkContext.broadcast(marks)), "kinds array<string>, toxic double, bad double")
+    high = lambda c, kind: F.percentile(F.when(F.array_contains("kinds", kind), F.col(c)), F.lit(1 - SPARED))
+    toxic, bad = scores.agg(high("toxic", "clean"), high("bad", "good")).first()
+    return tuple(max(least, (most or 0.0) + 1e-6) for least, most in ((TOXIC_ODDS, toxic), (BAD_ODDS, bad)))
+
+
 def bucket_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
     """log(target / raw) of each bucket. The target's prior is PRIOR times BUCKETS features spread as raw's are, so
     where few labels are known the models agree; half the relative variance of the target's count makes up for the bias of its log."""
@@ -186,7 +225,7 @@ def log_ratios(df: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, i
     Both are bags of unigrams and bigrams in BUCKETS buckets (see bucket_ratios): raw over all rows of df, target over
     those of at most max_labels ids that labels call good and not toxic. Texts without features: 0. Without any good label the models
     are equal: all 0. Texts that the labels' own models call toxic or bad (the odds of
-    marks_of toxic against clean, or of bad against good, reach TOXIC_ODDS or BAD_ODDS) have a probability of 0: -infinity."""
+    marks_of toxic against clean, or of bad against good, reach least_odds) have a probability of 0: -infinity."""
     spark = df.sparkSession
     df = without(df, "log_ratio")
     ids = frozenset(target_ids(labels, max_labels))
@@ -197,10 +236,10 @@ def log_ratios(df: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, i
     for r in rows:
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
     ratio = bucket_ratios(raw, good)
-    told = _by_id(labels, "doc_id")
-    toxic = marks_of(slim, told.filter("said AND toxic"), told.filter("said AND NOT toxic"), max_labels)
-    bad = marks_of(slim, told.filter("bad AND good = 0"), told.filter("good = 1"), max_labels)
-    return df.mapInArrow(_scores(spark.sparkContext.broadcast((ratio, toxic, bad)), text_col), T.StructType([*df.schema.fields, T.StructField("log_ratio", T.DoubleType())]))
+    rows = labelled_rows(slim, _by_id(labels, "doc_id"), max_labels)
+    marks = marks_of(rows, "toxic", "clean"), marks_of(rows, "bad", "good")
+    told = (ratio, marks, least_odds(rows, marks))
+    return df.mapInArrow(_scores(spark.sparkContext.broadcast(told), text_col), T.StructType([*df.schema.fields, T.StructField("log_ratio", T.DoubleType())]))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:

@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tapeloom.llm.common import WordHashes, mix64
-from tapeloom.llm.quality import BAD_ODDS, BUCKETS, FALSE_MARKS, MARGIN, PART, PRIOR, TOXIC_ODDS, drawn_keys, importance_resample, kth_largest
+from tapeloom.llm.quality import BAD_ODDS, BUCKETS, FALSE_MARKS, MARGIN, PART, PRIOR, SPARED, TOXIC_ODDS, drawn_keys, importance_resample, kth_largest
 
 rng = random.Random(12)
 GOOD = [f"good{i}" for i in range(60)]
@@ -63,8 +63,8 @@ class Plain:
                 good[f & (BUCKETS - 1)] += i in target
         self.raw, self.good, self.n, self.g = raw, good, sum(raw.values()), sum(good.values())
         self.marks = [
-            (self.odds(rows, {i for i, s in said.items() if s["said"] and s["toxic"]}, {i for i, s in said.items() if s["said"] and not s["toxic"]}), TOXIC_ODDS),
-            (self.odds(rows, {i for i, s in said.items() if s["bad"] and not s["good"]}, {i for i, s in said.items() if s["good"]}), BAD_ODDS),
+            self.mark(rows, {i for i, s in said.items() if s["said"] and s["toxic"]}, {i for i, s in said.items() if s["said"] and not s["toxic"]}, TOXIC_ODDS),
+            self.mark(rows, {i for i, s in said.items() if s["bad"] and not s["good"]}, {i for i, s in said.items() if s["good"]}, BAD_ODDS),
         ]
 
     def features(self, text):
@@ -77,13 +77,30 @@ class Plain:
         again = sum(a == b for a, b in zip(parts, parts[1:], strict=False))
         return set(self.features(text)) | {n for n, k in ((1, 1), (2, 2), (3, 4)) if parts and 8 * again >= k * len(parts)}
 
+    def mark(self, rows, one, other, least):
+        odds = self.odds(rows, one, other)
+        scores = [sum(odds.get(f, 0) for f in self.shaped(t)) for i, t, _ in rows if i in other]
+        return odds, max(least, float(np.percentile(scores, 100 * (1 - SPARED))) + 1e-6)
+
+    def apart(self, rows, kind):
+        """One text of each group of copies."""
+        best = {}
+        for i, t, _ in rows:
+            if i in kind:
+                f = self.features(t)
+                n = (len(f) + 1) // 2
+                key = min(f[n:], default=min(f, default=0))
+                best[key] = min(best.get(key, t or ""), t or "")
+        return list(best.values())
+
     def odds(self, rows, one, other):
         a, b, n, m = Counter(), Counter(), 0, 0
-        for i, t, _ in rows:
-            if i in one or i in other:
-                found = self.shaped(t)
-                (b if i in other else a).update(found)
-                n, m = n + (i not in other), m + (i in other)
+        for t in self.apart(rows, one):
+            a.update(self.shaped(t))
+            n += 1
+        for t in self.apart(rows, other):
+            b.update(self.shaped(t))
+            m += 1
         tested = [f for f in a if a[f] > 1]
         out, alike = {}, n / (n + m)
         for f in tested:
