@@ -23,6 +23,7 @@ FALSE_MARKS = 0.5  # features expected to pass as marks by chance
 TOXIC_ODDS, BAD_ODDS = 5.0, 3.0
 SPARED = 0.002  # the share of labelled clean rows that may be told toxic, or good ones bad
 FILTER_BITS = 20
+COPY_HASHES = 4
 # A feature is a run of letters and digits or a run of other marks (other ASCII controls count as marks), A-Z lower-cased.
 PART = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+")
 
@@ -88,9 +89,13 @@ def _counts(told, id_col: str, text_col: str):
 
 
 def copies_key(found: np.ndarray) -> int:
-    """The least hash of a text's bigrams (of its parts, if it has one): near copies mostly share it, other texts seldom do."""
+    """A key of the least hashes of a text's bigrams (of its parts, if it has one) under COPY_HASHES permutations: near copies mostly share it, others seldom do."""
     parts = (len(found) + 1) // 2
-    return int(found[parts:].min() if len(found) > 1 else found[0] if len(found) else 0) - (1 << 63)
+    pairs = found[parts:] if len(found) > 1 else found
+    if not len(pairs):
+        return 0
+    least = [int(mix64(pairs + np.uint64(n)).min()) for n in range(COPY_HASHES)]
+    return int(mix64(np.array([sum(least) % 2**64], np.uint64))[0].astype(np.int64))
 
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

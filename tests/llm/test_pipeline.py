@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tapeloom.llm.common import WordHashes, mix64
-from tapeloom.llm.quality import BAD_ODDS, BUCKETS, FALSE_MARKS, MARGIN, PART, PRIOR, SPARED, TOXIC_ODDS, drawn_keys, importance_resample, kth_largest
+from tapeloom.llm.quality import BAD_ODDS, BUCKETS, COPY_HASHES, FALSE_MARKS, MARGIN, PART, PRIOR, SPARED, TOXIC_ODDS, drawn_keys, importance_resample, kth_largest
 
 rng = random.Random(12)
 GOOD = [f"good{i}" for i in range(60)]
@@ -88,8 +88,8 @@ class Plain:
         for i, t, _ in rows:
             if i in kind:
                 f = self.features(t)
-                n = (len(f) + 1) // 2
-                key = min(f[n:], default=min(f, default=0))
+                pairs = f[(len(f) + 1) // 2 :] or f
+                key = tuple(min((int(mix64(np.array([(x + n) % 2**64], np.uint64))[0]) for x in pairs), default=0) for n in range(COPY_HASHES))
                 best[key] = min(best.get(key, t or ""), t or "")
         return list(best.values())
 
