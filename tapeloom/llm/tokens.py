@@ -42,7 +42,9 @@ def _counter(path: str):
     model = tokenizers.Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    cut = isinstance(model.pre_tokenizer, tokenizers.pre_tokenizers.ByteLevel) and model.normalizer is None and "add_prefix_space=False" in repr(model.pre_tokenizer) and "use_regex=True" in repr(model.pre_tokenizer)
+    # An added token that holds a space or takes neighbouring ones in could lie across a cut.
+    whole = any(" " in t.content or t.lstrip or t.rstrip for t in model.get_added_tokens_decoder().values())
+    cut = not whole and isinstance(model.pre_tokenizer, tokenizers.pre_tokenizers.ByteLevel) and model.normalizer is None and "add_prefix_space=False" in repr(model.pre_tokenizer) and "use_regex=True" in repr(model.pre_tokenizer)
     return lambda texts: [len(x) for x in model.encode_batch(texts, add_special_tokens=False)], cut
 
 
