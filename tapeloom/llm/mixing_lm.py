@@ -39,6 +39,7 @@ TASKS_AT_ONCE = 512  # tables of so many tasks are added up in one group
 PRIOR = 0.4  # of each outcome, in every table
 RIDGE = 1.0
 FIRST_WEIGHTS = np.array([0.3, 0.5, 0.3, 0.3, 0.0])  # what a gate without decisions keeps
+SPELL_FACTORS = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)]
 END = b" "  # no word holds a space
 START = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -203,7 +204,7 @@ def _ready(bits: int):
             _, place = texts.keys(bits)
             known = np.empty(len(words), np.int64)
             known[np.argsort(texts.hashes)] = words
-            values = [row[c.split()[0]] for c in BLOCK_SCHEMA.split(", ")] + [pack(known), pack(pairs[place].astype(np.int32)), pack(texts.earlier())]
+            values = [row[c.split()[0]] for c in BLOCK_SCHEMA.split(", ")] + [pack(known), pack(pairs[place]), pack(texts.earlier())]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in READY_SCHEMA.split(", ")])
 
@@ -218,7 +219,7 @@ class Decisions:
     def __init__(self, row: dict, trained: int, slot_bits: int, own: bool) -> None:
         self.texts = texts = Texts(row)
         self.known = unpack(row["known"])
-        two, one = unpack(row["after"], np.int32).astype(np.int64).reshape(2, -1)
+        two, one = unpack(row["after"]).reshape(2, -1)
         less = texts.learns.astype(np.int64) if own else 0
         begun = self.known[texts.words.index(END)]  # each training text has one end
         word = self.known[texts.tokens]
@@ -239,7 +240,8 @@ class Decisions:
         for _ in range(3):
             level = texts.before(level, LEVELS)
             past = past * (LEVELS + 1) + level
-        slot = (mix64(texts.before(texts.hashes[texts.tokens], START)) >> np.uint64(64 - slot_bits)).astype(np.int32)
+        shift = np.uint64(64 - slot_bits)
+        slot = texts.before((mix64(texts.hashes) >> shift).astype(np.int32).take(texts.tokens), int(mix64(np.array([START]))[0] >> shift))
         levels = np.arange(LEVELS, dtype=np.int32)[:, None]
         self.slots = [(levels * BUCKETS + size) * BUCKETS + np.concatenate((size[1:], np.zeros_like(size[:1]))), (levels << slot_bits) + slot, levels * HISTORY + past]
         self.gate = (levels * GATES + np.minimum(size // 2, GATES - 1)).astype(np.int8)
@@ -252,16 +254,15 @@ class Decisions:
             out.append(log_counts(before - np.repeat(before[:, self.texts.begin], self.texts.sizes, axis=1)))
         return out[0] - out[1]
 
-    def inputs(self, tables: list[Odds], own: bool) -> np.ndarray:
-        """Log odds (input, level, token). own: each bit's own count is taken out of the tables."""
+    def inputs(self, tables: list[Odds]) -> np.ndarray:
+        """Log odds (input, level, token)."""
         out = np.empty((INPUTS, *self.bit.shape), np.float32)
         for k, (table, slot) in enumerate(zip(tables, self.slots, strict=True)):
-            out[k] = table.of(slot, self.bit, own)
+            out[k] = table.of(slot, self.bit)
         out[3], out[4] = self.so_far(), 1
         return np.clip(out, -9, 9, out=out)
 
 
-OWN_MATTERS = 1 << 12
 LOGS = np.log(np.arange(1 << 14) + PRIOR).astype(np.float32)
 
 
@@ -275,49 +276,45 @@ def log_counts(n: np.ndarray) -> np.ndarray:
 
 
 class Odds:
-    """A table's log odds by slot, and the counts behind them."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        self.zero, self.one = counts
-        self.odds = log_counts(self.one) - log_counts(self.zero)
-        self.few = self.zero + self.one < OWN_MATTERS
-
-    def of(self, slot: np.ndarray, bit: np.ndarray, own: bool) -> np.ndarray:
-        """Log odds of 1 in the slots. own: without the bit itself, where a slot has so few counts that one matters."""
-        out = self.odds.take(slot)
-        if own:
-            flat, place = out.reshape(-1), np.flatnonzero(self.few.take(slot))
-            at, value = slot.reshape(-1).take(place), bit.reshape(-1).take(place).astype(np.int32)
-            flat[place] = log_counts(np.maximum(self.one.take(at) - value, 0)) - log_counts(np.maximum(self.zero.take(at) - 1 + value, 0))
-        return out
+    """A table's log odds of 1 by slot. own: by slot and bit, without that bit's own count."""
+
+    def __init__(self, counts: np.ndarray, own: bool = False) -> None:
+        zero, one = counts
+        zeros, ones = log_counts(zero), log_counts(one)
+        self.own = own
+        self.odds = np.stack((ones - log_counts(np.maximum(zero - 1, 0)), log_counts(np.maximum(one - 1, 0)) - zeros), axis=1).reshape(-1) if own else ones - zeros
+
+    def of(self, slot: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        return self.odds.take(2 * slot + bit if self.own else slot)
 
 
 def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(slots for each order, bits, word of each byte) of the words' bytes and a closing space, 8 decisions a byte."""
+    """(slots for each order, bits, word of each byte) of the words' bytes and a closing space, 8 decisions a byte, whose numbers lie together by bit."""
     pad = max(SPELL_ORDERS)
-    data = np.frombuffer(b"".join(b" " * pad + w + b" " for w in words), np.uint8).astype(np.int64)
-    size = np.fromiter((len(w) + pad + 1 for w in words), np.int64, len(words))
+    data = np.frombuffer(b"".join(b" " * pad + w + b" " for w in words), np.uint8)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + (pad + 1)
     owner = np.repeat(np.arange(len(words)), size)
     inside = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size) >= pad
     at = np.flatnonzero(inside)
-    depth = np.arange(8)
-    nodes = ((1 << depth) | (data[at][:, None] >> (8 - depth))).astype(np.uint64)
-    bits = (data[at][:, None] >> (7 - depth)) & 1
+    depth = np.arange(8, dtype=np.uint8)[:, None]
+    nodes = (1 << depth).astype(np.uint32) | (data[at] >> (8 - depth)).astype(np.uint32)
+    bits = (data[at] >> (7 - depth)) & 1
     out = []
-    for order in SPELL_ORDERS:
-        context = np.zeros(len(at), np.uint64)
-        for back in range(1, order + 1):
-            context = (context << np.uint64(8)) | data[at - back].astype(np.uint64)
-        with np.errstate(over="ignore"):
-            out.append(((mix64(context + np.uint64(order << 40))[:, None] + nodes) * FACTORS[0] >> np.uint64(64 - SPELL_BITS)).astype(np.int64))
-    return out, bits, owner[at]
-
-
-def spelling_inputs(slots: list[np.ndarray], bits: np.ndarray, tables: list[Odds], own: bool) -> np.ndarray:
-    """Log odds (input, byte, bit); what the levels' bits have more inputs is 0."""
-    out = np.zeros((INPUTS, *bits.shape), np.float32)
+    context = np.zeros(len(at), np.uint64)
+    for order in range(1, pad + 1):
+        context |= data[at - order].astype(np.uint64) << np.uint64(8 * order - 8)
+        if order in SPELL_ORDERS:
+            with np.errstate(over="ignore"):
+                mixed = (mix64(context + np.uint64(order << 40)) >> np.uint64(32)).astype(np.uint32)
+                out.append(((mixed ^ nodes * SPELL_FACTORS[0]) * SPELL_FACTORS[1] >> np.uint32(32 - SPELL_BITS)).astype(np.int32))
+    return [slot.T for slot in out], bits.T, owner[at]
+
+
+def spelling_inputs(slots: list[np.ndarray], bits: np.ndarray, tables: list[Odds]) -> np.ndarray:
+    """Log odds (input, bit, byte); what the levels' bits have more inputs is 0."""
+    out = np.zeros((INPUTS, *bits.T.shape), np.float32)
     for k, (table, slot) in enumerate(zip(tables, slots, strict=True)):
-        out[k] = table.of(slot, bits, own)
+        out[k] = table.of(slot.T, bits.T)
     out[INPUTS - 1] = 1
     return out
 
@@ -358,7 +355,7 @@ def _train(trained: int, slot_bits: int):
             for words in _in_parts(once_words(d)):
                 slots, bits, _ = spelling(words)
                 for table, slot in zip(tables[3:], slots, strict=True):
-                    table += np.bincount((slot * 2 + bits).ravel(), minlength=len(table))
+                    table += np.bincount((slot * 2 + bits).ravel("K"), minlength=len(table))
         part = TaskContext.get().partitionId()
         for k, table in enumerate(tables):
             for chunk, lo in enumerate(range(0, len(table), 2 * CHUNK)):
@@ -389,11 +386,11 @@ def newton(x: np.ndarray, bit: np.ndarray, rounds: int = 2) -> np.ndarray:
 def _learn(told, trained: int, slot_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block's best weights for its training texts, with their curvature, added up for each gate and task."""
-        tables = list(map(Odds, told.value))
+        tables = [Odds(t, own=True) for t in told.value]
         sums = np.zeros((LEVELS * GATES + GATES, INPUTS * INPUTS + INPUTS))
         for row in _rows(batches):
             d = Decisions(row, trained, slot_bits, True)
-            x = d.inputs(tables[:3], True)
+            x = d.inputs(tables[:3])
             for gate in range(LEVELS * GATES):
                 j = gate // GATES
                 own = np.flatnonzero((d.gate[j] == gate) & d.told[j] & d.texts.learns)
@@ -401,9 +398,9 @@ def _learn(told, trained: int, slot_bits: int):
                     sums[gate] += newton(x[:, j, own], d.bit[j, own])
             for words in _in_parts(once_words(d)):
                 slots, bits, _ = spelling(words)
-                x = spelling_inputs(slots, bits, tables[3:], True)
+                x = spelling_inputs(slots, bits, tables[3:])
                 for depth in range(8):
-                    sums[LEVELS * GATES + depth] += newton(np.ascontiguousarray(x[:, :, depth]), bits[:, depth])
+                    sums[LEVELS * GATES + depth] += newton(x[:, depth], bits[:, depth])
         at = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(list(sums[at]), pa.list_(pa.float64()))], ["gate", "sums"])
 
@@ -421,16 +418,17 @@ class Model:
         out = [np.zeros(0)]
         for part in _in_parts(words):
             slots, bits, owner = spelling(part)
-            x = np.einsum("kbd,dk->bd", spelling_inputs(slots, bits, self.tables[3:], False), self.weights[LEVELS * GATES :])
-            out.append(np.bincount(owner, -np.logaddexp(0, np.where(bits == 1, -x, x)).sum(axis=1), len(part)))
+            x = np.einsum("kdb,dk->db", spelling_inputs(slots, bits, self.tables[3:]), self.weights[LEVELS * GATES :])
+            out.append(np.bincount(owner, -np.logaddexp(0, np.where(bits.T == 1, -x, x)).sum(axis=0), len(part)))
         return np.concatenate(out)
 
     def bits(self, d: Decisions) -> np.ndarray:
         """The probability that each bit is 1 (0 where it isn't told). Texts are read side by side, ROUND tokens at a time; after each
         round a text's own weights, which are added to the learnt ones, move down its gradient."""
-        x = d.inputs(self.tables[:3], False)
+        x = d.inputs(self.tables[:3])
         base = sum(v * w.take(d.gate) for v, w in zip(x, np.ascontiguousarray(self.weights.T), strict=True))
-        flat, told = x[:-1].reshape((INPUTS - 1) * LEVELS, -1), d.told  # the constant is known
+        flat = x[:-1].reshape((INPUTS - 1) * LEVELS, -1)  # the constant is known
+        value = np.where(d.told, d.bit, np.int8(-1))
         out = np.empty(base.shape, np.float32)
         sizes, order = d.texts.sizes, np.argsort(-d.texts.sizes, kind="stable")
         for lo in range(0, len(order), DOCS_AT_ONCE):
@@ -448,7 +446,8 @@ class Model:
                 for x, w in zip(own, more[:-1], strict=True):
                     p += x * w[:, :n]
                 p = 1 / (1 + np.exp(-np.clip(p, -12, 12, out=p)))
-                error = (d.bit.take(place, axis=1) - p) * (told.take(place, axis=1) & inside)
+                bit = value.take(place, axis=1)
+                error = (bit - p) * ((bit >= 0) & inside)
                 error *= RATE
                 more[-1, :, :n] += error.sum(axis=2, keepdims=True)
                 for x, w in zip(own, more[:-1], strict=True):
