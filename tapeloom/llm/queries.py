@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import count_words, shared_dir, stored
+from .common import WORD, count_words, shared_dir, stored
 from .decontaminate import benchmark_leaks
+from .lines import drop_common_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .mixing_lm import score_texts
 from .quality import drawn_keys
+from .runs import periodic_runs
 from .secrets import scan_secrets, secret_report
 from .sharding import OVERHEAD, shard_by_bytes
 from .substrings import remove_repeats
 from .tokens import count_tokens
 from .topk import exact_top_k
+from .whitening import whiten_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +84,38 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """docs; where h = crc32(doc_id) is divisible by 10, words from the a-th on repeat the p words that begin there (a, p by h and the number of words)."""
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("__words")
+    g = F.floor(h / 10).cast("long")
+    some = docs.withColumn("__words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    a = (g % n).cast("int")
+    some = some.withColumns({"__a": F.when(n > 0, a), "__p": F.when(n > 0, 1 + F.floor((n - a) / (3 + g % 8)).cast("int"))})
+    again = F.flatten(F.array_repeat(F.slice("__words", F.col("__a") + 1, F.col("__p")), F.ceil((n - F.col("__a")) / F.col("__p")).cast("int")))
+    tail = F.concat(F.slice("__words", F.lit(1), F.col("__a")), F.slice(again, F.lit(1), n - F.col("__a")))
+    return some.withColumn("text", F.when(F.col("__a").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text"))).drop("__words", "__a", "__p")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    found = periodic_runs(docs).withColumn("best", best)
+    length, period = -F.col("best.shorter"), F.col("best.period")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"], F.lit("\n")))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), period.alias("period"), F.expr("(-1000 * best.shorter) div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten_vectors(table(spark, sf_dir, "embeddings"))
+    each = found.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_common_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -93,4 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_sharding": op9_sharding,
         "op10_repeats": op10_repeats,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_whitening": op12_whitening,
+        "op13_line_dedup": op13_line_dedup,
     }
