@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.functions.text import trim
+from tapeloom.functions.text import safe_file_name, trim
 
 MAX_ATTEMPTS = 3
+WAV_HEADER_BYTES = 44
 ERROR_CHARACTERS = 500
 
 
@@ -120,7 +121,7 @@ def transcriber(load: Callable[[str, int, str | None], Callable[[Any], str]]) ->
 
 def chat_request(model: str, target_language: str, source_text: str) -> str:
     """The JSON body that asks for a translation."""
-    order = f"Translate the user's text into {target_language}. Preserve meaning, names, numbers, and formatting. Return only the translation."
+    order = f"You are a translator. Render what the user says in {target_language}; leave names, figures and layout as they are, and answer with nothing else."
     return json.dumps({"model": model, "temperature": 0, "messages": [{"role": "system", "content": order}, {"role": "user", "content": source_text}]}, ensure_ascii=False)
 
 
@@ -169,8 +170,8 @@ def enqueue_translations(existing: DataFrame, completed: DataFrame, enabled: boo
     """The translation queue after transcript segments (session, id, text) completed.
 
     Blank texts and a switched-off translation add nothing. A new segment is pending; a known one starts again only if its source
-    text changed. One full join on the key."""
-    told = completed.filter(F.lit(enabled) & (trim(F.col("text")) != "")).select("session", "id", trim(F.col("text")).alias("__new"))
+    text changed. Texts are stored and compared as they are, white space included. One full join on the key."""
+    told = completed.filter(F.lit(enabled) & (trim(F.col("text")) != "")).select("session", "id", F.col("text").alias("__new"))
     both = existing.join(told, ["session", "id"], "full")
     reset = F.col("__new").isNotNull() & ~F.col("__new").eqNullSafe(F.col("sourceText"))
     return both.select(
@@ -196,16 +197,20 @@ def recovered_documents(segments: DataFrame, stored_status: DataFrame, save_on_s
     return joined.select("session", "status", "waiting", changed.alias("save"))
 
 
-def recover_manifests(manifests: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Sessions that still recorded become interrupted; the last unfinished WAV segment takes its counts from the file's length.
+def recover_manifests(manifests: DataFrame, lengths: DataFrame, at: Column) -> DataFrame:
+    """Sessions that still recorded become interrupted, completed at that time; the last unfinished WAV segment takes its counts from the file's length.
 
-    lengths: sessionId, fileName, length (bytes). finalized stays false; other formats aren't repaired."""
+    lengths: sessionId, fileName, length (bytes). Counts stay where the name isn't a plain file name, or the file isn't there or shorter than a header.
+    finalized stays false; other formats aren't repaired."""
+    was = F.col("status") == "recording"
     tail = F.when(F.size("segments") > 0, F.element_at("segments", -1))
-    joined = manifests.withColumn("__file", F.when((F.col("status") == "recording") & (F.col("audioFormat") == "wav") & ~tail["finalized"], tail["fileName"]))
-    joined = joined.join(lengths.select("sessionId", F.col("fileName").alias("__file"), F.col("length").alias("__length")), ["sessionId", "__file"], "left")
-    count = F.floor(F.greatest(F.col("__length") - 44, F.lit(0)) / 2).cast("long")
+    repairs = was & (F.col("audioFormat") == "wav") & ~tail["finalized"] & safe_file_name(tail["fileName"])
+    joined = manifests.withColumn("__file", F.when(repairs, tail["fileName"]))
+    whole = lengths.filter(F.col("length") >= WAV_HEADER_BYTES).select("sessionId", F.col("fileName").alias("__file"), F.col("length").alias("__length"))
+    joined = joined.join(whole, ["sessionId", "__file"], "left")
+    count = F.floor((F.col("__length") - WAV_HEADER_BYTES) / 2).cast("long")
     fixed = F.transform("segments", lambda s, i: F.when((i == F.size("segments") - 1) & F.col("__length").isNotNull(), s.withField("sampleCount", count).withField("durationMs", F.floor(count * 1000 / F.col("sampleRate")).cast("long"))).otherwise(s))
-    return joined.withColumns({"segments": fixed, "status": F.when(F.col("status") == "recording", "interrupted").otherwise(F.col("status"))}).drop("__file", "__length").select(*manifests.columns)
+    return joined.withColumns({"segments": fixed, "completedAt": F.when(was, at).otherwise(F.col("completedAt")), "status": F.when(was, "interrupted").otherwise(F.col("status"))}).select(*manifests.columns)
 
 
 def finish_archive(manifests: DataFrame, session_id: str, at: Column, error: str | None = None) -> DataFrame:
@@ -224,9 +229,19 @@ def drop_session(segments: DataFrame, session: str) -> tuple[DataFrame, DataFram
     return rest, rest.agg(queue_depth().alias("pending"))
 
 
-def update_languages(segments: DataFrame, controls: DataFrame) -> DataFrame:
-    """Segments with the language set last before each (controls: session, position, language), if any: an as-of join by running maximum."""
-    marks = controls.select("session", "position", F.lit(0).alias("__kind"), F.struct("position", "language").alias("__set"))
-    both = segments.withColumns({"__kind": F.lit(1), "__set": F.lit(None).cast(marks.schema["__set"].dataType)}).unionByName(marks, allowMissingColumns=True)
-    so_far = W.partitionBy("session").orderBy("position", "__kind").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("language", F.last("__set", ignorenulls=True).over(so_far)["language"]).filter("__kind = 1").drop("__kind", "__set")
+def update_languages(documents: DataFrame, controls: DataFrame) -> DataFrame:
+    """Transcript documents (sessionId, forcedLanguage, translation, updatedAt, ...) after changes of settings in mid-session.
+
+    controls: sessionId, at, language, translation (a struct as the document's). A change holds for the whole document, so the last one counts, and with it both
+    settings; changes of sessions without a document do nothing. One row a session is joined."""
+    last = controls.groupBy("sessionId").agg(F.max_by(F.struct("language", "translation", "at"), F.struct("at", "language")).alias("__set"))
+    joined = documents.join(last, "sessionId", "left")
+    change = F.col("__set").isNotNull()
+    new = {"forcedLanguage": "language", "translation": "translation", "updatedAt": "at"}
+    return joined.withColumns({c: F.when(change, F.col("__set")[n]).otherwise(F.col(c)) for c, n in new.items()}).select(*documents.columns)
+
+
+def with_document_settings(segments: DataFrame, documents: DataFrame) -> DataFrame:
+    """Segments that wait (session, ...), with language and translation of their document as it is now: all that still waits takes a change, what is done doesn't."""
+    told = documents.select(F.col("sessionId").alias("session"), F.col("forcedLanguage").alias("language"), "translation")
+    return segments.filter(is_retryable(F.col("status"), F.col("attempts"))).join(told, "session")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tapeloom.functions import signal, text
 from tapeloom.operators import history, merge, queue, sequence
 from tapeloom.plans.registry import query, table
-from tapeloom.sources import documents
 
 
 def _div(a: Column, b: int) -> Column:
@@ -328,16 +327,6 @@ def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.without_ids(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""
-SELECT * FROM (VALUES ('qwen3-asr-0.6b-int8', 879346277::BIGINT, 300000643854::BIGINT), ('qwen3-asr-1.7b-int8', 2404866275, 0), ('funasr-nano-int8', 842374465, 0), ('whisper-large-v3-int8', 1069126342, 0)) v(model_id, total_bytes, x)
-JOIN (SELECT 'qwen3-asr-0.6b-int8' AS model_id, 1643854::BIGINT AS done_bytes UNION ALL SELECT unnest(['qwen3-asr-1.7b-int8', 'funasr-nano-int8', 'whisper-large-v3-int8']), 0) USING (model_id)
-""".replace("SELECT * FROM (VALUES", "SELECT model_id, total_bytes, done_bytes FROM (VALUES"))
-def model_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    artifacts = documents.model_artifacts(spark)
-    present = spark.createDataFrame([("qwen3-asr-0.6b-int8", "model", 1_000_000), ("qwen3-asr-0.6b-int8", "voice_detector", 999_999_999)], "model_id string, kind string, length long")
-    return documents.download_progress(artifacts, present)
-
-
 @query("""
 WITH c AS (SELECT vec_id, unnest(range(0, (len(embedding) - 1) // 24 + 1)) AS frame, embedding AS e FROM embeddings)
 SELECT vec_id, frame::INT AS frame, len(e[frame * 24 + 1 : frame * 24 + 24])::INT AS valid, round(list_sum(list_transform(e[frame * 24 + 1 : frame * 24 + 24], lambda x: x::DOUBLE)), 6) AS total FROM c

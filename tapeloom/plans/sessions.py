@@ -131,7 +131,7 @@ def single_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("session", "pos", F.posexplode("samples").alias("at", "value")).select("session", (F.col("pos") + F.col("at")).alias("pos"), F.round("value", 9).alias("value"))
 
 
-@query("SELECT event_id, event_type IN ('click', 'view') OR user_id % 3 <> 1 AS microphone, user_id % 3 <> 0 AS \"system\" FROM (SELECT event_id, event_type, user_id FROM events) WHERE TRUE".replace("event_type IN ('click', 'view') OR ", ""))
+@query("SELECT event_id, user_id % 3 <> 1 AS microphone, user_id % 3 <> 0 AS \"system\" FROM events")
 def enabled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = _pick(F.col("user_id"), "microphone", "system", "mixed")
     return table(spark, sf_dir, "events").select("event_id", *[history.source_is_enabled(mode, F.lit(s)).alias(s) for s in ("microphone", "system")])
@@ -271,22 +271,65 @@ def session_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Models
 
-@query("SELECT s_nationkey::VARCHAR AS model_id, bool_and(s_suppkey % 40 <> 39) AS valid FROM supplier GROUP BY 1")
+_SPEC = """
+a AS (SELECT s_nationkey::VARCHAR AS model_id, 'r' || s_nationkey % 3 AS revision, CASE s_suppkey % 3 WHEN 0 THEN 'archive' WHEN 1 THEN 'file' ELSE 'voice_detector' END AS kind, s_name AS name, md5(s_name) AS sha256, s_suppkey AS size, s_suppkey AS k FROM supplier),
+f AS (SELECT model_id, name, CASE WHEN k % 41 = 40 THEN size + 1 ELSE size END AS length, CASE WHEN k % 37 = 36 THEN 'other' ELSE sha256 END AS sha256, kind FROM a WHERE k % 43 <> 42),
+r AS (SELECT model_id, model_id::INT % 6 <> 5 AS ready FROM a GROUP BY 1)
+"""
+
+
+def _spec(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nations stand for models, suppliers for their artifacts (of three kinds) and files: some are missing, some have another size or digest; some models aren't ready."""
+    k = F.col("s_suppkey")
+    a = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("model_id"), F.concat(F.lit("r"), F.col("s_nationkey") % 3).alias("revision"), _pick(k, "archive", "file", "voice_detector").alias("kind"), F.col("s_name").alias("name"), F.md5("s_name").alias("sha256"), k.alias("size"))
+    size = F.col("size")
+    files = a.filter(size % 43 != 42).select("model_id", "name", F.when(size % 41 == 40, size + 1).otherwise(size).alias("length"), F.when(size % 37 == 36, "other").otherwise(F.col("sha256")).alias("sha256"))
+    # A model is ready if its folder holds its one required file.
+    folder = a.select("model_id", F.lit("model").alias("name"), F.when(F.col("model_id").cast("int") % 6 == 5, 0).otherwise(1).alias("length"))
+    return a, files, documents.ready_models(folder, {str(m): ["model"] for m in range(25)})
+
+
+@query(f"""
+WITH {_SPEC},
+m AS (SELECT model_id, revision, CASE WHEN k % 47 = 46 THEN 'x' ELSE sha256 END AS sha256, name, size FROM a WHERE model_id::INT % 7 <> 6),
+n AS (SELECT model_id, count(*) + CASE WHEN model_id::INT % 5 = 4 THEN 1 ELSE 0 END AS listed FROM m GROUP BY 1),
+c AS (SELECT a.model_id, coalesce(m.sha256 = a.sha256, FALSE) AND a.model_id::INT % 8 <> 7 AND r.ready AND CASE a.kind WHEN 'archive' THEN TRUE WHEN 'file' THEN coalesce(f.length = a.size, FALSE) ELSE coalesce(f.length = a.size AND f.sha256 = a.sha256, FALSE) END AS holds
+      FROM a JOIN r USING (model_id) LEFT JOIN m ON m.model_id = a.model_id AND m.name = a.name LEFT JOIN f ON f.model_id = a.model_id AND f.name = a.name)
+SELECT c.model_id, bool_and(holds) AND count(*) = coalesce(max(listed), -1) AS valid FROM c LEFT JOIN n USING (model_id) GROUP BY 1
+""")
 def marker_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations stand for models, suppliers for their artifacts; every fortieth is listed with another size, and each marker lists one more."""
-    a = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("model_id"), F.col("s_name").alias("kind"), F.md5("s_name").alias("sha256"), F.col("s_suppkey").alias("size"))
-    listed = a.withColumn("size", F.when(F.expr("size % 40") == 39, F.col("size") + 1).otherwise(F.col("size")))
-    markers = listed.groupBy("model_id").agg(F.concat(F.collect_list(F.struct("kind", "sha256", "size")), F.array(F.struct(F.lit("more").alias("kind"), F.lit("").alias("sha256"), F.lit(0).cast("long").alias("size")))).alias("artifacts"))
-    return documents.valid_markers(markers, a)
+    """Markers of most models: some list one artifact more, some another revision, some a wrong digest."""
+    a, files, ready = _spec(spark, sf_dir)
+    nation, size = F.col("model_id").cast("int"), F.col("size")
+    told = F.struct("name", F.when(size % 47 == 46, "x").otherwise(F.col("sha256")).alias("sha256"), "size")
+    more = F.when(F.first(nation) % 5 == 4, F.array(F.struct(F.lit("more").alias("name"), F.lit("").alias("sha256"), F.lit(0).cast("long").alias("size")))).otherwise(F.expr("CAST(array() AS array<struct<name: string, sha256: string, size: bigint>>)"))
+    revision = F.when(nation % 8 == 7, "old").otherwise(F.col("revision"))
+    markers = a.filter(nation % 7 != 6).withColumn("size", size.cast("long")).groupBy("model_id", revision.alias("revision")).agg(F.concat(F.collect_list(told), more).alias("artifacts"))
+    return documents.valid_markers(markers, a, files, ready)
+
+
+@query(f"""
+WITH {_SPEC},
+p AS (SELECT model_id, name, length FROM f UNION ALL SELECT model_id, name || '.partial', size * 2 - 100 FROM a WHERE k % 43 = 42 OR k % 41 = 40)
+SELECT a.model_id, sum(CASE WHEN coalesce(w.length = size, FALSE) OR kind = 'archive' AND ready THEN size ELSE least(coalesce(q.length, 0), size) END)::BIGINT AS done_bytes, sum(size)::BIGINT AS total_bytes
+FROM a JOIN r USING (model_id) LEFT JOIN p w ON w.model_id = a.model_id AND w.name = a.name LEFT JOIN p q ON q.model_id = a.model_id AND q.name = a.name || '.partial' GROUP BY 1
+""")
+def model_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, what is partly there, and the archives of models that are ready."""
+    a, files, ready = _spec(spark, sf_dir)
+    part = a.filter("size % 43 = 42 OR size % 41 = 40").select("model_id", text.partial_path(F.col("name")).alias("name"), (F.col("size") * 2 - 100).alias("length"), F.lit("").alias("sha256"))
+    return documents.download_progress(a, files.unionByName(part), ready)
 
 
 @query("""
-WITH f AS (SELECT (p_partkey % 50)::VARCHAR AS model_id, 'f' || p_size % 5 AS name, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS length FROM part)
-SELECT model_id, model_id::INT < 40 AND count(DISTINCT name) FILTER (WHERE name IN ('f0', 'f1', 'f2')) = 3 AS ready FROM f WHERE length > 0 GROUP BY 1
+WITH f AS (SELECT p_partkey % 50 AS m, 'f' || p_size % 5 AS name, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 50 = 49 THEN 0 ELSE p_size END AS length FROM part),
+h AS (SELECT m, count(DISTINCT name) AS n FROM f WHERE length > 0 AND name IN ('f0', 'f1', 'f2') GROUP BY 1)
+SELECT m::VARCHAR AS model_id, coalesce(n, 0) = 3 AS ready FROM range(45, 55) t(m) LEFT JOIN h USING (m)
 """)
 def models_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "part").select(F.expr("CAST(p_partkey % 50 AS string)").alias("model_id"), F.concat(F.lit("f"), F.expr("p_size % 5")).alias("name"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END").alias("length"))
-    return documents.ready_models(files, {str(m): ["f0", "f1", "f2"] for m in range(40)})
+    """Of the models asked for, one has only empty files and five have none."""
+    files = table(spark, sf_dir, "part").select(F.expr("CAST(p_partkey % 50 AS string)").alias("model_id"), F.concat(F.lit("f"), F.expr("p_size % 5")).alias("name"), F.expr("CASE WHEN p_partkey % 3 = 0 OR p_partkey % 50 = 49 THEN 0 ELSE p_size END").alias("length"))
+    return documents.ready_models(files, {str(m): ["f0", "f1", "f2"] for m in range(45, 55)})
 
 
 # Queues
@@ -316,20 +359,25 @@ SEGMENT_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice
 
 @query(f"""
 WITH s AS (SELECT l_orderkey AS k, l_quantity::BIGINT * 100 AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY {SEGMENT_ORDER}) AS n, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem),
-x AS (SELECT k, n = m AND o_orderstatus = 'O' AND k % 2 = 0 AS fix, c, k % 5000 AS f, o_orderstatus FROM s JOIN orders ON k = o_orderkey)
-SELECT k AS "sessionId", CASE WHEN o_orderstatus = 'O' THEN 'interrupted' ELSE 'completed' END AS status, count(*)::INT AS segments, sum(CASE WHEN fix THEN f ELSE c END)::BIGINT AS samples, sum(CASE WHEN fix THEN f ELSE c END * 1000 // 16000)::BIGINT AS ms FROM x GROUP BY 1, 2
+x AS (SELECT k, n = m AND o_orderstatus = 'O' AND k % 2 = 0 AND k % 5000 >= 20 AND k % 10 <> 4 AS fix, c, k % 5000 - 20 AS f, o_orderstatus, o_orderdate FROM s JOIN orders ON k = o_orderkey)
+SELECT k AS "sessionId", CASE WHEN o_orderstatus = 'O' THEN 'interrupted' ELSE 'completed' END AS status, CASE WHEN o_orderstatus = 'O' THEN TIMESTAMP '2026-01-02 03:04:05' ELSE o_orderdate::TIMESTAMP END AS completed_at,
+  count(*)::INT AS segments, sum(CASE WHEN fix THEN f ELSE c END)::BIGINT AS samples, sum(CASE WHEN fix THEN f ELSE c END * 1000 // 16000)::BIGINT AS ms FROM x GROUP BY ALL
 """)
 def recovered_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders stand for sessions, even ones in WAV; the last segment of those that recorded takes its counts from a file's length."""
+    """Orders stand for sessions, even ones in WAV; the last segment of those that recorded takes its counts from a file's length, unless the file is shorter than its
+    header or its name leads elsewhere."""
     o, item = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     rows = item.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*SEGMENT_ORDER.split(", ")))).alias("all"))
-    segment = lambda x, i: F.struct(i.alias("index"), F.concat(F.lit("audio-"), i).alias("fileName"), (x["l_quantity"].cast("long") * 100).alias("sampleCount"), F.expr("0").cast("long").alias("durationMs"), F.lit(False).alias("finalized"))
+    joined = o.join(rows, o["o_orderkey"] == rows["l_orderkey"])
+    folder = F.when(F.col("o_orderkey") % 10 == 4, "../").otherwise("")
+    segment = lambda x, i: F.struct(i.alias("index"), F.concat(folder, F.lit("audio-"), i).alias("fileName"), (x["l_quantity"].cast("long") * 100).alias("sampleCount"), F.expr("0").cast("long").alias("durationMs"), F.lit(False).alias("finalized"))
     told = F.transform(F.transform("all", segment), lambda s: s.withField("durationMs", signal.samples_to_ms(s["sampleCount"])))
-    status = F.when(F.col("o_orderstatus") == "O", "recording").otherwise("completed")
-    m = o.join(rows, o["o_orderkey"] == rows["l_orderkey"]).select(F.col("o_orderkey").alias("sessionId"), status.alias("status"), F.when(F.col("o_orderkey") % 2 == 0, "wav").otherwise("flac").alias("audioFormat"), F.lit(16000).cast("long").alias("sampleRate"), told.alias("segments"))
-    files = m.select("sessionId", F.concat(F.lit("audio-"), F.size("segments") - 1).alias("fileName"), (44 + 2 * (F.col("sessionId") % 5000)).alias("length"))
+    recording = F.col("o_orderstatus") == "O"
+    m = joined.select(F.col("o_orderkey").alias("sessionId"), F.when(recording, "recording").otherwise("completed").alias("status"), F.when(~recording, F.col("o_orderdate").cast("timestamp_ntz")).alias("completedAt"), F.when(F.col("o_orderkey") % 2 == 0, "wav").otherwise("flac").alias("audioFormat"), F.lit(16000).cast("long").alias("sampleRate"), told.alias("segments"))
+    files = m.select("sessionId", F.element_at("segments", -1)["fileName"].alias("fileName"), (4 + 2 * (F.col("sessionId") % 5000)).alias("length"))
     total = lambda f: F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + s[f])
-    return queue.recover_manifests(m, files).select("sessionId", "status", F.size("segments").alias("segments"), total("sampleCount").alias("samples"), total("durationMs").alias("ms"))
+    found = queue.recover_manifests(m, files, F.expr("TIMESTAMP_NTZ '2026-01-02 03:04:05'"))
+    return found.select("sessionId", "status", F.col("completedAt").alias("completed_at"), F.size("segments").alias("segments"), total("sampleCount").alias("samples"), total("durationMs").alias("ms"))
 
 
 @query(f"WITH {TURNS} SELECT count(*) FILTER (WHERE {OPEN}) AS pending, count(DISTINCT session) AS sessions FROM t WHERE session <> (SELECT min(conv_id) FROM conversations)")
@@ -339,12 +387,18 @@ def dropped_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending.crossJoin(rest.agg(F.count_distinct("session").alias("sessions")))  # one row each
 
 
-@query(f"WITH {TURNS} SELECT session, id, (SELECT max_by('l' || c.id, c.id) FROM t c WHERE c.session = t.session AND c.status = 'failed' AND c.id <= t.id) AS language FROM t")
+@query(f"""
+WITH {TURNS}, c AS (SELECT session, max(id) AS last FROM t WHERE status = 'failed' AND session % 9 <> 4 GROUP BY 1)
+SELECT session, id, coalesce('l' || last, 'auto') AS language, CASE WHEN last IS NULL THEN 'Chinese' ELSE 'T' || last END AS target FROM t LEFT JOIN c USING (session) WHERE {OPEN} AND session % 9 <> 8
+""")
 def language_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each failed segment's place is where the language changes."""
-    turns = _turns(spark, sf_dir)
-    controls = turns.filter("status = 'failed'").select("session", "position", F.concat(F.lit("l"), F.col("id")).alias("language"))
-    return queue.update_languages(turns.select("session", "id", "position"), controls).select("session", "id", "language")
+    """Each failed segment is also where the settings change; in the end one setting holds for all of a session that still waits. Some sessions have no change, some no document."""
+    turns = _turns(spark, sf_dir).withColumn("sessionId", F.col("session"))
+    target = lambda c: F.struct(c.alias("targetLanguage"))
+    found = turns.filter("session % 9 <> 8").select("sessionId", F.lit("auto").alias("forcedLanguage"), target(F.lit("Chinese")).alias("translation"), F.lit(None).cast("long").alias("updatedAt")).distinct()
+    controls = turns.filter("status = 'failed' AND session % 9 <> 4").select("sessionId", F.col("id").alias("at"), F.concat(F.lit("l"), F.col("id")).alias("language"), target(F.concat(F.lit("T"), F.col("id"))).alias("translation"))
+    waiting = queue.with_document_settings(turns.drop("sessionId"), queue.update_languages(found, controls))
+    return waiting.select("session", "id", "language", F.col("translation.targetLanguage").alias("target"))
 
 
 @query("""
@@ -440,12 +494,12 @@ def channel_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the five channels tell of a batch."""
     turns = _turns(spark, sf_dir)
     mixed = turns.select("session", F.lit("mixed").alias("kind"), F.col("id").alias("position"), F.lit(-80.0).alias("level_db"), F.col("attempts").alias("pending"))
-    present = spark.createDataFrame([], "model_id string, kind string, length long")
+    nothing = spark.createDataFrame([], "model_id string, name string, length long, sha256 string, ready boolean")
     parts = [
         capture.channel_events(turns.groupBy("session").agg(queue.queue_depth().alias("pending")), "transcription-status", "session"),
         capture.channel_events(turns.select("session", "id", "status"), "transcript-segment", "session"),
         capture.channel_events(turns.filter("status = 'complete'").select("session", F.col("id").alias("segmentId")), "translation-segment", "session"),
-        capture.channel_events(documents.download_progress(documents.model_artifacts(spark), present), "model-download-status", "model_id"),
+        capture.channel_events(documents.download_progress(documents.model_artifacts(spark), nothing, nothing), "model-download-status", "model_id"),
         capture.channel_events(capture.recording_status(mixed), "recording-status", "session"),
     ]
     out = parts[0]

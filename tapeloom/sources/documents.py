@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions.text import partial_path
+
 NAMES = {"session": "session.json", "transcript": "transcript.json", "translation": "translation.json"}
+MARKER = "install.json"
+MARKER_SCHEMA = "model_id string, revision string, artifacts array<struct<name: string, sha256: string, size: bigint>>"
 MAX_DEPTH = 5
 SCHEMAS = {
     "session": """sessionId STRING, startedAt TIMESTAMP, completedAt TIMESTAMP, status STRING, audioFormat STRING, audioSource STRING, lastError STRING,
@@ -40,7 +46,7 @@ def parse_documents(files: DataFrame, kind: str, strict: bool = False) -> DataFr
 
 def plain_files(root: str, name: str, depth: int = MAX_DEPTH) -> list[str]:
     """Paths of the files of a name at most depth folders below a local root; links, to files or folders, are passed over."""
-    found, base = [], root.removeprefix("file://").rstrip("/") or "/"
+    found, base = [], re.sub(r"^file:/+", "/", root).rstrip("/") or "/"
     for folder, folders, files in os.walk(base, followlinks=False):
         below = 0 if folder == base else folder[len(base) :].strip("/").count("/") + 1
         if below >= depth:
@@ -66,12 +72,12 @@ def scan_documents(spark: SparkSession, root: str, kind: str, strict: bool = Fal
     return parse_documents(read.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("directory"), F.col("value").alias("content")), kind, strict)
 
 
-def load_document(spark: SparkSession, directory: str, kind: str) -> DataFrame | None:
-    """One document, strictly; None if there is none."""
+def load_document(spark: SparkSession, directory: str, kind: str, depth: int = MAX_DEPTH) -> DataFrame | None:
+    """One document, strictly; None if there is none. depth 0: that of the folder itself, not of folders below."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{NAMES[kind]}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return scan_documents(spark, directory, kind, strict=True)
+    return scan_documents(spark, directory, kind, strict=True, depth=depth)
 
 
 def session_date(directory: str = "directory"):
@@ -88,11 +94,55 @@ def save_documents(documents: DataFrame, path: str, by: tuple[str, ...] = ("year
     dated.hint("rebalance", *by).write.partitionBy(*by).mode("overwrite").parquet(path)
 
 
+def save_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small document under a path, all or nothing: written beside it, then renamed over it. Two writers at once: one of them wins whole."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    place, beside = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    context = fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(beside, False)
+    try:
+        out.write(bytearray(text.encode()))
+        out.hsync()
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context.rename(system.makeQualified(beside), system.makeQualified(place), over)
+
+
+def save_marker(spark: SparkSession, marker: dict, package: str) -> None:
+    """The marker of an installed model (model_id, revision, artifacts), in its package's folder."""
+    save_text(spark, json.dumps(marker, indent=2, ensure_ascii=False), f"{package}/{MARKER}")
+
+
+def load_markers(spark: SparkSession, root: str) -> DataFrame:
+    """The markers of all packages (root/model/revision), for valid_markers; unreadable ones have nulls, as a model without one."""
+    read = spark.read.option("pathGlobFilter", MARKER).option("recursiveFileLookup", True).text(root, wholetext=True)
+    return read.select(F.from_json("value", MARKER_SCHEMA, {"mode": "PERMISSIVE"}).alias("m")).select("m.*").filter("model_id IS NOT NULL")
+
+
+def _resolved(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and without links: by the operating system for local folders, by the file system for others."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = place.makeQualified(system.getUri(), system.getWorkingDirectory())
+    if system.getUri().getScheme() == "file":
+        return "file:" + os.path.realpath(full.toUri().getPath())
+    return system.resolvePath(full).toString()
+
+
+def _inside(directory: str, root: str) -> bool:
+    """Whether a folder lies below the root; the root itself doesn't."""
+    return directory.rstrip("/") != root.rstrip("/") and f"{directory.rstrip('/')}/".startswith(f"{root.rstrip('/')}/")
+
+
 def without_session(manifests: DataFrame, session_id: str, root: str) -> DataFrame:
-    """The manifests that stay. Deleting a session that still records, or one outside the root, is refused."""
+    """The manifests that stay. Deleting a session that still records, or one that isn't below the root, is refused; this compares paths as they are written."""
     mine = manifests.filter(F.col("sessionId") == session_id)
     inside = re.sub(r"^file:/+", "/", root.rstrip("/")) + "/"
-    outside = ~F.startswith(F.concat(F.regexp_replace("directory", "^file:/+", "/"), F.lit("/")), F.lit(inside)) | F.contains("directory", F.lit("/../"))
+    folder = F.regexp_replace(F.regexp_replace("directory", "^file:/+", "/"), "/+$", "")
+    outside = ~(F.startswith(folder, F.lit(inside)) & (F.length(folder) > len(inside))) | F.contains("directory", F.lit("/../"))
     bad = mine.filter((F.col("status") == "recording") | outside).limit(1).count()
     if bad:
         raise ValueError("an active session, or one outside the root, can't be deleted")
@@ -100,13 +150,25 @@ def without_session(manifests: DataFrame, session_id: str, root: str) -> DataFra
 
 
 def delete_session(manifests: DataFrame, session_id: str, root: str) -> None:
-    """Deletes the folder of a session, as without_session allows; an unknown session is an error. What stays shows in a new scan."""
+    """Deletes the folder of a session; an unknown or blank id is an error. What stays shows in a new scan.
+
+    Links in the folder's address and the root's are followed first: the folder must lie below the root and isn't the root. Its manifest
+    is then read again: it must still be this session's, and it may not record by now."""
+    if not session_id.strip():
+        raise ValueError("no such session")
     without_session(manifests, session_id, root)
     folders = [r[0] for r in manifests.filter(F.col("sessionId") == session_id).select("directory").distinct().limit(2).collect()]
-    if len(folders) != 1 or ".." in folders[0].split("/"):
+    if len(folders) != 1:
         raise ValueError("no such session")
     spark = manifests.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folders[0])
+    folder = _resolved(spark, folders[0])
+    if not _inside(folder, _resolved(spark, root)):
+        raise ValueError("a session outside the root can't be deleted")
+    now = load_document(spark, folder, "session", depth=0)
+    now = now and now.select("sessionId", "status").first()
+    if now is None or now.sessionId != session_id or now.status == "recording":
+        raise ValueError("an active session can't be deleted")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -116,33 +178,54 @@ MODEL_BYTES = {"qwen3-asr-0.6b-int8": 879_346_277, "qwen3-asr-1.7b-int8": 2_404_
 
 
 def model_artifacts(spark: SparkSession) -> DataFrame:
-    rows = [(m, k, n) for m, total in MODEL_BYTES.items() for k, n in (("model", total - VOICE_DETECTOR_BYTES), ("voice_detector", VOICE_DETECTOR_BYTES))]
-    return spark.createDataFrame(rows, "model_id string, kind string, size long")
+    """What each model of the catalogue is made of, as kinds and sizes; name is the kind."""
+    rows = [(m, k, k, n) for m, total in MODEL_BYTES.items() for k, n in (("model", total - VOICE_DETECTOR_BYTES), ("voice_detector", VOICE_DETECTOR_BYTES))]
+    return spark.createDataFrame(rows, "model_id string, kind string, name string, size long")
 
 
 def model_catalog(artifacts: DataFrame) -> DataFrame:
     return artifacts.groupBy("model_id").agg(F.sum("size").alias("total_bytes"))
 
 
-def download_progress(artifacts: DataFrame, present: DataFrame) -> DataFrame:
-    """Bytes there, of all, for each model; a partial file counts up to its artifact's size."""
-    joined = artifacts.join(present.select("model_id", "kind", "length"), ["model_id", "kind"], "left")
-    done = F.sum(F.least(F.coalesce("length", F.lit(0)), "size")).alias("done_bytes")
-    return joined.groupBy("model_id").agg(done, F.sum("size").alias("total_bytes"))
+def _there(artifacts: DataFrame, files: DataFrame, ready: DataFrame) -> DataFrame:
+    """artifacts with what is there of each: whole_length and whole_sha256 of its file, part_length of its partial file, and whether its model is ready."""
+    by = files.groupBy("model_id", "name").agg(F.max(F.struct("length", "sha256")).alias("f"))
+    whole = by.select("model_id", "name", F.col("f.length").alias("whole_length"), F.col("f.sha256").alias("whole_sha256"))
+    part = by.select("model_id", F.col("name").alias("__part"), F.col("f.length").alias("part_length"))
+    named = artifacts.withColumn("__part", partial_path(F.col("name")))
+    return named.join(whole, ["model_id", "name"], "left").join(part, ["model_id", "__part"], "left").join(ready.select("model_id", "ready"), "model_id", "left").drop("__part")
 
 
-def valid_markers(markers: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Each model and whether its marker lists every artifact with its digest and size.
+def download_progress(artifacts: DataFrame, files: DataFrame, ready: DataFrame) -> DataFrame:
+    """(model_id, done_bytes, total_bytes). artifacts: model_id, kind, name, size; files: model_id, name, length, sha256; ready: as ready_models gives it.
 
-    markers: model_id, artifacts array<struct<kind, sha256, size>>; artifacts: model_id, kind, sha256, size. Relational division, so a
-    marker with artifacts to spare is still valid."""
-    listed = markers.select("model_id", F.explode("artifacts").alias("a")).select("model_id", "a.*").distinct()
-    met = artifacts.join(listed.withColumn("met", F.lit(True)), ["model_id", "kind", "sha256", "size"], "left")
-    return met.groupBy("model_id").agg(F.every(F.coalesce("met", F.lit(False))).alias("valid"))
+    An artifact is done if its file has its size, or if it is the archive of a model that is ready; else its partial file counts, up to its size."""
+    whole = (F.col("whole_length") == F.col("size")) | ((F.col("kind") == "archive") & F.col("ready"))
+    done = F.when(F.coalesce(whole, F.lit(False)), F.col("size")).otherwise(F.least(F.coalesce("part_length", F.lit(0)), F.col("size")))
+    return _there(artifacts, files, ready).groupBy("model_id").agg(F.sum(done).alias("done_bytes"), F.sum("size").alias("total_bytes"))
+
+
+def valid_markers(markers: DataFrame, artifacts: DataFrame, files: DataFrame, ready: DataFrame) -> DataFrame:
+    """(model_id, valid) for each model that has artifacts: whether it is ready and its marker, of the same revision, lists exactly as many artifacts, among them each of its
+    own with its digest and size.
+
+    markers: model_id, revision, artifacts array<struct<name, sha256, size>>; artifacts: model_id, revision, kind, name, sha256, size; files, ready: as in
+    download_progress. Relational division over artifacts. By kind: a file must have its size, the voice detector (kind voice_detector) its digest too; an archive
+    is gone once unpacked."""
+    listed = markers.select("model_id", "revision", F.explode("artifacts").alias("a")).select("model_id", "revision", "a.name", "a.sha256", "a.size").distinct()
+    counts = markers.groupBy("model_id", "revision").agg(F.max(F.size("artifacts")).alias("listed"))
+    met = _there(artifacts, files, ready).join(listed.withColumn("met", F.lit(True)), ["model_id", "revision", "name", "sha256", "size"], "left").join(counts, ["model_id", "revision"], "left")
+    sized = F.col("whole_length") == F.col("size")
+    kept = F.when(F.col("kind") == "archive", True).when(F.col("kind") == "voice_detector", sized & (F.lower("whole_sha256") == F.lower("sha256"))).otherwise(sized)
+    holds = F.coalesce(F.col("met") & kept & F.col("ready"), F.lit(False))
+    return met.groupBy("model_id").agg((F.every(holds) & (F.count(F.lit(1)) == F.coalesce(F.max("listed"), F.lit(-1)))).alias("valid"))
 
 
 def ready_models(files: DataFrame, required: dict[str, list[str]]) -> DataFrame:
-    """Models all of whose required files are there and not empty. files: model_id, name, length."""
-    have = files.filter("length > 0").groupBy("model_id").agg(F.collect_set("name").alias("names"))
-    wanted = F.create_map(*[x for m, names in required.items() for x in (F.lit(m), F.array(*map(F.lit, names)))])
-    return have.select("model_id", F.size(F.array_except(F.coalesce(F.try_element_at(wanted, F.col("model_id")), F.array(F.lit(None).cast("string"))), "names")).__eq__(0).alias("ready"))
+    """(model_id, ready) for each required model: whether all its files are there and not empty. files: model_id, name, length.
+
+    One that asks for no file is ready; one of which nothing is there isn't."""
+    wanted = files.sparkSession.createDataFrame(list(required.items()), "model_id string, names array<string>")
+    have = files.filter("length > 0").join(F.broadcast(wanted), "model_id").groupBy("model_id").agg(F.collect_set(F.when(F.array_contains("names", F.col("name")), F.col("name"))).alias("have"))
+    joined = wanted.join(have, "model_id", "left")
+    return joined.select("model_id", (F.size(F.array_except("names", F.coalesce("have", F.array().cast("array<string>")))) == 0).alias("ready"))

@@ -7,10 +7,11 @@ import math
 import re
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.text import completions_url
+from tapeloom.sources.documents import save_text
 
 # Fixed values.
 DEFAULTS: dict[str, dict[str, Any]] = {
@@ -21,15 +22,35 @@ DEFAULTS: dict[str, dict[str, Any]] = {
 }
 
 
+#: Sections that a file gives whole or not at all, and the fields in them that it may leave out.
+WHOLE: dict[str, tuple[str, ...]] = {"audio": ("outputDirectory",), "desktop": ()}
+
+
 def _filled(default: Any, given: Any) -> Any:
     if isinstance(default, dict):
-        return {k: _filled(v, given[k]) if isinstance(given, dict) and k in given else v for k, v in default.items()}
+        if not isinstance(given, dict):
+            raise ValueError("a section of the settings must be an object")
+        return {k: _filled(v, given[k]) if k in given else v for k, v in default.items()}
     return given
 
 
 def load_settings(text: str | None) -> dict[str, Any]:
-    """Settings from a file's text; none gives the defaults, unknown fields are ignored."""
-    return _filled(DEFAULTS, json.loads(text) if text else {})
+    """Settings from a file's text; none gives the defaults, unknown fields are ignored.
+
+    Missing sections have their defaults, and so have missing fields of transcription (vad's too) and translation; audio and desktop must be whole."""
+    given = json.loads(text) if text is not None else {}
+    found = _filled(DEFAULTS, given)
+    for section, spare in WHOLE.items():
+        missing = [k for k in DEFAULTS[section] if section in given and k not in given[section] and k not in spare]
+        if missing:
+            raise ValueError(f"{section} lacks {', '.join(missing)}")
+    return found
+
+
+def save_settings(spark: SparkSession, settings: dict[str, Any], path: str, models: tuple[str, ...]) -> None:
+    """Valid settings, written all or nothing; invalid ones are an error and leave the file as it is."""
+    validate_settings(settings, models)
+    save_text(spark, json.dumps(settings, indent=2, ensure_ascii=False), path)
 
 
 def check_segmentation(threshold: float, min_speech_ms: int, min_silence_ms: int, max_segment_ms: int) -> None:

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -84,7 +86,12 @@ def test_resampler_goes_on_from_its_state():
 def test_settings():
     assert load_settings(None)["translation"] == {"enabled": True, "endpoint": "http://127.0.0.1:8000/v1", "model": "Hy-MT2-1.8B", "targetLanguage": "Chinese"}
     validate_settings(load_settings(None), ("qwen3-asr-0.6b-int8",))
-    assert load_settings('{"audio": {"segmentMinutes": 5}}')["audio"]["microphoneGain"] == DEFAULTS["audio"]["microphoneGain"]
-    for bad in ('{"audio": {"microphoneGain": NaN}}', '{"transcription": {"threads": 0}}', '{"transcription": {"vad": {"maxSegmentMs": 1}}}', '{"translation": {"endpoint": "ftp://x"}}'):
+    audio = {k: v for k, v in DEFAULTS["audio"].items() if k != "outputDirectory"}
+    assert load_settings(json.dumps({"audio": audio | {"segmentMinutes": 5}, "more": 1}))["audio"] == DEFAULTS["audio"] | {"segmentMinutes": 5}
+    assert load_settings('{"transcription": {"vad": {"minSpeechMs": 1}}}')["transcription"]["vad"] == DEFAULTS["transcription"]["vad"] | {"minSpeechMs": 1}
+    for cut in ('{"audio": {"segmentMinutes": 5}}', '{"desktop": {"theme": "dark"}}', '{"translation": []}', "{"):
+        with pytest.raises(ValueError):
+            load_settings(cut)
+    for bad in (json.dumps({"audio": audio | {"microphoneGain": float("nan")}}), '{"transcription": {"threads": 0}}', '{"transcription": {"vad": {"maxSegmentMs": 1}}}', '{"translation": {"endpoint": "ftp://x"}}'):
         with pytest.raises(ValueError):
             validate_settings(load_settings(bad), ("qwen3-asr-0.6b-int8",))
