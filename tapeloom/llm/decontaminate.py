@@ -15,6 +15,8 @@ from .common import WordHashes, shingle_hashes, stored
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6
+#: Items of fewer words are found in texts that have nothing to do with them; they are told, but drop nothing.
+LEAST_WORDS = 4
 BLOCK_BYTES = 4_000_000
 MEMO = 5_000
 
@@ -58,12 +60,13 @@ class Items:
     seeds: dict[int, dict[int, list[tuple[int, int]]]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Items:
+    def of(cls, rows: list[tuple[int, str]], least: int = 1) -> Items:
+        """least: items of fewer words are left out."""
         hashes = WordHashes()
         out = cls([], [], {})
         for item, text in rows:
             words = hashes.of(passage_words(text))
-            if len(words):
+            if len(words) >= least:
                 n = seed_words(len(words))
                 seeds = out.seeds.setdefault(n, defaultdict(list))
                 for offset, seed in enumerate(shingle_hashes(words, n).tolist()):
@@ -105,8 +108,8 @@ def find_regions(items: Items, filters: dict[int, np.ndarray], words: np.ndarray
     return out
 
 
-def find_leaks(items: Items, filters: dict[int, np.ndarray], words: np.ndarray, min_score: float, memo: dict) -> list[tuple[int, float, int, int]]:
-    """(item id, score, first word, end) of the best passage of each item whose alignment reaches min_score of the item's own; of equal ones the first.
+def find_leaks(items: Items, filters: dict[int, np.ndarray], words: np.ndarray, min_score: float, memo: dict) -> list[tuple[int, float, int, int, bool]]:
+    """(item id, score, first word, end, whether the item is short) of the best passage of each item whose alignment reaches min_score of the item's own; of equal ones the first.
 
     A region with fewer of the item's words than the score needs matches isn't aligned."""
     out = []
@@ -129,7 +132,7 @@ def find_leaks(items: Items, filters: dict[int, np.ndarray], words: np.ndarray,
             score, first, end = memo[key]
             best = max(best, (score / (MATCH * len(own)), -(lo + first), lo + end))
         if best[0] >= min_score:
-            out.append((items.ids[item], best[0], -best[1], best[2]))
+            out.append((items.ids[item], best[0], -best[1], best[2], len(own) < LEAST_WORDS))
     return out
 
 
@@ -144,7 +147,7 @@ def _leaks(told, min_score: float):
                 rows += [(doc.as_py(), *x) for x in find_leaks(items, filters, words, min_score, memo)]
             hashes.forget()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word", "short"])
 
     return run
 
@@ -161,7 +164,7 @@ def _clean(told, min_score: float, text_col: str):
     return run
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[Items]]:
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, least: int = 1) -> tuple[int, Iterator[Items]]:
     """How many blocks of about block_bytes of text the items make, and the blocks, each read when it is asked for.
 
     Items with equal text are one (the least id). A block's size is bounded, so one at a time may visit the driver and be broadcast;
@@ -170,21 +173,22 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes)
     dealt = stored(items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(max(1, n)))), "benchmark-items")
-    return n, (Items.of([(r["item_id"], r["text"]) for r in dealt.filter(F.col("block") == b).sort("item_id", "text").collect()]) for b in range(n))
+    return n, (Items.of([(r["item_id"], r["text"]) for r in dealt.filter(F.col("block") == b).sort("item_id", "text").collect()], least) for b in range(n))
 
 
-LEAK_SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word long"
+LEAK_SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word long, short boolean"
 
 
 def benchmark_leaks(df: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, score, start_word, end_word for each document and test item that it holds, whole, edited or paraphrased.
+    """doc_id, item_id, score, start_word, end_word and short for each document and test item that it holds, whole, edited or paraphrased.
 
     The items' seeds (seed_words in a row) are looked up in every document; around the hits the item is aligned with the
     document's words by Smith-Waterman, and the score is a share of the item's score against itself. With words only replaced, none that
     reaches MIN_SCORE is missed; with words added between others, one is if no seed stays in a row. Words are
     split at everything but letters and digits, A-Z lower-cased. Null and empty texts give no rows, nor do items without words;
     repeated rows of df each give their rows, and a null id is told as null; of items with equal text the least id is named; of equally good
-    passages of an item the first. An empty benchmark gives no rows.
+    passages of an item the first. An empty benchmark gives no rows. short: the item has fewer than LEAST_WORDS words, so that finding it says little; drop_contaminated leaves such
+    items aside (short_items counts them).
 
     One pass over df for each block of items (see item_blocks), without a shuffle of documents; with several blocks each pass's
     rows are stored before the next block is read.
@@ -202,13 +206,19 @@ def benchmark_leaks(df: DataFrame, benchmark: DataFrame, min_score: float = MIN_
     return out
 
 
+def short_items(benchmark: DataFrame, text_col: str = "text") -> int:
+    """How many items of the benchmark have a word, but fewer than LEAST_WORDS."""
+    n = F.size(F.filter(F.split(F.regexp_replace(text_col, r"[\x00-\x7F&&[^0-9A-Za-z]]", " "), " "), lambda w: w != ""))
+    return benchmark.filter(n.between(1, LEAST_WORDS - 1)).count()
+
+
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """df without the rows that hold a test item (see benchmark_leaks); the rest, null texts included, stays as it is."""
-    n, blocks = item_blocks(benchmark, block_bytes=block_bytes)
+    """df without the rows that hold a test item of LEAST_WORDS words or more (see benchmark_leaks); the rest, null texts included, stays as it is."""
+    n, blocks = item_blocks(benchmark, block_bytes=block_bytes, least=LEAST_WORDS)
     if n == 1:
         return df.mapInArrow(_clean(df.sparkSession.sparkContext.broadcast(next(blocks)), min_score, text_col), df.schema)
     if not n:
         return df
     numbered = stored(df.withColumn("__row", F.monotonically_increasing_id()), "clean-rows")
-    found = benchmark_leaks(numbered, benchmark, min_score, "__row", text_col, block_bytes).select(F.col("doc_id").alias("__row")).distinct()
+    found = benchmark_leaks(numbered, benchmark, min_score, "__row", text_col, block_bytes).filter("NOT short").select(F.col("doc_id").alias("__row")).distinct()
     return numbered.join(found, "__row", "left_anti").select(*df.columns)

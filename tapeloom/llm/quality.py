@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, mix64, stored, without
+from .common import WordHashes, broadcast_if_few, mix64, stored, without
 from .mixing import uniform
 
 BUCKETS = 1 << 16
@@ -24,6 +24,7 @@ TOXIC_ODDS, BAD_ODDS = 5.0, 3.0
 SPARED = 0.002  # the share of labelled clean rows that may be told toxic, or good ones bad
 FILTER_BITS = 20
 COPY_HASHES = 4
+REJECTS = 500_000
 # A feature is a run of letters and digits or a run of other marks (other ASCII controls count as marks), A-Z lower-cased.
 PART = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+")
 
@@ -230,7 +231,8 @@ def log_ratios(df: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, i
     Both are bags of unigrams and bigrams in BUCKETS buckets (see bucket_ratios): raw over all rows of df, target over
     those of at most max_labels ids that labels call good and not toxic. Texts without features: 0. Without any good label the models
     are equal: all 0. Texts that the labels' own models call toxic or bad (the odds of
-    marks_of toxic against clean, or of bad against good, reach least_odds) have a probability of 0: -infinity."""
+    marks_of toxic against clean, or of bad against good, reach least_odds) have a probability of 0: -infinity. So have rows whose own label calls
+    them toxic, or bad and never good: all labels are asked for that, however many; up to REJECTS of them are sent to every task, more are joined by id."""
     spark = df.sparkSession
     df = without(df, "log_ratio")
     ids = frozenset(target_ids(labels, max_labels))
@@ -244,7 +246,11 @@ def log_ratios(df: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, i
     rows = labelled_rows(slim, _by_id(labels, "doc_id"), max_labels)
     marks = marks_of(rows, "toxic", "clean"), marks_of(rows, "bad", "good")
     told = (ratio, marks, least_odds(rows, marks))
-    return df.mapInArrow(_scores(spark.sparkContext.broadcast(told), text_col), T.StructType([*df.schema.fields, T.StructField("log_ratio", T.DoubleType())]))
+    scored = df.mapInArrow(_scores(spark.sparkContext.broadcast(told), text_col), T.StructType([*df.schema.fields, T.StructField("log_ratio", T.DoubleType())]))
+    rejected = _by_id(labels, "doc_id").filter("toxic OR bad AND good = 0").select(F.col("doc_id").alias("__rejected"))
+    own = F.col(f"`{id_col}`").cast("long") == F.col("__rejected")
+    judged = scored.join(broadcast_if_few(stored(rejected, "quality-rejected"), REJECTS), own, "left")
+    return judged.withColumn("log_ratio", F.when(F.col("__rejected").isNotNull(), float("-inf")).otherwise(F.col("log_ratio"))).drop("__rejected")
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:

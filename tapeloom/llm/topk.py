@@ -17,6 +17,7 @@ ROW_BLOCK = 4096
 BLOCK_VALUES = 1 << 21  # a block of rows has at most so many components
 QUERIES_AT_ONCE = 512
 BIN_BITS = 8
+FEW = 32
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 DOUBLE_MAX = 1.7976931348623157e308
 
@@ -129,8 +130,8 @@ def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
 
     Returns query_id, rank (from 1), vec_id, score. Every block of queries meets every block of rows once a round and all
     pairs are scored. Round by round a global histogram of each query's scores is refined (bins of 2**s scores, s falling by
-    BIN_BITS) until the k-th score is known exactly; then only rows that reach it are kept, and ties are broken in order: the
-    smaller vec_id first.
+    BIN_BITS) until the k-th score is known exactly, or until the rows that reach the bins of the k-th scores are at most FEW * k a query
+    over all; then only rows that reach it are kept, and ties are broken in order: the smaller vec_id first.
 
     Scores are exact whole numbers (see exact_scores). A score that a long can't hold counts as the nearest long, and ties
     with others there. Only vectors of equal length are compared; a query with fewer than k partners keeps them all. Repeated rows: each
@@ -161,19 +162,23 @@ def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
 
     def scored(floors: DataFrame, work, schema: str) -> DataFrame:
         """work on each pair of blocks: rows and queries are copied once for each block of the other kind, and meet by both numbers."""
-        asked = queries.join(floors, "vec_id").select(F.lit(True).alias("asked"), "vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("q_block"), all_blocks(row_blocks).alias("r_block"))
+        asked = queries.join(floors.select("vec_id", "floor"), "vec_id").select(F.lit(True).alias("asked"), "vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("q_block"), all_blocks(row_blocks).alias("r_block"))
         told = dealt.select(F.lit(False).alias("asked"), "vec_id", "v", F.lit(0).cast("long").alias("floor"), all_blocks(query_blocks).alias("q_block"), "r_block")
         return asked.unionByName(told).groupBy("q_block", "r_block").applyInArrow(work, schema)
 
-    shift = bits + 1
+    shift, most_left = bits + 1, FEW * k * queries.count()
     while shift > 0:
         shift = max(0, shift - BIN_BITS)
         found = scored(floors, _histogram(shift, k), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = W.partitionBy("query_id").orderBy(F.desc("bin"))
         counted = found.withColumn("above", F.sum("n").over(down.rowsBetween(W.unboundedPreceding, 0)))
         # The bin that holds the k-th score; with fewer than k scores the lowest bin, which keeps them all.
-        reached = counted.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("above") >= k, F.col("bin"))), F.min("bin")).alias("bin"))
-        floors = stored(reached.select(F.col("query_id").alias("vec_id"), (F.col("bin") * (1 << shift)).alias("floor")), "topk-floors")
+        enough = F.col("above") >= k
+        reached = counted.groupBy("query_id").agg(F.coalesce(F.max(F.when(enough, F.col("bin"))), F.min("bin")).alias("bin"), F.coalesce(F.min(F.when(enough, F.col("above"))), F.max("above")).alias("left"))
+        floors = stored(reached.select(F.col("query_id").alias("vec_id"), (F.col("bin") * (1 << shift)).alias("floor"), "left"), "topk-floors")
+        if floors.agg(F.sum("left")).first()[0] <= most_left:
+            break
+    floors = floors.drop("left")
     kept = stored(scored(floors, _above(k), "query_id long, vec_id long, score long"), "topk-kept")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

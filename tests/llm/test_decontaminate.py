@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tapeloom.llm.common import WordHashes
-from tapeloom.llm.decontaminate import MATCH, MIN_SCORE, benchmark_leaks, drop_contaminated, passage_words, smith_waterman
+from tapeloom.llm.decontaminate import MATCH, MIN_SCORE, benchmark_leaks, drop_contaminated, passage_words, short_items, smith_waterman
 
 rng = random.Random(6)
 VOCABULARY = [f"v{i}" for i in range(400)]
@@ -94,3 +94,13 @@ def test_many_blocks_are_one(spark):
 def test_words():
     assert passage_words("It's A-1, Ünïcode\tx") == [b"it", b"s", b"a", b"1", "Ünïcode".encode(), b"x"]
     assert passage_words(None) == [] == passage_words(" .. ")
+
+
+def test_short_items_are_told_and_drop_nothing(spark):
+    items = spark.createDataFrame([(1, "The"), (2, "of the"), (3, "one, two three!"), (4, "four words of it"), (5, "  ?!"), (6, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the cat sat of the mat"), (2, "one two three"), (3, "so four words of it are here"), (4, "clean"), (5, None)], "doc_id long, text string")
+    for block_bytes in (4_000_000, 8):
+        found = {(r.doc_id, r.item_id, r.short) for r in benchmark_leaks(docs, items, block_bytes=block_bytes).collect()}
+        assert {(1, 1, True), (1, 2, True), (2, 3, True), (3, 4, False)} <= found and all(short == (item != 4) for _, item, short in found)
+        assert {r.doc_id for r in drop_contaminated(docs, items, block_bytes=block_bytes).collect()} == {1, 2, 4, 5}
+    assert short_items(items) == 3

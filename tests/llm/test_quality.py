@@ -22,3 +22,12 @@ def test_few_labels_reject_short_junk(spark):
     for n in (30, 100):
         labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows if i % 100 < n], "doc_id long, quality int")
         assert {r.doc_id for r in importance_resample(docs, labels).collect()} == set(range(100))
+
+
+def test_a_row_goes_by_its_own_label(spark):
+    """However few labels there are, and whatever the text."""
+    rows = [(i, PLAIN.format(f"door{i % 7}", f"tree{i % 5}"), i) for i in range(60)] + [(None, "the", 0), (3, "the same id again", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __rejected long")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 0, 0), (4, 1, 0), (5, None, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    drawn = importance_resample(docs.drop("__rejected"), labels, size=1000).collect()
+    assert {r.doc_id for r in drawn} == {None, *range(60)} - {2, 3, 5} and len(drawn) == 58
