@@ -126,6 +126,15 @@ def threshold_segments(frames: DataFrame, key: str, position: str, level: str, t
     return cuts.select(key, (F.col("__at") * frame).alias("start_sample"), (F.least(F.col("__at") + most, F.col("__hi")) * frame).cast("long").alias("end_sample"), "peak")
 
 
+def frame_levels(blocks: DataFrame, key: str | list[str], order: list[str], samples: str, frame: int = FRAME) -> DataFrame:
+    """(key, position, level): the largest absolute sample of each frame of a recording's blocks in order; a short last frame counts as it is.
+
+    Blocks are cut at frames, so a frame is a maximum over the slices that touch it."""
+    cut = sample_parts(blocks, key, order, samples, frame)
+    peak = F.array_max(F.transform("samples", lambda x: F.abs(sanitize_sample(x))))
+    return cut.groupBy(*_names(key), F.col("part").alias("position")).agg(F.max(peak).alias("level"))
+
+
 def drain_segments(segments: DataFrame, processed: Column) -> DataFrame:
     """Segments cut to the samples processed so far; what is empty then goes. Adds duration_ms."""
     end = F.least(F.col("end_sample"), processed)

@@ -17,8 +17,10 @@ from tapeloom.operators.resample import Resampler
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT_SCHEMA = "session string, arrival long, kind string, source string, sequence long, channels int, sample_rate int, samples array<float>, message string"
 MIXED_SCHEMA = "session string, kind string, source string, position long, samples array<float>, level_db double, waveform array<float>, pending long"
+MIXED_COLUMNS = [c.split()[0] for c in MIXED_SCHEMA.split(", ")]
 LIMIT = 10 * TARGET_RATE
 BINS = 48
+CHECKPOINT_MS = 5000
 
 
 def capture_events(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -72,18 +74,21 @@ class Source:
 
 
 class Mixer(StatefulProcessor):
-    """One session: checks and mixes its sources; rows of kind level (of each block, at its source), and mixed (the output).
+    """One session: checks and mixes its sources; rows of kind level (of each block, at its source), mixed (the output), end (after the last) and checkpoint.
 
     Events count in order of arrival. A gap, a changed rate, an error event or more than LIMIT waiting samples ends the query. A control event
     (kind mode; message: microphone, system or mixed) that changes the mode drops what waits and makes the session's source mixed. A
     source that the mode leaves out is discarded; mixed mode gives what both sources have. Kind end flushes the resamplers and, in mixed mode, gives
-    the longer source's rest, if both ever came. The rest of a block waits as one binary value in a list; the filter's state goes on."""
+    the longer source's rest, if both ever came. The rest of a block waits as one binary value in a list; the filter's state goes on.
 
-    def __init__(self, mode: str = "mixed", gains: dict[str, float] | None = None) -> None:
+    checkpoint_ms: a timer tells every so often how far a session's output is, until it ends: what a writer makes durable."""
+
+    def __init__(self, mode: str = "mixed", gains: dict[str, float] | None = None, checkpoint_ms: int | None = None) -> None:
         gain = lambda g: min(4.0, max(0.0, g)) if np.isfinite(g) else 0.0
-        self.mode, self.gains = mode, {k: gain(v) for k, v in (gains or {}).items()}
+        self.mode, self.gains, self.checkpoint_ms = mode, {k: gain(v) for k, v in (gains or {}).items()}, checkpoint_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.session = handle.getValueState("session", "mode string, position long, source string")
         self.known = handle.getMapState("sources", "name string", "next long, rate int, held binary, first long, read long, made long")
         self.waiting = handle.getListState("waiting", "name string, samples binary")
@@ -100,9 +105,10 @@ class Mixer(StatefulProcessor):
                 sources[name].waiting = np.concatenate((sources[name].waiting, np.frombuffer(samples, np.float64)))
         return mode, position, label, sources
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         mode, position, label, sources = self._load()
         out: list[tuple] = []
+        ended = False
         for event in pd.concat(list(rows)).sort_values("arrival", kind="stable").itertuples():
             if event.kind == "error":
                 raise RuntimeError(f"capture of {event.source} failed: {event.message}")
@@ -122,6 +128,11 @@ class Mixer(StatefulProcessor):
                 if len(mixed):
                     out.append((key[0], "mixed", label, position, mixed, level_db(mixed), None, max((len(s.waiting) for s in sources.values()), default=0)))
                     position += len(mixed)
+            if event.kind == "end":
+                ended = True
+                out.append((key[0], "end", label, position, None, None, None, None))
+        if self.checkpoint_ms:
+            self._time(timerValues.getCurrentProcessingTimeInMs(), ended)
         self.session.update((mode, position, label))
         for name, s in sources.items():
             self.known.updateValue((name,), (s.next, s.rate, *s.resampler.state()))
@@ -130,7 +141,21 @@ class Mixer(StatefulProcessor):
             self.waiting.put(rest)
         else:
             self.waiting.clear()
-        yield pd.DataFrame(out, columns=["session", "kind", "source", "position", "samples", "level_db", "waveform", "pending"])
+        yield pd.DataFrame(out, columns=MIXED_COLUMNS)
+
+    def _time(self, now: int, ended: bool) -> None:
+        """A timer for the next checkpoint where none is set; none after the end."""
+        timers = list(self.handle.listTimers())
+        if ended:
+            for t in timers:
+                self.handle.deleteTimer(t)
+        elif not timers:
+            self.handle.registerTimer(now + self.checkpoint_ms)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        _, position, label = self.session.get()
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.checkpoint_ms)
+        yield pd.DataFrame([(key[0], "checkpoint", label, position, None, None, None, None)], columns=MIXED_COLUMNS)
 
     def _drain(self, mode: str, sources: dict[str, Source], ended: bool) -> np.ndarray:
         if mode != "mixed":
@@ -152,10 +177,12 @@ class Mixer(StatefulProcessor):
         pass
 
 
-def mixed_stream(events: DataFrame, mode: str = "mixed", gains: dict[str, float] | None = None) -> DataFrame:
-    """Levels and mixed audio of each session as they come (see Mixer). The events of one session and trigger are put in order in memory."""
+def mixed_stream(events: DataFrame, mode: str = "mixed", gains: dict[str, float] | None = None, checkpoint_ms: int | None = None) -> DataFrame:
+    """Levels and mixed audio of each session as they come (see Mixer). The events of one session and trigger are put in order in memory.
+
+    With checkpoint_ms (the recorder's own is CHECKPOINT_MS) there are timers, so the query runs until it is stopped."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return events.groupBy("session").transformWithStateInPandas(Mixer(mode, gains), MIXED_SCHEMA, "Append", "None")
+    return events.groupBy("session").transformWithStateInPandas(Mixer(mode, gains, checkpoint_ms), MIXED_SCHEMA, "Append", "ProcessingTime" if checkpoint_ms else "None")
 
 
 class LatestSegment(StatefulProcessor):
@@ -164,7 +191,7 @@ class LatestSegment(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("latest", "attempts long, rank int")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         ranks = {"pending": 0, "processing": 1, "complete": 2, "failed": 2}
         best = tuple(self.state.get()) if self.state.exists() else (-1, -1)
         chosen = None
