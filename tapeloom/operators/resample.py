@@ -8,10 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tapeloom.functions.signal import TARGET_RATE
+from tapeloom.operators.sequence import running_offsets
 
 HALF = 32
+#: Input samples of a block that is filtered on its own.
+BLOCK_SAMPLES = 1 << 18
 
 
 class Resampler:
@@ -93,3 +97,49 @@ def resample_sources(blocks: DataFrame, rate_out: int = TARGET_RATE) -> DataFram
 
     kinds = dict(blocks.dtypes)
     return ordered.mapInPandas(run, f"session {kinds['session']}, source {kinds['source']}, sequence long, samples array<float>")
+
+
+def filter_block(samples: np.ndarray, first: int, begin: int, end: int, total: int, rate_in: int, rate_out: int = TARGET_RATE) -> np.ndarray:
+    """The output samples that fall in input samples begin to end of a recording of total ones, from samples (those from first on that the filter reaches; what lies
+    beyond either end of the recording is silence)."""
+    if rate_in == rate_out:
+        return samples[begin - first : end - first]
+    filter_ = Resampler(rate_in, rate_out)
+    made = lambda place: -(-place * rate_out // rate_in)  # noqa: E731 - output samples before an input sample
+    lead, tail = max(0, first - (begin - filter_.reach)), end + filter_.reach + 2 - (first + len(samples))
+    held = np.concatenate((np.zeros(lead), samples, np.zeros(max(0, tail))))
+    filter_ = Resampler.resume(rate_in, (held.tobytes(), first - lead, total, made(begin)), rate_out)
+    last = made(end)
+    return np.concatenate([filter_._until(min(last, at + 4096)) for at in range(made(begin), last, 4096)] or [np.zeros(0)])
+
+
+def resample_recordings(blocks: DataFrame, rate_out: int = TARGET_RATE, block_samples: int = BLOCK_SAMPLES) -> DataFrame:
+    """(session, source, part, first, samples) at the target rate from blocks (session, source, sequence, sample_rate, samples): what resample_sources gives, with a
+    recording's parts on many tasks. first is the place of a part's first output sample.
+
+    Inputs are cut at every block_samples; each part also gets what the filter reaches of its neighbours (overlap-save), so parts are filtered apart and their outputs follow
+    each other without a seam. Only those edges are copied. A source's rate may not change."""
+    names = ["session", "source"]
+    told = blocks.select(*names, "sequence", F.col("sample_rate").cast("long").alias("rate"), F.col("samples").cast("array<double>").alias("samples"), F.size("samples").cast("long").alias("n"))
+    totals = told.groupBy(*names).agg(F.sum("n").alias("total"), F.min("rate").alias("rate"), F.max("rate").alias("__most"))
+    totals = totals.withColumn("rate", F.when(F.col("rate") == F.col("__most"), F.col("rate")).otherwise(F.raise_error("sample rate changed").cast("long"))).drop("__most")
+    placed = running_offsets(told.drop("rate"), names, ["sequence"], "n").filter("n > 0").join(totals, names)
+    reach = F.when(F.col("rate") == rate_out, 0).otherwise(F.ceil(HALF * F.greatest(F.lit(1.0), F.col("rate") / rate_out)) + 2).cast("long")
+    size, begin = F.lit(block_samples).cast("long"), F.col("first_sample")
+    end = begin + F.col("n")
+    # Every part whose samples, or their surroundings, the block touches.
+    near = F.sequence(F.greatest(F.lit(0), F.floor((begin - reach) / size)).cast("long"), F.least(F.floor((end - 1 + reach) / size), F.floor((F.col("total") - 1) / size)).cast("long"))
+    parts = placed.withColumn("reach", reach).withColumn("part", F.explode(near))
+    lo = F.greatest(begin, F.col("part") * size - F.col("reach"))
+    hi = F.least(end, (F.col("part") + 1) * size + F.col("reach"))
+    cut = parts.select(*names, "part", "rate", "total", lo.alias("at"), F.slice("samples", (lo - begin + 1).cast("int"), F.greatest(F.lit(0), hi - lo).cast("int")).alias("samples"))
+    kinds = dict(blocks.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at", kind="stable")
+        session, source, part, rate, total, first = rows.iloc[0][["session", "source", "part", "rate", "total", "at"]]
+        begin = int(part) * block_samples
+        out = filter_block(np.concatenate(rows["samples"].tolist()), int(first), begin, min(int(total), begin + block_samples), int(total), int(rate), rate_out)
+        return pd.DataFrame([{"session": session, "source": source, "part": part, "first": -(-begin * rate_out // int(rate)), "samples": out}])
+
+    return cut.groupBy(*names, "part").applyInPandas(run, f"session {kinds['session']}, source {kinds['source']}, part long, first long, samples array<double>")

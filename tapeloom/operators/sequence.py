@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.signal import LONG_MAX, TARGET_RATE, apply_gain, mix_mono, sanitize_sample, samples_to_ms
 
 CHUNK = 1600
 FRAME = 512
+#: Places of a session that one task holds at most.
+STRIDE = 1 << 16
 
 
 def check_sequence(events: DataFrame, key: tuple[str, ...] = ("session", "source"), sequence: str = "sequence", rate: str = "sample_rate") -> DataFrame:
@@ -32,12 +37,30 @@ def require_sequence(events: DataFrame, **columns) -> DataFrame:
     return found.filter(F.when(F.col("fault").isNull(), True).otherwise(F.raise_error("fault").cast("boolean"))).drop("fault")
 
 
-def running_offsets(blocks: DataFrame, key: str | list[str], order: list[str], samples: str) -> DataFrame:
-    """blocks with first_sample (of all samples before, in order, at most the largest long) and offset_ms (its whole milliseconds, saturating)."""
-    before = W.partitionBy(*_names(key)).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    whole = F.coalesce(F.sum(F.col(samples).cast("decimal(38,0)")).over(before), F.lit(0))
-    first = F.least(whole, F.lit(LONG_MAX).cast("decimal(38,0)")).cast("long")
-    return blocks.withColumn("first_sample", first).withColumn("offset_ms", samples_to_ms(F.col("first_sample")))
+def _stretch(df: DataFrame, column: str, stride: int) -> Column:
+    """The number of the stretch of `stride` places that a row is in; all rows are in one where places aren't whole numbers."""
+    whole = isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return F.floor(F.col(f"`{column}`") / stride).cast("long") if whole else F.lit(0).cast("long")
+
+
+def running_offsets(blocks: DataFrame, key: str | list[str], order: list[str], samples: str, stride: int = STRIDE) -> DataFrame:
+    """blocks with first_sample (of all samples before, in order, at most the largest long) and offset_ms (its whole milliseconds, saturating).
+
+    A scan in two levels, so that no task holds a long session: sums of stretches of `stride` values of the first ordering column (one row a stretch is left of a partial
+    aggregate), running sums over a session's stretches, then running sums within each stretch. Where the first ordering column holds no whole numbers a session is one stretch."""
+    names = _names(key)
+    dealt = blocks.withColumn("__stretch", _stretch(blocks, order[0], stride))
+    n = F.col(samples).cast("decimal(38,0)")
+    sums = dealt.groupBy(*names, "__stretch").agg(F.sum(n).alias("__sum"))
+    earlier = W.partitionBy(*names).orderBy("__stretch").rowsBetween(W.unboundedPreceding, -1)
+    own = [*names, "__stretch"]
+    sums = sums.select(*[F.col(c).alias(f"__of_{c}") for c in own], F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in own])
+    before = W.partitionBy(*names, "__stretch").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("__before", F.coalesce(F.sum(n).over(before), F.lit(0))).join(sums, same)
+    first = F.least(F.col("__base") + F.col("__before"), F.lit(LONG_MAX).cast("decimal(38,0)")).cast("long")
+    out = placed.withColumn("first_sample", first).withColumn("offset_ms", samples_to_ms(F.col("first_sample")))
+    return out.select(*blocks.columns, "first_sample", "offset_ms")
 
 
 def _names(key: str | list[str]) -> list[str]:
@@ -108,19 +131,33 @@ def check_pending(blocks: DataFrame, limit: int = 10 * TARGET_RATE) -> DataFrame
     return pending.filter(F.when(F.col("pending") <= limit, True).otherwise(F.raise_error("too much audio is pending").cast("boolean"))).drop("n")
 
 
+def _islands(rows: DataFrame, keys: list[str], first: Column, last: Column, level: Column, gap: int) -> DataFrame:
+    """(keys, __lo, __hi, peak): rows (from first to last place) of a key, joined where at most `gap` places lie between one's last and the next's first."""
+    by = W.partitionBy(*keys).orderBy("__first")
+    placed = rows.select(*keys, first.alias("__first"), last.alias("__last"), level.alias("__level"))
+    new = F.coalesce((F.col("__first") - F.lag("__last").over(by) > gap).cast("int"), F.lit(1))
+    numbered = placed.withColumn("__new", new).withColumn("__island", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "__island").agg(F.min("__first").alias("__lo"), (F.max("__last") + 1).alias("__hi"), F.max("__level").alias("peak")).drop("__island")
+
+
 def threshold_segments(frames: DataFrame, key: str, position: str, level: str, threshold: float = 0.5, frame: int = FRAME,
-                       min_speech_ms: int = 250, min_silence_ms: int = 500, max_segment_ms: int = 30_000) -> DataFrame:
+                       min_speech_ms: int = 250, min_silence_ms: int = 500, max_segment_ms: int = 30_000, stride: int = STRIDE) -> DataFrame:
     """(key, start_sample, end_sample, peak): runs of frames whose level reaches a threshold, as [start, end) samples.
 
     An amplitude-threshold segmenter, not a speech model. Runs closer than the shortest silence are one; a segment shorter than the
-    shortest speech is dropped; one longer than the longest is cut at that length (a short last cut stays)."""
+    shortest speech is dropped; one longer than the longest is cut at that length (a short last cut stays).
+
+    Runs are told within stretches of `stride` positions, and joined at the stretches' edges, so that no task holds a long session."""
     per_ms = TARGET_RATE // 1000
     gap, least, most = (max(1, ms * per_ms // frame) for ms in (min_silence_ms, min_speech_ms, max_segment_ms))
-    loud = frames.filter(F.col(level) >= threshold)
-    by = W.partitionBy(key).orderBy(position)
-    new = F.coalesce((F.col(position) - F.lag(position).over(by) > gap).cast("int"), F.lit(1))
-    island = loud.withColumn("__new", new).withColumn("__island", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    runs = island.groupBy(key, "__island").agg(F.min(position).alias("__lo"), (F.max(position) + 1).alias("__hi"), F.max(level).alias("peak"))
+    loud = frames.filter(F.col(level) >= threshold).withColumn("__stretch", _stretch(frames, position, stride))
+    runs = _islands(loud, [key, "__stretch"], F.col(position), F.col(position), F.col(level), gap)
+    # Only a stretch's first and last runs can go on in another: at most two rows a stretch meet by key.
+    ends = W.partitionBy(key, "__stretch").orderBy("__lo")
+    edge = (F.row_number().over(ends) == 1) | (F.lead("__lo").over(ends).isNull())
+    told = runs.withColumn("__edge", edge)
+    joined = _islands(told.filter("__edge"), [key], F.col("__lo"), F.col("__hi") - 1, F.col("peak"), gap)
+    runs = told.filter("NOT __edge").select(key, "__lo", "__hi", "peak").unionByName(joined.select(key, "__lo", "__hi", "peak"))
     kept = runs.filter(F.col("__hi") - F.col("__lo") >= least)
     cuts = kept.withColumn("__at", F.explode(F.sequence(F.col("__lo").cast("long"), (F.col("__hi") - 1).cast("long"), F.lit(most).cast("long"))))
     return cuts.select(key, (F.col("__at") * frame).alias("start_sample"), (F.least(F.col("__at") + most, F.col("__hi")) * frame).cast("long").alias("end_sample"), "peak")

@@ -62,10 +62,15 @@ _LITTLE = "list_transform({0}, lambda x: printf('%02x%02x', x & 255, (x >> 8) &
 _QUANTISED = "q AS (SELECT vec_id, list_transform(embedding, lambda x: round(least(1, greatest(-1, x::DOUBLE)) * 32767)::BIGINT & 65535) AS q FROM embeddings)"
 
 
-@query(f"""
-WITH {_QUANTISED},
+WAV_SQL = f"""
+{_QUANTISED},
 h AS (SELECT vec_id, len(q) AS n, array_to_string({_LITTLE.format("q")}, '') AS body FROM q),
 f AS (SELECT vec_id, n, '52494646' || printf('%02x%02x0000', (36 + 2 * n) & 255, (36 + 2 * n) >> 8) || '57415645666d742010000000' || '01000100803e0000007d000002001000' || '64617461' || printf('%02x%02x0000', (2 * n) & 255, (2 * n) >> 8) || body AS h FROM h)
+"""
+
+
+@query(f"""
+WITH {WAV_SQL}
 SELECT vec_id, sha256(unhex(h)) AS wav_sha256, (44 + 2 * n)::INT AS size, (length(h) // 2)::INT AS repaired_size, 16000 AS rate, n::INT AS samples FROM f
 """)
 def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,27 +88,23 @@ def _crc(bits: int, polynomial: int, octets: str) -> str:
     return f"list_reduce({all_bits}, lambda c, b: xor((c * 2) & {(1 << bits) - 1}, CASE WHEN ((c >> {bits - 1}) & 1) <> b THEN {polynomial} ELSE 0 END), 0::BIGINT)"
 
 
-@query(f"""
-WITH {_QUANTISED},
+FLAC_SQL = f"""
+{_QUANTISED},
 h AS (SELECT vec_id, len(q) AS n, [255, 249, 112, 8, 0, 0, len(q) - 1] AS head, flatten(list_transform(q, lambda x: [x >> 8, x & 255])) AS body FROM q),
 c AS (SELECT vec_id, n, list_concat(list_concat(head, [{_crc(8, 7, "head")}, 2]), body) AS frame FROM h),
 d AS (SELECT vec_id, n, frame, {_crc(16, 0x8005, "frame")} AS crc FROM c),
 e AS (SELECT vec_id, n, len(frame) + 2 AS size, array_to_string(list_transform(list_concat(frame, [crc >> 8, crc & 255]), lambda b: printf('%02x', b)), '') AS frame FROM d)
-SELECT vec_id, sha256(unhex('664c614380000022' || printf('%04x1000', n) || printf('%06x%06x', size, size) || '03e800f0' || printf('%08x', n) || repeat('00', 16) || frame)) AS flac_sha256, (42 + size)::INT AS size FROM e
-""")
+"""
+_FLAC_DIGEST = """sha256(unhex('664c614380000022' || printf('%04x1000', n) || printf('%06x%06x', size, size) || '03e800f0' || printf('%08x', n) || repeat('00', 16) || frame))"""
+
+
+@query(f"WITH {FLAC_SQL} SELECT vec_id, {_FLAC_DIGEST} AS flac_sha256, (42 + size)::INT AS size FROM e")
 def flac_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = codecs.pcm_blocks(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     files = codecs.whole_files(codecs.flac_rows(blocks, "vec_id"), "vec_id")
     return files.select("vec_id", F.sha2("content", 256).alias("flac_sha256"), F.octet_length("content").alias("size"))
 
 
-@query()
-def wav_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both files' digests; wav_files and flac_files have them in SQL."""
-    wav, flac = wav_files(spark, sf_dir).select("vec_id", "wav_sha256"), flac_files(spark, sf_dir).select("vec_id", "flac_sha256")
-    return wav.join(flac, "vec_id")
-
-
 @query("SELECT user_id AS session, event_type AS source, CASE WHEN event_type = 'click' THEN count(*) * 1 ELSE (count(*) * 40 * 16000 + 47999) // 48000 END::BIGINT AS samples FROM events GROUP BY 1, 2")
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks at the target's rate (one sample an event) pass; others (40 samples an event) take a third, rounded up over the whole source."""
@@ -137,36 +138,6 @@ def enabled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *[history.source_is_enabled(mode, F.lit(s)).alias(s) for s in ("microphone", "system")])
 
 
-STREAM_SQL = f"""
-WITH {TRACKS}, k AS (SELECT session FROM s GROUP BY 1 HAVING count(DISTINCT source) = 2),
-m AS (SELECT session, pos, least(1, greatest(-1, sum(greatest(-1, least(1, value::FLOAT::DOUBLE)) * CASE source WHEN 'microphone' THEN 1.0 ELSE 2.0 END)))::FLOAT::DOUBLE AS value FROM s WHERE session IN (SELECT session FROM k) GROUP BY 1, 2)
-SELECT session::VARCHAR AS session, count(*) AS samples, round(sum(value), 4) AS total FROM m GROUP BY 1
-"""
-
-
-@query(STREAM_SQL)
-def streamed_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """aligned_mix as a stream: blocks come as JSON files in several batches, an end event last; what comes out is the same samples."""
-    t = tracks(spark, sf_dir).withColumn("session", F.col("session").cast("string"))
-    blocks = t.groupBy("session", "source").agg(F.array_sort(F.collect_list(F.struct("block", "samples"))).alias("all"))
-    # Arrival: by block, so both sources' numbers rise; the end comes after the last.
-    audio = blocks.select("session", "source", F.posexplode("all").alias("sequence", "b")).select(
-        "session", (2 * F.col("b.block") + (F.col("source") == "system").cast("int")).alias("arrival"), F.lit("audio").alias("kind"), "source", F.col("sequence").cast("long").alias("sequence"),
-        F.lit(1).alias("channels"), F.lit(signal.TARGET_RATE).alias("sample_rate"), F.col("b.samples").cast("array<float>").alias("samples"), F.lit(None).cast("string").alias("message"))
-    ends = t.groupBy("session").agg((2 * F.max("block") + 2).alias("arrival")).select("session", "arrival", F.lit("end").alias("kind"))
-    events = audio.unionByName(ends, allowMissingColumns=True)
-    folder = shared_path(spark, "stream")
-    last = events.agg(F.max("arrival")).first()[0] or 0
-    for n in range(3):  # three batches, in order of arrival
-        part = events.filter(F.col("arrival").between(n * (last // 3 + 1), (n + 1) * (last // 3 + 1) - 1))
-        part.coalesce(1).write.json(f"{folder}/in/{n}")
-        read = capture.mixed_stream(spark.readStream.schema(capture.EVENT_SCHEMA).option("recursiveFileLookup", True).json(f"{folder}/in"), gains={"system": 2.0})
-        running = read.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        running.awaitTermination()
-    out = spark.read.schema(capture.MIXED_SCHEMA).parquet(f"{folder}/out").filter("kind = 'mixed'")
-    return out.groupBy("session").agg(F.sum(F.size("samples")).cast("long").alias("samples"), F.round(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))), 4).alias("total"))
-
-
 # Documents
 
 _ORDER_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'recording' ELSE 'interrupted' END"
