@@ -94,8 +94,10 @@ def save_documents(documents: DataFrame, path: str, by: tuple[str, ...] = ("year
     dated.hint("rebalance", *by).write.partitionBy(*by).mode("overwrite").parquet(path)
 
 
-def save_text(spark: SparkSession, text: str, path: str) -> None:
-    """A small document under a path, all or nothing: written beside it, then renamed over it. Two writers at once: one of them wins whole."""
+def save_text(spark: SparkSession, text: str, path: str, replace: bool = True) -> None:
+    """A small document under a path, all or nothing: written beside it, then renamed over it. Two writers at once: one of them wins whole.
+
+    replace False: FileExistsError if there is one already, so that of two writers at once one fails."""
     fs = spark._jvm.org.apache.hadoop.fs
     place, beside = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     context = fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
@@ -107,8 +109,15 @@ def save_text(spark: SparkSession, text: str, path: str) -> None:
     finally:
         out.close()
     over = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    over[0] = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-    context.rename(system.makeQualified(beside), system.makeQualified(place), over)
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    over[0] = rename.OVERWRITE if replace else rename.NONE
+    try:
+        context.rename(system.makeQualified(beside), system.makeQualified(place), over)
+    except Exception as fault:
+        system.delete(beside, False)
+        if "FileAlreadyExists" in str(fault):
+            raise FileExistsError(path) from None
+        raise
 
 
 def save_marker(spark: SparkSession, marker: dict, package: str) -> None:
