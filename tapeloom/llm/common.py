@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tapeloom.sources.shared import shared_dir, shared_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+MOST_WORDS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,18 +76,16 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered; forget() keeps the memory bounded."""
+    """64-bit hashes of words, remembered: at most MOST_WORDS and those of one text (some 40 MB a Python worker)."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-    def forget(self, most: int = 1_000_000) -> None:
-        if len(self) > most:
+        if len(self) > MOST_WORDS:
             self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -145,7 +145,6 @@ def _leaks(told, min_score: float):
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = hashes.of(passage_words(text.as_py()))
                 rows += [(doc.as_py(), *x) for x in find_leaks(items, filters, words, min_score, memo)]
-            hashes.forget()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word", "short"])
 
@@ -158,7 +157,6 @@ def _clean(told, min_score: float, text_col: str):
         filters = items.filters()
         for batch in batches:
             keep = [not find_leaks(items, filters, hashes.of(passage_words(text.as_py())), min_score, memo) for text in batch.column(text_col)]
-            hashes.forget()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -25,6 +25,7 @@ SPARED = 0.002  # the share of labelled clean rows that may be told toxic, or go
 FILTER_BITS = 20
 COPY_HASHES = 4
 REJECTS = 500_000
+MARK_ROWS = 1000
 # A feature is a run of letters and digits or a run of other marks (other ASCII controls count as marks), A-Z lower-cased.
 PART = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\x20\x09-\x0d]+")
 
@@ -82,7 +83,6 @@ def _counts(told, id_col: str, text_col: str):
                 np.add.at(raw, found, 1)
                 if doc in target:
                     np.add.at(good, found, 1)
-            hashes.forget()
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], good[at])], ["bucket", "raw", "good"])
 
@@ -103,19 +103,17 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         keys = [copies_key(hashed(t.as_py(), hashes)) for t in batch.column("text")]
-        hashes.forget()
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "copies"])
 
 
 def _mark_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many rows of either kind have each feature; a null feature counts the rows themselves."""
+    """How many rows of either kind have each feature; a null feature counts the rows themselves. MARK_ROWS rows at a time."""
     hashes = WordHashes()
-    for batch in batches:
+    for batch in (b.slice(at, MARK_ROWS) for b in batches for at in range(0, b.num_rows, MARK_ROWS)):
         held, rows = ([], []), [0, 0]
         for text, side in zip(batch.column("text"), batch.column("other").to_pylist(), strict=True):
             held[side].append(np.unique(shaped(hashed(text.as_py(), hashes))))
             rows[side] += 1
-        hashes.forget()
         if not sum(rows):
             continue
         known, place = np.unique(np.concatenate([*held[0], *held[1]]), return_inverse=True)
@@ -129,7 +127,6 @@ def _mark_scores(told):
         hashes, marks = WordHashes(), [(m, m.filter()) for m in told.value]
         for batch in batches:
             shapes = [shaped(hashed(t.as_py(), hashes)) for t in batch.column("text")]
-            hashes.forget()
             yield pa.RecordBatch.from_arrays([batch.column("kinds"), *(pa.array([m.of(x, table) for x in shapes], pa.float64()) for m, table in marks)], ["kinds", "toxic", "bad"])
 
     return run
@@ -145,7 +142,6 @@ def _scores(told, text_col: str):
                 of = hashed(text.as_py(), hashes)
                 shape = shaped(of)
                 found.append(-np.inf if any(m.of(shape, table) >= least for m, table, least in marks) else round(float(ratio[bucketed(of)].sum()), 6))
-            hashes.forget()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "log_ratio"])
 
     return run
