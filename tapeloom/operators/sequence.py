@@ -17,17 +17,22 @@ FRAME = 512
 STRIDE = 1 << 16
 
 
-def check_sequence(events: DataFrame, key: tuple[str, ...] = ("session", "source"), sequence: str = "sequence", rate: str = "sample_rate") -> DataFrame:
+def check_sequence(events: DataFrame, key: tuple[str, ...] = ("session", "source"), sequence: str = "sequence", rate: str = "sample_rate", stride: int = STRIDE) -> DataFrame:
     """events with fault: null, or what is wrong. Each source's numbers run from 0 without a gap or a repeat, at its first rate.
 
-    A number is in order if it is 0 or the one before is there, so rows meet by key and number, and no source fills a task, however long."""
-    keys = list(key)
-    first = events.groupBy(*keys).agg(F.min_by(rate, sequence).alias("__first"))
-    before = events.select(*keys, (F.col(sequence) + 1).alias(sequence)).distinct().withColumn("__follows", F.lit(True))
-    again = F.row_number().over(W.partitionBy(*keys, sequence).orderBy(rate)) > 1
-    joined = events.withColumn("__again", again).join(before, [*keys, sequence], "left").join(first, keys)
-    gap = F.col("__again") | ((F.col(sequence) != 0) & F.col("__follows").isNull())
-    fault = F.when(gap, "sequence gap").when(F.col(rate) != F.col("__first"), "sample rate changed")
+    Rows are exchanged once, by key and stretch of `stride` numbers, and each looks at the one before it; a stretch's first row looks at the end of the stretch before, which
+    comes from an aggregate with a row a stretch. So no source fills a task, however long."""
+    names = [*key, "__stretch"]
+    dealt = events.withColumn("__stretch", _stretch(events, sequence, stride))
+    ends = dealt.groupBy(*names).agg(F.max(sequence).alias("__last"), F.min_by(rate, sequence).alias("__rate"))
+    by = W.partitionBy(*key).orderBy("__stretch")
+    edges = ends.select(*[F.col(c).alias(f"__of_{c}") for c in names], F.lag("__last").over(by).alias("__end"), F.first("__rate").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("__first"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in names])
+    own = F.lag(sequence).over(W.partitionBy(*names).orderBy(sequence, rate))
+    joined = dealt.withColumn("__own", own).join(edges, same)
+    before = F.coalesce("__own", "__end")
+    in_order = F.when(before.isNull(), F.col(sequence) == 0).otherwise((before == F.col(sequence) - 1) | ((F.col(sequence) == 0) & (before < 0)))
+    fault = F.when(~in_order, "sequence gap").when(F.col(rate) != F.col("__first"), "sample rate changed")
     return joined.withColumn("fault", fault).select(*events.columns, "fault")
 
 

@@ -49,13 +49,14 @@ def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT page_id, length(url) // 4 AS n, ascii(url[1]) AS b0, ascii(url[2]) AS b1, ascii(url[3]) AS b2, ascii(url[4]) AS b3 FROM pages)
-SELECT page_id, n::INT AS n, (1 + ((b2 & 127) * 65536 + b1 * 256 + b0) / 8388608.0::DOUBLE) * pow(2, (b3 & 127) * 2 + b2 // 128 - 127) AS first_value FROM b
+WITH b AS (SELECT page_id, length(url) // 4 AS n, unnest(range(length(url) // 4)) AS i, url FROM pages),
+c AS (SELECT page_id, n, i, ascii(url[4 * i + 1]) AS b0, ascii(url[4 * i + 2]) AS b1, ascii(url[4 * i + 3]) AS b2, ascii(url[4 * i + 4]) AS b3 FROM b)
+SELECT page_id, n::INT AS n, i::INT AS place, (1 + ((b2 & 127) * 65536 + b1 * 256 + b0) / 8388608.0::DOUBLE) * pow(2, (b3 & 127) * 2 + b2 // 128 - 127) AS value FROM c
 """)
 def decoded_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of an address stand for raw 32-bit samples."""
     read = table(spark, sf_dir, "pages").select("page_id", codecs.decode_f32(F.col("url").cast("binary")).alias("s"))
-    return read.select("page_id", F.size("s").alias("n"), F.get("s", F.lit(0)).cast("double").alias("first_value"))
+    return read.select("page_id", F.size("s").alias("n"), F.posexplode("s").alias("place", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 _LITTLE = "list_transform({0}, lambda x: printf('%02x%02x', x & 255, (x >> 8) & 255))"
@@ -445,12 +446,17 @@ def ordered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT user_id AS "sessionId", event_id % 5 AS "segmentId", event_id AS arrival, event_id % 3 AS attempts, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'complete' END AS status, event_type AS text FROM events)
-SELECT "sessionId", "segmentId", attempts, status, text FROM c QUALIFY row_number() OVER (PARTITION BY "sessionId", "segmentId" ORDER BY attempts DESC, CASE status WHEN 'pending' THEN 0 WHEN 'processing' THEN 1 ELSE 2 END DESC, arrival DESC) = 1
+WITH c AS (SELECT user_id AS "sessionId", event_id % 5 AS "segmentId", event_id AS arrival, event_id % 3 AS attempts, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'failed' ELSE 'complete' END AS status, event_type AS text FROM events WHERE user_id % 10 <> 3),
+f AS (SELECT DISTINCT user_id AS "sessionId", unnest([1, 2, 7]) AS "segmentId", -1 AS arrival, 2 AS attempts, 'processing' AS status, 'stored' AS text FROM events WHERE user_id % 2 = 1),
+b AS (SELECT * FROM c UNION ALL SELECT * FROM f)
+SELECT "sessionId", "segmentId", attempts, status, text FROM b QUALIFY row_number() OVER (PARTITION BY "sessionId", "segmentId" ORDER BY attempts DESC, CASE status WHEN 'pending' THEN 0 WHEN 'processing' THEN 1 ELSE 2 END DESC, arrival DESC) = 1
 """)
 def merged_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "events").select(F.col("user_id").alias("sessionId"), F.expr("event_id % 5").alias("segmentId"), F.col("event_id").alias("arrival"), F.expr("event_id % 3").alias("attempts"), _pick(F.col("event_id"), "pending", "processing", "failed", "complete").alias("status"), F.col("event_type").alias("text"))
-    return merge.merge_segments(c.limit(0).drop("arrival"), c, ["sessionId", "segmentId"])
+    """A stored snapshot (of every other session, some of its segments unknown to the changes) and live changes of most sessions."""
+    events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "sessionId")
+    c = events.filter("sessionId % 10 <> 3").select("sessionId", F.expr("event_id % 5").alias("segmentId"), F.col("event_id").alias("arrival"), F.expr("event_id % 3").alias("attempts"), _pick(F.col("event_id"), "pending", "processing", "failed", "complete").alias("status"), F.col("event_type").alias("text"))
+    snapshot = events.filter("sessionId % 2 = 1").select("sessionId").distinct().select("sessionId", F.explode(F.array(*[F.lit(n).cast("long") for n in (1, 2, 7)])).alias("segmentId"), F.lit(2).cast("long").alias("attempts"), F.lit("processing").alias("status"), F.lit("stored").alias("text"))
+    return merge.merge_segments(snapshot, c, ["sessionId", "segmentId"])
 
 
 @query(f"""

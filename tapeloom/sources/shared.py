@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +36,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Sends this package to all executors, for clusters on which it isn't installed; returns the archive's address. Do it before the first job that needs it.
+
+    The archive is in the shared folder, so executors that join later find it too."""
+    top, held = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    path = f"{shared_dir(spark)}/{top.name}-{uuid.uuid4().hex}.zip"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        stream.write(bytearray(held.getvalue()))
+    finally:
+        stream.close()
+    spark.sparkContext.addPyFile(path)
+    return path

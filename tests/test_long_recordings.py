@@ -73,3 +73,21 @@ def test_a_rate_that_changes_is_an_error(spark):
     df = spark.createDataFrame([("s", "m", 0, 8000, [0.1]), ("s", "m", 1, 16000, [0.1])], "session string, source string, sequence long, sample_rate int, samples array<double>")
     with pytest.raises(Exception, match="rate changed"):
         resample.resample_recordings(df).collect()
+
+
+@pytest.mark.parametrize("stride", [1, 4, 1000])
+def test_numbers_are_checked_in_two_levels(spark, stride):
+    rng = random.Random(8)
+    rows = []
+    for key in ("a", "b", None, "late", "good"):
+        numbers = list(range(40)) if key == "good" else [n for n in range(3 if key == "late" else 0, 60) if rng.random() < 0.85 for _ in range(1 + (rng.random() < 0.1))]
+        rows += [(key, "m", n, 8000 if key in ("a", None) and n > 50 else 16000, i) for i, n in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "session string, source string, sequence long, sample_rate int, __at long").repartition(3)
+    want = []
+    for key in {r[0] for r in rows}:
+        own = sorted((n, rate) for k, _, n, rate, _ in rows if k == key)
+        for i, (n, rate) in enumerate(own):
+            gap = (i and own[i - 1][0] == n) or (n != 0 and (n - 1) not in {m for m, _ in own})
+            want.append((key or "", n, "sequence gap" if gap else "sample rate changed" if rate != own[0][1] else ""))
+    found = [(r.session or "", r.sequence, r.fault or "") for r in sequence.check_sequence(df, stride=stride).collect()]
+    assert sorted(found) == sorted(want) and len({f for *_, f in found}) == 3
