@@ -14,9 +14,9 @@ from tapeloom.operators import queue, resample, sequence
 from tapeloom.plans.queries import OPEN, TRACKS, TURNS, _turns, tracks
 from tapeloom.plans.registry import query, table
 from tapeloom.plans.sessions import _FLAC_DIGEST, FLAC_SQL, WAV_SQL
-from tapeloom.sources import audio
+from tapeloom.sources import audio, documents
 from tapeloom.sources.shared import shared_path
-from tapeloom.streaming import capture, segments, source, worker
+from tapeloom.streaming import archive, capture, segments, source, worker
 
 BATCHES = 3
 
@@ -110,6 +110,22 @@ def recording_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worker.recording_state(spark, f"{_mixing(spark, _events(spark, sf_dir), 'stopped-stream')}/checkpoint")
 
 
+AUDIO_SCHEMA = "session string, kind string, source string, position long, samples array<float>"
+
+
+def _running_audio(spark: SparkSession, sf_dir: str, name: str, stream) -> str:
+    """Runs a stream over the system's audio of each session as it comes in three batches, an end row last; returns its folder."""
+    t = tracks(spark, sf_dir).filter("source = 'system'").select(F.col("session").cast("string").alias("session"), "block", F.col("samples").cast("array<float>").alias("samples"), F.size("samples").cast("long").alias("n"))
+    placed = sequence.running_offsets(t, "session", ["block"], "n").select("session", "block", F.lit("mixed").alias("kind"), F.col("first_sample").alias("position"), "samples")
+    ends = t.groupBy("session").agg(F.max("block").alias("block"), F.sum("n").alias("position")).select("session", "block", F.lit("end").alias("kind"), "position", F.expr("CAST(NULL AS array<float>)").alias("samples"))
+    rows, folder = placed.unionByName(ends).withColumn("source", F.lit("system")), shared_path(spark, name)
+    last = t.agg(F.max("block")).first()[0] or 0
+    with _few_partitions(spark) as n:
+        _staged(rows, F.floor(F.col("block") * BATCHES / (last + 1)).cast("int"), f"{folder}/in", n)
+        _played(stream(_watched(spark, f"{folder}/in", AUDIO_SCHEMA, n), folder), folder)
+    return folder
+
+
 RULES = {"threshold": 0.08, "frame": 8, "min_speech_ms": 1, "min_silence_ms": 1, "max_segment_ms": 2}
 
 
@@ -125,19 +141,28 @@ SELECT p.session::VARCHAR AS session, a AS start_sample, b AS end_sample, ((b -
 """)
 def live_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech segments of audio as it comes, cut by batches anywhere."""
-    t = tracks(spark, sf_dir).filter("source = 'system'").select(F.col("session").cast("string").alias("session"), "block", F.col("samples").cast("array<float>").alias("samples"), F.size("samples").cast("long").alias("n"))
-    placed = sequence.running_offsets(t, "session", ["block"], "n").select("session", "block", F.lit("mixed").alias("kind"), F.col("first_sample").alias("position"), "samples")
-    ends = t.groupBy("session").agg(F.max("block").alias("block"), F.sum("n").alias("position")).select("session", "block", F.lit("end").alias("kind"), "position", F.expr("CAST(NULL AS array<float>)").alias("samples"))
-    rows, folder = placed.unionByName(ends), shared_path(spark, "live-segments")
-    last = t.agg(F.max("block")).first()[0] or 0
-    with _few_partitions(spark) as n:
-        _staged(rows, F.floor(F.col("block") * BATCHES / (last + 1)).cast("int"), f"{folder}/in", n)
-        _played(segments.segment_stream(_watched(spark, f"{folder}/in", "session string, kind string, position long, samples array<float>", n), **RULES), folder)
+    folder = _running_audio(spark, sf_dir, "live-segments", lambda audio, _: segments.segment_stream(audio, **RULES))
     found = spark.read.schema(segments.SEGMENT_SCHEMA).parquet(f"{folder}/out")
     total = F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
     return found.select("session", "start_sample", "end_sample", "duration_ms", "peak", F.size("samples").alias("samples"), total.alias("total"))
 
 
+@query(f"""
+WITH {TRACKS}, f AS (SELECT session, pos // 25 AS file, count(*) AS n, sum({{0}}) AS total FROM s WHERE source = 'system' GROUP BY 1, 2)
+SELECT session::VARCHAR AS "sessionId", 'completed' AS status, 'audio-' || printf('%04d', file) || '.wav' AS file, n::BIGINT AS samples, TRUE AS finalized, (file * 25 * 1000 // 16000)::BIGINT AS offset_ms, total::BIGINT AS total FROM f
+""".format("round(least(1, greatest(-1, value::FLOAT::DOUBLE)) * 32767)::BIGINT"))
+def archived_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of files of 25 samples written by a stream: their manifests as a scan finds them, and their samples as read from the files."""
+    root = lambda folder: f"{folder}/sessions"
+    folder = _running_audio(spark, sf_dir, "archives", lambda audio, at: archive.archive_stream(audio, root(at), "wav", segment_samples=25))
+    found = documents.scan_documents(spark, root(folder), "session").filter("NOT corrupt")
+    files = found.select("sessionId", "status", F.explode("segments").alias("f")).select("sessionId", "status", F.col("f.fileName").alias("file"), F.col("f.sampleCount").alias("samples"), F.col("f.finalized").alias("finalized"), F.col("f.startedOffsetMs").alias("offset_ms"))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    read = audio.read_wav_files(spark, root(folder)).select(F.split("name", "/").alias("path"), F.round(total * 32768).cast("long").alias("total"))
+    read = read.select(F.element_at("path", -2).alias("sessionId"), F.element_at("path", -1).alias("file"), "total").groupBy("sessionId", "file").agg(F.sum("total").alias("total"))
+    return files.join(read, ["sessionId", "file"])
+
+
 def _heard(batch: pd.DataFrame) -> pd.DataFrame:
     """Stands for recognition: texts of certain lengths fail."""
     fails = batch["source"].str.len() % 3 == 0
@@ -164,6 +189,27 @@ def streamed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worker.queue_documents(spark, f"{folder}/checkpoint").select("session", "id", "status", "attempts").join(status, "session")
 
 
+@query(f"""
+WITH {TURNS}, h AS (SELECT session, id, 'heard ' || text AS source FROM t WHERE {OPEN} AND length(text) % 3 <> 0)
+SELECT session::VARCHAR AS session, id, CASE WHEN length(source) % 3 = 0 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN length(source) % 3 = 0 THEN 3 ELSE 1 END::BIGINT AS attempts, source FROM h
+""")
+def chained_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams, the second fed by the first's output: what is recognised there is queued for translation here, as it comes."""
+    turns = _turns(spark, sf_dir).withColumns({"session": F.col("session").cast("string"), "source": F.col("text"), "error": F.lit(None).cast("string")}).withColumn("text", F.lit(""))
+    folder = shared_path(spark, "chained-streams")
+    wakes = turns.select("session").distinct().select("session", F.lit(0).cast("long").alias("arrival"), F.lit("wake").alias("kind"))
+    with _few_partitions(spark) as n:
+        wakes.repartition(n).write.parquet(f"{folder}/in")
+        events = spark.readStream.schema(worker.QUEUE_EVENT_SCHEMA).parquet(f"{folder}/in")
+        first = worker.told_to_files(worker.queue_stream(events, _heard, turns, poll_ms=1), f"{folder}/told", f"{folder}/first", processingTime="0 seconds")
+        spark.createDataFrame([], worker.TOLD_SCHEMA).write.parquet(f"{folder}/told/batch=-1")  # the folder, for the second stream to watch
+        read = worker.translation_events(spark.readStream.schema(worker.TOLD_SCHEMA).parquet(f"{folder}/told"))
+        second = worker.queue_stream(read, _heard, poll_ms=1).writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{folder}/second").trigger(processingTime="0 seconds").start()
+        worker.until_idle(first, 1.0)
+        worker.until_idle(second, 1.0)
+    return worker.queue_documents(spark, f"{folder}/second").select("session", "id", "status", "attempts", "source")
+
+
 QUANTISED = "round(least(1, greatest(-1, value)) * 32767)::BIGINT"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tapeloom.functions.text import trim
 from tapeloom.operators.queue import ERROR_CHARACTERS, MAX_ATTEMPTS
 from tapeloom.streaming.capture import ROCKS
 
@@ -148,6 +149,25 @@ def queue_stream(events: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame]
     return events.groupBy("session").transformWithStateInPandas(QueueWorker(work, poll_ms), TOLD_SCHEMA, "Update", "ProcessingTime", initialState=first)
 
 
+def told_to_files(told: DataFrame, path: str, checkpoint: str, **trigger: str | bool) -> StreamingQuery:
+    """Writes the rows of a queue_stream as Parquet, a folder a batch, for other streams to read. A batch that runs again replaces its folder; a reader that has read it already may read its
+    rows twice, which an enqueue of a known text doesn't mind."""
+    return told.writeStream.outputMode("update").foreachBatch(_appended(path)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _appended(path: str) -> Callable[[DataFrame, int], None]:
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return keep
+
+
+def translation_events(told: DataFrame) -> DataFrame:
+    """Enqueue events (QUEUE_EVENT_SCHEMA) for the translation queue of what a transcript queue's stream tells: a segment that completed with a text that isn't blank."""
+    done = told.filter((F.col("kind") == "segment") & (F.col("status") == "complete") & (trim(F.col("text")) != ""))
+    return done.select("session", F.col("number").alias("arrival"), F.lit("enqueue").alias("kind"), "id", F.col("text").alias("source"), F.lit(None).cast("string").alias("language"))
+
+
 def until_idle(query: StreamingQuery, quiet_seconds: float = 2.0, at_most: float = 600.0) -> None:
     """Waits until a query has had no input and no timer for some time, then stops it. quiet_seconds must be longer than its poll time."""
     began, quiet, seen = time.monotonic(), None, None
