@@ -18,6 +18,7 @@ KINDS = {"i8": "<i1", "i16": "<i2", "i32": "<i4", "i64": "<i8", "u8": "<u1", "u1
 END = "end"
 BLOCK_FRAMES = 1600
 BLOCKS_A_TASK = 2000
+FILES_A_TASK = 100
 COLUMNS = ["session", "arrival", "kind", "source", "sequence", "channels", "sample_rate", "samples", "message"]
 
 
@@ -63,19 +64,16 @@ class Capture:
 
 @dataclass
 class Blocks(InputPartition):
-    """Blocks begin to end of a file; whole: the file's last, short block is there too. Or the end of a session."""
+    """(file, first block, end) of what a task reads; or the ends of sessions (session, -1, arrival)."""
 
-    name: str
-    begin: int
-    end: int
-    arrival: int = 0
+    pieces: list[tuple[str, int, int]]
 
 
 class CaptureReader(DataSourceStreamReader):
     """Offsets are blocks by file, and the sessions that have ended. Only whole blocks are read while a session runs; its end gives the rest.
 
     A block's number is its place in its file, so numbers run from 0 without a gap and a batch that runs again gives the same ones. Listing the folder is the driver's work, as are
-    the offsets: one number a capture; samples are read by tasks, at most BLOCKS_A_TASK blocks each."""
+    the offsets: one number a capture; samples are read by tasks, at most BLOCKS_A_TASK blocks of FILES_A_TASK files each."""
 
     def __init__(self, path: str, frames: int) -> None:
         self.path, self.frames = path, frames
@@ -101,34 +99,43 @@ class CaptureReader(DataSourceStreamReader):
         return {"blocks": blocks, "ended": ended}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        out, last = [], {}
+        pieces, last = [], {}
         for name, until in end["blocks"].items():
             begin, capture = start["blocks"].get(name, 0), Capture.of(name)
             if until < begin:
                 raise RuntimeError(f"{name} has become shorter")
-            out += [Blocks(name, at, min(until, at + BLOCKS_A_TASK)) for at in range(begin, until, BLOCKS_A_TASK)]
+            pieces += [(name, at, min(until, at + BLOCKS_A_TASK)) for at in range(begin, until, BLOCKS_A_TASK)]
             last[capture.session] = max(last.get(capture.session, 0), capture.arrival(until, self.frames))
-        return out + [Blocks(session, -1, -1, last.get(session, 0)) for session in end["ended"] if session not in start["ended"]]
+        pieces += [(session, -1, last.get(session, 0)) for session in end["ended"] if session not in start["ended"]]
+        # Short pieces share a task: as many as make up one's blocks, and not too many files.
+        out, held = [], 0
+        for name, begin, until in pieces:
+            size = max(1, until - begin) if begin >= 0 else 1
+            if not out or held + size > BLOCKS_A_TASK or len(out[-1].pieces) >= FILES_A_TASK:
+                out.append(Blocks([]))
+                held = 0
+            out[-1].pieces.append((name, begin, until))
+            held += size
+        return out
 
     def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("session", pa.string()), ("arrival", pa.int64()), ("kind", pa.string()), ("source", pa.string()), ("sequence", pa.int64()), ("channels", pa.int32()), ("sample_rate", pa.int32()), ("samples", pa.list_(pa.float32())), ("message", pa.string())])
-        if partition.begin < 0:
-            yield pa.RecordBatch.from_pylist([{"session": partition.name, "arrival": partition.arrival, "kind": "end"}], schema)
-            return
         system, root = self._system()
-        capture = Capture.of(partition.name)
-        step = self.frames * capture.frame_bytes
-        with system.open_input_file(f"{root}/{partition.name}") as file:
-            for first in range(partition.begin, partition.end, 100):
-                rows = []
-                for block in range(first, min(partition.end, first + 100)):
-                    file.seek(block * step)
-                    data = file.read(step)
-                    row = {"session": capture.session, "arrival": capture.arrival(block, self.frames), "kind": "audio", "source": capture.source, "sequence": block, "channels": capture.channels, "sample_rate": capture.rate}
-                    if len(data) % capture.frame_bytes and len(data) < step:  # only the last block may be short
-                        data = data[: len(data) // capture.frame_bytes * capture.frame_bytes]
-                    rows.append(row | {"samples": to_floats(data, capture.kind)})
-                yield pa.RecordBatch.from_pylist(rows, schema)
+        for name, begin, until in partition.pieces:
+            if begin < 0:
+                yield pa.RecordBatch.from_pylist([{"session": name, "arrival": until, "kind": "end"}], schema)
+                continue
+            capture = Capture.of(name)
+            step = self.frames * capture.frame_bytes
+            with system.open_input_file(f"{root}/{name}") as file:
+                for first in range(begin, until, 100):
+                    rows = []
+                    for block in range(first, min(until, first + 100)):
+                        file.seek(block * step)
+                        data = file.read(step)
+                        data = data[: len(data) // capture.frame_bytes * capture.frame_bytes]  # the last block may be short, and end in part of a frame
+                        rows.append({"session": capture.session, "arrival": capture.arrival(block, self.frames), "kind": "audio", "source": capture.source, "sequence": block, "channels": capture.channels, "sample_rate": capture.rate, "samples": to_floats(data, capture.kind)})
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 class CaptureSource(DataSource):
