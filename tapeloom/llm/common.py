@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -41,9 +43,35 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
         df.write.mode(mode).parquet(path)
 
 
+SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """A list of the tables that are stored in the time of a block."""
+    found: list[str] = []
+    token = SCRATCH.set(found)
+    try:
+        yield found
+    finally:
+        SCRATCH.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: list[str], but_of: DataFrame) -> list[str]:
+    """Deletes stored tables, but not those that a DataFrame still reads; returns these."""
+    read = [re.sub(r"^file:/+", "/", f) for f in but_of.inputFiles()] if paths else []
+    kept = [p for p in paths if any(f.startswith(re.sub(r"^file:/+", "/", p) + "/") for f in read)]
+    for path in set(paths) - set(kept):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return kept
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
+    if (held := SCRATCH.get()) is not None:
+        held.append(path)
     write_parquet(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

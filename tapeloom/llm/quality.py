@@ -69,7 +69,10 @@ class Marks:
     def of(self, found: np.ndarray, table: np.ndarray) -> float:
         """The summed log odds of the marks among a text's features, each once."""
         maybe = np.unique(found[table[found & np.uint64((1 << FILTER_BITS) - 1)]])
-        return float(self.odds[np.isin(self.hashes, maybe, assume_unique=True)].sum()) if len(maybe) else 0.0
+        if not len(maybe):
+            return 0.0
+        place = np.minimum(np.searchsorted(self.hashes, maybe), len(self.hashes) - 1)
+        return float(self.odds[place[self.hashes[place] == maybe]].sum())
 
 
 def _counts(told, id_col: str, text_col: str):
