@@ -325,7 +325,8 @@ def _cut(length: int):
 
 
 def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, removed (array<struct<start, end>> of byte spans) and kept (the remaining bytes) for each row of df.
+    """doc_id, n_bytes, removed (array<struct<start, end>> of byte spans) and kept (the remaining bytes) for each row of df; strings with copied surroundings, and those of crowded
+    anchors, are equal if 128 bits of hash are, all others if their bytes are.
 
     A byte goes if a string of `length` bytes that covers it also begins earlier: in a row of smaller id (null first), or in the same row at
     an earlier byte. Overlaps count; strings are judged on the input, never across rows. Rows of equal id are in order of

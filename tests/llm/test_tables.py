@@ -137,3 +137,23 @@ def test_one_row_of_each_group_stays(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __id string".replace("__id", "node"))
     left = sorted((str(r.doc_id), r.text or "") for r in drop_near_duplicates(df).collect())
     assert left == sorted([("3", base), ("5", other), ("None", ""), ("1", ""), ("None", "alone")])
+
+
+def test_tokenizers_whose_added_tokens_forbid_cuts(spark, tmp_path):
+    """An added token that holds a space, or takes spaces beside it in, may lie across a cut: such texts are counted whole."""
+    import public_tokenizers
+    from tokenizers import AddedToken, Tokenizer
+
+    from tapeloom.llm.common import shared_path
+    from tapeloom.llm.tokens import _counter, count_tokens
+
+    texts = ["say hello world to x", "hello world", "a  hello world  b", "<x> y <x>", " <x>  z", "hello  world", "plain words only", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n, token in enumerate((AddedToken("hello world", normalized=False), AddedToken("<x>", lstrip=True), AddedToken("<x>", rstrip=True, special=True), AddedToken("<x>"))):
+        model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        model.add_tokens([token])
+        path = f"{tmp_path}/{n}.json"
+        model.save(path)
+        assert _counter(path)[1] == (n == 3)
+        want = {i: len(model.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+        assert {r.doc_id: r.n_tokens for r in count_tokens(df, path, shared_path(spark, "cache")).collect()} == want
