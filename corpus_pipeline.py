@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import broadcast_if_few, count_words, stored
+from tapeloom.llm.common import broadcast_if_few, count_words, drop_tables, scratch, stored
 from tapeloom.llm.decontaminate import drop_contaminated
 from tapeloom.llm.minhash import drop_near_duplicates
 from tapeloom.llm.mixing import mix_sources
@@ -64,7 +67,28 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_by_bytes(sized, size_col="__bytes", tie_cols=("__crc", "__bytes")).drop("__bytes", "__crc")
 
 
-STAGES = [("quality classifier", quality), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("source mixing", mix), ("sharding", shard)]
+#: For each Spark application the tables that its last stage stored for itself.
+_LEFT: dict[str, list[str]] = {}
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame], first: bool) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage; before it begins, what the stage before it had stored for itself is deleted, unless docs still reads it: that stage's rows have been written by then, so the
+    disk holds one stage's tables. The first stage deletes nothing: what the last run returned may not have been read yet."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        left = _LEFT.pop(app, [])
+        kept = [] if first else drop_tables(spark, left, docs)
+        with scratch() as found:
+            out = stage(spark, docs, sf_dir)
+        _LEFT[app] = kept + found
+        return out
+
+    return run
+
+
+STAGES = [(name, _tidy(stage, stage is quality)) for name, stage in (("quality classifier", quality), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("source mixing", mix), ("sharding", shard))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
