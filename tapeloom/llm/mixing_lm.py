@@ -4,6 +4,8 @@ A text is its tokens: words between ASCII white space, A-Z lower-cased, then one
 seen in training after the last two words; after the last word; earlier in this text; in training at all. Each bit is
 predicted by several hashed contexts, whose log odds are combined by weights that a gate picks. The first bit that is 1
 names the distribution the word comes from: its count there over all counts there. A word that no level has is spelt, bit by bit.
+
+Over a whole text the model is mixed, half and half, with the base: the add-0.1 counts of single words, whose unknown words are spelt too.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ RANGE_BYTES = 1 << 24  # of text, for one range of keys
 BUCKETS = 16
 GATES = 8  # for each level, and as many bits of a spelt byte
 HISTORY = (LEVELS + 1) ** 3
-SPELL_BITS = 18
-SPELL_ORDERS = (2, 3, 4)
+SPELL_ORDERS = (2, 3, 4, 6)
+MOST_SLOT_BITS, MOST_SPELL_BITS = 18, 19
 CHUNK = 1 << 14
 BLOCK_BYTES = 2_000_000
 ROUND = 16
@@ -38,7 +40,7 @@ SPELT_AT_ONCE = 20_000
 TASKS_AT_ONCE = 512  # tables of so many tasks are added up in one group
 PRIOR = 0.4  # of each outcome, in every table
 RIDGE = 1.0
-FIRST_WEIGHTS = np.array([0.3, 0.5, 0.3, 0.3, 0.0])  # what a gate without decisions keeps
+FIRST_WEIGHTS = np.array([0.3, 0.5, 0.3, 0.3, 0.0])  # where the fit sets out, and what a gate without decisions keeps
 SPELL_FACTORS = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)]
 END = b" "  # no word holds a space
 START = np.uint64(0x9E3779B97F4A7C15)
@@ -288,7 +290,7 @@ class Odds:
         return self.odds.take(2 * slot + bit if self.own else slot)
 
 
-def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def spelling(words: list[bytes], spell_bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(slots for each order, bits, word of each byte) of the words' bytes and a closing space, 8 decisions a byte, whose numbers lie together by bit."""
     pad = max(SPELL_ORDERS)
     data = np.frombuffer(b"".join(b" " * pad + w + b" " for w in words), np.uint8)
@@ -305,13 +307,13 @@ def spelling(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
         context |= data[at - order].astype(np.uint64) << np.uint64(8 * order - 8)
         if order in SPELL_ORDERS:
             with np.errstate(over="ignore"):
-                mixed = (mix64(context + np.uint64(order << 40)) >> np.uint64(32)).astype(np.uint32)
-                out.append(((mixed ^ nodes * SPELL_FACTORS[0]) * SPELL_FACTORS[1] >> np.uint32(32 - SPELL_BITS)).astype(np.int32))
+                mixed = (mix64(context + np.uint64(order << 56)) >> np.uint64(32)).astype(np.uint32)
+                out.append(((mixed ^ nodes * SPELL_FACTORS[0]) * SPELL_FACTORS[1] >> np.uint32(32 - spell_bits)).astype(np.int32))
     return [slot.T for slot in out], bits.T, owner[at]
 
 
 def spelling_inputs(slots: list[np.ndarray], bits: np.ndarray, tables: list[Odds]) -> np.ndarray:
-    """Log odds (input, bit, byte); what the levels' bits have more inputs is 0."""
+    """Log odds (input, bit, byte) and a constant."""
     out = np.zeros((INPUTS, *bits.T.shape), np.float32)
     for k, (table, slot) in enumerate(zip(tables, slots, strict=True)):
         out[k] = table.of(slot.T, bits.T)
@@ -332,8 +334,13 @@ def _in_parts(words: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def table_sizes(slot_bits: int) -> list[int]:
-    return [LEVELS * BUCKETS * BUCKETS, LEVELS << slot_bits, LEVELS * HISTORY, *[1 << SPELL_BITS] * len(SPELL_ORDERS)]
+def table_bits(distinct: int) -> tuple[int, int]:
+    """Of the slots of last words and of spellings: with the distinct words, as far as every task can hold."""
+    return min(MOST_SLOT_BITS, max(8, distinct.bit_length())), min(MOST_SPELL_BITS, max(14, distinct.bit_length() + 3))
+
+
+def table_sizes(slot_bits: int, spell_bits: int) -> list[int]:
+    return [LEVELS * BUCKETS * BUCKETS, LEVELS << slot_bits, LEVELS * HISTORY, *[1 << spell_bits] * len(SPELL_ORDERS)]
 
 
 def once_words(d: Decisions) -> list[bytes]:
@@ -343,17 +350,17 @@ def once_words(d: Decisions) -> list[bytes]:
     return [d.texts.words[w] for w in np.flatnonzero(used & (d.known == 1))]
 
 
-def _train(trained: int, slot_bits: int):
+def _train(trained: int, slot_bits: int, spell_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of the training texts' bits in each table's slots, in chunks, once for each task."""
-        tables = [np.zeros(2 * n, np.int64) for n in table_sizes(slot_bits)]
+        tables = [np.zeros(2 * n, np.int64) for n in table_sizes(slot_bits, spell_bits)]
         for row in _rows(batches):
             d = Decisions(row, trained, slot_bits, True)
             use = d.told & d.texts.learns
             for table, slot in zip(tables, d.slots, strict=False):
                 table += np.bincount(slot[use] * 2 + d.bit[use], minlength=len(table))
             for words in _in_parts(once_words(d)):
-                slots, bits, _ = spelling(words)
+                slots, bits, _ = spelling(words, spell_bits)
                 for table, slot in zip(tables[3:], slots, strict=True):
                     table += np.bincount((slot * 2 + bits).ravel("K"), minlength=len(table))
         part = TaskContext.get().partitionId()
@@ -371,36 +378,33 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"kind": table.column("kind")[:1], "chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "counts": pa.array([pack(total)], pa.binary())})
 
 
-def newton(x: np.ndarray, bit: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """The curvature, and that times the weights, of the logistic regression of bit on x."""
-    weights = FIRST_WEIGHTS.copy()
-    bit = bit.astype(np.float32)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(weights.astype(np.float32) @ x, -30, 30)))
-        curve = ((x * (p * (1 - p))) @ x.T).astype(np.float64)
-        step = np.linalg.solve(curve + RIDGE * np.eye(INPUTS), (x @ (bit - p)).astype(np.float64) - RIDGE * (weights - FIRST_WEIGHTS))
-        weights = weights + step * min(1.0, 1.0 / max(1e-12, float(np.abs(step).max())))
-    return np.concatenate((curve.ravel(), curve @ weights))
+def slopes(x: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """The curvature and slope, at FIRST_WEIGHTS, of the logistic regression of bit on x; those of parts add up to those of the whole."""
+    p = 1 / (1 + np.exp(-(FIRST_WEIGHTS.astype(np.float32) @ x)))
+    return np.concatenate((((x * (p * (1 - p))) @ x.T).astype(np.float64).ravel(), (x @ (bit - p)).astype(np.float64)))
 
 
-def _learn(told, trained: int, slot_bits: int):
+def _learn(told, trained: int, slot_bits: int, spell_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's best weights for its training texts, with their curvature, added up for each gate and task."""
+        """The training texts' curvature and slope for each gate, added up for each task."""
         tables = [Odds(t, own=True) for t in told.value]
         sums = np.zeros((LEVELS * GATES + GATES, INPUTS * INPUTS + INPUTS))
         for row in _rows(batches):
             d = Decisions(row, trained, slot_bits, True)
             x = d.inputs(tables[:3])
-            for gate in range(LEVELS * GATES):
-                j = gate // GATES
-                own = np.flatnonzero((d.gate[j] == gate) & d.told[j] & d.texts.learns)
-                if len(own):
-                    sums[gate] += newton(x[:, j, own], d.bit[j, own])
+            for j in range(LEVELS):
+                use = np.flatnonzero(d.told[j] & d.texts.learns)
+                use = use[np.argsort(d.gate[j, use], kind="stable")]
+                gates, own, bit = d.gate[j, use], x[:, j, use], d.bit[j, use].astype(np.float32)
+                cuts = np.searchsorted(gates, np.arange(j * GATES, (j + 1) * GATES + 1))
+                for gate, lo, hi in zip(range(j * GATES, (j + 1) * GATES), cuts, cuts[1:], strict=False):
+                    if hi > lo:
+                        sums[gate] += slopes(own[:, lo:hi], bit[lo:hi])
             for words in _in_parts(once_words(d)):
-                slots, bits, _ = spelling(words)
+                slots, bits, _ = spelling(words, spell_bits)
                 x = spelling_inputs(slots, bits, tables[3:])
                 for depth in range(8):
-                    sums[LEVELS * GATES + depth] += newton(x[:, depth], bits[:, depth])
+                    sums[LEVELS * GATES + depth] += slopes(x[:, depth], bits[:, depth].astype(np.float32))
         at = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(list(sums[at]), pa.list_(pa.float64()))], ["gate", "sums"])
 
@@ -410,14 +414,15 @@ def _learn(told, trained: int, slot_bits: int):
 class Model:
     """The tables of counts (outcomes 0 and 1 apart) and the weights of each gate."""
 
-    def __init__(self, tables: list[np.ndarray], weights: np.ndarray) -> None:
+    def __init__(self, tables: list[np.ndarray], weights: np.ndarray, spell_bits: int) -> None:
+        self.spell_bits = spell_bits
         self.tables, self.weights = list(map(Odds, tables)), weights.astype(np.float32)
 
     def spelt(self, words: list[bytes]) -> np.ndarray:
         """ln of the probability of each spelling."""
         out = [np.zeros(0)]
         for part in _in_parts(words):
-            slots, bits, owner = spelling(part)
+            slots, bits, owner = spelling(part, self.spell_bits)
             x = np.einsum("kdb,dk->db", spelling_inputs(slots, bits, self.tables[3:]), self.weights[LEVELS * GATES :])
             out.append(np.bincount(owner, -np.logaddexp(0, np.where(bits.T == 1, -x, x)).sum(axis=0), len(part)))
         return np.concatenate(out)
@@ -456,8 +461,9 @@ class Model:
         out[~d.open] = 0
         return out
 
-    def tokens(self, d: Decisions) -> np.ndarray:
-        """ln of each token's probability: the sum over all levels that have its word, as a word may be told at any of them."""
+    def tokens(self, d: Decisions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ln of each token's probability; the same, but an unknown word not spelt; and ln of the unknown words' spellings, else 0.
+        A word may be told at any level that has it, so all of them add up."""
         reach, ways = np.ones(d.n.shape[1]), np.zeros(d.n.shape[1])
         for p, n, total in zip(self.bits(d).astype(np.float64), d.n, d.total, strict=True):
             ways += reach * p * (n / np.maximum(total, 1))
@@ -467,19 +473,22 @@ class Model:
         unknown = np.flatnonzero(d.known == 0)
         spelt = np.zeros(len(d.known))
         spelt[unknown] = self.spelt([d.texts.words[w] for w in unknown])
-        lacks = d.known[d.texts.tokens] == 0
-        out[lacks] = np.logaddexp(out[lacks], np.log(reach[lacks]) + spelt[d.texts.tokens[lacks]])
-        return out
+        spelt, lacks = spelt[d.texts.tokens], d.known[d.texts.tokens] == 0
+        unspelt = out.copy()
+        unspelt[lacks] = np.log(ways[lacks] + reach[lacks])
+        out[lacks] = np.logaddexp(out[lacks], np.log(reach[lacks]) + spelt[lacks])
+        return out, unspelt, spelt
 
 
-def _score(told, trained: int, distinct: int, slot_bits: int):
+def _score(told, trained: int, distinct: int, slot_bits: int, spell_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*told.value)
+        model = Model(*told.value, spell_bits)
         for row in _rows(batches):
             d = Decisions(row, trained, slot_bits, False)
             texts = d.texts
-            base = np.log10((d.known + 0.1) / (trained + 0.1 * (distinct + 1)))
-            score = np.add.reduceat(model.tokens(d), texts.begin) / np.log(10)
+            base = np.add.reduceat(np.log10((d.known + 0.1) / (trained + 0.1 * (distinct + 1)))[texts.tokens], texts.begin)
+            own, unspelt, spelt = (np.add.reduceat(x, texts.begin) for x in model.tokens(d))
+            score, class_score = ((np.logaddexp(a, b) - np.log(2)) / np.log(10) for a, b in ((own, base * np.log(10) + spelt), (unspelt, base * np.log(10))))
             with np.errstate(divide="ignore"):
                 bits = np.where(texts.nbytes > 0, -score / np.log10(2) / np.maximum(texts.nbytes, 1), np.nan)
             values = [
@@ -488,39 +497,43 @@ def _score(told, trained: int, distinct: int, slot_bits: int):
                 pa.array(texts.sizes),
                 pa.array(np.add.reduceat((d.known > 0).astype(np.int64)[texts.tokens], texts.begin)),
                 pa.array(np.full(len(texts.ids), trained, np.int64)),
-                pa.array(np.add.reduceat(base[texts.tokens], texts.begin)),
+                pa.array(base),
                 pa.array(score),
+                pa.array(class_score),
                 pa.array(bits, from_pandas=True),
             ]
-            yield pa.RecordBatch.from_arrays(values, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays(values, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "class_score", "bits_per_byte"])
 
     return run
 
 
 def learnt_weights(rows: list) -> np.ndarray:
-    """The gates' weights: the blocks' own, each weighing as much as its curvature."""
+    """The gates' weights: from FIRST_WEIGHTS one Newton step, of at most 1, down the slope of all training texts."""
     weights = np.tile(FIRST_WEIGHTS, (LEVELS * GATES + GATES, 1))
     for row in rows:
         sums = np.array(row["sums"])
-        curve, pull = sums[: INPUTS * INPUTS].reshape(INPUTS, INPUTS), sums[INPUTS * INPUTS :]
-        weights[row["gate"]] = np.linalg.solve(curve + RIDGE * np.eye(INPUTS), pull + RIDGE * FIRST_WEIGHTS)
+        step = np.linalg.solve(sums[: INPUTS * INPUTS].reshape(INPUTS, INPUTS) + RIDGE * np.eye(INPUTS), sums[INPUTS * INPUTS :])
+        weights[row["gate"]] += step / max(1.0, float(np.abs(step).max()))
     return weights
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability) and bits_per_byte for each row of df.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability), class_score and bits_per_byte for each row of df.
 
     The model learns from the rows whose crc32(id as text) mod 10 isn't 0 (a null id counts as training) and scores all.
-    base_score is the add-0.1 unigram score of the same tokens. A null or empty text is its end alone (bits_per_byte null). Repeated rows each count.
+    base_score is the add-0.1 unigram score of the same tokens; it has one probability for all unknown words together, while score spells each
+    of them. class_score doesn't spell them, so it compares with base_score: it is at most log10(2) below it. A null or empty text is its end alone (bits_per_byte null). Repeated rows each count.
     Empty df: no rows. Other columns of df are not read.
 
     1. Texts become blocks of tokens, once. 2. Each block asks, for its distinct words, and pairs of context and word, how often training has
        them, and says how often its own training texts do: sorted keys, packed, a row for each block and range of keys. Each range is
        summed and answered in one group. Keys of words are 64-bit hashes; those of pairs grow with the corpus (SPARE_BITS), as do the ranges, so
        what is known of contexts has no fixed size, and a frequent word is one key a block. 3. The bits of the training texts
-       are counted in small tables of contexts. 4. Each gate's weights are the best ones for the training texts (logistic regression by
-       block, averaged by curvature); in 3. and 4. a token's own counts are left out. 5. All texts are scored;
+       are counted in small tables of contexts. 4. Each gate's weights are fitted to all training texts at once (logistic regression,
+       slopes and curvatures added up over all blocks); in 3. and 4. a token's own counts are left out. 5. All texts are scored;
        adaptive counts and weights go on from the learnt ones within each text.
+
+    Another layout of the same rows gives the same model but for the rounding of sums: scores differ by less than 1e-5 of themselves.
     """
     spark = df.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
@@ -535,16 +548,16 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ready = stored(blocks.join(by_block, "block").mapInArrow(_ready(bits), READY_SCHEMA), "lm-ready")
     discard(blocks)
     discard(answers)
-    slot_bits = min(18, max(8, distinct.bit_length()))
-    chunks = ready.mapInArrow(_train(trained, slot_bits), TABLE_SCHEMA)
+    table = table_bits(distinct)
+    chunks = ready.mapInArrow(_train(trained, *table), TABLE_SCHEMA)
     chunks = chunks.groupBy("kind", "chunk", "part").applyInArrow(_add, TABLE_SCHEMA).groupBy("kind", "chunk").applyInArrow(_add, TABLE_SCHEMA)
-    tables = [np.zeros(2 * n, np.int64) for n in table_sizes(slot_bits)]
-    for row in stored(chunks, "lm-tables").select("kind", "chunk", "counts").toLocalIterator():  # at most 5 * 2**18 slots and the spelling's
+    tables = [np.zeros(2 * n, np.int64) for n in table_sizes(*table)]
+    for row in stored(chunks, "lm-tables").select("kind", "chunk", "counts").toLocalIterator():  # at most 2**20 slots of words and 2**21 of spellings
         piece = unpack(row["counts"])
         tables[row["kind"]][row["chunk"] * 2 * CHUNK :][: len(piece)] = piece
     tables = [np.minimum(t.reshape(-1, 2).T, np.iinfo(np.int32).max).astype(np.int32) for t in tables]
-    sums = ready.mapInArrow(_learn(spark.sparkContext.broadcast(tables), trained, slot_bits), "gate long, sums array<double>")
+    sums = ready.mapInArrow(_learn(spark.sparkContext.broadcast(tables), trained, *table), "gate long, sums array<double>")
     added = sums.select("gate", F.posexplode("sums").alias("at", "value")).groupBy("gate", "at").agg(F.sum("value").alias("value"))
     gates = added.groupBy("gate").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("all")).select("gate", F.col("all.value").alias("sums")).collect()  # a row a gate
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return ready.mapInArrow(_score(spark.sparkContext.broadcast((tables, learnt_weights(gates))), trained, distinct, slot_bits), schema)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, class_score double, bits_per_byte double"
+    return ready.mapInArrow(_score(spark.sparkContext.broadcast((tables, learnt_weights(gates))), trained, distinct, *table), schema)

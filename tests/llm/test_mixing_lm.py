@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from tapeloom.llm.common import mix64
-from tapeloom.llm.mixing_lm import END, FIRST_WEIGHTS, PRIOR, RATE, RIDGE, ROUND, START, score_texts, spelling
+from tapeloom.llm.mixing_lm import END, FIRST_WEIGHTS, PRIOR, RATE, RIDGE, ROUND, SPELL_ORDERS, START, score_texts, spelling
 
 
 def held(i):
@@ -50,7 +50,8 @@ class Plain:
             self.t2[c] += n
         self.slot_bits = min(18, max(8, len(self.c0).bit_length()))
         self.tables = [defaultdict(lambda: [0, 0]) for _ in range(3)]
-        self.spell = [defaultdict(lambda: [0, 0]) for _ in range(3)]
+        self.spell_bits = min(19, max(14, len(self.c0).bit_length() + 3))
+        self.spell = [defaultdict(lambda: [0, 0]) for _ in SPELL_ORDERS]
         learn = [self.decisions(words, 1) for i, words in self.rows if not held(i)]
         once = [w for w, n in self.c0.items() if n == 1]
         for tokens in learn:
@@ -59,7 +60,7 @@ class Plain:
                     for table, key in zip(self.tables, told["keys"], strict=True):
                         table[key][told["bit"]] += 1
         for w in once:
-            slots, bits, _ = spelling([w])
+            slots, bits, _ = spelling([w], self.spell_bits)
             for table, s in zip(self.spell, slots, strict=True):
                 for key, bit in zip(s.ravel(), bits.ravel(), strict=True):
                     table[key][bit] += 1
@@ -69,9 +70,9 @@ class Plain:
                 for told in t["told"]:
                     gates[told["gate"]].append((self.inputs(told, True), told["bit"]))
         for w in once:
-            slots, bits, _ = spelling([w])
+            slots, bits, _ = spelling([w], self.spell_bits)
             for b, d in itertools.product(range(bits.shape[0]), range(8)):
-                gates["spell", d].append(([log_odds(t[s[b, d]], bits[b, d]) for t, s in zip(self.spell, slots, strict=True)] + [0, 1], bits[b, d]))
+                gates["spell", d].append(([log_odds(t[s[b, d]], bits[b, d]) for t, s in zip(self.spell, slots, strict=True)] + [1], bits[b, d]))
         self.weights = defaultdict(lambda: FIRST_WEIGHTS, {g: self.fit(rows) for g, rows in gates.items()})
 
     @staticmethod
@@ -112,25 +113,24 @@ class Plain:
     @staticmethod
     def fit(rows):
         x, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
-        w = FIRST_WEIGHTS.copy()
-        for _ in range(2):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            curve = x.T @ np.diag(p * (1 - p)) @ x
-            step = np.linalg.solve(curve + RIDGE * np.eye(5), x.T @ (y - p) - RIDGE * (w - FIRST_WEIGHTS))
-            w = w + step * min(1, 1 / max(1e-12, abs(step).max()))
-        return np.linalg.solve(curve + RIDGE * np.eye(5), curve @ w + RIDGE * FIRST_WEIGHTS)
+        p = 1 / (1 + np.exp(-x @ FIRST_WEIGHTS))
+        step = np.linalg.solve(x.T @ np.diag(p * (1 - p)) @ x + RIDGE * np.eye(5), x.T @ (y - p))
+        return FIRST_WEIGHTS + step * min(1, 1 / max(1e-12, abs(step).max()))
 
     def spelt(self, w):
-        slots, bits, _ = spelling([w])
+        slots, bits, _ = spelling([w], self.spell_bits)
         out = 0
         for b, d in itertools.product(range(bits.shape[0]), range(8)):
-            x = [log_odds(t.get(s[b, d], (0, 0))) for t, s in zip(self.spell, slots, strict=True)] + [0, 1]
+            x = [log_odds(t.get(s[b, d], (0, 0))) for t, s in zip(self.spell, slots, strict=True)] + [1]
             z = float(np.dot(self.weights["spell", d], x))
             out -= math.log1p(math.exp(-z if bits[b, d] else z))
         return out
 
     def score(self, words):
-        total, more, tokens = 0, np.zeros((4, 5)), self.decisions(words, 0)
+        """With the unknown words spelt, and without."""
+        total, unspelt, more, tokens = 0, 0, np.zeros((4, 5)), self.decisions(words, 0)
+        base = sum(math.log10((self.c0[w] + 0.1) / (self.trained + 0.1 * (len(self.c0) + 1))) for w in words)
+        spelt = sum(self.spelt(w) for w in words if not self.c0[w]) / math.log(10)
         for at in range(0, len(tokens), ROUND):
             step = np.zeros((4, 5))
             for t in tokens[at : at + ROUND]:
@@ -143,35 +143,48 @@ class Plain:
                     if t["total"][j] > 0:
                         ways += reach * p * t["n"][j] / t["total"][j]
                         reach *= 1 - p
-                if not self.c0[t["word"]]:
-                    ways += reach * math.exp(self.spelt(t["word"]))
-                total += math.log10(ways)
+                new = not self.c0[t["word"]]
+                unspelt += math.log10(ways + reach * new)
+                total += math.log10(ways + reach * math.exp(self.spelt(t["word"])) if new else ways)
             more += step
-        return total
+        return [float(np.logaddexp(a * math.log(10), b * math.log(10)) / math.log(10)) - math.log10(2) for a, b in ((total, base + spelt), (unspelt, base))]
 
 
-def test_scores_against_a_plain_model(spark):
+def some_rows():
     rng = np.random.default_rng(3)
     words = ["the", "cat", "sat", "on", "a", "mat", "Dog", "ran", "é", "longer", "words", "here"]
     texts = [" ".join(rng.choice(words, rng.integers(1, 60))) for _ in range(40)] + [None, "", "the cat sat on the mat " * 12, "unseen zebra zebra", "once only", "x" * 300]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(HELD[3 + k], t) for k, t in enumerate(texts[-6:])] + [(None, "null id"), (5, texts[5])]
+    return [(i, t) for i, t in enumerate(texts)] + [(HELD[3 + k], t) for k, t in enumerate(texts[-6:])] + [(HELD[12], "zebras zebras once zebras"), (None, "null id"), (5, texts[5])]
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_scores_against_a_plain_model(spark, blocks):
+    rows = some_rows()
     plain = Plain(rows)
-    want = Counter()
-    for i, w in plain.rows:
-        want[i, len(w), round(plain.score(w), 2)] += 1
-    found = score_texts(docs(spark, rows).coalesce(1)).collect()  # one block, so one fit
-    scores = {(r.doc_id, r.n_tokens): r.score for r in found}
+    found = score_texts(docs(spark, rows).repartition(blocks)).collect()
+    scores = {(r.doc_id, r.n_tokens): (r.score, r.class_score) for r in found}
     assert len(found) == len(rows)
     for i, w in plain.rows:
         if i != 5:
-            assert scores[i, len(w)] == pytest.approx(plain.score(w), rel=2e-3, abs=2e-3), (i, w)
+            assert scores[i, len(w)] == pytest.approx(plain.score(w), rel=1e-4, abs=1e-4), (i, w)
     for r in found:
         text = dict(rows)[r.doc_id] or ""
+        assert r.class_score >= r.base_score - math.log10(2) - 1e-9 and r.score <= r.class_score + 1e-9
         assert (r.bits_per_byte is None) == (text == "")
         if text:
             assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / len(text.encode()))
 
 
+def test_scores_do_not_depend_on_blocks_or_ranges(spark, monkeypatch):
+    """Many blocks and ranges of keys give the scores of one."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 300) % 5000)) for i in range(120)]
+    whole = {r.doc_id: r.score for r in score_texts(docs(spark, rows).coalesce(1)).collect()}
+    monkeypatch.setattr("tapeloom.llm.mixing_lm.RANGE_BYTES", 1 << 14)
+    parts = {r.doc_id: r.score for r in score_texts(docs(spark, rows).repartition(7)).collect()}
+    assert len(whole) == 120 and parts == pytest.approx(whole, rel=1e-5)
+
+
 def test_probabilities_sum_to_at_most_one(spark):
     train = [(LEARN[k], t) for k, t in enumerate(["a b", "a b c", "b b a", "c", "", "a c b a"] * 3)]
     asked = [" ".join(w) for n in range(4) for w in itertools.product("abc", repeat=n)]
