@@ -42,6 +42,7 @@ PRIOR = 0.4  # of each outcome, in every table
 RIDGE = 1.0
 FIRST_WEIGHTS = np.array([0.3, 0.5, 0.3, 0.3, 0.0])  # where the fit sets out, and what a gate without decisions keeps
 SPELL_FACTORS = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)]
+LN10 = np.log(10)
 END = b" "  # no word holds a space
 START = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -219,12 +220,14 @@ class Decisions:
     own: each training token's own count is taken out of all that training knows, so that a text is seen as if it were new."""
 
     def __init__(self, row: dict, trained: int, slot_bits: int, own: bool) -> None:
-        self.texts = texts = Texts(row)
+        self.own, self.texts = own, Texts(row)
+        texts = self.texts
         self.known = unpack(row["known"])
         two, one = unpack(row["after"]).reshape(2, -1)
         less = texts.learns.astype(np.int64) if own else 0
         begun = self.known[texts.words.index(END)]  # each training text has one end
         word = self.known[texts.tokens]
+        self.had = np.maximum(word - less, 0)
         self.n = np.stack((two - less, one - less, unpack(row["earlier"], np.int32), word - less))
         self.total = np.stack((texts.before(one, begun) - less, texts.before(word, begun) - less, texts.place, np.full(len(word), trained) - less))
         np.maximum(self.n, 0, out=self.n)
@@ -247,6 +250,7 @@ class Decisions:
         levels = np.arange(LEVELS, dtype=np.int32)[:, None]
         self.slots = [(levels * BUCKETS + size) * BUCKETS + np.concatenate((size[1:], np.zeros_like(size[:1]))), (levels << slot_bits) + slot, levels * HISTORY + past]
         self.gate = (levels * GATES + np.minimum(size // 2, GATES - 1)).astype(np.int8)
+        self.out = np.where(self.told & (texts.learns & own), self.bit, WHOLE).astype(np.int8)
 
     def so_far(self) -> np.ndarray:
         """Log odds of each level's bits in the text before a token."""
@@ -260,7 +264,7 @@ class Decisions:
         """Log odds (input, level, token)."""
         out = np.empty((INPUTS, *self.bit.shape), np.float32)
         for k, (table, slot) in enumerate(zip(tables, self.slots, strict=True)):
-            out[k] = table.of(slot, self.bit)
+            out[k] = table.of(slot, self.out)
         out[3], out[4] = self.so_far(), 1
         return np.clip(out, -9, 9, out=out)
 
@@ -277,17 +281,19 @@ def log_counts(n: np.ndarray) -> np.ndarray:
     return out
 
 
+WHOLE = 2
+
+
 class Odds:
-    """A table's log odds of 1 by slot. own: by slot and bit, without that bit's own count."""
+    """A table's log odds of 1, by slot and what to take out: a counted 0, a counted 1, or nothing (WHOLE)."""
 
-    def __init__(self, counts: np.ndarray, own: bool = False) -> None:
+    def __init__(self, counts: np.ndarray) -> None:
         zero, one = counts
         zeros, ones = log_counts(zero), log_counts(one)
-        self.own = own
-        self.odds = np.stack((ones - log_counts(np.maximum(zero - 1, 0)), log_counts(np.maximum(one - 1, 0)) - zeros), axis=1).reshape(-1) if own else ones - zeros
+        self.odds = np.stack((ones - log_counts(np.maximum(zero - 1, 0)), log_counts(np.maximum(one - 1, 0)) - zeros, ones - zeros), axis=1).reshape(-1)
 
-    def of(self, slot: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        return self.odds.take(2 * slot + bit if self.own else slot)
+    def of(self, slot: np.ndarray, out: np.ndarray) -> np.ndarray:
+        return self.odds.take(3 * slot + out)
 
 
 def spelling(words: list[bytes], spell_bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -312,11 +318,11 @@ def spelling(words: list[bytes], spell_bits: int) -> tuple[list[np.ndarray], np.
     return [slot.T for slot in out], bits.T, owner[at]
 
 
-def spelling_inputs(slots: list[np.ndarray], bits: np.ndarray, tables: list[Odds]) -> np.ndarray:
+def spelling_inputs(slots: list[np.ndarray], left_out: np.ndarray, tables: list[Odds]) -> np.ndarray:
     """Log odds (input, bit, byte) and a constant."""
-    out = np.zeros((INPUTS, *bits.T.shape), np.float32)
+    out = np.zeros((INPUTS, *left_out.T.shape), np.float32)
     for k, (table, slot) in enumerate(zip(tables, slots, strict=True)):
-        out[k] = table.of(slot.T, bits.T)
+        out[k] = table.of(slot.T, left_out.T)
     out[INPUTS - 1] = 1
     return out
 
@@ -380,14 +386,16 @@ def _add(table: pa.Table) -> pa.Table:
 
 def slopes(x: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """The curvature and slope, at FIRST_WEIGHTS, of the logistic regression of bit on x; those of parts add up to those of the whole."""
-    p = 1 / (1 + np.exp(-(FIRST_WEIGHTS.astype(np.float32) @ x)))
-    return np.concatenate((((x * (p * (1 - p))) @ x.T).astype(np.float64).ravel(), (x @ (bit - p)).astype(np.float64)))
+    odds = np.exp(FIRST_WEIGHTS.astype(np.float32) @ x)  # inputs are logs of counts: far from a float's limits
+    rest = 1 / (1 + odds)  # 1 - p, not rounded as that would be
+    p = odds * rest
+    return np.concatenate((((x * (p * rest)) @ x.T).astype(np.float64).ravel(), (x @ np.where(bit > 0, rest, -p)).astype(np.float64)))
 
 
 def _learn(told, trained: int, slot_bits: int, spell_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The training texts' curvature and slope for each gate, added up for each task."""
-        tables = [Odds(t, own=True) for t in told.value]
+        tables = list(map(Odds, told.value))
         sums = np.zeros((LEVELS * GATES + GATES, INPUTS * INPUTS + INPUTS))
         for row in _rows(batches):
             d = Decisions(row, trained, slot_bits, True)
@@ -418,13 +426,15 @@ class Model:
         self.spell_bits = spell_bits
         self.tables, self.weights = list(map(Odds, tables)), weights.astype(np.float32)
 
-    def spelt(self, words: list[bytes]) -> np.ndarray:
-        """ln of the probability of each spelling."""
-        out = [np.zeros(0)]
+    def spelt(self, words: list[bytes], own: np.ndarray) -> np.ndarray:
+        """ln of the probability of each spelling; own: of those that were learnt from, without their own counts."""
+        out, done = [np.zeros(0)], 0
         for part in _in_parts(words):
             slots, bits, owner = spelling(part, self.spell_bits)
-            x = np.einsum("kdb,dk->db", spelling_inputs(slots, bits, self.tables[3:]), self.weights[LEVELS * GATES :])
+            left_out = np.where(own[done + owner][:, None], bits, np.uint8(WHOLE))
+            x = np.einsum("kdb,dk->db", spelling_inputs(slots, left_out, self.tables[3:]), self.weights[LEVELS * GATES :])
             out.append(np.bincount(owner, -np.logaddexp(0, np.where(bits.T == 1, -x, x)).sum(axis=0), len(part)))
+            done += len(part)
         return np.concatenate(out)
 
     def bits(self, d: Decisions) -> np.ndarray:
@@ -470,10 +480,11 @@ class Model:
             reach *= 1 - p
         with np.errstate(divide="ignore"):
             out = np.log(ways)
-        unknown = np.flatnonzero(d.known == 0)
-        spelt = np.zeros(len(d.known))
-        spelt[unknown] = self.spelt([d.texts.words[w] for w in unknown])
-        spelt, lacks = spelt[d.texts.tokens], d.known[d.texts.tokens] == 0
+        lacks = d.had == 0
+        unknown = np.unique(d.texts.tokens[lacks])
+        by_word = np.zeros(len(d.known))
+        by_word[unknown] = self.spelt([d.texts.words[w] for w in unknown], d.known[unknown] > 0)
+        spelt = np.where(lacks, by_word[d.texts.tokens], 0)
         unspelt = out.copy()
         unspelt[lacks] = np.log(ways[lacks] + reach[lacks])
         out[lacks] = np.logaddexp(out[lacks], np.log(reach[lacks]) + spelt[lacks])
@@ -481,14 +492,20 @@ class Model:
 
 
 def _score(told, trained: int, distinct: int, slot_bits: int, spell_bits: int):
+    def scores(model: Model, d: Decisions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of each text's probability by the base, and by base and model with and without spellings."""
+        less = d.texts.learns if d.own else 0
+        base = np.add.reduceat(np.log((d.had + 0.1) / (trained - less + 0.1 * (distinct + 1))), d.texts.begin)
+        own, unspelt, spelt = (np.add.reduceat(x, d.texts.begin) for x in model.tokens(d))
+        return base / LN10, (np.logaddexp(own, base + spelt) - np.log(2)) / LN10, (np.logaddexp(unspelt, base) - np.log(2)) / LN10
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*told.value, spell_bits)
         for row in _rows(batches):
+            _, left_out, _ = scores(model, Decisions(row, trained, slot_bits, True))
             d = Decisions(row, trained, slot_bits, False)
             texts = d.texts
-            base = np.add.reduceat(np.log10((d.known + 0.1) / (trained + 0.1 * (distinct + 1)))[texts.tokens], texts.begin)
-            own, unspelt, spelt = (np.add.reduceat(x, texts.begin) for x in model.tokens(d))
-            score, class_score = ((np.logaddexp(a, b) - np.log(2)) / np.log(10) for a, b in ((own, base * np.log(10) + spelt), (unspelt, base * np.log(10))))
+            base, score, class_score = scores(model, d)
             with np.errstate(divide="ignore"):
                 bits = np.where(texts.nbytes > 0, -score / np.log10(2) / np.maximum(texts.nbytes, 1), np.nan)
             values = [
@@ -500,9 +517,10 @@ def _score(told, trained: int, distinct: int, slot_bits: int, spell_bits: int):
                 pa.array(base),
                 pa.array(score),
                 pa.array(class_score),
+                pa.array(left_out),
                 pa.array(bits, from_pandas=True),
             ]
-            yield pa.RecordBatch.from_arrays(values, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "class_score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays(values, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "class_score", "left_out_score", "bits_per_byte"])
 
     return run
 
@@ -518,11 +536,12 @@ def learnt_weights(rows: list) -> np.ndarray:
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability), class_score and bits_per_byte for each row of df.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability), class_score, left_out_score and bits_per_byte for each row of df.
 
     The model learns from the rows whose crc32(id as text) mod 10 isn't 0 (a null id counts as training) and scores all.
     base_score is the add-0.1 unigram score of the same tokens; it has one probability for all unknown words together, while score spells each
-    of them. class_score doesn't spell them, so it compares with base_score: it is at most log10(2) below it. A null or empty text is its end alone (bits_per_byte null). Repeated rows each count.
+    of them. class_score doesn't spell them, so it compares with base_score: it is at most log10(2) below it.
+    left_out_score is score with each training token's own count out of all that was counted (of a held-out text it is score), so it compares across rows. A null or empty text is its end alone (bits_per_byte null). Repeated rows each count.
     Empty df: no rows. Other columns of df are not read.
 
     1. Texts become blocks of tokens, once. 2. Each block asks, for its distinct words, and pairs of context and word, how often training has
@@ -559,5 +578,5 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sums = ready.mapInArrow(_learn(spark.sparkContext.broadcast(tables), trained, *table), "gate long, sums array<double>")
     added = sums.select("gate", F.posexplode("sums").alias("at", "value")).groupBy("gate", "at").agg(F.sum("value").alias("value"))
     gates = added.groupBy("gate").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("all")).select("gate", F.col("all.value").alias("sums")).collect()  # a row a gate
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, class_score double, bits_per_byte double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, class_score double, left_out_score double, bits_per_byte double"
     return ready.mapInArrow(_score(spark.sparkContext.broadcast((tables, learnt_weights(gates))), trained, distinct, *table), schema)

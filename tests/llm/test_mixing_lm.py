@@ -117,35 +117,35 @@ class Plain:
         step = np.linalg.solve(x.T @ np.diag(p * (1 - p)) @ x + RIDGE * np.eye(5), x.T @ (y - p))
         return FIRST_WEIGHTS + step * min(1, 1 / max(1e-12, abs(step).max()))
 
-    def spelt(self, w):
+    def spelt(self, w, own):
         slots, bits, _ = spelling([w], self.spell_bits)
         out = 0
         for b, d in itertools.product(range(bits.shape[0]), range(8)):
-            x = [log_odds(t.get(s[b, d], (0, 0))) for t, s in zip(self.spell, slots, strict=True)] + [1]
+            x = [log_odds(t.get(s[b, d], (0, 0)), bits[b, d] if own else None) for t, s in zip(self.spell, slots, strict=True)] + [1]
             z = float(np.dot(self.weights["spell", d], x))
             out -= math.log1p(math.exp(-z if bits[b, d] else z))
         return out
 
-    def score(self, words):
-        """With the unknown words spelt, and without."""
-        total, unspelt, more, tokens = 0, 0, np.zeros((4, 5)), self.decisions(words, 0)
-        base = sum(math.log10((self.c0[w] + 0.1) / (self.trained + 0.1 * (len(self.c0) + 1))) for w in words)
-        spelt = sum(self.spelt(w) for w in words if not self.c0[w]) / math.log(10)
+    def score(self, words, own=0):
+        """With the unknown words spelt, and without; own: each token's own count taken out."""
+        total, unspelt, more, tokens = 0, 0, np.zeros((4, 5)), self.decisions(words, own)
+        base = sum(math.log10((self.c0[w] - own + 0.1) / (self.trained - own + 0.1 * (len(self.c0) + 1))) for w in words)
+        spelt = sum(self.spelt(w, own) for w in words if self.c0[w] == own) / math.log(10)
         for at in range(0, len(tokens), ROUND):
             step = np.zeros((4, 5))
             for t in tokens[at : at + ROUND]:
                 reach, ways, told = 1.0, 0.0, {d["j"] for d in t["told"]}
                 for d in t["every"]:
-                    j, x = d["j"], np.array(self.inputs(d))
+                    j, x = d["j"], np.array(self.inputs(d, own and d["j"] in told))
                     p = 1 / (1 + math.exp(-min(12, max(-12, float((self.weights[d["gate"]] + more[j]) @ x)))))
                     if j in told:
                         step[j] += RATE * (d["bit"] - p) * x
                     if t["total"][j] > 0:
                         ways += reach * p * t["n"][j] / t["total"][j]
                         reach *= 1 - p
-                new = not self.c0[t["word"]]
+                new = self.c0[t["word"]] == own
                 unspelt += math.log10(ways + reach * new)
-                total += math.log10(ways + reach * math.exp(self.spelt(t["word"])) if new else ways)
+                total += math.log10(ways + reach * math.exp(self.spelt(t["word"], own)) if new else ways)
             more += step
         return [float(np.logaddexp(a * math.log(10), b * math.log(10)) / math.log(10)) - math.log10(2) for a, b in ((total, base + spelt), (unspelt, base))]
 
@@ -162,11 +162,11 @@ def test_scores_against_a_plain_model(spark, blocks):
     rows = some_rows()
     plain = Plain(rows)
     found = score_texts(docs(spark, rows).repartition(blocks)).collect()
-    scores = {(r.doc_id, r.n_tokens): (r.score, r.class_score) for r in found}
+    scores = {(r.doc_id, r.n_tokens): (r.score, r.class_score, r.left_out_score) for r in found}
     assert len(found) == len(rows)
     for i, w in plain.rows:
         if i != 5:
-            assert scores[i, len(w)] == pytest.approx(plain.score(w), rel=1e-4, abs=1e-4), (i, w)
+            assert scores[i, len(w)] == pytest.approx([*plain.score(w), plain.score(w, int(not held(i)))[0]], rel=1e-4, abs=1e-4), (i, w)
     for r in found:
         text = dict(rows)[r.doc_id] or ""
         assert r.class_score >= r.base_score - math.log10(2) - 1e-9 and r.score <= r.class_score + 1e-9
