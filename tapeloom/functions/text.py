@@ -89,11 +89,21 @@ def format_duration(ms: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.call_function("div", seconds, F.lit(3600).cast("long")), part(seconds, 60, 60), seconds % 60)
 
 
-def format_bytes(n: Column) -> Column:
-    """In units of 1024 up to GB; one decimal from MB on."""
-    n = n.cast("double")
-    small = F.when(n < 1024, F.format_string("%.0f B", n)).when(n < 1024**2, F.format_string("%.0f KB", n / 1024))
-    return F.when(n <= 0, "0 B").otherwise(small.when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2)).otherwise(F.format_string("%.1f GB", n / 1024**3)))
+def _shares(n: Column, unit: int, scale: int, even: bool) -> Column:
+    """How many scale-ths of a unit are nearest to a whole number n; exact ties go up, or to the even one."""
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
+    rest = (n % unit) * scale
+    whole, over = div(n, unit) * scale + div(rest, unit), 2 * (rest % unit)
+    tie = whole % 2 == 1 if even else F.lit(True)
+    return whole + ((over > unit) | ((over == unit) & tie)).cast("long")
+
+
+def format_bytes(n: Column, even: bool = False) -> Column:
+    """In units of 1024 up to GB; one decimal from MB on. An exact tie goes up, as in the app (toFixed); with even to the even digit, as C's printf does."""
+    n = n.cast("long")
+    tenths = lambda unit: (lambda t: F.concat(F.call_function("div", t, F.lit(10).cast("long")), F.lit("."), t % 10))(_shares(n, unit, 10, even))
+    small = F.when(n < 1024, F.concat(n, F.lit(" B"))).when(n < 1024**2, F.concat(_shares(n, 1024, 1, even), F.lit(" KB")))
+    return F.when(n <= 0, "0 B").otherwise(small.when(n < 1024**3, F.concat(tenths(1024**2), F.lit(" MB"))).otherwise(F.concat(tenths(1024**3), F.lit(" GB"))))
 
 
 def display_text(status: Column, text: Column, working: str = "Transcribing", failed: str = "Transcription failed") -> Column:

@@ -290,7 +290,7 @@ SELECT doc_id, printf('%02d:%02d:%02d', ms // 3600000, ms // 60000 % 60, ms // 1
 """)
 def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars").cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", text.format_duration(n * 1000).alias("duration"), text.format_bytes(n * n).alias("size_text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.format_duration(n * 1000).alias("duration"), text.format_bytes(n * n, even=True).alias("size_text"))
 
 
 @query("""

@@ -48,6 +48,12 @@ def test_text(spark):
     assert (r.long, r.size, r.dots, r.name) == ("100:00:00", "1.5 MB", False, True)
 
 
+def test_sizes_are_rounded_exactly(spark):
+    sizes = {12845056: ("12.3 MB", "12.2 MB"), 12845057: ("12.3 MB", "12.3 MB"), 12949914: ("12.4 MB", "12.4 MB"), 12949913: ("12.3 MB", "12.3 MB"), 2560: ("3 KB", "2 KB"), 3584: ("4 KB", "4 KB"), 1023: ("1023 B",) * 2, 1024**2 - 1: ("1024 KB",) * 2, 1024**3 - 1: ("1024.0 MB",) * 2, 5 << 28: ("1.3 GB", "1.2 GB"), 0: ("0 B",) * 2, None: (None,) * 2}
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", text.format_bytes(F.col("n")), text.format_bytes(F.col("n"), even=True)).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == sizes
+
+
 def test_codecs(spark):
     pcm = np.random.default_rng(1).integers(-32767, 32768, 9001)
     rows = [("a", 0, (pcm[:5000] / 32767).tolist()), ("a", 1, (pcm[5000:] / 32767).tolist()), ("b", 0, [0.25] * 16000), ("n", 0, [float("nan"), float("inf"), 2.0, -2.0, 0.5 / 32767])]
