@@ -68,6 +68,10 @@ def running_offsets(blocks: DataFrame, key: str | list[str], order: list[str], s
     return out.select(*blocks.columns, "first_sample", "offset_ms")
 
 
+def _as_single(x: Column, kind: T.DataType) -> Column:
+    return x.cast("float") if isinstance(kind, T.FloatType) else x
+
+
 def _names(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
@@ -152,10 +156,12 @@ def threshold_segments(frames: DataFrame, key: str, position: str, level: str, t
     An amplitude-threshold segmenter, not a speech model. Runs closer than the shortest silence are one; a segment shorter than the
     shortest speech is dropped; one longer than the longest is cut at that length (a short last cut stays).
 
+    Levels that are single floats are compared with the threshold as one.
+
     Runs are told within stretches of `stride` positions, and joined at the stretches' edges, so that no task holds a long session."""
     per_ms = TARGET_RATE // 1000
     gap, least, most = (max(1, ms * per_ms // frame) for ms in (min_silence_ms, min_speech_ms, max_segment_ms))
-    loud = frames.filter(F.col(level) >= threshold).withColumn("__stretch", _stretch(frames, position, stride))
+    loud = frames.filter(F.col(level) >= _as_single(F.lit(float(threshold)), frames.schema[level].dataType)).withColumn("__stretch", _stretch(frames, position, stride))
     runs = _islands(loud, [key, "__stretch"], F.col(position), F.col(position), F.col(level), gap)
     # Only a stretch's first and last runs can go on in another: at most two rows a stretch meet by key.
     ends = W.partitionBy(key, "__stretch").orderBy("__lo")
@@ -174,7 +180,8 @@ def frame_levels(blocks: DataFrame, key: str | list[str], order: list[str], samp
     Blocks are cut at frames, so a frame is a maximum over the slices that touch it."""
     cut = sample_parts(blocks, key, order, samples, frame)
     peak = F.array_max(F.transform("samples", lambda x: F.abs(sanitize_sample(x))))
-    return cut.groupBy(*_names(key), F.col("part").alias("position")).agg(F.max(peak).alias("level"))
+    level = _as_single(F.max(peak), blocks.schema[samples].dataType.elementType)
+    return cut.groupBy(*_names(key), F.col("part").alias("position")).agg(level.alias("level"))
 
 
 def drain_segments(segments: DataFrame, processed: Column) -> DataFrame:

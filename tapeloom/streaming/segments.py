@@ -32,7 +32,8 @@ class Rules:
     @classmethod
     def of(cls, threshold: float = 0.5, frame: int = FRAME, min_speech_ms: int = 250, min_silence_ms: int = 500, max_segment_ms: int = 30_000) -> Rules:
         check_segmentation(threshold, min_speech_ms, min_silence_ms, max_segment_ms)
-        return cls(threshold, frame, *(max(1, ms * (TARGET_RATE // 1000) // frame) for ms in (min_silence_ms, min_speech_ms, max_segment_ms)))
+        # Samples are single floats: one that reads as the threshold reaches it.
+        return cls(float(np.float32(threshold)), frame, *(max(1, ms * (TARGET_RATE // 1000) // frame) for ms in (min_silence_ms, min_speech_ms, max_segment_ms)))
 
 
 @dataclass

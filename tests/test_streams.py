@@ -74,6 +74,16 @@ def test_pieces_close_as_soon_as_they_can():
         segments.Rules.of(max_segment_ms=1)
 
 
+def test_a_sample_that_reads_as_the_threshold_is_loud(spark):
+    at = np.float32(0.08)
+    rules = segments.Rules.of(0.08, 8, 1, 1, 2)
+    _, pieces = segments.follow(None, np.array([0, at, at, 0, 0, 0], np.float32).astype(float), 0, rules, True)
+    assert [p[:2] for p in pieces] == [(1, 3)]
+    levels = sequence.frame_levels(spark.createDataFrame([("a", 0, [0.0] * 8 + [float(at)] * 16 + [0.0] * 24)], "session string, block long, samples array<float>"), "session", ["block"], "samples", 8)
+    found = sequence.threshold_segments(levels, "session", "position", "level", 0.08, 8, 1, 1, 2).collect()
+    assert [(r.start_sample, r.end_sample) for r in found] == [(8, 24)]
+
+
 def test_audio_that_does_not_follow_ends_the_stream(spark, tmp_path):
     write(tmp_path / "in", "0.json", json.dumps({"session": "s", "kind": "mixed", "position": 5, "samples": [0.1]}))
     audio = spark.readStream.schema("session string, kind string, position long, samples array<float>").json(str(tmp_path / "in"))
