@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tapeloom.functions.signal import TARGET_RATE
 from tapeloom.operators.sequence import FRAME
 from tapeloom.sources.settings import check_segmentation
-from tapeloom.streaming.capture import ROCKS
+from tapeloom.streaming.capture import ROCKS, arrived
 
 SEGMENT_SCHEMA = "session string, start_sample long, end_sample long, duration_ms long, peak double, samples array<float>"
 
@@ -93,7 +93,7 @@ class Segmenter(StatefulProcessor):
         state = Open(*self.open.get()) if self.open.exists() else None
         held = np.concatenate([np.frombuffer(b, np.float32) for (b,) in self.audio.get()]) if self.audio.exists() else np.zeros(0, np.float32)
         known, ended = len(held), False
-        for row in pd.concat(list(rows)).sort_values("position", kind="stable").itertuples():
+        for row in arrived(rows, "position"):
             if row.kind == "end":
                 ended = True
             elif row.kind == "mixed":

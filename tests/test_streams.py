@@ -238,3 +238,16 @@ def test_captures_are_mixed_as_they_grow(spark, tmp_path):
     mixed()
     rows = spark.read.parquet(str(tmp_path / "out")).filter("kind = 'mixed'").orderBy("position").collect()
     assert [x for r in rows for x in r.samples] == [0.75] * 4000 + [0.25] * 1000
+
+
+def test_events_of_a_batch_come_in_order_without_a_frame_each():
+    frame = lambda *rows: pd.DataFrame(rows, columns=["arrival", "kind", "samples"])
+    rows = capture.arrived(iter([frame((3, "audio", np.ones(2)), (1, "end", None)), frame((1, "mode", None))]))
+    assert [(r.arrival, r.kind) for r in rows] == [(1, "end"), (1, "mode"), (3, "audio")]
+
+
+def test_peaks_and_levels():
+    x = np.random.default_rng(3).normal(size=200)
+    assert capture.peaks(x[:5]).tolist() == [abs(x[n * 5 // 48]) for n in range(48)]
+    assert capture.peaks(x).tolist() == [np.abs(x[n * 200 // 48 : (n + 1) * 200 // 48]).max() for n in range(48)]
+    assert capture.level_db(np.full(7, 0.1)) == pytest.approx(-20) and capture.level_db(np.zeros(3)) == capture.FLOOR_DB
