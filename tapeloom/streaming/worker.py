@@ -13,11 +13,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tapeloom.functions.text import trim
 from tapeloom.operators.queue import ERROR_CHARACTERS, MAX_ATTEMPTS
-from tapeloom.streaming.capture import ROCKS
+from tapeloom.streaming.capture import ROCKS, arrived
 
 POLL_MS = 1000
 QUEUE_EVENT_SCHEMA = "session string, arrival long, kind string, id long, source string, language string"
 TOLD_SCHEMA = "session string, number long, kind string, id long, status string, attempts long, text string, error string, pending long"
+TOLD_COLUMNS = [c.split()[0] for c in TOLD_SCHEMA.split(", ")]
 DOCUMENT_COLUMNS = ("session", "id", "position", "status", "attempts", "source", "text", "error")
 
 
@@ -51,22 +52,26 @@ class QueueWorker(StatefulProcessor):
         self.session = handle.getValueState("session", "told long, last long, failed long, language string")
 
     def _load(self) -> None:
-        self.told, self.last, self.failed, self.language = self.session.get() if self.session.exists() else (0, -1, 0, None)
+        known = self.session.get()
+        self.told, self.last, self.failed, self.language = known or (0, -1, 0, None)
+        # What waits by position: read once a call, and written item by item as it changes.
+        self.open = {p: i for (p,), (i,) in self.waiting.iterator()} if known else {}
         self.rows: list[tuple] = []
 
-    def _set(self, item: int, row: tuple) -> None:
-        """Stores an item and whether it waits; keeps count of those that failed for good."""
-        before = self.items.getValue((item,)) if self.items.containsKey((item,)) else None
+    def _set(self, item: int, row: tuple, before: tuple | None) -> None:
+        """Stores an item in place of what it was, and whether it waits; keeps count of those that failed for good."""
         lost = lambda r: int(r is not None and r[1] == "failed" and not _retryable(r[1], r[2]))
         self.failed += lost(row) - lost(before)
         self.items.updateValue((item,), row)
-        if _retryable(row[1], row[2]):
+        if not _retryable(row[1], row[2]):
+            if self.open.pop(row[0], None) is not None:
+                self.waiting.removeKey((row[0],))
+        elif self.open.get(row[0]) != item:
+            self.open[row[0]] = item
             self.waiting.updateValue((row[0],), (item,))
-        elif self.waiting.containsKey((row[0],)):
-            self.waiting.removeKey((row[0],))
 
-    def _open(self) -> list[tuple[int, int]]:
-        return sorted((p, i) for (p,), (i,) in self.waiting.iterator()) if self.waiting.exists() else []
+    def _known(self, item: int) -> tuple | None:
+        return self.items.getValue((item,)) if self.items.containsKey((item,)) else None
 
     def _tell(self, key: Any, item: int, row: tuple) -> None:
         self.rows.append((key[0], self.told, "segment", item, row[1], row[2], row[4], row[5], None))
@@ -74,14 +79,14 @@ class QueueWorker(StatefulProcessor):
 
     def _save(self, key: Any, now: int | None) -> pd.DataFrame:
         """Tells the session's status, and sets a timer if anything waits and none is set."""
-        pending = len(self._open())
+        pending = len(self.open)
         status = "pending" if pending else "partial" if self.failed else "complete"
         self.rows.append((key[0], self.told, "status", None, status, None, None, None, pending))
         self.told += 1
         self.session.update((self.told, self.last, self.failed, self.language))
         if pending and now is not None and not any(True for _ in self.handle.listTimers()):
             self.handle.registerTimer(now)
-        return pd.DataFrame(self.rows, columns=[c.split()[0] for c in TOLD_SCHEMA.split(", ")])
+        return pd.DataFrame(self.rows, columns=TOLD_COLUMNS)
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
         """Stored documents: what was being processed waits again."""
@@ -89,19 +94,19 @@ class QueueWorker(StatefulProcessor):
         for r in initialState.itertuples():
             self.last = max(self.last, int(r.position))
             status = "pending" if r.status == "processing" else r.status
-            self._set(int(r.id), (int(r.position), status, int(r.attempts), _text(r.source), _text(r.text), _text(r.error)))
+            self._set(int(r.id), (int(r.position), status, int(r.attempts), _text(r.source), _text(r.text), _text(r.error)), None)
         self._save(key, timerValues.getCurrentProcessingTimeInMs())
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         self._load()
-        for event in pd.concat(list(rows)).sort_values("arrival", kind="stable").itertuples():
+        for event in arrived(rows):
             if event.kind == "enqueue":
                 item, source = int(event.id), _text(event.source)
-                known = self.items.getValue((item,)) if self.items.containsKey((item,)) else None
+                known = self._known(item)
                 if known is None or known[3] != source:
                     self.last += known is None
                     row = (self.last if known is None else known[0], "pending", 0, source, "", None)
-                    self._set(item, row)
+                    self._set(item, row, known)
                     self._tell(key, item, row)
             elif event.kind == "language":
                 self.language = _text(event.language)
@@ -110,17 +115,17 @@ class QueueWorker(StatefulProcessor):
                     state.clear()
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
-                self.last, self.failed = -1, 0
+                self.last, self.failed, self.open = -1, 0, {}
         yield self._save(key, timerValues.getCurrentProcessingTimeInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         """One pass: the first segment that waits is claimed and worked on; if more waits, the next pass follows after the poll time."""
         self._load()
-        waits = self._open()
-        if not waits:
+        if not self.open:
             return
-        item = waits[0][1]
-        position, _, attempts, source, text, error = self.items.getValue((item,))
+        item = self.open[min(self.open)]
+        before = self.items.getValue((item,))
+        position, _, attempts, source, text, error = before
         claimed = (position, "processing", attempts + 1, source, text, error)
         self._tell(key, item, claimed)
         try:
@@ -129,10 +134,10 @@ class QueueWorker(StatefulProcessor):
         except Exception as fault:
             text, error = None, str(fault)[:ERROR_CHARACTERS]
         row = (position, "complete" if error is None else "failed", attempts + 1, source, text if error is None else "", error)
-        self._set(item, row)
+        self._set(item, row, before)
         self._tell(key, item, row)
         yield self._save(key, None)
-        if self._open():
+        if self.open:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, self.poll_ms))
 
     def close(self) -> None:
