@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +61,21 @@ class Resampler:
             return samples
         self.held = np.concatenate((self.held, samples))
         self.read += len(samples)
-        ready = max(self.made, math.floor((self.read - self.reach - 1) * self.rate_out / self.rate_in))
+        ready = self._ready(self.read)
         return np.concatenate([self._until(min(ready, at + 4096)) for at in range(self.made, ready, 4096)] or [np.zeros(0)])
 
+    def _ready(self, read: int) -> int:
+        """How many output samples there are after so many input samples."""
+        return max(self.made, math.floor((read - self.reach - 1) * self.rate_out / self.rate_in))
+
+    def push_all(self, blocks: list[np.ndarray]) -> list[np.ndarray]:
+        """What push gives for each of the blocks in turn, filtered in one go."""
+        if self.rate_in == self.rate_out or len(blocks) == 1:
+            return [self.push(b) for b in blocks]
+        made, read = self.made, self.read + np.cumsum([len(b) for b in blocks])
+        cuts = [self._ready(int(r)) - made for r in read[:-1]]
+        return np.split(self.push(np.concatenate([np.asarray(b, np.float64) for b in blocks])), cuts)
+
     def finish(self) -> np.ndarray:
         if self.rate_in == self.rate_out:
             return np.zeros(0)
@@ -83,14 +99,15 @@ def resample_sources(blocks: DataFrame, rate_out: int = TARGET_RATE) -> DataFram
 
         for batch in batches:
             rows = []
-            for session, source, sequence, rate, samples in batch.itertuples(index=False):
+            for (session, source), blocks in groupby(batch.itertuples(index=False), key=itemgetter(0, 1)):
+                found = list(blocks)
                 if key != (session, source):
                     rows += [row(*key, last + 1, stream.finish())] if stream else []
-                    key, stream = (session, source), Resampler(int(rate), rate_out)
-                if rate != stream.rate_in:
+                    key, stream = (session, source), Resampler(int(found[0].sample_rate), rate_out)
+                if any(b.sample_rate != stream.rate_in for b in found):
                     raise ValueError("sample rate changed")
-                rows.append(row(session, source, sequence, stream.push(samples)))
-                last = sequence
+                rows += [row(session, source, b.sequence, made) for b, made in zip(found, stream.push_all([b.samples for b in found]), strict=True)]
+                last = found[-1].sequence
             yield pd.DataFrame(rows, columns=["session", "source", "sequence", "samples"])
         if stream:
             yield pd.DataFrame([row(*key, last + 1, stream.finish())])
@@ -135,11 +152,39 @@ def resample_recordings(blocks: DataFrame, rate_out: int = TARGET_RATE, block_sa
     cut = parts.select(*names, "part", "rate", "total", lo.alias("at"), F.slice("samples", (lo - begin + 1).cast("int"), F.greatest(F.lit(0), hi - lo).cast("int")).alias("samples"))
     kinds = dict(blocks.dtypes)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at", kind="stable")
-        session, source, part, rate, total, first = rows.iloc[0][["session", "source", "part", "rate", "total", "at"]]
-        begin = int(part) * block_samples
-        out = filter_block(np.concatenate(rows["samples"].tolist()), int(first), begin, min(int(total), begin + block_samples), int(total), int(rate), rate_out)
-        return pd.DataFrame([{"session": session, "source": source, "part": part, "first": -(-begin * rate_out // int(rate)), "samples": out}])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, pieces, out = None, [], []
+
+        def close() -> None:
+            session, source, number, rate, total, first = part
+            begin = number * block_samples
+            out.append((session, source, number, -(-begin * rate_out // rate), filter_block(np.concatenate(pieces), first, begin, min(total, begin + block_samples), total, rate, rate_out)))
 
-    return cut.groupBy(*names, "part").applyInPandas(run, f"session {kinds['session']}, source {kinds['source']}, part long, first long, samples array<double>")
+        def told(kinds: tuple) -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["session", "source", "part", "first", "samples"])
+
+        kinds = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = (batch.schema.field("session").type, batch.schema.field("source").type, pa.int64(), pa.int64(), pa.list_(pa.float64()))
+            samples, keys = batch.column("samples"), list(zip(*(batch.column(c).to_pylist() for c in ("session", "source", "part")), strict=True))
+            values, ends = samples.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(samples).to_numpy(zero_copy_only=False))
+            cuts = [0, *(n for n in range(1, len(keys)) if keys[n] != keys[n - 1]), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if part is None or part[:3] != keys[a]:
+                    if part is not None:
+                        close()
+                    part, pieces = (*keys[a], *(batch.column(c)[a].as_py() for c in ("rate", "total", "at"))), []
+                pieces.append(values[ends[a - 1] if a else 0 : ends[b - 1]])
+            if out:
+                yield told(kinds)
+                out.clear()
+        if part is not None:
+            close()
+            yield told(kinds)
+
+    # Parts are many and may be small: a task takes them one after another from its sorted rows.
+    dealt = cut.repartition(*names, "part").sortWithinPartitions(*names, "part", "at")
+    return dealt.mapInArrow(run, f"session {kinds['session']}, source {kinds['source']}, part long, first long, samples array<double>")

@@ -91,3 +91,31 @@ def test_numbers_are_checked_in_two_levels(spark, stride):
             want.append((key or "", n, "sequence gap" if gap else "sample rate changed" if rate != own[0][1] else ""))
     found = [(r.session or "", r.sequence, r.fault or "") for r in sequence.check_sequence(df, stride=stride).collect()]
     assert sorted(found) == sorted(want) and len({f for *_, f in found}) == 3
+
+
+def test_runs_of_blocks_are_filtered_as_one_after_another():
+    rng = np.random.default_rng(5)
+    for rate in (48000, 44100, 8000, 16000):
+        blocks = [rng.normal(size=rng.integers(0, 40)) for _ in range(120)]
+        one, many = resample.Resampler(rate), resample.Resampler(rate)
+        apart, together = [one.push(b) for b in blocks], many.push_all(blocks[:50]) + many.push_all(blocks[50:51]) + many.push_all(blocks[51:])
+        assert [x.tolist() for x in apart] == [x.tolist() for x in together] and one.finish().tolist() == many.finish().tolist()
+
+
+def test_parts_that_many_batches_hold(spark):
+    """Parts cut by Arrow batches, sessions without a name, and samples that are null."""
+    rng = np.random.default_rng(6)
+    rows = [(k, s, n, 48000, [float(x) for x in rng.normal(size=5).astype(np.float32)]) for k in (None, 1, 2) for s in ("a", "b") for n in range(60)]
+    blocks = spark.createDataFrame(rows, "session long, source string, sequence long, sample_rate int, samples array<double>")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        found = resample.resample_recordings(blocks, block_samples=50).collect()
+    finally:
+        spark.conf.set(name, before)
+    whole = {(r.session, r.source): r.samples for r in resample.resample_recordings(blocks, block_samples=10_000).filter("session IS NOT NULL").collect()}
+    assert len(whole) == 4 and len({(r.session, r.source, r.part) for r in found if r.session}) == 24
+    for key, samples in whole.items():
+        parts = sorted((r.first, r.samples) for r in found if (r.session, r.source) == key)
+        assert np.allclose(np.concatenate([x for _, x in parts]), samples, atol=1e-12) and len(samples) == 100
