@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapeloom.functions.codecs import BLOCK, flac_frames, flac_header, wav_header
 from tapeloom.functions.signal import TARGET_RATE
-from tapeloom.streaming.capture import ROCKS
+from tapeloom.streaming.capture import ROCKS, arrived
 
 SAVED_SCHEMA = "session string, directory string, status string, samples long, manifest string"
 STATE = "started long, completed long, source string, samples long, durable long, octets long, least int, shortest int, longest int"
@@ -148,26 +148,37 @@ class Archiver(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = int(time.time() * 1000)  # a stream without timers has no processing time of its own
-        batch = pd.concat(list(rows))
-        batch = batch[batch["kind"].isin(ORDER)].assign(rank=lambda b: b["kind"].map(ORDER)).sort_values(["position", "rank"], kind="stable")
-        if not len(batch):
+        batch = sorted((r for r in arrived(rows, "position") if r.kind in ORDER), key=lambda r: (r.position, ORDER[r.kind]))
+        if not batch:
             return
         fresh = not self.state.exists()
-        self._load(key, batch["source"].iloc[0], now)
+        self._load(key, batch[0].source, now)
         files, save = self.index, fresh
-        for row in batch.itertuples():
+        waiting: list[np.ndarray] = []  # of rows that follow each other: written in one go
+        place = self.samples
+
+        def write() -> None:
+            if waiting:
+                self._append(np.concatenate(waiting))
+                waiting.clear()
+
+        for row in batch:
             if row.kind == "mixed":
-                if row.position != self.samples:
-                    raise RuntimeError(f"samples of {self.session} don't follow: {row.position} instead of {self.samples}")
+                if row.position != place:
+                    raise RuntimeError(f"samples of {self.session} don't follow: {row.position} instead of {place}")
                 if row.source != self.source:
                     self.source, save = "mixed", True
-                self._append(row.samples)
-            elif row.kind == "checkpoint":
+                waiting.append(np.asarray(row.samples, np.float64))
+                place += len(row.samples)
+                continue
+            write()
+            if row.kind == "checkpoint":
                 self._checkpoint()
                 save = True
             else:
                 self._checkpoint()
                 self.completed, save = now, True
+        write()
         if self.every_batch and self.completed < 0:
             self._checkpoint()
             save = True

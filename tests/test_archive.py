@@ -117,3 +117,27 @@ def test_every_batch_can_be_a_checkpoint_and_recovery_takes_over(spark, tmp_path
 
 def test_halves_go_away_from_zero():
     assert archive.quantise(np.array([0.5 / 32767, -0.5 / 32767, 2.0, -2.0, np.nan, np.inf])).tolist() == [1, -1, 32767, -32767, 0, 0]
+
+
+def test_rows_that_follow_are_written_in_one_go(tmp_path):
+    """Three rows of one file: one write of its samples."""
+    import numpy as np
+    import pandas as pd
+
+    from tapeloom.streaming import archive
+
+    class Value:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, x: setattr(self, "value", x)
+        clear = lambda self: setattr(self, "value", None)
+
+    archiver, calls = archive.Archiver(str(tmp_path), "wav", 100, "UTC", False), []
+    archiver.state, archiver.tail, append = Value(), Value(), archiver._append
+    archiver._append = lambda samples: (calls.append(len(samples)), append(samples))
+    rows = [("s", "mixed", "mixed", n * 4, np.full(4, n / 10)) for n in (2, 0, 1)] + [("s", "level", "system", 0, None), ("s", "end", "mixed", 12, None)]
+    saved = list(archiver.handleInputRows(("s",), iter([pd.DataFrame(rows, columns=["session", "kind", "source", "position", "samples"])]), None))
+    assert calls == [12] and saved[0]["status"].tolist() == ["completed"]
+    (file,) = tmp_path.rglob("*.wav")
+    assert np.frombuffer(file.read_bytes()[44:], "<i2").tolist() == [0] * 4 + [3277] * 4 + [6553] * 4
