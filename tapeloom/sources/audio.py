@@ -7,7 +7,7 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -26,7 +26,8 @@ LONGER = [1 << 7, 1 << 11, 1 << 16, 1 << 21, 1 << 26, 1 << 31]
 FRAME_BYTES = 4 + 1 + 1 + 1 + 2 * BLOCK + 2
 RANGE_FRAMES = 1 << 22
 ROWS_A_BATCH = 64
-FINISHERS = 16
+#: Files that wait for the disk at a time, and files renamed at a time (more of them wait for each other).
+FINISHERS, RENAMERS = 16, 4
 READ_SCHEMA = "name string, first long, rate int, samples array<float>"
 
 
@@ -56,6 +57,10 @@ class Written:
             self.ranges.append((first, first + n))
         self.least, self.shortest, self.longest = min(self.least, n), min(self.shortest, size), max(self.longest, size)
 
+    @property
+    def gapless(self) -> bool:
+        return len(self.ranges) == 1 and not self.ranges[0][0]
+
 
 @dataclass
 class TaskWrote(WriterCommitMessage):
@@ -75,11 +80,18 @@ def joined(parts: list[Written]) -> tuple[Written, list[tuple[int, int]]]:
     return whole, whole.ranges
 
 
+def many_at_once(f: Callable[[str], None], names: list[str], n: int) -> None:
+    """Calls f for each name, n at a time; a thread has a share of the names, so what waits is small however many there are."""
+    with ThreadPoolExecutor(n) as pool:
+        list(pool.map(lambda k: [f(name) for name in names[k::n]], range(n)))
+
+
 class AudioWriter(DataSourceArrowWriter):
     """Files from rows (name, first, pcm) in any order and on any task: blocks of BLOCK samples, the last of a file may be short.
 
     A task writes each block at its place in a file of this job, which the readers don't see; the same bytes go to the same place if a task runs again. Its message has, for each
-    file, the ranges written. Committing checks that they are gapless from 0, writes the header (lengths, and for FLAC the frames' ends), and renames the file. When the
+    file, the ranges written. A file's header (lengths, and for FLAC the frames' ends) is written, and the file brought to the disk, by the task if its blocks are gapless from 0.
+    Committing checks that all files are gapless, does the same for those of several tasks, and renames the files: a file of one task costs the driver its renaming only. When the
     job fails, what is there without a gap from the start gets its header and stays beside the file's name as .partial, to be played or repaired.
     The folder must be one that the driver and all executors share and can write at any place, as local and network file systems are."""
 
@@ -95,6 +107,7 @@ class AudioWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> TaskWrote:
         found: dict[str, Written] = {}
+        made: set[str] = set()
         with contextlib.ExitStack() as stack:
             open_name, place = None, -1
             for batch in iterator:
@@ -110,27 +123,41 @@ class AudioWriter(DataSourceArrowWriter):
                     if name != open_name:
                         stack.close()
                         path = self._own(name)
-                        os.makedirs(os.path.dirname(path), exist_ok=True)
+                        if (folder := os.path.dirname(path)) not in made:
+                            os.makedirs(folder, exist_ok=True)
+                            made.add(folder)
                         place = os.open(path, os.O_WRONLY | os.O_CREAT)
                         stack.callback(os.close, place)
                         open_name = name
                     os.pwrite(place, octets, block_place(first, self.kind))
                     found.setdefault(name, Written()).add(first, len(block), len(octets))
+        # Nothing is cut off here: other tasks may have written what follows.
+        many_at_once(lambda name: self._complete(name, found[name], found[name].ranges[0][1]), [name for name, part in found.items() if part.gapless], FINISHERS)
         return TaskWrote(found)
 
-    def _finish(self, name: str, whole: Written, samples: int, to: str) -> None:
-        """The header for so many samples, nothing after them, and the file under its name."""
-        header = {"wav": lambda: wav_header(2 * samples, self.rate), "flac": lambda: flac_header(samples, whole.least, whole.shortest, whole.longest, self.rate), "raw": lambda: b""}[self.kind]()
+    def _end(self, whole: Written, samples: int) -> int:
+        """The size of a file of so many samples."""
         full = samples // BLOCK * BLOCK
-        end = block_place(full, self.kind) + (0 if samples == full else whole.shortest if self.kind == "flac" else 2 * (samples - full))
+        return block_place(full, self.kind) + (0 if samples == full else whole.shortest if self.kind == "flac" else 2 * (samples - full))
+
+    def _complete(self, name: str, whole: Written, samples: int, end: int | None = None) -> None:
+        """The header for so many samples, and nothing after `end`, on the disk."""
+        header = {"wav": lambda: wav_header(2 * samples, self.rate), "flac": lambda: flac_header(samples, whole.least, whole.shortest, whole.longest, self.rate), "raw": lambda: b""}[self.kind]()
         place = os.open(self._own(name), os.O_RDWR)
         try:
             os.pwrite(place, header, 0)
-            os.ftruncate(place, end)
+            if end is not None:
+                os.ftruncate(place, end)
             os.fsync(place)
         finally:
             os.close(place)
-        os.replace(self._own(name), to)
+
+    def _finish(self, name: str, whole: Written, samples: int, to: str, done: bool = False) -> None:
+        """The file under its name, completed before if its task hasn't or a lost attempt left it longer."""
+        own, end = self._own(name), self._end(whole, samples)
+        if not done or os.stat(own).st_size != end:
+            self._complete(name, whole, samples, end)
+        os.replace(own, to)
 
     @staticmethod
     def _by_name(messages: list[WriterCommitMessage | None]) -> dict[str, list[Written]]:
@@ -141,13 +168,15 @@ class AudioWriter(DataSourceArrowWriter):
         return out
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        files = {name: joined(parts) for name, parts in self._by_name(messages).items()}
-        for name, (_, ranges) in files.items():
-            if len(ranges) != 1 or ranges[0][0]:
-                raise ValueError(f"{name} has gaps: {ranges[:3]}")
-        # Files wait for the disk, so many are finished at a time.
-        with ThreadPoolExecutor(FINISHERS) as pool:
-            list(pool.map(lambda x: self._finish(x[0], x[1][0], x[1][1][0][1], f"{self.root}/{x[0]}"), files.items()))
+        written = self._by_name(messages)
+        done = {name for name, parts in written.items() if len(parts) == 1 and parts[0].gapless}
+        files = {name: parts[0] if name in done else joined(parts)[0] for name, parts in written.items()}
+        for name, whole in files.items():
+            if not whole.gapless:
+                raise ValueError(f"{name} has gaps: {whole.ranges[:3]}")
+        finish = lambda name: self._finish(name, files[name], files[name].ranges[0][1], f"{self.root}/{name}", name in done)
+        many_at_once(finish, [name for name in files if name not in done], FINISHERS)
+        many_at_once(finish, list(done), RENAMERS)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         for name, parts in self._by_name(messages).items():

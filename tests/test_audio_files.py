@@ -112,3 +112,37 @@ def test_a_header_without_its_length_is_repaired(spark, tmp_path):
         audio.repair_wav_file(str(path))
     with pytest.raises(Exception, match="WAV"):
         count()
+
+
+@pytest.mark.parametrize("kind", ["wav", "flac", "raw"])
+def test_a_task_completes_files_that_it_has_whole(tmp_path, kind, monkeypatch):
+    """The driver only renames them; a file of two tasks, or one that a lost attempt left longer, is completed on commit."""
+    import pyarrow as pa
+
+    pcm, longer = noise(3 * 4096 + 7, 11), noise(8 * 4096, 12)
+    writer = audio.AudioWriter(str(tmp_path), kind, 16_000)
+    whole = {"short": 7, "even": 2 * 4096, "a/long": 3 * 4096 + 7}
+
+    def batch(*places, of=pcm):
+        return pa.RecordBatch.from_pylist([{"name": name, "first": first, "pcm": of[first : min(first + 4096, n)].tolist()} for name, first, n in places])
+
+    def want(n):
+        samples = pcm[:n]
+        if kind != "flac":
+            return (codecs.wav_header(2 * n) if kind == "wav" else b"") + samples.astype("<i2").tobytes()
+        cuts = range(0, n, 4096)
+        frames = codecs.flac_frames(list(cuts), [samples[i : i + 4096] for i in cuts])
+        return codecs.flac_header(n, min(4096, n - cuts[-1]), min(map(len, frames)), max(map(len, frames))) + b"".join(frames)
+
+    writer.write(iter([batch(*[("cut", k * 4096, 8 * 4096) for k in range(5)], of=longer)]))  # a lost attempt
+    told = [writer.write(iter([batch(*[(name, first, n) for name, n in whole.items() for first in range(0, n, 4096)]), batch(("two", 0, 4096))]))]
+    for name, n in whole.items():
+        assert open(writer._own(name), "rb").read() == want(n)
+    told += [None, writer.write(iter([batch(("two", 4096, 4096 + 5), ("cut", 0, 4096))]))]
+    completed, complete = [], audio.AudioWriter._complete
+    monkeypatch.setattr(audio.AudioWriter, "_complete", lambda self, name, *a: (completed.append(name), complete(self, name, *a)))
+    writer.commit(told)
+    assert sorted(completed) == ["cut", "two"]
+    for name, n in (whole | {"two": 4096 + 5, "cut": 4096}).items():
+        assert (tmp_path / name).read_bytes() == want(n)
+    assert not list(tmp_path.rglob("*.tmp"))
