@@ -159,6 +159,68 @@ def test_queue_goes_on_from_documents_and_works_each_item_once(spark, tmp_path):
     assert [r.kind for r in again] == ["status", "status"] and {r.status for r in again} == {"partial", "complete"}
 
 
+def test_attempts_that_follow_in_one_firing_are_told_as_firings_of_one(spark, tmp_path):
+    """And work may come as a function of one item. Texts whose length is a multiple of three fail."""
+    items = [("s", 9 - n, n, "pending", 0, "x" * (n + 2), "", None) for n in range(5)] + [("t", 1, 0, "failed", 1, "xxx", "", "noise"), ("u", 1, 0, "complete", 1, "y", "y", None)]
+    stored = spark.createDataFrame(items, "session string, id long, position long, status string, attempts long, source string, text string, error string")
+    write(tmp_path / "in", "a.json", "\n".join(json.dumps({"session": s, "arrival": 0, "kind": "wake"}) for s in "stu"))
+    told, batches = {}, {}
+    for attempts, work in ((1, lambda b: pd.DataFrame({"text": b["source"] + "!", "error": ["noise" if len(x) % 3 == 0 else None for x in b["source"]]})), (4, worker.Each(lambda i: (None, "noise") if len(i["source"]) % 3 == 0 else (i["source"] + "!", None)))):
+        rows = told.setdefault(attempts, {})
+        events = spark.readStream.schema(worker.QUEUE_EVENT_SCHEMA).json(str(tmp_path / "in"))
+        q = worker.queue_stream(events, work, stored, 1, attempts).writeStream.outputMode("update").foreachBatch(lambda b, n, rows=rows: rows.update({n: b.collect()})).option("checkpointLocation", f"{tmp_path}/c{attempts}").trigger(processingTime="50 milliseconds").start()
+        worker.until_idle(q, 1.0, 120)
+        batches[attempts] = sum(any(r.session == "s" for r in b) for b in rows.values())
+        assert [(r.pending, r.status) for r in worker.queue_status(spark, f"{tmp_path}/c{attempts}").orderBy("session").collect()] == [(0, "partial"), (0, "partial"), (0, "complete")]
+    one, more = (sorted((tuple(r) for b in told[n].values() for r in b), key=lambda r: r[:2]) for n in (1, 4))
+    assert one == more and sum(r[0] == "s" and r[4] == "processing" for r in one) == 9 and batches[4] < batches[1]
+    with pytest.raises(ValueError):
+        worker.QueueWorker(stub(), attempts=0)
+
+
+class Clock:
+    """Stands for the module time and for a query of batches (begin, end, rows read)."""
+
+    def __init__(self, *batches):
+        self.now, self.batches, self.isActive = 1000.0, batches, True
+
+    def monotonic(self):
+        return self.now
+
+    time = monotonic
+
+    def sleep(self, seconds):
+        self.now += 0.5
+
+    @property
+    def lastProgress(self):
+        done = [(n, b) for n, b in enumerate(self.batches) if 1000 + b[1] <= self.now]
+        if not done:
+            return None
+        n, (begin, _, rows) = done[-1]
+        return {"batchId": n, "timestamp": pd.Timestamp(1000 + begin, unit="s", tz="UTC").isoformat(timespec="milliseconds").replace("+00:00", "Z"), "numInputRows": rows, "stateOperators": []}
+
+    def exception(self):
+        return None
+
+    def stop(self):
+        self.isActive = False
+
+
+@pytest.mark.parametrize(("batches", "ends"), [
+    ([(0, 900, 5), (900, 1900, 5), (1900, 1901, 0), (1902, 1903, 0)], 1903),  # at work for longer than ten minutes
+    ([(-9, -8, 0), (-8, 5, 0), (5, 9, 7), (9, 10, 0), (11, 12, 0)], 12),  # batches that began before the call may not have seen the last input
+])
+def test_until_idle_waits_for_work_and_for_batches_of_its_own_time(monkeypatch, batches, ends):
+    query = Clock(*batches)
+    monkeypatch.setattr(worker, "time", query)
+    worker.until_idle(query, 1.0)
+    assert query.now - 1000 == ends
+    with pytest.raises(TimeoutError):
+        query.now, query.isActive = 1000.0, True
+        worker.until_idle(query, 1.0, 3)
+
+
 def test_a_failing_worker_fails_its_item(spark):
     state = worker.QueueWorker(stub())
     assert state.poll_ms == 1000 and worker._retryable("failed", 2) and not worker._retryable("failed", 3) and worker._text(float("nan")) is None
